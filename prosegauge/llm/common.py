@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +42,29 @@ def partitions(spark: SparkSession) -> int:
 def words(text: Column) -> Column:
     """Words of a text, as an array; none for a null or blank text."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{SPACE_CLASS}+"))
+    return bind(bare, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"{SPACE_CLASS}+")))
+
+
+def bind(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once a row even where the optimizer inlines its column into a lambda."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def word_hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.xxhash64(w))
 
 
+def windows(parts: Column, width: int, make: Callable[[list[Column]], Column], kind: str) -> Column:
+    """make() of each run of `width` neighbours in an array; none if it is shorter."""
+    run = lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - width), lambda i: make([F.get(a, i + k) for k in range(width)]))
+    return bind(parts, lambda a: F.when(F.size(a) < width, F.array().cast(f"array<{kind}>")).otherwise(run(a)))
+
+
 def window_hashes(hashed: Column, width: int = 5) -> Column:
-    """64-bit hashes of all runs of `width` words, from the words' hashes; none if there are fewer words."""
-    last = F.size(hashed) - width
-    return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(hashed, i + k) for k in range(width))))
-    )
+    """64-bit hashes of all runs of `width` words, from the words' hashes."""
+    return windows(hashed, width, lambda xs: F.xxhash64(*xs), "bigint")
+
+
+def window_texts(tokens: Column, width: int = 5) -> Column:
+    """All runs of `width` words, joined by a space."""
+    return windows(tokens, width, lambda xs: F.concat_ws(" ", *xs), "string")

@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP10_SQL, op10_decontamination
+from .quality import OP9_SQL, op9_quality
 from .simhash import op5_simhash
 from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op5_simhash": op5_simhash,
+    "op9_quality": op9_quality,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_quality": OP9_SQL,
+    "op10_decontamination": OP10_SQL,
+}
