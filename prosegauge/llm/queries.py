@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP10_SQL, op10_decontamination
+from .linechunks import op6_line_chunks
+from .pieces import op4_pieces
+from .pii import op8_pii
 from .quality import OP9_SQL, op9_quality
 from .simhash import op5_simhash
 from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
+    "op4_pieces": op4_pieces,
     "op5_simhash": op5_simhash,
+    "op6_line_chunks": op6_line_chunks,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
