@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP10_SQL, op10_decontamination
 from .linechunks import op6_line_chunks
+from .lm import op2_lm
 from .pieces import op4_pieces
 from .pii import op8_pii
 from .quality import OP9_SQL, op9_quality
@@ -15,6 +16,7 @@ from .simhash import op5_simhash
 from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lm": op2_lm,
     "op3_toxicity": op3_toxicity,
     "op4_pieces": op4_pieces,
     "op5_simhash": op5_simhash,
