@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP10_SQL, op10_decontamination
+from .htmltext import op7_html
 from .linechunks import op6_line_chunks
 from .lm import op2_lm
 from .pieces import op4_pieces
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pieces": op4_pieces,
     "op5_simhash": op5_simhash,
     "op6_line_chunks": op6_line_chunks,
+    "op7_html": op7_html,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
