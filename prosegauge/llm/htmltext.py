@@ -147,7 +147,7 @@ def vectors(blocks: list[Block], memo: dict[str, tuple[int, float]]) -> np.ndarr
         for w in tokens:
             h = zlib.crc32(w.encode())
             row[PATH + h % WORDS] += 1.0 if h >> 31 else -1.0
-        row[PATH : PATH + WORDS] /= max(1, len(tokens)) ** 0.5
+        row[PATH : PATH + WORDS] = np.clip(row[PATH : PATH + WORDS] / max(1, len(tokens)) ** 0.5, -2, 2)  # one word many times is no louder
         n = len(b.text)
         row[-MEASURES:] = (
             np.log1p(len(tokens)) / 4, min(1.0, b.linked / n), b.text[-1] in ".!?…»\"”", sum(map(b.text.count, ".,;")) / (len(tokens) + 1),
