@@ -14,9 +14,11 @@ from .pieces import op4_pieces
 from .pii import op8_pii
 from .quality import OP9_SQL, op9_quality
 from .simhash import op5_simhash
+from .suffix import op1_repeats
 from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_lm": op2_lm,
     "op3_toxicity": op3_toxicity,
     "op4_pieces": op4_pieces,
