@@ -10,6 +10,7 @@ exactly one path to each prefix, the one that merging gives.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 MARK = "▁"
+#: Numbers from here on stand for signs that are no piece.
+_SIGN = 1 << 21
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-_MARKED = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -73,11 +75,22 @@ class Pieces:
         self.ids = {t: i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k in (1, 4, 5)}
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds, strict=True)) if k == 6}
         self.unknown = self.kinds.index(2) if 2 in self.kinds else 0
-        self.longest = max(map(len, self.ids), default=1)
         if any(MARK in t.lstrip(MARK) for t in self.ids):
             raise ValueError("pieces that span a space between words are not supported")
         self.merges = self.model_type == 2
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.courses: dict[int, tuple[list[float], list[str], list[str]] | None] = {}
+        #: Lengths of the pieces that end in two given signs, the longest first.
+        ends: dict[str, set[int]] = {}
+        for t in self.ids:
+            if len(t) > 1:
+                ends.setdefault(t[-2:], set()).add(len(t))
+        self.lengths = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        self.raw = [bytes([int(t[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else t.replace(MARK, " ").encode() for t, k in zip(self.texts, self.kinds, strict=True)]
+        # white space that no piece holds parts words too: nothing merges across it
+        held = set("".join(self.ids))
+        bars = "".join(c for c in "\n\r\t" if c not in held)
+        self.parts = re.compile(f"{MARK}*[^{MARK}{bars}]+|{MARK}+" + (f"|[{bars}]" if bars else ""))
 
     def marked(self, text: str) -> list[str]:
         """The text's words, each with the marks (spaces) before it."""
@@ -86,90 +99,115 @@ class Pieces:
             text = re.sub(" +", " ", text)
         if not text:
             return []
-        return _MARKED.findall((MARK if self.dummy else "") + text.replace(" ", MARK))
-
-    def beside(self, a: str, b: str) -> bool:
-        """Whether merging a + b gives the two pieces a, b again."""
-        key = (a, b)
-        if (got := self.pairs.get(key)) is None:
-            got = self._merge_stops_at(a, b)
-            if len(self.pairs) < 600_000:
-                self.pairs[key] = got
-        return got
-
-    def _merge_stops_at(self, a: str, b: str) -> bool:
-        parts, edge = list(a + b), len(a)
-        ids, scores = self.ids, self.scores
-        while True:
+        return self.parts.findall((MARK if self.dummy else "") + text.replace(" ", MARK))
+
+    def _spelt(self, i: int) -> str:
+        return self.texts[i] if i < _SIGN else chr(i - _SIGN)
+
+    def _course(self, i: int) -> tuple[list[float], list[str], list[str]] | None:
+        """How piece i comes about from its signs: the score of each merge, and the first and last part before each and at the end."""
+        if i in self.courses:
+            return self.courses[i]
+        whole = self._spelt(i)
+        parts, gains, firsts, lasts = list(whole), [], [whole[0]], [whole[-1]]
+        while len(parts) > 1:
             best, where = None, -1
             for k in range(len(parts) - 1):
-                if (i := ids.get(parts[k] + parts[k + 1])) is not None and (best is None or scores[i] > best):
-                    best, where = scores[i], k
+                if (m := self.ids.get(parts[k] + parts[k + 1])) is not None and (best is None or self.scores[m] > best):
+                    best, where = self.scores[m], k
             if where < 0:
-                return parts == [a, b]
-            if sum(map(len, parts[: where + 1])) == edge:
-                return False
+                break
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
+            gains.append(best)
+            firsts.append(parts[0])
+            lasts.append(parts[-1])
+        self.courses[i] = (gains, firsts, lasts) if len(parts) == 1 else None
+        return self.courses[i]
+
+    def beside(self, a: int, b: int) -> bool:
+        """Whether merging the signs of pieces a and b gives the two again.
+
+        Each piece's own merges go on in their order; the best-scored next one, the leftmost of
+        equals, is due. The two stay apart if a merge across their border is never due.
+        """
+        key = a << 24 | b
+        if (got := self.pairs.get(key)) is None:
+            one, two = self._course(a), self._course(b)
+            got = one is not None and two is not None
+            x = y = 0
+            while got:
+                left = one[0][x] if x < len(one[0]) else None
+                right = two[0][y] if y < len(two[0]) else None
+                m = self.ids.get(one[2][x] + two[1][y])
+                across = None if m is None else self.scores[m]
+                if left is not None and (across is None or left >= across) and (right is None or left >= right):
+                    x += 1
+                elif across is not None and (right is None or across >= right):
+                    got = False
+                elif right is not None:
+                    y += 1
+                else:
+                    break
+            if len(self.pairs) < 400_000:
+                self.pairs[key] = got
+        return got
 
-    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of each distinct word, by a depth-first walk of the sorted words' trie."""
-        out: dict[str, list[int]] = {}
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids (32-bit, as bytes) of each distinct word, by a depth-first walk of the sorted words' trie."""
+        out: dict[str, bytes] = {}
         before = ""
-        # state j: where the last piece of the path to prefix j starts, and its forward score
-        starts: list[int] = [-1]
-        forward: list[float] = [0.0]
-        ids, scores, longest = self.ids, self.scores, self.longest
+        # state j: the last piece of the path to prefix j, where it starts, and the path's forward score
+        last, starts, forward = [-1], [-1], [0.0]
+        ids, scores, lengths, merges, beside, pairs = self.ids, self.scores, self.lengths, self.merges, self.beside, self.pairs
         for word in sorted(words):
             common = 0
             for x, y in zip(before, word, strict=False):
                 if x != y:
                     break
                 common += 1
-            del starts[common + 1 :], forward[common + 1 :]
+            del last[common + 1 :], starts[common + 1 :], forward[common + 1 :]
             for j in range(common + 1, len(word) + 1):
-                best, start = None, -1
-                for k in range(max(0, j - longest), j):
-                    piece = word[k:j]
-                    if (i := ids.get(piece)) is None and k < j - 1:
+                best, piece, start = None, -1, -1
+                for n in (*lengths.get(word[j - 2 : j], ()), 1) if j > 1 else (1,):
+                    if n > j:
                         continue
-                    if self.merges:
-                        if k == 0 or self.beside(word[starts[k] : k], piece):
-                            best, start = forward[k] + (scores[i] if i is not None else 0.0), k
-                            break
+                    k = j - n
+                    if (i := ids.get(word[k:j])) is None:
+                        if n > 1:
+                            continue
+                        i, gain = _SIGN + ord(word[k]), -1e4
                     else:
-                        total = forward[k] + (scores[i] if i is not None else -1e4)
-                        if best is None or total > best:
-                            best, start = total, k
+                        gain = scores[i]
+                    if merges:
+                        if k and not (pairs[key] if (key := last[k] << 24 | i) in pairs else beside(last[k], i)):
+                            continue
+                        best, piece, start = forward[k] + gain, i, k
+                        break
+                    if best is None or forward[k] + gain > best:
+                        best, piece, start = forward[k] + gain, i, k
+                last.append(piece)
                 starts.append(start)
-                forward.append(best if best is not None else 0.0)
+                forward.append(best)
             path, j = [], len(word)
             while j:
-                piece = word[starts[j] : j]
-                i = ids.get(piece)
-                if i is not None:
+                if (i := last[j]) < _SIGN:
                     path.append(i)
                 elif self.bytes:
-                    path += [self.bytes[b] for b in reversed(piece.encode())]
+                    path += [self.bytes[b] for b in reversed(chr(i - _SIGN).encode())]
                 else:
                     path.append(self.unknown)
                 j = starts[j]
-            out[word] = path[::-1]
+            out[word] = array("i", path[::-1]).tobytes()
             before = word
         return out
 
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        return raw[1:] if self.dummy and raw.startswith(b" ") else raw
+
     def decode(self, ids: list[int]) -> str:
         """Text of a sequence of ids; bytes that are no UTF-8 become U+FFFD."""
-        parts = bytearray()
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == 6:
-                parts.append(int(self.texts[i][3:5], 16))
-            elif kind == 2:
-                parts += " ⁇ ".encode()
-            elif kind != 3:
-                parts += self.texts[i].encode()
-        text = parts.decode(errors="replace").replace(MARK, " ")
-        return text[1:] if self.dummy and text.startswith(" ") else text
+        return self.decode_bytes(ids).decode(errors="replace")
 
 
 #: One vocabulary per worker process and file.
@@ -184,38 +222,28 @@ def _pieces(held: object) -> Pieces:
     return _LOADED[key]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], held: object, at_once: int = 2000, memo_most: int = 150_000) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], held: object, decoded: bool = False, at_once: int = 1000, memo_most: int = 100_000) -> Iterator[pa.RecordBatch]:
     vocabulary = _pieces(held)
-    memo: dict[str, list[int]] = {}
+    memo: dict[str, bytes] = {}
     for whole in batches:
         for at in range(0, whole.num_rows, at_once):
             batch = whole.slice(at, at_once)
-            marked = [vocabulary.marked(t) if t else [] for t in batch.column("_text").to_pylist()]
-            fresh = {w for words in marked for w in words} - memo.keys()
-            table = vocabulary.encode_words(list(fresh))
-            if len(memo) + len(table) <= memo_most:
-                memo |= table
-                table = memo
-            else:
-                table = memo | table if len(memo) < memo_most // 4 else _Both(memo, table)
-            values: list[np.ndarray] = []
-            sizes = np.zeros(len(marked) + 1, np.int32)
-            for k, words in enumerate(marked):
-                ids = [i for w in words for i in table[w]]
-                values.append(np.array(ids, np.int32))
-                sizes[k + 1] = len(ids)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), lists], [*names, "ids"])
-
-
-class _Both:
-    def __init__(self, one: dict, two: dict):
-        self.one, self.two = one, two
-
-    def __getitem__(self, w: str) -> list[int]:
-        got = self.one.get(w)
-        return self.two[w] if got is None else got
+            marked = [vocabulary.marked(t.as_py()) if t.is_valid else [] for t in batch.column("_text")]
+            distinct = {w for words in marked for w in words}
+            fresh = vocabulary.encode_words([w for w in distinct if w not in memo])
+            if len(memo) < memo_most:
+                memo |= fresh
+                now = memo
+            else:  # a full memo stays as it is; it has the most frequent words, which come early
+                now = {w: fresh[w] if w in fresh else memo[w] for w in distinct}
+            data = [b"".join(map(now.__getitem__, words)) for words in marked]
+            ends = np.cumsum([0, *(len(x) // 4 for x in data)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), np.int32)))
+            columns, names = [batch.column(n) for n in batch.schema.names if n != "_text"], [n for n in batch.schema.names if n != "_text"]
+            if decoded:
+                columns.append(pa.array([vocabulary.decode(np.frombuffer(x, np.int32).tolist()) for x in data], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays([*columns, lists], [*names, "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], held: object) -> Iterator[pa.RecordBatch]:
@@ -237,16 +265,17 @@ def load_vocabulary(df: DataFrame, path: str = TOKENIZER) -> object:
     return df.sparkSession.sparkContext.broadcast(data)
 
 
-def encode_pieces(docs: DataFrame, path: str = TOKENIZER, text_col: str = "text") -> DataFrame:
+def encode_pieces(docs: DataFrame, path: str = TOKENIZER, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """docs with a column ids (array of int): the whole text's pieces; null and empty texts have none.
 
-    Repeated rows are encoded alike; an empty table gives an empty result; a column of docs named
-    ids is replaced.
+    With decoded, also a column decoded: the text that the ids give again. Repeated rows are
+    encoded alike; an empty table gives an empty result; columns of docs named ids (or decoded)
+    are replaced.
     """
-    rows = docs.drop("ids")
+    rows = docs.drop("ids", "decoded") if decoded else docs.drop("ids")
     held = load_vocabulary(docs, path)
-    schema = f"{_schema(rows)}, ids array<int>"
-    return rows.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(partial(_encode, held=held), schema)
+    schema = f"{_schema(rows)}, {'decoded string, ' if decoded else ''}ids array<int>"
+    return rows.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(partial(_encode, held=held, decoded=decoded), schema)
 
 
 def decode_pieces(df: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -257,7 +286,7 @@ def decode_pieces(df: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decode_pieces(encode_pieces(docs))
+    out = encode_pieces(docs, decoded=True)
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), digest.alias("ids_sha256"), same.alias("round_trip"))
