@@ -222,7 +222,7 @@ def _pieces(held: object) -> Pieces:
     return _LOADED[key]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], held: object, decoded: bool = False, at_once: int = 1000, memo_most: int = 100_000) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], held: object, decoded: bool = False, at_once: int = 2000, memo_most: int = 150_000) -> Iterator[pa.RecordBatch]:
     vocabulary = _pieces(held)
     memo: dict[str, bytes] = {}
     for whole in batches:
