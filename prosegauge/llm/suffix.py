@@ -62,9 +62,9 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def minimizers(b: np.ndarray, length: int) -> np.ndarray:
-    """The smallest k-gram hash of each window of `length` bytes."""
+    """The smallest k-gram hash of each window of `length` bytes, mixed once more: minima alone crowd near zero and would be dealt unevenly."""
     k = length // 2 + 1
-    return sliding_min(gram_hashes(b, k), length - k + 1)
+    return _mix(sliding_min(gram_hashes(b, k), length - k + 1) + np.uint64(_PRIME))
 
 
 _BLOCK = 1 << 19
@@ -101,21 +101,18 @@ class Shard:
 
     def __init__(self, strings: list[bytes]):
         order = sorted(range(len(strings)), key=strings.__getitem__)
-        suffixes: list[bytes] = []
-        which, place, before = [], [], []
-        for i in order:
-            s = strings[i]
-            n = len(s)
-            suffixes += [s[k:] for k in range(n + 1)]
-            symbols = np.frombuffer(s, np.uint8).astype(np.uint16) + 1
-            ring = np.concatenate((symbols, [0])).astype(np.uint16)
-            one = np.roll(ring, 1)
-            before.append(np.roll(ring, 2) * np.uint16(256) + one)
-            which.append(np.full(n + 1, i, np.int64))
-            place.append(np.arange(n + 1, dtype=np.int64))
-        sorted_ = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), np.int64)
-        self.before = np.concatenate(before)[sorted_]
-        self.which, self.place = np.concatenate(which)[sorted_], np.concatenate(place)[sorted_]
+        sizes = np.array([len(strings[i]) + 1 for i in order], np.int64)
+        suffixes = [s[k:] for s in map(strings.__getitem__, order) for k in range(len(s) + 1)]
+        # UTF-8 has no byte 255, so one more than each byte fits a byte and leaves 0 to the end mark
+        symbols = (np.frombuffer(b"\xff".join([*map(strings.__getitem__, order), b""]), np.uint8) + np.uint8(1)).astype(np.uint16)
+        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ring = np.repeat(sizes, sizes)
+        place = np.arange(len(symbols)) - start
+        before = symbols[start + (place - 2) % ring] * np.uint16(256) + symbols[start + (place - 1) % ring]
+        # the strings stand in order, so a stable sort puts equal suffixes in the order of their strings
+        ranked = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), np.int64)
+        self.before, self.place = before[ranked], place[ranked]
+        self.which = np.repeat(np.array(order, np.int64), sizes)[ranked]
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +121,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     Prefixes are counted in steps of two symbols up to depth; `depth` stands for that or more.
     """
     before = np.concatenate([s.before for s in shards])
-    owner = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.before) for s in shards])
+    owner = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) <= 256 else np.uint32), [len(s.before) for s in shards])
     n = len(before)
     prefix = np.full(n, depth, np.int32)
     prefix[0] = 0
@@ -142,7 +139,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(owner, kind="stable"), prefix
 
 
-def shared_least(strings: list[bytes], own: np.ndarray, length: int, shard_bytes: int = 1 << 17) -> list[np.ndarray]:
+def shared_least(strings: list[bytes], own: np.ndarray, length: int, shard_bytes: int = 1 << 16) -> list[np.ndarray]:
     """For each window of each string (all different), the least `own` value of the strings that hold it."""
     shards, ids, held, size = [], [], [], 0
     for i, s in enumerate(strings):
@@ -221,13 +218,15 @@ class _Chunk:
         segments: list[bytes] = []
         place = np.full(len(self.value), -1, np.int64)
         spots = []
-        for r, row, a, n in zip(chosen.tolist(), self.row[chosen].tolist(), self.start[chosen].tolist(), self.windows[chosen].tolist(), strict=True):
-            s = self.texts[row][a : a + n + length - 1]
-            if (k := at.get(s)) is None:
-                k = at[s] = len(segments)
-                segments.append(s)
-                spots.append(r)
-            place[r] = k
+        for first in range(0, len(chosen), 20_000):
+            some = chosen[first : first + 20_000]
+            for r, row, a, n in zip(some.tolist(), self.row[some].tolist(), self.start[some].tolist(), self.windows[some].tolist(), strict=True):
+                s = self.texts[row][a : a + n + length - 1]
+                if (k := at.get(s)) is None:
+                    k = at[s] = len(segments)
+                    segments.append(s)
+                    spots.append(r)
+                place[r] = k
         least = np.full(len(segments), _FAR)
         np.minimum.at(least, place[chosen], self.id[self.row[chosen]])
         return place, segments, least, _ranges(self.value[np.array(spots, np.int64)] if spots else np.zeros(0, np.uint64), buckets)
@@ -272,7 +271,7 @@ def _send(docs: pa.Table, flags: pa.Table, buckets: int, length: int) -> pa.Tabl
     return _rows(_SEGMENTS_ARROW, [(k, number, _zip(sizes[a:b]), _zip(b"".join(segments[a:b])), _zip(least[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b])
 
 
-def _match(asked: pa.Table, length: int, at_once: int = 1 << 22) -> pa.Table:
+def _match(asked: pa.Table, length: int, at_once: int = 1 << 20) -> pa.Table:
     """For each window of each segment that was sent, the least id over all documents that hold it."""
     at: dict[bytes, int] = {}
     strings: list[bytes] = []
@@ -339,12 +338,18 @@ def _cover(docs: pa.Table, told: pa.Table, buckets: int, length: int) -> pa.Tabl
     lows = told.take(np.flatnonzero(kind == 1)[np.argsort(at[kind == 1], kind="stable")]).column("data").to_pylist()
     low = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in lows]) if lows else np.zeros(0, np.int64)
     offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)) - length + 1)))
+    del segments, told, lows
+    hits: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
     chosen = np.flatnonzero(place >= 0)
-    n = chunk.windows[chosen]
-    nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    row, window = np.repeat(chunk.row[chosen], n), np.repeat(chunk.start[chosen], n) + nth
-    gone = low[np.repeat(offsets[place[chosen]], n) + nth] < chunk.id[row]
-    row, window = row[gone], window[gone]
+    for first in range(0, len(chosen), 50_000):
+        some = chosen[first : first + 50_000]
+        n = chunk.windows[some]
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        row = np.repeat(chunk.row[some], n)
+        gone = low[np.repeat(offsets[place[some]], n) + nth] < chunk.id[row]
+        hits.append((row[gone].astype(np.int32), (np.repeat(chunk.start[some], n) + nth)[gone]))
+    row, window = np.concatenate([r for r, _ in hits]), np.concatenate([w for _, w in hits])
+    del hits, low, place, chosen
     cuts = np.searchsorted(row, np.arange(len(chunk.texts) + 1))
     removed, spans, kept = [], [], []
     for k, text in enumerate(chunk.texts):
@@ -369,7 +374,7 @@ def _cover(docs: pa.Table, told: pa.Table, buckets: int, length: int) -> pa.Tabl
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 4) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row.
 
     Texts are UTF-8 bytes, null counts as empty. A byte goes if a string of `length` bytes over it
