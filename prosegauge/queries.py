@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import lexicons as L
 from .functions import text as T
-from .operators import content, evaluation, scoring
+from .operators import content, evaluation, pages, scoring
 from .operators.features import features, matched_phrases
+from .sources import stores
+from .streaming import feed
 from .oracles import DOCUMENTS, _TRIM, feature_ctes, rounded, score_ctes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +278,61 @@ def _bias_sql() -> str:
 SELECT bias, count(*) AS n, round(avg(CASE WHEN label = CASE WHEN s >= 0.6 THEN 'red' WHEN s <= 0.28 THEN 'green' ELSE 'yellow' END THEN 1.0 ELSE 0.0 END), 6) AS exact FROM tried GROUP BY bias"""
 
 
+# ---- pages, stores, streams ------------------------------------------------------------------------------
+
+
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.read_pages(read(spark, sf_dir, "pages"))
+    text = content.normalized(content.nfc(F.col("text")))
+    return out.select("page_id", "tier", F.size("links").cast("bigint").alias("n_links"), F.length(text).cast("bigint").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.read_pages(read(spark, sf_dir, "pages")).select("page_id", F.posexplode_outer("links").alias("position", "link")).where("position is not null")
+
+
+def page_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.find_posts(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "post_index", "tier", "urn", "author", F.size("links").cast("bigint").alias("n_links"), "has_media", "is_reshare", "text_length")
+
+
+def label_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels, then a second rating of the toxic ones at a later time."""
+    one = _labels(spark, sf_dir).select(F.col("doc_id").cast("string").alias("postId"), "rating", F.lit("2026-01-01T00:00:00Z").alias("at"))
+    two = one.where("rating in (3, 5)").select("postId", F.lit(5).alias("rating"), F.lit("2026-01-02T00:00:00Z").alias("at"))
+    return stores.upserted(one, two, "postId", F.to_timestamp("at"))
+
+
+def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stores.json_lines(_labels(spark, sf_dir).select(F.col("doc_id").cast("string").alias("postId"), "rating", F.lit(None).cast("string").alias("note")))
+
+
+def cached_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored with half the verdicts already known."""
+    posts = content.post_id(documents(spark, sf_dir).select("text")).groupBy("post_id").agg(F.min("text").alias("text"))
+    known = scoring.score(posts.where(F.crc32("post_id") % 2 == 0))
+    return stores.score_with_cache(posts, known.select(stores.VERDICT_COLUMNS[1:])).select("post_id", r6("score"), "verdict")
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Post ids of all documents as a stream, each given out once."""
+    folder = shared_folder(spark, "stream")
+    source = f"{sf_dir}/document[s].parquet"
+    schema = read(spark, sf_dir, "documents").schema
+    posts = content.post_id(spark.readStream.schema(schema).parquet(source), "text").select("post_id")
+    feed.run_to_end(feed.emit_once(posts, "post_id"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder, or in a temporary one where none is named (local runs)."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="prosegauge-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 QUERIES: dict[str, Query] = {
     "text_stats": text_stats,
     "structural_features": _group("structural"),
@@ -302,6 +359,13 @@ QUERIES: dict[str, Query] = {
     "accuracy": accuracy,
     "feature_corr": feature_corr,
     "bias_sweep": bias_sweep,
+    "page_blocks": page_blocks,
+    "page_links": page_links,
+    "page_posts": page_posts,
+    "label_upsert": label_upsert,
+    "label_lines": label_lines,
+    "cached_scores": cached_scores,
+    "stream_dedup": stream_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -330,4 +394,8 @@ ORACLES: dict[str, str] = {
     "accuracy": ACCURACY_SQL,
     "feature_corr": CORR_SQL,
     "bias_sweep": _bias_sql(),
+    "label_upsert": f"SELECT CAST(doc_id AS VARCHAR) AS postId, CASE WHEN rating IN (3, 5) THEN 5 ELSE rating END AS rating, CASE WHEN rating IN (3, 5) THEN '2026-01-02T00:00:00Z' ELSE '2026-01-01T00:00:00Z' END AS at FROM ({_RATING_SQL})",
+    "label_lines": f"""SELECT '{{"postId":"' || doc_id || '","rating":' || coalesce(CAST(rating AS VARCHAR), 'null') || ',"note":null}}' AS line FROM ({_RATING_SQL})""",
+    "cached_scores": f"WITH {_id_cte(chr(39) * 2)}, ids AS (SELECT 'hash:' || coalesce(nullif(ltrim(array_to_string(d, ''), '0'), ''), '0') AS post_id, min(text) AS text FROM digits JOIN documents USING (doc_id) GROUP BY 1), {score_ctes('SELECT post_id AS id, text AS t FROM ids')} SELECT id AS post_id, {rounded(['score'])}, verdict FROM scored",
+    "stream_dedup": f"WITH {_id_cte(chr(39) * 2)} SELECT DISTINCT 'hash:' || coalesce(nullif(ltrim(array_to_string(d, ''), '0'), ''), '0') AS post_id FROM digits",
 }
