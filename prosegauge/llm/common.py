@@ -39,6 +39,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pieces_of(rows: DataFrame, text_col: str, mb: int) -> int:
+    """Into how many chunks of about `mb` MB of text to deal rows; at least one for each shuffle partition.
+
+    The bytes are summed in a pass of its own: Catalyst's estimate knows nothing of rows that come
+    from no file, and multiplies sizes at joins.
+    """
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return max(partitions(rows.sparkSession), size // (mb << 20))
+
+
 def words(text: Column) -> Column:
     """Words of a text, as an array; none for a null or blank text."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

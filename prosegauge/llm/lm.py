@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, partitions, table
+from .common import LOWER, pieces_of, table
 
 K = 32.0
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -144,8 +144,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _ranges(grams: np.ndarray, buckets: int) -> np.ndarray:
     """Where each range of the n-gram space starts in sorted grams; the last stop too."""
-    step = (1 << 64) // buckets
-    return np.searchsorted(grams, np.array([k * step for k in range(buckets)], np.uint64)).tolist() + [len(grams)]
+    return [*np.searchsorted(grams, np.arange(buckets, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // buckets)).tolist(), len(grams)]
 
 
 def _counted(grams: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,12 +248,11 @@ def counts_of_end(words: np.ndarray, ends: np.ndarray) -> int:
 def dealt(docs: DataFrame, held_out, id_col: str, text_col: str, chunk_mb: int) -> tuple[DataFrame, int]:
     """doc_id, text (bytes), held_out, chunk; and the number of chunks, from the size of the input."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(partitions(docs.sparkSession), min(size, 1 << 60) // (chunk_mb << 20))
+    n = pieces_of(rows, "text", chunk_mb)
     return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))), n
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, strength: float = K, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 8) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, strength: float = K, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 14) -> DataFrame:
     """Log10 probability of every text under the automaton of the training texts.
 
     Training texts are those whose crc32(doc_id as text) mod `folds` is not `fold`. Null texts are

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import pieces_of, table
 
 LENGTH = 50
 _PRIME = 0x9E3779B97F4A7C15
@@ -181,8 +181,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _ranges(values: np.ndarray, buckets: int) -> list[int]:
-    step = (1 << 64) // buckets
-    return [*np.searchsorted(values, np.array([k * step for k in range(buckets)], np.uint64)).tolist(), len(values)]
+    return [*np.searchsorted(values, np.arange(buckets, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // buckets)).tolist(), len(values)]
 
 
 class _Chunk:
@@ -374,7 +373,7 @@ def _cover(docs: pa.Table, told: pa.Table, buckets: int, length: int) -> pa.Tabl
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 7) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row.
 
     Texts are UTF-8 bytes, null counts as empty. A byte goes if a string of `length` bytes over it
@@ -384,8 +383,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    chunks = max(partitions(docs.sparkSession), min(size, 1 << 60) // (chunk_mb << 20))
+    chunks = pieces_of(rows, "text", chunk_mb)
     buckets = 2 * chunks
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
 
