@@ -151,7 +151,7 @@ def vectors(blocks: list[Block], memo: dict[str, tuple[int, float]]) -> np.ndarr
         n = len(b.text)
         row[-MEASURES:] = (
             np.log1p(len(tokens)) / 4, min(1.0, b.linked / n), b.text[-1] in ".!?…»\"”", sum(map(b.text.count, ".,;")) / (len(tokens) + 1),
-            k / len(blocks), 1 / (1 + k), 1 / (len(blocks) - k), b.path[-1] in ("p", "b", "i", "em"),
+            k / len(blocks), 1 / (1 + k), 1 / (len(blocks) - k), b.path[-1:] in (("p",), ("b",), ("i",), ("em",)),
         )
     return x
 
