@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..functions import lexicons as L
 from ..functions import text as T
@@ -17,7 +18,7 @@ LEAST, MOST = 12, 6000
 _FLAT = "[" + T.SPACES.replace("\n", "").replace("\r", "") + "]"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode composition, for which Spark has no function."""
     for s in batches:
