@@ -14,7 +14,7 @@ from .pieces import op4_pieces
 from .pii import op8_pii
 from .quality import OP9_SQL, op9_quality
 from .simhash import op5_simhash
-from .suffix import op1_repeats
+from .suffix import OP1_SQL, op1_repeats
 from .toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_repeats": OP1_SQL,
     "op9_quality": OP9_SQL,
     "op10_decontamination": OP10_SQL,
 }

@@ -409,3 +409,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT doc_id, i, b[i:i + 49] AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d WHERE octet_length(b) >= 50)
+), least AS (
+  SELECT s, min(doc_id) AS m FROM w GROUP BY s
+), hit AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w JOIN least USING (s) WHERE m < doc_id
+), numbered AS (
+  SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit
+), spans AS (
+  SELECT doc_id, r, min(i) AS a, max(i) + 49 AS z FROM numbered GROUP BY doc_id, r
+), sums AS (
+  SELECT doc_id, count(*) AS n_spans, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, max(z) AS z FROM spans GROUP BY doc_id
+), pieces AS (
+  SELECT doc_id, a AS spot, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM spans
+  UNION ALL SELECT doc_id, octet_length(b) + 1, z + 1, octet_length(b) FROM sums JOIN d USING (doc_id)
+), kept AS (
+  SELECT doc_id, string_agg(CASE WHEN f <= t THEN hex(b[f:t]) ELSE '' END, '' ORDER BY spot) AS h FROM pieces JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN h IS NULL THEN sha256(b) ELSE sha256(unhex(h)) END AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
