@@ -4,6 +4,10 @@ A hash rolls over the hashes of neighbouring lines; where it is 0 modulo `spread
 boundaries depend on the lines beside them alone and a shifted passage is cut at the same places.
 Chunks of several lines that stand at more than one place are removed from all but the first,
 after their bytes have been compared.
+
+A passage between other lines holds whole chunks only by chance. With `line_words` the units are
+therefore all runs of `least` neighbouring lines with words, and single lines of that many words: a
+longer repeated run is the union of such units, so it goes from its first line to its last.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import bind, cut, table
 
 _CHUNK = "struct<start:int,n:int,h:bigint>"
+#: A line of so many words is a passage by itself.
+LINE_WORDS = 20
 
 
 def chunks(lines: Column, spread: int = 4, window: int = 2) -> Column:
@@ -33,38 +39,56 @@ def chunks(lines: Column, spread: int = 4, window: int = 2) -> Column:
     return bind(F.transform(lines, lambda x: F.xxhash64(x)), cut_at)
 
 
+def runs(lines: Column, least: int = 2, line_words: int = LINE_WORDS) -> Column:
+    """Array of (start, n, h): every run of `least` neighbouring lines with words (and what lines lie between), every line of `line_words` words."""
+
+    def units(hashed: Column) -> Column:
+        unit = lambda start, end: F.struct(start.alias("start"), (end - start + 1).alias("n"), F.xxhash64(F.slice(hashed, start + 1, F.greatest(end - start + 1, F.lit(0)))).alias("h"))
+        every = F.sequence(F.lit(0), F.size(hashed) - 1)
+        worded = F.filter(every, lambda i: F.get(lines, i).rlike(r"[^\x20\x09-\x0D]"))
+        several = bind(worded, lambda at: F.filter(F.transform(at, lambda start, k: unit(start, F.coalesce(F.get(at, k + (least - 1)), F.lit(-1)))), lambda c: c["n"] > 0))
+        long = F.filter(every, lambda i: F.regexp_count(F.get(lines, i), F.lit(r"[^\x20\x09-\x0D]+")) >= line_words)
+        return F.concat(several, F.transform(long, lambda i: unit(i, i)))
+
+    return bind(F.transform(lines, lambda x: F.xxhash64(x)), units)
+
+
 def _body(lines: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(lines, start + 1, n), "\n")
 
 
-def repeated_chunks(docs: DataFrame, spread: int = 4, least: int = 2) -> DataFrame:
-    """_row, start, n: the chunks of `least` lines with words or more that stand at an earlier place too.
+def repeated_chunks(docs: DataFrame, spread: int = 4, least: int = 2, line_words: int | None = None) -> DataFrame:
+    """_row, start, n: the chunks of `least` lines with words or more that stand at an earlier place too; with line_words, the runs().
 
     docs: _row (a key of the row), doc_id, _text. Places are ordered by doc_id, row and line; the
     first place keeps the chunk. Chunks meet by hash, and the bytes of those that meet are then
-    compared: where one hash covers different bytes, each text is a group of its own.
+    compared: where one hash covers different bytes, each text is a group of its own. A place that
+    overlaps the first one of its text stays.
     """
     bare = docs.select("_row", "doc_id", F.split("_text", "\n").alias("_lines"))
-    several = bare.select("_row", "doc_id", F.explode_outer(F.filter(chunks(F.col("_lines"), spread), lambda c: c["n"] >= least)).alias("c"))
-    placed = cut(several.where("c is not null").select("_row", "doc_id", "c.start", "c.n", "c.h").distinct())
+    lines = F.col("_lines")
+    units = F.filter(chunks(lines, spread), lambda c: c["n"] >= least) if line_words is None else runs(lines, least, line_words)
+    several = bare.select("_row", "doc_id", F.explode_outer(units).alias("c"))
+    placed = cut(several.where("c is not null").select("_row", "doc_id", "c.start", "c.n", "c.h"))
     place = F.struct("doc_id", "_row", "start")
-    again = placed.groupBy("h").agg(F.count("*").alias("_places"), F.min(place).alias("_first")).where("_places > 1")
-    met = cut(placed.join(again.select("h"), "h", "left_semi"))
+    apart = (place != F.col("_first")) & ((F.col("_row") != F.col("_first._row")) | (F.col("start") >= F.col("_first.start") + F.col("n")))
+    again = placed.groupBy("h").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first != _last")
+    met = cut(placed.join(again.select("h"), "h", "left_semi").distinct())
     per_row = met.groupBy("_row").agg(F.collect_list(F.struct("start", "n", "h")).alias("_met"), F.first("doc_id").alias("doc_id"))
     texts = docs.select("_row", F.split("_text", "\n").alias("_lines")).join(per_row, "_row")
     read = texts.select("_row", "doc_id", F.explode(F.transform("_met", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["h"].alias("h"), _body(F.col("_lines"), c["start"], c["n"]).alias("body")))).alias("c"))
     read = read.select("_row", "doc_id", "c.*")
-    worded = F.size(F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) >= least
+    worded = F.lit(True) if line_words is not None else F.size(F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) >= least
     alike = cut(read.groupBy("h", "body").agg(F.min(place).alias("_first"), F.first(worded).alias("_worded")).groupBy("h").agg(F.count("*").alias("_bodies"), F.first("_first").alias("_first"), F.first("_worded").alias("_worded")))
-    sure = met.join(alike.where("_bodies = 1 and _worded").select("h", "_first"), "h").where(place != F.col("_first")).select("_row", "start", "n")
+    sure = met.join(alike.where("_bodies = 1 and _worded").select("h", "_first"), "h").where(apart).select("_row", "start", "n")
     mixed = read.where(worded).join(alike.where("_bodies > 1").select("h"), "h", "left_semi")
     firsts = mixed.groupBy("h", "body").agg(F.min(place).alias("_first"))
-    rest = mixed.join(firsts, ["h", "body"]).where(place != F.col("_first")).select("_row", "start", "n")
+    rest = mixed.join(firsts, ["h", "body"]).where(apart).select("_row", "start", "n")
     return sure.union(rest) if alike.where("_bodies > 1").limit(1).count() else sure
 
 
-def dedup_lines(docs: DataFrame, spread: int = 4, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of docs with its repeated chunks of lines removed, all its columns, and n_removed_lines.
+def dedup_lines(docs: DataFrame, spread: int = 4, least: int = 2, id_col: str = "doc_id", text_col: str = "text", line_words: int | None = None) -> DataFrame:
+    """Every row of docs with its repeated chunks of lines removed (with line_words: its repeated runs), all its columns, and n_removed_lines.
 
     Null texts stay null, empty ones empty. Rows alike in id and text are one place and are
     treated alike. Ties in doc_id are ordered by a hash of the text. A text that loses all its
@@ -74,16 +98,16 @@ def dedup_lines(docs: DataFrame, spread: int = 4, least: int = 2, id_col: str =
     text = F.col(text_col).cast("string")
     keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), text))
     bare = keyed.where(text.isNotNull()).select("_row", F.col(id_col).alias("doc_id"), text.alias("_text"))
-    gone = repeated_chunks(bare, spread, least).groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
+    gone = repeated_chunks(bare, spread, least, line_words).groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
     joined = keyed.join(gone, "_row", "left")
     places = F.flatten(F.transform("_gone", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
     stays = bind(F.split(text, "\n"), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places), lambda i: F.get(lines, i)), "\n"))
-    removed = F.coalesce(F.aggregate("_gone", F.lit(0), lambda s, c: s + c["n"]), F.lit(0)).cast("bigint")
+    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size(F.array_distinct(places))).cast("bigint")
     out = joined.withColumn("n_removed_lines", removed).withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(stays))
     return out.select(*docs.columns, "n_removed_lines")
 
 
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), line_words=LINE_WORDS)
     kept = F.coalesce("text", F.lit(""))
     return out.select("doc_id", "n_removed_lines", F.length(kept).cast("bigint").alias("n_kept_chars"), F.sha2(kept, 256).alias("kept_sha256"))

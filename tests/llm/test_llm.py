@@ -226,6 +226,36 @@ def test_line_chunks_resist_shifts(spark):
     assert linechunks.dedup_lines(df).where("doc_id = 2").first().n_removed_lines > 20
 
 
+def test_line_runs_brute_force(spark, rows, tmp_path):
+    rng = random.Random(12)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = {i: t for i, t, *_ in rows}
+    for size in (1, 1, 2, 2, 3, 4, 6, 9, 14):  # passages between lines of their own
+        passage = [line(30 if size == 1 else 8), *(line(8) for _ in range(size - 1))]
+        for _ in range(3):
+            texts[1000 + len(texts)] = "\n".join([*(line(6) for _ in range(3)), *passage, "", line(6)])
+    texts |= {5000: "\n".join(["a b"] * 5), 5001: "short one\nfirst of its own", 5002: "short one\nsecond of its own"}
+    # a line goes if it is in a run (two lines with words, or one line of 20 words) that ends before it, or stands in an earlier row
+    seen, want = {}, {}
+    for i in sorted(texts):
+        lines = (texts[i] or "").split("\n")
+        at = [k for k, x in enumerate(lines) if words(x)]
+        gone = set()
+        for a in range(len(at)):
+            for b in range(a, min(a + 16, len(at))):
+                if b == a and len(words(lines[at[a]])) < 20:
+                    continue
+                first = seen.setdefault(tuple(lines[at[a] : at[b] + 1]), (i, at[a]))
+                if first[0] != i or at[a] > first[1] + at[b] - at[a]:
+                    gone |= set(range(at[a], at[b] + 1))
+        want[i] = (len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in linechunks.op6_line_chunks(spark, str(tmp_path)).collect()}
+    for i, (n, kept) in want.items():
+        assert (got[i].n_removed_lines, got[i].kept_sha256) == (n, hashlib.sha256(kept.encode()).hexdigest()), i
+
+
 def test_quality_against_sql(spark, docs, rows, empty):
     import duckdb
     import pandas as pd
