@@ -68,14 +68,15 @@ def repeated_chunks(docs: DataFrame, spread: int = 4, least: int = 2, line_words
     bare = docs.select("_row", "doc_id", F.split("_text", "\n").alias("_lines"))
     lines = F.col("_lines")
     units = F.filter(chunks(lines, spread), lambda c: c["n"] >= least) if line_words is None else runs(lines, least, line_words)
-    several = bare.select("_row", "doc_id", F.explode_outer(units).alias("c"))
-    placed = cut(several.where("c is not null").select("_row", "doc_id", "c.start", "c.n", "c.h"))
+    several = bare.select("_row", F.explode_outer(units).alias("c"))
+    placed = cut(several.where("c is not null").select("_row", "c.start", "c.n", "c.h"))
     place = F.struct("doc_id", "_row", "start")
-    apart = (place != F.col("_first")) & ((F.col("_row") != F.col("_first._row")) | (F.col("start") >= F.col("_first.start") + F.col("n")))
-    again = placed.groupBy("h").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).where("_first != _last")
+    apart = (F.struct("_row", "start") != F.struct("_first._row", "_first.start")) & ((F.col("_row") != F.col("_first._row")) | (F.col("start") >= F.col("_first.start") + F.col("n")))
+    spot = F.xxhash64("_row", "start")
+    again = placed.groupBy("h").agg(F.min(spot).alias("_least"), F.max(spot).alias("_most")).where("_least != _most")
     met = cut(placed.join(again.select("h"), "h", "left_semi").distinct())
-    per_row = met.groupBy("_row").agg(F.collect_list(F.struct("start", "n", "h")).alias("_met"), F.first("doc_id").alias("doc_id"))
-    texts = docs.select("_row", F.split("_text", "\n").alias("_lines")).join(per_row, "_row")
+    per_row = met.groupBy("_row").agg(F.collect_list(F.struct("start", "n", "h")).alias("_met"))
+    texts = docs.select("_row", "doc_id", F.split("_text", "\n").alias("_lines")).join(per_row, "_row")
     read = texts.select("_row", "doc_id", F.explode(F.transform("_met", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["h"].alias("h"), _body(F.col("_lines"), c["start"], c["n"]).alias("body")))).alias("c"))
     read = read.select("_row", "doc_id", "c.*")
     worded = F.lit(True) if line_words is not None else F.size(F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) >= least
