@@ -1,0 +1,89 @@
+"""Near-duplicates by five-word shingles: MinHash bands propose pairs, exact Jaccard decides.
+
+With 24 bands of 4 values, a pair at Jaccard 0.8 meets in no band with a chance of 3 in a million.
+Equal shingle sets are one node. In a band each node is compared with the `reach` nodes after it and
+the band's first `reach` nodes, in an order of its own for each band: all pairs up to reach + 1 nodes;
+in larger bands pairs are linear in the nodes, and a class is found through the links of others.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import LOWER, cut
+from .components import connected_components
+
+BANDS, ROWS, WIDTH = 24, 4, 5
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of all runs of `width` lower-case words; a shorter text is one run, a blank one none."""
+    tokens = text.translate(LOWER).split()
+    runs = (b" ".join(tokens[i : i + width]) for i in range(max(1, len(tokens) - width + 1)) if tokens)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in runs), np.uint64))
+
+
+def _bands(found: np.ndarray) -> list[int]:
+    """One key a band, from the least products of all hashes with odd factors."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(found), 4096):
+        x = found[a : a + 4096, None] * _ODD
+        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
+    parts = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(parts)]
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
+        sets = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+        bands = [np.array(_bands(x), np.uint64).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(0)]
+        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "items"])
+
+
+def _pairs(sketched: DataFrame, reach: int) -> DataFrame:
+    """u, v: nodes to compare."""
+    keyed = sketched.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    met = cut(keyed.join(shared, "key", "left_semi"))
+    held = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
+    ranked = met.withColumn("_at", F.row_number().over(held)).withColumn("_after", F.collect_list("node").over(held.rowsBetween(1, reach)))
+    near = ranked.select("node", F.explode("_after").alias("other"))
+    roots = ranked.where(F.col("_at") <= reach).select("key", F.col("node").alias("other"))
+    far = ranked.where(F.col("_at") > reach).select("key", "node").join(roots, "key").select("node", "other")
+    return near.union(far).select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).where("u != v").distinct()
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.8, reach: int = 8) -> DataFrame:
+    """doc_id, component_id of every row: the smallest doc_id reachable over links of Jaccard `share` or more.
+
+    Null, empty and blank texts are one class. Null doc_id rows are kept and name nothing.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sketched = cut(rows.mapInArrow(_sketch, "doc_id long, node long, bands array<long>"))
+    pairs = cut(_pairs(sketched, reach))
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    firsts = sketched.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    chosen = firsts.join(asked, "node", "left_semi").select("doc_id").distinct()
+    sets = cut(rows.join(chosen, "doc_id", "left_semi").select("text").mapInArrow(_sets, "node long, items array<long>"))
+    one, two = (sets.select(F.col("node").alias(x), F.col("items").alias(f"_{x}")) for x in ("u", "v"))
+    both = F.size(F.array_intersect("_u", "_v"))
+    links = pairs.join(one, "u").join(two, "v").where(both >= share * (F.size("_u") + F.size("_v") - both)).select("u", "v")
+    roots = connected_components(links)
+    labelled = sketched.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    named = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(named, "root").select("doc_id", "component_id")
