@@ -58,15 +58,16 @@ def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A host's limit is `share` of its documents, `least` at least; a line is above it if more
     documents of the host have it. A host has at most (its lines / limit) such lines, so their
-    number doesn't grow with the host. Null hosts are one host.
+    number doesn't grow with the host. Null hosts are one host. Documents are distinct doc_ids, as in
+    OP9_SQL, so rows that share one count once and null ids don't count.
     """
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
     bare = docs.select(F.col(id_col).alias("doc_id"), host.alias("host"), F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n").alias("_lines"))
     per_line = F.transform(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("n")))
     lines = bare.select("doc_id", "host", F.explode_outer(per_line).alias("x")).select("doc_id", "host", "x.line", "x.n").where("line is not null")
-    once = bare.select("host", F.explode_outer(F.array_distinct(F.transform(per_line, lambda x: x["line"]))).alias("line"))
+    once = bare.select("host", "doc_id", F.explode_outer(F.array_distinct(F.transform(per_line, lambda x: x["line"]))).alias("line"))
     sizes = docs.groupBy(host.alias("host")).agg(F.count("*").alias("_docs"))
-    seen = once.where("line is not null").groupBy("host", "line").agg(F.count("*").alias("_in")).where(F.col("_in") > least)
+    seen = once.where("line is not null and doc_id is not null").distinct().groupBy("host", "line").agg(F.count("*").alias("_in")).where(F.col("_in") > least)
     above = seen.join(sizes, "host").where(F.col("_in") > F.greatest(F.lit(float(least)), share * F.col("_docs"))).select("host", "line")
     return lines, above
 

@@ -269,6 +269,19 @@ def test_quality_against_sql(spark, docs, rows, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_quality_counts_documents_not_rows(spark):
+    import duckdb
+    import pandas as pd
+
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(12))
+    rows = [(i // 2, f"{own(i)}\nthe same line of many words for all of them here again", "en", "s", 0) for i in range(20)]
+    got = sorted(map(tuple, quality.quality_rules(spark.createDataFrame(rows, DOCS)).select("n_removed_words", "kept").collect()))
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=[x.split()[0] for x in DOCS.split(", ")]))
+    assert got == [(0, True)] * 20
+    assert {r[-1] for r in c.sql(quality.OP9_SQL).fetchall()} == {0}
+
+
 def test_decontamination(spark, docs, rows, empty):
     rng = random.Random(8)
     item = make_text(rng, 30)
