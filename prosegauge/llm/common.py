@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from collections.abc import Callable
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; set one only where none is set (local tests)."""
+    """Use the shared folder that the cluster names; a folder of this machine only where Spark itself runs in one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="prosegauge-checkpoints-"))
 
 
@@ -49,6 +52,31 @@ def pieces_of(rows: DataFrame, text_col: str, mb: int) -> int:
     return max(partitions(rows.sparkSession), size // (mb << 20))
 
 
+def row_key(*parts: Column) -> Column:
+    """A 128-bit key of a row from its columns; nulls differ from empty strings."""
+    marked = [F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")).cast("binary") for p in parts]
+    return F.unhex(F.md5(F.concat(*(x for p in marked for x in (p, F.lit(b"\x1f"))))))
+
+
+def join_by_key(rows: DataFrame, narrow: DataFrame, keys: list[str], how: str, rows_a_key: str = "_n") -> DataFrame:
+    """rows joined with a table of one narrow row a key, of which rows_a_key says how many of rows carry it.
+
+    A key with more than a quarter of a shuffle partition's even share would make one task large.
+    There are at most four such keys a partition, whatever the size of the data, so these are
+    broadcast; all others are shuffled. rows are read twice, narrow three times: cut them.
+    how: inner, left or left_semi.
+    """
+    parts = partitions(rows.sparkSession)
+    total = narrow.agg(F.coalesce(F.sum(rows_a_key), F.lit(0))).first()[0]
+    above = F.col(rows_a_key) > max(1, total // (4 * parts))
+    hot, cold = narrow.where(above).drop(rows_a_key), narrow.where(~above).drop(rows_a_key)
+    if not hot.limit(1).count():
+        return rows.join(cold, keys, how)
+    first = rows.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return first.unionByName(rest.join(cold, keys, how))
+
+
 def words(text: Column) -> Column:
     """Words of a text, as an array; none for a null or blank text."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

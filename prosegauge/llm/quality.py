@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, bind, table, window_hashes, word_hashes, words
+from .common import SPACE_CLASS, bind, cut, join_by_key, row_key, table, window_hashes, word_hashes, words
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -32,13 +32,14 @@ def repeated_window_words(windows: Column, width: int = 5) -> Column:
 
 
 def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every row."""
+    """doc_id, _row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every row of docs, which has a key _row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    staged = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"))
-    staged = staged.select("doc_id", "_text", words(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
+    staged = docs.select(F.col(id_col).alias("doc_id"), "_row", text.alias("_text"))
+    staged = staged.select("doc_id", "_row", "_text", words(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
     staged = staged.withColumn("_hashes", word_hashes(F.col("_words"))).withColumn("_windows", window_hashes(F.col("_hashes")))
     counts = staged.select(
         "doc_id",
+        "_row",
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
@@ -54,21 +55,20 @@ def normal_line(line: Column) -> Column:
 
 
 def common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", share: float = 0.02, least: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(lines of each document, lines above their host's limit).
+    """(_row, at, host, line, n: the lines of each row of docs, which has a key _row; host, line, _n: those above their host's limit).
 
-    A host's limit is `share` of its documents, `least` at least; a line is above it if more
-    documents of the host have it. A host has at most (its lines / limit) such lines, so their
-    number doesn't grow with the host. Null hosts are one host. Documents are distinct doc_ids, as in
-    OP9_SQL, so rows that share one count once and null ids don't count.
+    A host's limit is `share` of its rows, `least` at least; a line is above it if more documents
+    of the host have it. Null hosts are one host. Documents are distinct doc_ids, as in OP9_SQL, so
+    rows that share one count once; rows without one make no line frequent, but lose those that are.
     """
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    bare = docs.select(F.col(id_col).alias("doc_id"), host.alias("host"), F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n").alias("_lines"))
-    per_line = F.transform(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("n")))
-    lines = bare.select("doc_id", "host", F.explode_outer(per_line).alias("x")).select("doc_id", "host", "x.line", "x.n").where("line is not null")
-    once = bare.select("host", "doc_id", F.explode_outer(F.array_distinct(F.transform(per_line, lambda x: x["line"]))).alias("line"))
+    bare = docs.select("_row", F.col(id_col).alias("doc_id"), host.alias("host"), F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n").alias("_lines"))
+    worded = lambda part: F.transform(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")), part)
+    lines = bare.select("_row", "host", F.posexplode(worded(lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("n")))).alias("at", "x")).select("_row", "at", "host", "x.line", "x.n")
+    once = bare.where("doc_id is not null").select("host", "doc_id", F.explode(F.array_distinct(worded(lambda x: F.xxhash64(normal_line(x))))).alias("line"))
     sizes = docs.groupBy(host.alias("host")).agg(F.count("*").alias("_docs"))
-    seen = once.where("line is not null and doc_id is not null").distinct().groupBy("host", "line").agg(F.count("*").alias("_in")).where(F.col("_in") > least)
-    above = seen.join(sizes, "host").where(F.col("_in") > F.greatest(F.lit(float(least)), share * F.col("_docs"))).select("host", "line")
+    seen = once.distinct().groupBy("host", "line").agg(F.count("*").alias("_n")).where(F.col("_n") > least)
+    above = seen.join(sizes, "host").where(F.col("_n") > F.greatest(F.lit(float(least)), share * F.col("_docs"))).select("host", "line", "_n")
     return lines, above
 
 
@@ -77,15 +77,19 @@ def quality_rules(docs: DataFrame, share: float = 0.02, least: int = 10, remains
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, n_removed_words. kept: not base_failed, and at least `remains` of the words stand in
-    lines that stay. Null and blank texts have no words and fail the base rules; a doc_id that
-    stands on several rows has its rows' removed words summed over the rows; lines are compared by a 64-bit
-    hash of their normal form; an empty table gives an empty result; columns beyond id, text and
-    host are ignored.
+    lines that stay. Null and blank texts have no words and fail the base rules. Every row is judged
+    by its own lines: rows that share a doc_id, repeated rows and rows without a doc_id alike. Lines
+    are compared by a 64-bit hash of their normal form, texts of any length are read whole; an empty
+    table gives an empty result; columns beyond id, text and host are ignored.
     """
-    base = base_rules(docs, id_col, text_col)
-    lines, above = common_lines(docs, id_col, text_col, host_col, share, least)
-    removed = lines.join(above, ["host", "line"], "left_semi").groupBy("doc_id").agg(F.sum("n").alias("_removed"))
-    out = base.join(removed, "doc_id", "left").withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("source"))
+    keyed = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("source"), F.col("text")))
+    base = base_rules(keyed)
+    lines, above = common_lines(keyed, share=share, least=least)
+    gone = join_by_key(lines, cut(above), ["host", "line"], "left_semi")
+    # rows alike in everything have one key: their lines count once by place
+    removed = gone.select("_row", "at", "n").distinct().groupBy("_row").agg(F.sum("n").alias("_removed"))
+    out = base.join(removed, "_row", "left").withColumn("n_removed_words", F.coalesce("_removed", F.lit(0)))
     stays = F.col("n_words") - F.col("n_removed_words") >= remains * F.col("n_words")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & stays).alias("kept"), "n_removed_words")
 
@@ -95,35 +99,35 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH d AS (
-  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents
 ), w AS (
   SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
 ), grams AS (
-  SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS g
-  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  SELECT r, i, array_to_string(ws[i:i+4], ' ') AS g
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
 ), again AS (
-  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM grams) WHERE c > 1
 ), rep AS (
-  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(5)) AS k) GROUP BY doc_id
+  SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(5)) AS k) GROUP BY r
 ), lines AS (
-  SELECT doc_id, host, unnest(ls) AS raw FROM w
+  SELECT r, doc_id, host, unnest(ls) AS raw FROM w
 ), norm AS (
-  SELECT doc_id, host, regexp_replace(regexp_replace(lower(trim(raw, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g') AS line,
+  SELECT r, doc_id, host, regexp_replace(regexp_replace(lower(trim(raw, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13))), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g') AS line,
          len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS n FROM lines
 ), sizes AS (SELECT host, count(*) AS docs FROM d GROUP BY host
 ), above AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS c FROM norm GROUP BY host, line) JOIN sizes USING (host)
   WHERE c > greatest(10, 0.02 * docs)
 ), gone AS (
-  SELECT doc_id, sum(n) AS n FROM norm JOIN above USING (host, line) GROUP BY doc_id
+  SELECT r, sum(n) AS n FROM norm JOIN above USING (host, line) GROUP BY r
 ), base AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed_words
-  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)
+  FROM w LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

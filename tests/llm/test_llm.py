@@ -282,6 +282,23 @@ def test_quality_counts_documents_not_rows(spark):
     assert {r[-1] for r in c.sql(quality.OP9_SQL).fetchall()} == {0}
 
 
+def test_quality_judges_every_row(spark):
+    """A repeated row, rows that share an id and rows without one are judged like their neighbours, in SQL too."""
+    import duckdb
+    import pandas as pd
+
+    shared = "the same line of many words for all of them here again and then some more words to deplete it"
+    own = lambda i: " ".join(f"own{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for k in range(12))
+    rows = [(i, f"{own(i)}\n{shared}", "en", "s", 0) for i in range(20)]
+    rows += [rows[0], rows[0], (3, f"{own(99)}\n{shared}", "en", "s", 0), (None, f"{own(50)}\n{shared}", "en", "s", 0), (None, f"{own(50)}\n{shared}", "en", "s", 0)]
+    got = quality.quality_rules(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r.n_removed_words, r.kept) for r in got} == {(20, False)} and len(got) == len(rows)
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=[x.split()[0] for x in DOCS.split(", ")]).astype({"doc_id": "Int64"}))
+    order = lambda found: sorted(map(tuple, found), key=str)
+    assert order(c.sql(quality.OP9_SQL).fetchall()) == order(got)
+
+
 def test_decontamination(spark, docs, rows, empty):
     rng = random.Random(8)
     item = make_text(rng, 30)
