@@ -1,17 +1,20 @@
 """Surrogates for personal data. DataFrame functions only.
 
 Entities found in the texts are gathered as one distinct table; each gets a replacement drawn from a
-keyed digest of its value that keeps its type and format (given names also gender and script).
+keyed digest of its value that keeps its type, format and script (given names also their gender).
 Replacements that meet each other, or a value that is itself in the texts, are drawn again, so
 different values keep different replacements and equal values equal ones, across all documents.
+Spellings of one value (case in an address, spaces in a number) are one entity.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, cut, table
+from .common import bind, cut, join_by_key, row_key, table
 
 # Given names by gender and script, and parts of surnames by script.
 GIVEN = {
@@ -25,22 +28,38 @@ SURNAME = {
     "cyrillic": ("Бар Вол Гор Дан Зим Кар Лав Мар Нов Орл Пет Сав".split(), "а е и о у".split(), "вин ков лев нин ров сов тин хин".split()),
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Sr Sra Señor Señora M Mme".split()
+#: Letters of other scripts in runs without gaps: (first, last), lower and upper case apart.
+LETTERS = [
+    (0x430, 0x44F), (0x410, 0x42F), (0x3B1, 0x3C9), (0x391, 0x3A1), (0x561, 0x586), (0x531, 0x556), (0x10D0, 0x10F0), (0x5D0, 0x5EA), (0x628, 0x63A),
+    (0x915, 0x939), (0xE01, 0xE2E), (0x3041, 0x3093), (0x30A1, 0x30F3), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+]
+SIGNS = list("!#$%&*+-=?@^_~")
+#: Country codes of telephone numbers by their first digits: one digit, two, else three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _TITLE = "(?:" + "|".join(TITLES) + ")"
 _CAP = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?"
-_GIVEN = "(?:" + "|".join(n for names in GIVEN.values() for n in names) + ")"
+_NAMES = [n for names in GIVEN.values() for n in names]
+_GIVEN = "(?:" + "|".join(_NAMES) + ")"
 
 #: Entity types with their patterns, in order of precedence. No pattern can match nothing; runs are possessive.
+#: Each begins with what is quickest to fail.
 PATTERNS = {
     "email": r"(?<![\w.%+\-])[\w.%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
-    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=(?:password|passwd|secret|api_key|token)[=:])[^\s\"']++|(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
-    "card": r"(?<![\w.])\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{3,4}(?![\w\-])",
-    "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w\-])|(?<![\w+])\+\d{8,15}(?!\w)",
-    "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "name": rf"(?<!\w)(?:{_TITLE}\.? )?{_GIVEN} {_CAP}(?!\w)|(?<!\w){_TITLE}\.? {_CAP}(?!\w)",
+    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=[=:])(?<=(?:password|passwd|secret|api_key|token)[=:])[^\s\"']++|(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "card": r"(?=\d)(?<![\w.])\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{3,4}(?![\w\-])",
+    "ssn": r"(?=\d)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
+    "phone": r"(?=[+(\d])(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w\-])|(?=\+)(?<![\w+])\+\d{8,15}(?!\w)",
+    "ip": r"(?=\d)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])",
+    "iban": r"(?=[A-Z])(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "name": rf"(?=\p{{Lu}})(?<!\w)(?:(?:{_TITLE}\.? )?{_GIVEN} {_CAP}(?!\w)|{_TITLE}\.? {_CAP}(?!\w))",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_NO_EMAIL = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email")
+
+
+def by_entity(text: Column, make: Callable[[str], Column]) -> Column:
+    """make(pattern of all entities); a text without @ holds no address and is spared the search for one."""
+    return F.when(text.contains("@"), make(ENTITY)).otherwise(make(_NO_EMAIL))
 
 
 def entity_type(value: Column) -> Column:
@@ -57,20 +76,33 @@ def _draw(digest: Column, i: Column) -> Column:
     return F.xxhash64(digest, i).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
+def _letter(first: int, last: int, n: Column) -> Column:
+    """The n-th letter of a run, counted round and round."""
+    code = F.lit(first) + n % (last - first + 1)
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+
+
 def _alike(value: Column, digest: Column) -> Column:
-    """Each digit by a digit and each ASCII letter by a letter of its case; all else stays. A number's first digit stays clear of 0."""
+    """Each digit by a digit, each letter by a letter of its case and script; signs stay where there is a letter or digit beside them, else they are drawn too.
+
+    A number's first digit stays clear of 0. Letters of scripts without a table become a-z.
+    """
     letters = F.split(value, "")
+    blank = ~value.rlike(r"[\p{L}\p{N}]")
 
     def one(ch: Column, i: Column) -> Column:
-        n = _draw(digest, i)
+        n, code = _draw(digest, i), F.ascii(ch)
         first = (i == 0) | ~F.get(letters, i - 1).rlike("[0-9]")
-        return (
+        out = (
             F.when(ch.rlike("[1-9]") & first, (n % 9 + 1).cast("string"))
             .when(ch.rlike("[0-9]"), (n % 10).cast("string"))
             .when(ch.rlike("[a-z]"), F.char(n % 26 + 97))
             .when(ch.rlike("[A-Z]"), F.char(n % 26 + 65))
-            .otherwise(ch)
+            .when((code < 128) & ~blank, ch)
         )
+        for lo, hi in LETTERS:
+            out = out.when(code.between(lo, hi), _letter(lo, hi, n))
+        return out.when(ch.rlike(r"\p{Lu}"), F.char(n % 26 + 65)).when(ch.rlike(r"\p{L}"), F.char(n % 26 + 97)).otherwise(F.get(F.array(*map(F.lit, SIGNS)), (n % len(SIGNS)).cast("int")))
 
     return F.array_join(F.transform(letters, one), "")
 
@@ -104,6 +136,20 @@ def _ip(value: Column, digest: Column) -> Column:
     return F.when(value.contains(":"), _hexlike(F.lower(value), digest)).otherwise(v4)
 
 
+def _phone(value: Column, digest: Column) -> Column:
+    """Digits with + before them where the value has it; the country code stays."""
+    code = F.regexp_extract(value, COUNTRY, 0)
+    return F.concat(code, _alike(F.substr(value, F.length(code) + 1), digest))
+
+
+def _iban(value: Column, digest: Column) -> Column:
+    """The same country, and the check digits that the drawn account number asks for."""
+    country, account = F.substring(value, 1, 2), _alike(F.substring(value, 5, 60), digest)
+    number = F.split(F.concat(account, country, F.lit("00")), "")
+    rest = F.aggregate(number, F.lit(0).cast("bigint"), lambda r, ch: F.when(ch.rlike("[0-9]"), (r * 10 + ch.try_cast("int")) % 97).otherwise((r * 100 + F.ascii(ch) - 55) % 97))
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+
+
 def _surname(value: Column, digest: Column, attempt: Column) -> Column:
     def made(script: str) -> Column:
         head, mid, tail = (F.array(*map(F.lit, part)) for part in SURNAME[script])
@@ -111,7 +157,7 @@ def _surname(value: Column, digest: Column, attempt: Column) -> Column:
         middle = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 1), lambda k: pick(mid, k + 10)), "")
         return F.concat(pick(head, F.lit(1)), middle, pick(tail, F.lit(2)))
 
-    return F.when(value.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
+    return F.when(value.rlike(r"\A\p{IsCyrillic}"), made("cyrillic")).when(value.rlike(r"\A\p{IsLatin}"), made("latin")).otherwise(_alike(value, digest))
 
 
 def _given(value: Column, digest_of_list: str) -> Column:
@@ -125,79 +171,116 @@ def _given(value: Column, digest_of_list: str) -> Column:
     return out
 
 
+def canonical(kind: Column, value: Column) -> Column:
+    """What the spellings of one entity have in common: an address without case, a number without spaces and signs."""
+    return (
+        F.when(kind.isin("email", "ip"), F.lower(value))
+        .when(kind == "phone", F.regexp_replace(value, r"[^0-9+]", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(value, r"[^0-9]", ""))
+        .when(kind == "iban", F.regexp_replace(value, " ", ""))
+        .otherwise(value)
+    )
+
+
+def spelt(kind: Column, value: Column, drawn: Column) -> Column:
+    """A drawn surrogate in the spelling of the value: its groups and signs, its case. What a longer one has left stands at the end."""
+    plain = F.regexp_replace(drawn, r"[^0-9A-Za-z]", "")
+    nth = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), r"[^0-9A-Za-z]", ""))
+    laid = F.array_join(F.transform(F.split(value, ""), lambda ch, i: F.when(ch.rlike("[0-9A-Za-z]"), F.substr(plain, nth(i), F.lit(1))).otherwise(ch)), "")
+    laid = F.concat(laid, F.substr(plain, F.length(F.regexp_replace(value, r"[^0-9A-Za-z]", "")) + 1))
+    loud = kind.isin("email", "ip") & (value == F.upper(value)) & (value != F.lower(value))
+    return F.when(kind.isin("phone", "card", "ssn", "iban"), laid).when(loud, F.upper(drawn)).otherwise(drawn)
+
+
+#: Attempts within a value's own format; later ones are longer by a letter or digit each, so there is always a free value.
+IN_FORMAT = {"secret": 2, "email": 2}
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+    """The draw of one attempt for a canonical value."""
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 256)
-    return (
+    drawn = (
         F.when(kind == "email", _email(value, digest))
         .when(kind == "card", _card(value, digest))
+        .when(kind == "phone", _phone(value, digest))
         .when(kind == "ip", _ip(value, digest))
         .when(kind == "surname", _surname(value, digest, attempt))
-        .when(kind == "given", _given(value, key))
-        .when((kind == "secret") & value.rlike(r"\A[0-9a-f]+\z"), _hexlike(value, digest))
-        .when((kind == "secret") & value.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substring(_alike(value, digest), 5, 16)))
-        .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.substring(_alike(value, digest), 3, 60)))
+        .when((kind == "secret") & value.rlike(r"\A[0-9a-f]{32,128}\z"), _hexlike(value, digest))
+        .when((kind == "secret") & value.rlike(r"\AAKIA[0-9A-Z]{16}\z"), F.concat(F.lit("AKIA"), F.substring(_alike(value, digest), 5, 16)))
+        .when(kind == "iban", _iban(value, digest))
         .otherwise(_alike(value, digest))
     )
+    free = F.lit(8)
+    for name, n in IN_FORMAT.items():
+        free = F.when(kind == name, n).otherwise(free)
+    more = F.greatest(attempt - free, F.lit(0))
+    digits = F.substr(F.regexp_replace(F.sha2(F.concat(digest, F.lit("+")), 512), "[^0-9]", ""), F.lit(1), more)
+    letters = F.substr(F.translate(F.sha2(F.concat(digest, F.lit("+")), 512), "0123456789", "ghijkmnpqr"), F.lit(1), more)
+    return F.when(kind == "email", F.concat(letters, drawn)).when(kind.isin("secret", "surname"), F.concat(drawn, letters)).otherwise(F.concat(drawn, digits))
 
 
 def surrogate_table(entities: DataFrame, key: str, rounds: int = 40) -> DataFrame:
-    """kind, value (distinct) -> kind, value, surrogate, with no two values of a kind alike in surrogate.
+    """kind, value (distinct, canonical) -> kind, value, surrogate, with no two values of a kind alike in surrogate.
 
     A surrogate that another value drew, or that is itself a value in the texts, is drawn again
-    with the next attempt; of values that drew alike the smallest keeps it. Each round is two
-    joins over distinct values; only a count reaches the driver.
+    with the next attempt; of values that drew alike the smallest keeps it. Formats with few values
+    run full (nine secrets of one digit), so after a few attempts draws grow longer. What has
+    still met another after `rounds` attempts gets its whole keyed digest; nothing is ever raised. Each
+    round is two joins over distinct values; only a flag reaches the driver.
     """
     at = cut(entities.select("kind", "value", F.lit(0).alias("attempt")))
-    for _ in range(rounds):
-        drawn = at.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
-        drawn = cut(drawn)
+    real = cut(entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("_real")))
+    for n in range(rounds):
+        drawn = cut(at.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)))
         keeper = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("_keeper"))
-        real = entities.select("kind", F.col("value").alias("surrogate"), F.lit(True).alias("_real"))
         judged = drawn.join(keeper, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        again = (F.col("kind") != "given") & ((F.col("value") != F.col("_keeper")) | F.coalesce("_real", F.lit(False)))
+        again = (F.col("value") != F.col("_keeper")) | F.coalesce("_real", F.lit(False))
         judged = cut(judged.select("kind", "value", "attempt", "surrogate", again.alias("_again")))
         if not judged.where("_again").limit(1).count():
             return judged.select("kind", "value", "surrogate")
-        at = cut(judged.select("kind", "value", F.when(F.col("_again"), F.col("attempt") + 1).otherwise(F.col("attempt")).alias("attempt")))
-    raise RuntimeError(f"surrogates still meet after {rounds} rounds")
+        if n + 1 < rounds:
+            at = cut(judged.select("kind", "value", (F.col("attempt") + F.col("_again").cast("int")).alias("attempt")))
+    digest = F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "value"), 256)
+    return judged.select("kind", "value", F.when(F.col("_again"), digest).otherwise(F.col("surrogate")).alias("surrogate"))
 
 
 def _parts(entity: Column) -> Column:
     """An entity as the pieces that get surrogates of their own: a name is title, given name and surname, others are whole."""
-    words = F.transform(
-        F.split(entity, "(?<= )"),
-        lambda w: F.struct(
-            F.when(F.btrim(w, F.lit(". ")).isin(TITLES), F.lit(None)).when(F.btrim(w).isin([n for names in GIVEN.values() for n in names]), "given").otherwise("surname").alias("kind"),
-            w.alias("value"),
-        ),
-    )
-    return F.when(entity_type(entity) == "name", words).otherwise(F.array(F.struct(entity_type(entity).alias("kind"), entity.alias("value"))))
+    word = lambda w: F.when(F.btrim(w, F.lit(". ")).isin(TITLES), "title").when(F.btrim(w).isin(_NAMES), "given").otherwise("surname")
+    names = F.transform(F.split(entity, "(?<= )"), lambda w: F.struct(word(w).alias("kind"), w.alias("value")))
+    return bind(entity_type(entity), lambda kind: F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("value")))))
 
 
 def with_surrogates(docs: DataFrame, key: str = "surrogates", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of docs with its entities replaced.
 
-    Returns the id, text (null stays null), n_entities and kinds (sorted types found). Equal
-    values get equal surrogates wherever they stand, different ones different surrogates. Empty
-    texts stay empty; rows that are alike in id and text are replaced alike; an empty table gives
-    an empty result; other columns are ignored, whatever their names.
+    Returns the id, text (null stays null), n_entities and kinds (sorted types found, of a name its
+    parts). Equal values get equal surrogates wherever they stand, different ones different
+    surrogates; spellings of one value count as equal. Given names rotate within their list: they
+    need no draw and no check. Empty texts stay empty; texts of any length are read whole; rows that are alike in id and
+    text are replaced alike; an empty table gives an empty result; other columns are ignored,
+    whatever their names.
     """
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text")).withColumn("_key", F.xxhash64(F.col("doc_id"), F.col("_text")))
-    found = rows.select("doc_id", "_key", F.regexp_extract_all("_text", F.lit(ENTITY), F.lit(0)).alias("_found"))
-    marked = found.select("doc_id", "_key", F.posexplode_outer("_found").alias("_at", "_entity")).where("_entity is not null").select("_key", "_at", F.posexplode(_parts(F.col("_entity"))).alias("_sub", "_part"))
-    parts = cut(marked.select("_key", "_at", "_sub", "_part.kind", F.rtrim("_part.value").alias("value"), F.when(F.col("_part.value").endswith(" "), " ").otherwise("").alias("_gap")).distinct())
-    names = surrogate_table(parts.where("kind is not null").select("kind", "value").distinct(), key)
-    new = parts.join(names, ["kind", "value"], "left").select("_key", "_at", "_sub", "kind", F.concat(F.coalesce("surrogate", "value"), "_gap").alias("_new"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_key", row_key(F.col("doc_id"), F.col("_text")))
+    text = F.col("_text")
+    found = rows.select("_key", F.posexplode(by_entity(text, lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0)))).alias("_at", "_entity"))
+    marked = found.select("_key", "_at", F.posexplode(_parts(F.col("_entity"))).alias("_sub", "_part"))
+    parts = marked.select("_key", "_at", "_sub", "_part.kind", F.rtrim("_part.value").alias("_value"), F.when(F.col("_part.value").endswith(" "), " ").otherwise("").alias("_gap"))
+    parts = cut(parts.withColumn("value", canonical(F.col("kind"), F.col("_value"))).distinct())
+    drawn = parts.where(~F.col("kind").isin("title", "given"))
+    counted = cut(drawn.groupBy("kind", "value").agg(F.count("*").alias("_n")))
+    names = cut(surrogate_table(counted, key).join(counted, ["kind", "value"]))
+    new = join_by_key(drawn, names, ["kind", "value"], "inner").withColumn("_new", spelt(F.col("kind"), F.col("_value"), F.col("surrogate")))
+    rest = parts.where(F.col("kind").isin("title", "given")).withColumn("_new", F.coalesce(_given(F.col("_value"), key), F.col("_value")))
+    both = new.select("_key", "_at", "_sub", "kind", F.concat("_new", "_gap").alias("_new")).union(rest.select("_key", "_at", "_sub", "kind", F.concat("_new", "_gap").alias("_new")))
     pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_sub", "_new"))), lambda x: x["_new"]), "")
-    each = new.groupBy("_key", "_at").agg(pieces.alias("_new"), F.collect_set("kind").alias("_kinds"))
+    each = both.groupBy("_key", "_at").agg(pieces.alias("_new"), F.collect_set(F.when(F.col("kind") != "title", F.col("kind"))).alias("_kinds"))
     whole = each.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_new"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_kinds")))).alias("kinds"))
     joined = rows.join(whole, "_key", "left")
-    gaps = F.split("_text", ENTITY, -1)
+    gaps = by_entity(text, lambda p: F.split(text, p, -1))
     filled = bind(F.col("_new"), lambda new: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i)["_new"], F.lit("")))), ""))
-    n = F.coalesce(F.size("_new"), F.lit(0))
-    n = F.greatest(n, F.lit(0)).cast("bigint")
-    return joined.select("doc_id", F.when(F.col("_new").isNull(), F.col("_text")).otherwise(filled).alias("text"), n.alias("n_entities"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+    n = F.greatest(F.coalesce(F.size("_new"), F.lit(0)), F.lit(0)).cast("bigint")
+    return joined.select("doc_id", F.when(F.col("_new").isNull(), text).otherwise(filled).alias("text"), n.alias("n_entities"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -343,6 +343,44 @@ def test_surrogates_stay_distinct(spark):
     assert not {(r.kind, r.surrogate) for r in got} & {(r.kind, r.value) for r in got}
 
 
+def test_surrogates_never_fail(spark):
+    """Signs only, other scripts, formats that run full: always a replacement, distinct, and none of the values."""
+    secrets = ["***", "пароль", "☃☃", "кот7", "p-1", *map(str, range(1, 10)), "x" * 40000]
+    rows = [(i, f"login password={v} ok") for i, v in enumerate(secrets)] + [(i, f"login password={v} ok") for i, v in enumerate(secrets[:4])]
+    got = pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.n_entities == 1 for r in got)
+    new = {}
+    for r in got:
+        new.setdefault(r.doc_id, set()).add(re.fullmatch(r"login password=(\S+) ok", r.text)[1])
+    assert all(len(v) == 1 for v in new.values())
+    values = [v for x in new.values() for v in x]
+    assert len(set(values)) == len(secrets) and not set(values) & set(secrets)
+    assert re.fullmatch("[а-я]{6}", *new[1]) and re.fullmatch("[а-я]{3}[0-9]", *new[3]) and re.fullmatch("[a-z]-[0-9]", *new[4])
+
+
+def test_surrogates_keep_formats(spark):
+    """A plain model of what each kind must keep, and one surrogate for all spellings."""
+    texts = [
+        "Write to Jo@Mail.org or jo@mail.org or JO@MAIL.ORG now.", "Call +49 30 123 4567 or +49-30-123-4567 or +351 45 678 9012.", "IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000.",
+        "Card 4111-1111-1111-1111, also 4111111111111111.", "SSN 123-45-6789.", "Mr. Παπάς and Dr. Müller and Herr Иванов met.", "From 2001:0db8:0000:0000:0000:ff00:0042:8329 and 2001:0DB8:0000:0000:0000:FF00:0042:8329.",
+    ]
+    got = {r.doc_id: r.text for r in pii.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    mails = re.findall(r"\S+@\S+", got[0])
+    assert mails[0] == mails[1] == mails[2].lower() and mails[2].isupper() and re.fullmatch(r"[a-z]{2}@[a-z]{4}\.org", mails[1]) and mails[1] != "jo@mail.org"
+    phones = re.findall(r"\+[\d -]+\d", got[1])
+    assert phones[0].startswith("+49 ") and phones[1] == phones[0].replace(" ", "-") and phones[2].startswith("+351 ") and phones[0] != "+49 30 123 4567"
+    ibans = re.findall(r"DE[\d ]+\d", got[2])
+    assert ibans[0].replace(" ", "") == ibans[1] != "DE89370400440532013000" and [len(x) for x in ibans[0].split(" ")] == [4, 4, 4, 4, 4, 2]
+    assert int(ibans[1][4:] + "1314" + ibans[1][2:4]) % 97 == 1
+    cards = re.findall(r"4[\d-]+\d", got[3])
+    assert cards[0].replace("-", "") == cards[1] != "4111111111111111" and cards[0].count("-") == 3
+    assert re.fullmatch(r"SSN [1-9]\d\d-\d\d-\d{4}\.", got[4]) and got[4] != texts[4]
+    names = re.fullmatch(r"Mr\. ([Α-Ρ]\S+) and Dr\. ([A-Z]\S+) and Herr ([А-Я]\S+) met\.", got[5])
+    assert names and not {"Παπάς", "Müller", "Иванов"} & set(names.groups())
+    ips = re.findall(r"[0-9A-Fa-f:]{20,}", got[6])
+    assert ips[0] == ips[1].lower() and ips[1].isupper()
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(4)
     bad = ["zounder", "blaggart", "sniveller"]
