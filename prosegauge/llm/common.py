@@ -32,6 +32,14 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="prosegauge-checkpoints-"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, in the shared checkpoint folder."""
     ensure_checkpoints(df.sparkSession)

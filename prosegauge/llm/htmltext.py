@@ -12,14 +12,14 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 # Fixed values of HTML: elements that start a block, that hold no text to read, that have no end tag,
 # and that end when one of the named elements starts.
@@ -30,119 +30,184 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCKS - {"body", "html", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z\-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r">|=\s*+([\"'])")
+_ATTR = re.compile(r"(?<![a-zA-Z\-])([a-zA-Z\-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
 _NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in RAW}
+
+PATH = 64
+#: How often one name above a block counts, at most either way.
+PATH_MOST = 4
+
+
+@lru_cache(maxsize=100_000)
+def _slot(name: str, size: int) -> tuple[int, int]:
+    h = zlib.crc32(name.encode())
+    return h % size, 1 if h >> 31 else -1
 
 
 class Block:
-    __slots__ = ("text", "path", "linked")
+    """A leaf block: its text, the hashed names of all elements above it, characters in links, the innermost name."""
+
+    __slots__ = ("text", "path", "linked", "inner")
+
+    def __init__(self, text: str, path: np.ndarray, linked: int, inner: str):
+        self.text, self.path, self.linked, self.inner = text, path, linked, inner
+
+
+def _tag_end(page: str, at: int, dead: set[str]) -> int:
+    """Place of the > that ends a tag whose attributes start at `at`, or -1; a > in a quoted value is none.
+
+    dead: quotes that close nowhere further on; each is looked for in vain once a page.
+    """
+    while (m := _STOP.search(page, at)) is not None:
+        if (quote := m[1]) is None:
+            return m.start()
+        at = m.end()
+        if quote not in dead:
+            if (close := page.find(quote, at)) < 0:
+                dead.add(quote)
+            else:
+                at = close + 1
+    return -1
+
+
+class _Stack:
+    """The open elements, with running sums so that a step costs the same at any depth."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, list[tuple[int, int]], bool, str]] = []
+        self.blocks: list[int] = []
+        self.count: dict[str, int] = {}
+        self.path = np.zeros(PATH, np.int64)
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def silent(self) -> bool:
+        return bool(self.open) and self.open[-1][2]
+
+    def push(self, tag: str, names: list[str], quiet: bool) -> None:
+        slots = [_slot(n, PATH) for n in names]
+        for k, sign in slots:
+            self.path[k] += sign
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, slots, quiet, names[-1]))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def pop(self) -> None:
+        tag, slots, _, _ = self.open.pop()
+        for k, sign in slots:
+            self.path[k] -= sign
+        self.count[tag] -= 1
+        if self.blocks and self.blocks[-1] == len(self.open):
+            self.blocks.pop()
 
 
 def read_blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, with the elements (and names in class, id, role) above each."""
+    """The leaf blocks of a page in order, with what stands above each. Linear in the page, however deep or broken.
+
+    A tag that never ends takes the rest of the page with it, as in browsers; so does a comment.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    stack = _Stack()
     parts: list[str] = []
-    link_chars = [0]
+    linked = 0
+    dead: set[str] = set()
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, tuple(n for _, names, _ in stack for n in names), link_chars[0]))
+                out.append(Block(text, np.clip(stack.path, -PATH_MOST, PATH_MOST).astype(np.int8), linked, stack.open[-1][3] if stack.open else ""))
             parts.clear()
-        link_chars[0] = 0
-
-    def silent() -> bool:
-        return bool(stack) and stack[-1][2]
+        linked = 0
 
     def text(piece: str) -> None:
-        if piece and not silent():
+        nonlocal linked
+        if piece and not stack.silent():
             parts.append(piece)
-            if any(tag == "a" for tag, _, _ in stack):
-                link_chars[0] += len(piece)
+            if stack.count.get("a"):
+                linked += len(piece)
 
     def pop_to(k: int) -> None:
-        if any(tag in BLOCKS for tag, _, _ in stack[k:]):
+        if stack.blocks and stack.blocks[-1] >= k:
             flush()
-        del stack[k:]
+        while len(stack.open) > k:
+            stack.pop()
 
-    at = 0
-    find = _TAG.search
-    while (m := find(page, at)) is not None:
-        text(page[at : m.start()])
-        at = m.end()
-        end, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+    at, end = 0, len(page)
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), lt):
+            text(page[at:lt])
+            comment = page.startswith("<!--", lt)
+            stop = page.find("-->" if comment else ">", lt + 2)
+            at = end if stop < 0 else stop + (3 if comment else 1)
+            continue
+        if (m := _TAG.match(page, lt)) is None:
+            text(page[at : lt + 1])
+            at = lt + 1
             continue
-        tag = tag.lower()
-        if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
+        text(page[at:lt])
+        stop = _tag_end(page, m.end(), dead)
+        if stop < 0:
+            at = end
+            break
+        tag, attrs, at = m[1].lower(), page[m.end() : stop], stop + 1
+        if page[lt + 1] == "/":
+            if stack.count.get(tag):
+                pop_to(next(k for k in range(len(stack.open) - 1, -1, -1) if stack.open[k][0] == tag))
             continue
         if tag == "br":
             text(" ")
             continue
         if tag in BLOCKS:
-            if not silent():
+            if not stack.silent():
                 flush()
             closing = CLOSES.get(tag, ()) or ({"p"} if tag in ENDS_P else ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closing:
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCKS and stack[k][0] != "p":
-                    break
+            if any(map(stack.count.get, closing)):
+                for k in reversed(stack.blocks):
+                    if stack.open[k][0] in closing:
+                        pop_to(k)
+                        break
+                    if stack.open[k][0] != "p":
+                        break
         if tag in VOID or attrs.endswith("/") and tag in SILENT:
             continue
-        if tag in ("body", "main", "article") and silent():  # a head that was never closed
-            while stack and stack[-1][2]:
+        if tag in ("body", "main", "article"):  # a head that was never closed
+            while stack.silent():
                 stack.pop()
         names = [tag]
-        quiet = silent() or tag in SILENT
+        quiet = stack.silent() or tag in SILENT
         if attrs:
             found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)}
             for k in ("class", "id", "role"):
                 if v := found.get(k):
-                    names += [n.lower() for n in _NAMES.findall(v)][:6]
-            quiet = quiet or bool(_HIDDEN.search(re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", "=", attrs) + " " + found.get("style", "")))
-        stack.append((tag, tuple(names), quiet))
+                    names += [n.lower() for n in _NAMES.findall(v)]
+            quiet = quiet or bool(_HIDDEN.search(re.sub(r"=\s*+(\"[^\"]*\"|'[^']*')", "=", attrs) + " " + found.get("style", "")))
+        stack.push(tag, names, quiet)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            close = _RAW_END[tag].search(page, at)
+            at = close.end() if close else end
             stack.pop()
     text(page[at:])
     flush()
     return out
 
 
-PATH, WORDS, MEASURES = 64, 48, 8
+WORDS, MEASURES = 48, 8
 INPUTS = PATH + WORDS + MEASURES
 HIDDEN = 16
 
 
-def _slot(name: str, size: int) -> tuple[int, float]:
-    h = zlib.crc32(name.encode())
-    return h % size, 1.0 if h >> 31 else -1.0
-
-
-def vectors(blocks: list[Block], memo: dict[str, tuple[int, float]]) -> np.ndarray:
+def vectors(blocks: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row for each block; first and total: where the blocks stand in their page, if they are a part of it."""
     x = np.zeros((len(blocks), INPUTS), np.float32)
-    for k, b in enumerate(blocks):
-        row = x[k]
-        for depth, name in enumerate(reversed(b.path)):
-            if depth > 24:
-                break
-            if (at := memo.get(name)) is None:
-                at = memo[name] = _slot(name, PATH)
-            row[at[0]] += at[1]
+    total = len(blocks) if total is None else total
+    for k, b in enumerate(blocks, first):
+        row = x[k - first]
+        row[:PATH] = b.path
         tokens = b.text.lower().split()
         for w in tokens:
             h = zlib.crc32(w.encode())
@@ -151,7 +216,7 @@ def vectors(blocks: list[Block], memo: dict[str, tuple[int, float]]) -> np.ndarr
         n = len(b.text)
         row[-MEASURES:] = (
             np.log1p(len(tokens)) / 4, min(1.0, b.linked / n), b.text[-1] in ".!?…»\"”", sum(map(b.text.count, ".,;")) / (len(tokens) + 1),
-            k / len(blocks), 1 / (1 + k), 1 / (len(blocks) - k), b.path[-1:] in (("p",), ("b",), ("i",), ("em",)),
+            k / total, 1 / (1 + k), 1 / (total - k), b.inner in ("p", "b", "i", "em"),
         )
     return x
 
@@ -173,13 +238,12 @@ class Labeller:
         s = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
         return s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """States of one direction; x: time, page, input. Padding holds the state still."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: list | None = None, carried: dict | None = None) -> np.ndarray:
+        """States of one direction; x: time, page, input. Padding holds the state still. carried: takes up the state of a run before, and holds this one's."""
         steps, pages, _ = x.shape
         zx = x.reshape(-1, INPUTS) @ self.p[f"w{d}"] + self.p[f"c{d}"]
         zx = zx.reshape(steps, pages, -1)
-        h = np.zeros((pages, HIDDEN), np.float32)
-        c = np.zeros_like(h)
+        h, c = carried.get("state", (np.zeros((pages, HIDDEN), np.float32),) * 2) if carried is not None else (np.zeros((pages, HIDDEN), np.float32),) * 2
         out = np.zeros((steps, pages, HIDDEN), np.float32)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             m = mask[t][:, None]
@@ -191,12 +255,25 @@ class Labeller:
             c = m * new + (1 - m) * c
             h = m * (o * th) + (1 - m) * h
             out[t] = h
+        if carried is not None:
+            carried["state"] = (h, c)
         return out
 
     def label(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         h = np.concatenate([self._run(x, mask, "f"), self._run(x, mask, "b")], axis=2)
         return 1 / (1 + np.exp(-np.clip(h @ self.p["v"] + self.p["a"], -30, 30)))
 
+    def label_long(self, blocks: list[Block], at_once: int = 4096) -> np.ndarray:
+        """The same for one page of very many blocks, some at a time: both directions carry their state on."""
+        z = np.full(len(blocks), self.p["a"][0], np.float32)
+        starts = range(0, len(blocks), at_once)
+        for d, v, order in (("f", self.p["v"][:HIDDEN], starts), ("b", self.p["v"][HIDDEN:], reversed(starts))):
+            carried: dict = {}
+            for at in order:
+                x = vectors(blocks[at : at + at_once], at, len(blocks))[:, None, :]
+                z[at : at + len(x)] += self._run(x, np.ones(x.shape[:2], np.float32), d, carried=carried)[:, 0] @ v
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
     def _learn(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean log loss."""
         kept: dict[str, list] = {"f": [], "b": []}
@@ -357,12 +434,11 @@ def _made_page(rng: random.Random) -> tuple[list[Block], list[int]]:
 def train_labeller(pages: int = 600, seed: int = 11, epochs: int = 8) -> Labeller:
     """A labeller trained on `pages` made-up pages: the same weights for the same arguments."""
     rng = random.Random(seed)
-    memo: dict[str, tuple[int, float]] = {}
     made = [_made_page(rng) for _ in range(pages)]
-    return Labeller().fit([(vectors(b, memo), np.array(y, np.float32)) for b, y in made if b], epochs=epochs)
+    return Labeller().fit([(vectors(b), np.array(y, np.float32)) for b, y in made if b], epochs=epochs)
 
 
-def main_texts(pages: list[str | None], labeller: Labeller, memo: dict[str, tuple[int, float]], at_once: int = 256, most_cells: int = 40_000) -> list[str]:
+def main_texts(pages: list[str | None], labeller: Labeller, at_once: int = 256, most_cells: int = 40_000, long: int = 8192) -> list[str]:
     """The article of each page: blocks labelled one half or more, in order, one to a line."""
     read = [read_blocks(p) if p else [] for p in pages]
     out = [""] * len(pages)
@@ -370,39 +446,43 @@ def main_texts(pages: list[str | None], labeller: Labeller, memo: dict[str, tupl
     at = 0
     while at < len(order):
         stop = at + 1
-        while stop < len(order) and stop - at < at_once and (stop - at + 1) * len(read[order[stop]]) <= most_cells:
-            stop += 1
-        group = order[at:stop]
-        x, mask, _ = stacked([(vectors(read[k], memo), np.zeros(len(read[k]), np.float32)) for k in group])
-        said = labeller.label(x, mask)
-        for n, k in enumerate(group):
+        if len(read[order[at]]) > long:
+            said = labeller.label_long(read[order[at]])[:, None]
+        else:
+            while stop < len(order) and stop - at < at_once and (stop - at + 1) * len(read[order[stop]]) <= most_cells:
+                stop += 1
+            x, mask, _ = stacked([(vectors(read[k]), np.zeros(len(read[k]), np.float32)) for k in order[at:stop]])
+            said = labeller.label(x, mask)
+        for n, k in enumerate(order[at:stop]):
             out[k] = "\n".join(b.text for b, p in zip(read[k], said[:, n], strict=False) if p >= 0.5)
         at = stop
     return out
 
 
-def _extract(batches: Iterator[pa.RecordBatch], held: object, at_once: int = 2000) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], held: object, column: str, at_once: int = 2000) -> Iterator[pa.RecordBatch]:
     labeller = held.value
     for whole in batches:
         for at in range(0, whole.num_rows, at_once):
             batch = whole.slice(at, at_once)
-            memo: dict[str, tuple[int, float]] = {}
-            texts = main_texts(batch.column("_html").to_pylist(), labeller, memo)
-            names = [n for n in batch.schema.names if n != "_html"]
+            texts = main_texts(batch.column(column).to_pylist(), labeller)
+            names = [n for n in batch.schema.names if n != column]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, "text"])
 
 
 def extract_main_text(pages: DataFrame, labeller: Labeller | None = None, html_col: str = "html") -> DataFrame:
     """pages without the html column, with a column text: the article of each whole page.
 
-    Null and empty pages, and pages without an article, give the empty string. Repeated rows are
-    read each; an empty table gives an empty result; a column named text is replaced.
+    Null and empty pages, and pages without an article, give the empty string. Reading takes time
+    in proportion to the page, whatever its length, depth or faults, and very long pages are
+    labelled some thousand blocks at a time. Repeated rows are read each; an empty table gives an
+    empty result; a column named text is replaced, all others stay.
     """
     held = pages.sparkSession.sparkContext.broadcast(labeller or train_labeller())
-    rows = pages.withColumn("_html", F.col(html_col).cast("string")).drop(html_col, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_html") + ", text string"
-    order = [f.name for f in rows.schema if f.name != "_html"]
-    return rows.select(*order, "_html").mapInArrow(partial(_extract, held=held), schema)
+    kept = [f for f in pages.drop(html_col, "text").schema]
+    column = unused(pages, "_html")
+    rows = pages.select(*(F.col(f"`{f.name}`") for f in kept), F.col(html_col).cast("string").alias(column))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + (", " if kept else "") + "text string"
+    return rows.mapInArrow(partial(_extract, held=held, column=column), schema)
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -404,23 +405,80 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0
 
 
-def test_html(spark):
-    labeller = htmltext.train_labeller(pages=300, epochs=6)
-    rng, memo, right, n = random.Random(77), {}, 0, 0
+@pytest.fixture(scope="module")
+def labeller():
+    return htmltext.train_labeller()
+
+
+def test_html(spark, labeller):
+    rng, right, n = random.Random(77), 0, 0
     for _ in range(80):
         blocks, labels = htmltext._made_page(rng)
-        x, mask, _ = htmltext.stacked([(htmltext.vectors(blocks, memo), np.zeros(len(blocks), np.float32))])
-        said = labeller.label(x, mask)[:, 0] >= 0.5
-        right, n = right + int((said == np.array(labels)).sum()), n + len(labels)
+        x, mask, _ = htmltext.stacked([(htmltext.vectors(blocks), np.zeros(len(blocks), np.float32))])
+        said = labeller.label(x, mask)[:, 0]
+        assert np.allclose(said, labeller.label_long(blocks, 5), atol=1e-4)
+        right, n = right + int(((said >= 0.5) == np.array(labels)).sum()), n + len(labels)
     assert right / n > 0.95
-    pages = spark.createDataFrame([(1, "u", None, 9), (2, "u", "", 9), (3, "u", "<p", 9), (4, "u", "no tags &amp; more", 9)], "page_id long, url string, html string, text int")
-    got = {r.page_id: r.text for r in htmltext.extract_main_text(pages, labeller).collect()}
-    assert got[1] == got[2] == "" and got[3] is not None
+    shape = "page_id long, url string, html string, text int, _html string, `_HTML_` int"
+    pages = spark.createDataFrame([(1, "u", None, 9, "a", 1), (2, "u", "", 9, "b", 2), (3, "u", "<p", 9, "c", 3), (3, "u", "<p", 9, "c", 3), (4, "u", "no tags &amp; more", 9, "d", 4)], shape)
+    got = htmltext.extract_main_text(pages, labeller)
+    assert got.columns == ["page_id", "url", "_html", "_HTML_", "text"]
+    found = {r.page_id: r.text for r in got.collect()}
+    assert found[1] == found[2] == found[3] == "" and found[4] is not None
+    assert htmltext.extract_main_text(pages.limit(0), labeller).count() == 0
+
+
+#: Pages written by hand: (html, the article's blocks, blocks that are none).
+WRITTEN = [
+    (
+        """<!doctype html><html><head><title>Bridge</title><style>p{}</style></head><body><header class="site-header"><a href="/">The Daily Post</a></header>
+        <nav><ul><li><a href="/world">World</a></li><li><a href="/sport">Sport</a></li><li><a href="/arts">Arts</a></li></ul></nav>
+        <article><h1>Old bridge reopens after two years</h1><p>The bridge over the river was opened again on Monday, two years after a flood had damaged its middle pier.</p>
+        <p>Engineers replaced the stones one by one, and the town paid for half of the work &mdash; the rest came from the state.</p></article>
+        <aside class="sidebar related"><h3>Related</h3><ul><li><a href="/a">Floods</a></li><li><a href="/b">Bridges</a></li></ul></aside>
+        <footer class="footer"><p>&copy; 2021 The Daily Post. All rights reserved.</p></footer></body></html>""",
+        ["Old bridge reopens after two years", "The bridge over the river was opened again on Monday, two years after a flood had damaged its middle pier.", "Engineers replaced the stones one by one, and the town paid for half of the work — the rest came from the state."],
+        ["The Daily Post", "World", "Related", "Floods", "© 2021 The Daily Post. All rights reserved."],
+    ),
+    (
+        """<body><div id="wrapper"><div class="cookie-notice">We use cookies to make this site better. <a href="/c">More</a></div><div class="navbar"><a href=1>Home</a> <a href=2>Blog</a></div>
+        <div class="post"><h2>How to bake rye bread</h2><div class="post-content"><p>Mix the flour with warm water and a spoon of starter, then let it rest for a night.<p>In the morning add salt, knead it well and bake it for an hour.
+        <ul><li>500 grams of rye flour</li><li>400 grams of water</li></ul></div></div>
+        <div class="comments"><h3>3 comments</h3><div class="comment"><b>Ann</b><p>I tried it and it worked very well, thank you for this.</p></div><div class="comment"><b>Bo</b><p>Mine was too wet.</p></div></div>
+        <form class="search"><label>Search</label><input name=q><button>Go</button></form></div></body>""",
+        ["How to bake rye bread", "Mix the flour with warm water and a spoon of starter, then let it rest for a night.", "In the morning add salt, knead it well and bake it for an hour.", "500 grams of rye flour", "400 grams of water"],
+        ["Home Blog", "Ann", "I tried it and it worked very well, thank you for this.", "Mine was too wet.", "Search", "Go"],
+    ),
+    (
+        """<html><body><div class="topnav"><a href="/">Start</a><a href="/m">Map</a></div><main><h1>The lighthouse</h1><p>It stood on the rock for a hundred years &amp; more, and nobody knew who had built it.</p>
+        <div class="ad sponsored">Buy two lamps, get one free today.</div><p>When the storm came, the keeper climbed the stairs once more.</p><blockquote>No light, no ships, he used to say.</blockquote></main>
+        <div class="newsletter subscribe"><p>Get our news by mail every week.</p></div><div class="copyright">Copyright 2019. Terms of use.</div></body></html>""",
+        ["The lighthouse", "It stood on the rock for a hundred years & more, and nobody knew who had built it.", "When the storm came, the keeper climbed the stairs once more.", "No light, no ships, he used to say."],
+        ["Start Map", "Buy two lamps, get one free today.", "Get our news by mail every week.", "Copyright 2019. Terms of use."],
+    ),
+]
+
+
+def test_html_written_by_hand(labeller):
+    right = n = 0
+    for page, article, rest in WRITTEN:
+        got = htmltext.main_texts([page], labeller)[0].split("\n")
+        right += sum(b in got for b in article) + sum(b not in got for b in rest)
+        n += len(article) + len(rest)
+    assert right >= 0.9 * n, (right, n)
+
+
+@pytest.mark.parametrize("part,size", [("<a ", 10**6), ('<a ">', 10**6), ("<a b='\"", 10**6), ("<b>x", 10**6), ("<div>a", 300_000), ("</p><p>a", 300_000), ("<!--", 10**6), ("<p><div><b>", 300_000), ("<li><b></i>", 300_000), ("<b " + "x" * 10**6, 10**6), ("<script>", 10**6), ("&amp", 10**6)])
+def test_html_is_linear(labeller, part, size):
+    began = time.process_time()
+    htmltext.main_texts([part * max(1, size // len(part))], labeller)
+    assert time.process_time() - began < 40
 
 
 def test_html_blocks():
     page = "<head><title>t</title><body><div hidden>no</div><script>x<p></script><p>a&nbsp;b<br>c <b>d<p>e</p><ul><li>f<li>g</ul>tail"
     assert [b.text for b in htmltext.read_blocks(page)] == ["a b c d", "e", "f", "g", "tail"]
+    assert [b.text for b in htmltext.read_blocks("1 < 2 <a title='x > y'>l</a><!-- <p>no --><p class=\"a\">m<p id='open>n")] == ["1 < 2 l", "m", "n"]
 
 
 def test_html_gradients():
