@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node that has an edge with the smallest node it can reach.
 
     edges: columns u, v (long); direction, repeats and loops don't matter; nulls are ignored.
@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a is not null and b is not null and u is not null and v is not null and a != b").distinct()
     )
     before = None
-    for _ in range(rounds):
+    while True:
         both = at.union(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -31,7 +31,5 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components have not settled in {rounds} rounds")
     roots = at.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -16,10 +16,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, partitions, table
+from .common import LOWER, cut, join_by_key, partitions, table
 from .components import connected_components
 
 #: Ring segments as (first bit, bits).
@@ -57,22 +57,55 @@ def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(partial(_fingerprints, width=width, seed=seed), "doc_id long, fp long")
 
 
-def ring_keys(prints: DataFrame, chain: int = 2) -> DataFrame:
-    """fp -> start (ring position), key: one row per chain prefix that must be untouched."""
-    seg = lambda first, bits: F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
-    keys = []
-    for i, (first, bits) in enumerate(RING):
-        nxt, after = RING[(i + 1) % 5], RING[(i + 2) % 5]
-        halves = ((nxt[0], nxt[1] // 2), (nxt[0] + nxt[1] // 2, nxt[1] - nxt[1] // 2))
-        third = after[1] // 3
-        thirds = ((after[0], third), (after[0] + third, third), (after[0] + 2 * third, after[1] - 2 * third)) if chain > 2 else ((0, 0),)
-        for h, half in enumerate(halves):
-            for t, part in enumerate(thirds):
-                key = F.lit((i * 6 + h * 3 + t) << 40) + F.shiftleft(seg(first, bits), 16) + F.shiftleft(seg(*half), 8)
-                keys.append(F.struct(F.lit(i).alias("start"), (key + seg(*part) if part[1] else key).alias("key")))
+def _parts(segment: int, n: int) -> list[tuple[int, int]]:
+    """A segment cut into n parts, as (first bit, bits)."""
+    first, bits = RING[segment % 5]
+    edges = [first + bits * k // n for k in range(n + 1)]
+    return [(x, y - x) for x, y in zip(edges, edges[1:], strict=False)]
+
+
+def _bits(first: int, bits: int) -> Column:
+    return F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def ring_keys(prints: DataFrame) -> DataFrame:
+    """fp -> start (ring position), key, fp: one row per chain of two segments that must be untouched, whole and by half."""
+    keys = [F.struct(F.lit(i).alias("start"), (F.lit((i * 2 + h) << 40) + F.shiftleft(_bits(*RING[i]), 8) + _bits(*half)).alias("key")) for i in range(5) for h, half in enumerate(_parts(i + 1, 2))]
     return prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.start", "k.key", "fp")
 
 
+def longer_keys(keys: DataFrame, chain: int) -> DataFrame:
+    """The same fingerprints with keys one segment longer: the segment at that place of the chain has an untouched one of its `chain` parts."""
+    choice = F.lit(None).cast("array<bigint>")
+    for i in range(5):
+        own = F.array(*(F.xxhash64("key", F.lit(k), _bits(*part)) for k, part in enumerate(_parts(i + chain - 1, chain))))
+        choice = F.when(F.col("start") == i, own).otherwise(choice)
+    return keys.select("start", F.explode(choice).alias("key"), "fp")
+
+
+def ring_links(distinct: DataFrame, most: int = 4096) -> DataFrame:
+    """u, v: star edges of all links between distinct fingerprints.
+
+    Buckets of more than `most` fingerprints are dealt anew by longer chains, up to the whole ring;
+    no link is lost on the way, as a link's chain holds at every length.
+    """
+    parts = partitions(distinct.sparkSession)
+    out, keys = None, ring_keys(distinct)
+    for chain in (3, 4, 5, None):
+        crowded = None
+        if chain is not None:
+            crowded = cut(keys.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > most))
+            if not crowded.limit(1).count():
+                crowded = None
+        rest = keys if crowded is None else keys.join(crowded, "key", "left_anti")
+        found = rest.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
+        out = found if out is None else out.union(found)
+        if crowded is None:
+            return out
+        keys = cut(longer_keys(join_by_key(keys, crowded, ["key"], "left_semi"), chain))
+    return out
+
+
 def _near(one: np.ndarray, many: np.ndarray, start: int) -> np.ndarray:
     """Which of many lie within reach of one: chain after chain, then the whole distance."""
     x = one ^ many
@@ -138,24 +171,21 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield give(out)
 
 
-def simhash_components(prints: DataFrame, deep_from: int = 4_000_000) -> DataFrame:
+def simhash_components(prints: DataFrame, most: int = 4096) -> DataFrame:
     """doc_id, fp -> doc_id, fp, component_id: the smallest doc_id reachable over links of at most 4 bits.
 
-    Equal fingerprints are one node, so a group of copies is one row in the join. A bucket gives
-    at most one edge per member. From deep_from distinct fingerprints on, keys reach one segment
-    further along the chain, which keeps buckets small; the result is the same.
-    Ties: none. Repeated rows (one doc_id twice) are kept. Null doc_id rows are kept and name nothing.
+    Equal fingerprints are one node, so a group of copies is one row in the search; rows get
+    their class back by a join that doesn't gather a group in one task. A bucket gives at most one
+    edge per member. Ties: none. Repeated rows (one doc_id twice) are kept. Null doc_id rows are kept
+    and name nothing.
     """
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    chain = 3 if distinct.count() >= deep_from else 2
-    keys = ring_keys(distinct, chain)
-    links = keys.repartition(partitions(prints.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long")
-    roots = connected_components(links)
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("_n")))
+    roots = connected_components(ring_links(distinct.select("fp"), most))
     near = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first_id")
-    named = near.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labelled = near.join(named, "root").select("fp", "component_id")
-    every = distinct.join(labelled, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return prints.join(every, "fp").select("doc_id", "fp", "component_id")
+    named = cut(near.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_n")))
+    labelled = join_by_key(near, named, ["root"], "inner").select("fp", "component_id")
+    every = cut(distinct.join(labelled, "fp", "left").select("fp", "_n", F.coalesce("component_id", "first_id").alias("component_id")))
+    return join_by_key(prints, every, ["fp"], "inner").select("doc_id", "fp", "component_id")
 
 
 def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
