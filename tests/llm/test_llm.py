@@ -103,30 +103,73 @@ def test_merge_gives_common_prefixes():
     assert prefix[0] == 0
 
 
-def test_lm_brute_force(docs, rows, empty):
-    got = {r.doc_id: r for r in lm.score_texts(docs).collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
-    one, two = collections.Counter(), collections.Counter()
+def plain_lm(rows):
+    """Counts and the smoothed probability of a word after a history, by recursion."""
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, *_ in rows}
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for i, t, *_ in rows:
         if not held[i]:
-            w = [*words(t), None]
-            one.update(w)
-            two.update(zip([0, *w], w))
+            w = [0, *words(t), None]
+            one.update(w[1:])
+            two.update(zip(w, w[1:]))
+            three.update(zip(w, w[1:], w[2:]))
     n, v = sum(one.values()), len(one)
+
+    def p(x, history):
+        if not history:
+            return (one[x] + 1) / (n + v + 1)
+        full = (two if len(history) == 1 else three)[(*history, x)]
+        of = (one[None] if history == (0,) else one[history[0]]) if len(history) == 1 else two[history]
+        return (full + lm.K * p(x, history[1:])) / (of + lm.K)
+
+    return held, one, n, v, p
+
+
+def test_lm_brute_force(docs, rows, empty):
+    got = {r.doc_id: r for r in lm.score_texts(docs).collect()}
+    held, one, n, v, p = plain_lm(rows)
     for i, t, *_ in rows:
-        w = [*words(t), None]
-        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w)
-        score = sum(math.log10((two[h, x] + lm.K * (one[x] + 1) / (n + v + 1)) / ((one[None] if h == 0 else one[h]) + lm.K)) for h, x in zip([0, *w], w))
+        w = [0, *words(t), None]
+        base = sum(math.log10((one[x] + 1) / (n + v + 1)) for x in w[1:])
+        score = sum(math.log10(p(w[k], tuple(w[max(0, k - 2) : k]))) for k in range(1, len(w)))
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(one[x] > 0 for x in w), n)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w) - 1, sum(one[x] > 0 for x in w[1:]), n)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
     assert lm.score_texts(empty).count() == 0
 
 
-def test_lm_weights_sum_to_one():
-    root = np.array([0.5, 0.3, 0.2])
-    pairs = np.array([3, 1, 0])
-    assert ((pairs + lm.K * root) / (pairs.sum() + lm.K)).sum() == pytest.approx(1)
+def test_lm_odd_rows(spark):
+    rows = [(2, "a b a b"), (2, "a b a b"), (None, "a b c"), (None, None), (5, ""), (6, " \n")]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, chunk int, held_out int")
+    held, one, n, v, p = plain_lm(rows)
+    got = sorted((r.doc_id or -1, r.n_tokens, round(r.score, 9)) for r in lm.score_texts(df).collect())
+    score = lambda t: sum(math.log10(p(w[k], tuple(w[max(0, k - 2) : k]))) for w in [[0, *words(t), None]] for k in range(1, len(w)))
+    assert got == sorted((i or -1, len(words(t)) + 1, round(score(t), 9)) for i, t in rows)
+
+
+def test_lm_automaton(rows):
+    """Its weights sum to one at every state, failure arcs included; lanes of any length read a text alike."""
+    texts = [(t or "").encode() for _, t, *_ in rows[:40]]
+    grams = lm.Grams(texts)
+    counts = grams.counts(np.arange(len(texts)) % 3 > 0)
+    n, v = int(counts[0].sum()), int((counts[0] > 0).sum())
+    auto = lm.Automaton(grams, counts, n, v, lm.K)
+    every = np.arange(auto.n_words)
+    states = np.unique(auto.key // auto.n_words)
+    assert len(states) > 100 and {0, 1} <= set(states.tolist())
+    unseen = int((counts[0] == 0).sum())
+    for s in np.random.default_rng(1).choice(states, 60):
+        _, score = auto.step(np.full(len(every), s), every)
+        # interpolated weights: one, plus what the root gives to each word that was never seen beyond the first
+        share = 10 ** (auto.fail_weight[s] + (auto.fail_weight[auto.fail[s]] if auto.fail[s] else 0)) if s else 1
+        assert (10**score).sum() == pytest.approx(1 + share * (unseen - 1) / (n + v + 1), rel=1e-9)
+    whole = auto.read(grams.places[0], grams.starts, grams.ends, 10**9)
+    assert np.allclose(whole, auto.read(grams.places[0], grams.starts, grams.ends, 3)) and np.allclose(whole, auto.read(grams.places[0], grams.starts, grams.ends, 2))
+    assert np.array_equal(lm._unpack_counts(lm._pack_counts(np.array([0, 254, 255, 256, 10**12]))), [0, 254, 255, 256, 10**12])
+    hashed = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 999, np.uint64) * np.uint64(2))
+    assert np.array_equal(lm.unpack_hashes(lm.pack_hashes(hashed)), hashed)
+    cuts = lm.range_cuts(hashed, 7)
+    assert sum(b - a for _, a, b in cuts) == 999 and [k for k, _, _ in cuts] == list(range(7))
 
 
 def test_simhash_brute_force(docs, rows, empty):
@@ -158,8 +201,8 @@ def test_simhash_brute_force(docs, rows, empty):
     assert simhash.simhash_near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("deep", [1, 10**9])
-def test_pigeonring_loses_no_link(spark, deep):
+@pytest.mark.parametrize("most", [1, 3, 4096])
+def test_pigeonring_loses_no_link(spark, most):
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(60)]
     for v in values[:40]:
@@ -168,7 +211,7 @@ def test_pigeonring_loses_no_link(spark, deep):
             x ^= 1 << b
         values.append(x)
     signed = [(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)]
-    got = {r.doc_id: r.component_id for r in simhash.simhash_components(spark.createDataFrame(signed, "doc_id long, fp long"), deep).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.simhash_components(spark.createDataFrame(signed, "doc_id long, fp long"), most).collect()}
     for a in range(len(values)):
         for b in range(a):
             if (values[a] ^ values[b]).bit_count() <= 4:
