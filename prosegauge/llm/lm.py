@@ -23,6 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,22 +32,25 @@ from .hashing import END, PRIME, mix, slices, word_hash_arrays
 
 K = 32.0
 BEGIN = mix(np.array([0xB0F], np.uint64))[0]
+_KEPT = ~np.uint64(0xFF)
 
 
 # ---- packing: texts and counts on their way --------------------------------------------------------
 
 
 def pack_hashes(values: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte plane by byte plane (the high planes are nearly all 0)."""
+    """Sorted hashes as differences, byte plane by byte plane: the middle planes are noise, the others nearly all alike."""
     steps = np.diff(values, prepend=np.uint64(0))
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    low, high = planes[:5].tobytes(), planes[5:].tobytes()  # the low planes are noise
-    return len(low).to_bytes(8, "little") + low + zlib.compress(high, 1)
+    noise, rest = planes[1:5].tobytes(), planes[[0, 5, 6, 7]].tobytes()
+    return len(noise).to_bytes(8, "little") + noise + zlib.compress(rest, 1)
 
 
 def unpack_hashes(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(data[8 : 8 + n] + zlib.decompress(data[8 + n :]), np.uint8).reshape(8, -1)
+    planes = np.empty((8, n // 4), np.uint8)
+    planes[1:5] = np.frombuffer(data, np.uint8, n, 8).reshape(4, -1)
+    planes[[0, 5, 6, 7]] = np.frombuffer(zlib.decompress(data[8 + n :]), np.uint8).reshape(4, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
@@ -86,7 +90,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.Reco
             own = batch.take(pa.array(order[a:b]))
             texts = [t or b"" for t in own.column("text").cast(pa.binary()).to_pylist()]
             sizes = np.array([len(t) for t in texts], np.int64)
-            rows.append((int(chunk[order[a]]), own.column("doc_id").to_pylist(), own.column("held_out").to_pylist(), sizes.tolist(), zlib.compress(b"".join(texts), 1)))
+            rows.append((int(chunk[order[a]]), own.column("doc_id").to_pylist(), own.column("held_out").to_pylist(), sizes.tolist(), zstandard.compress(b"".join(texts), 3)))
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.list_(pa.bool_())), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.binary())],
             ["chunk", "ids", "held", "sizes", "data"],
@@ -104,7 +108,7 @@ def _texts(chunk: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
     for own, out, sizes, data in zip(*(chunk.column(n).to_pylist() for n in ("ids", "held", "sizes", "data")), strict=True):
         ids += own
         held += out
-        raw, at = zlib.decompress(data), 0
+        raw, at = zstandard.decompress(data), 0
         for n in sizes:
             texts.append(raw[at : at + n])
             at += n
@@ -118,6 +122,7 @@ class Grams:
     """The distinct words, pairs and triples of some texts, each level sorted by hash, and where they stand.
 
     Every text begins with BEGIN before its first word and ends with END; a triple is a pair and the word after it.
+    Pairs and triples are most of what is sent, so of their hashes 56 bits are kept.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -126,10 +131,10 @@ class Grams:
         before = np.empty_like(self.tokens)
         before[1:] = self.tokens[:-1]
         before[self.starts] = BEGIN
-        pair = mix(before * PRIME + self.tokens * np.uint64(0xC2B2AE3D27D4EB4F))
-        last = np.empty_like(pair)
-        last[1:] = pair[:-1]
-        triple = mix(last * PRIME + self.tokens * np.uint64(0x165667B19E3779F9))
+        pair = mix(before * PRIME + self.tokens * np.uint64(0xC2B2AE3D27D4EB4F)) & _KEPT
+        before[1:] = pair[:-1]
+        triple = mix(before * PRIME + self.tokens * np.uint64(0x165667B19E3779F9)) & _KEPT
+        del before
         self.has_triple = np.ones(len(pair), bool)
         self.has_triple[self.starts] = False  # the first word has no pair before it
         levels = (self.tokens, pair, triple[self.has_triple])
@@ -309,14 +314,14 @@ def _score(chunk: pa.Table, answers: pa.Table, n: int, v: int, strength: float)
     )
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, strength: float = K, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 12) -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, strength: float = K, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 6) -> DataFrame:
     """Log10 probability of every text under the automaton of the training texts.
 
     Training texts are those whose crc32(doc_id as text) mod `folds` is not `fold`. Null texts are
     empty: one end. Repeated rows are scored each, and count each in training. A null doc_id has
     the checksum of the empty string. Texts of any length are read whole, a text longer than chunk_mb as a chunk
     of its own size. An empty table gives an empty result; with no training text
-    at all every word is unseen. Other columns are ignored. n-grams are compared by 64-bit hashes.
+    at all every word is unseen. Other columns are ignored. Words are compared by 64-bit hashes, longer n-grams by 56 bits.
     """
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"))
