@@ -443,9 +443,51 @@ def test_toxicity_held_out(spark, empty):
     assert sum((got[i] >= 0.5) == (i % 3 == 0) for i in held) >= 0.97 * len(held)
     for t in ("you z0under", "b l a g g a r t", "sn!veller", "zoooounder!!", "b-l-a-g-g-a-r-t"):
         assert model.score(toxicity.restore(t, model.chars, {})) >= 0.5, t
-    odd = spark.createDataFrame([(None, None), (1, ""), (2, "#" * 50000), (2, "1" * 300)], "doc_id long, text string")
+    # separators: one decoding of the run yields its words, those of one letter beside it too
+    assert "blaggart" in toxicity.restore("ca b l a g g a r t", model.chars, {})
+    odd = spark.createDataFrame([(None, None), (1, ""), (2, "#" * 50000), (2, "1" * 300), (3, "a " * 20000), (4, "a1" * 2000), (5, "q" * 20000)], "doc_id long, text string")
     assert all(0 <= r.score < 0.5 for r in toxicity.score_toxicity(odd, model).collect())
     assert toxicity.score_toxicity(empty, model).count() == 0
+    assert len(set(got.values())) > 50  # graded
+    clash = df.limit(20).selectExpr("doc_id", "text", "1 as _score", "'x' as _TEXT")
+    left = toxicity.reject_toxic(clash, model)
+    assert left.columns == clash.columns and {r.doc_id for r in left.collect()} == {i for i in range(20) if got[i] < 0.5}
+    for few in (marks.limit(0), marks.where("toxic = 0"), marks.selectExpr("doc_id", "cast(null as int) as toxic")):
+        assert all(r.score < 0.5 for r in toxicity.score_toxicity(odd, toxicity.fit_toxicity(df, few)).collect())
+
+
+def test_toxicity_decodes_exactly():
+    """Viterbi against all readings of short words."""
+    import itertools
+
+    model = toxicity.CharModel.fit({"slab": 3, "bass": 2, "so": 5, "all": 4, "lass": 1, "oil": 2})
+
+    def readings(word):
+        """(cost, reading) of every path through the lattice."""
+        choices, previous = [], ""
+        for k, ch in enumerate(word):
+            if ch in toxicity.APART and 0 < k < len(word) - 1:
+                own = [("", toxicity.CLOSE), (" ", 0.0)]
+            else:
+                again = ch == previous
+                own = [(x, toxicity.READ) for x in toxicity.STANDS_FOR.get(ch, "")] + [(ch, toxicity.KEEP if ch in toxicity.STANDS_FOR else toxicity.AGAIN if again else 0.0)]
+                own += [("", toxicity.DROP)] if again else []
+            choices.append(own)
+            previous = ch
+        for path in itertools.product(*choices):
+            total, context = sum(c for _, c in path), "^"
+            for x in [*(x for x, _ in path if x), "$"]:
+                if x == " ":
+                    total, context = total + model.cost(context[-4:], "$"), "^"
+                else:
+                    total, context = total + model.cost(context[-4:], x), (context + x)[-4:]
+            yield total, "".join(x for x, _ in path)
+
+    for word in ("5l4b", "b4$5", "s.o", "b-a-s-s", "a l l", "0ill!", "ssllaabb", "so.4ll", "1455", "x", "l|1|l"):
+        cost, text = toxicity.decoded(word, model)
+        every = list(readings(word))
+        assert cost == pytest.approx(min(c for c, _ in every)) and any(x == text and c == pytest.approx(cost) for c, x in every), word
+    assert toxicity.decode("b-4-5-5", model) == "bass" and toxicity.decode("so.4ll", model) == "so all"
 
 
 @pytest.fixture(scope="module")
