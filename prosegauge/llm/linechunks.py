@@ -15,9 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, cut, table
+from .common import bind, cut, join_by_key, row_key, table, unused
 
-_CHUNK = "struct<start:int,n:int,h:bigint>"
 #: A line of so many words is a passage by itself.
 LINE_WORDS = 20
 
@@ -73,15 +72,16 @@ def repeated_chunks(docs: DataFrame, spread: int = 4, least: int = 2, line_words
     place = F.struct("doc_id", "_row", "start")
     apart = (F.struct("_row", "start") != F.struct("_first._row", "_first.start")) & ((F.col("_row") != F.col("_first._row")) | (F.col("start") >= F.col("_first.start") + F.col("n")))
     spot = F.xxhash64("_row", "start")
-    again = placed.groupBy("h").agg(F.min(spot).alias("_least"), F.max(spot).alias("_most")).where("_least != _most")
-    met = cut(placed.join(again.select("h"), "h", "left_semi").distinct())
+    again = placed.groupBy("h").agg(F.min(spot).alias("_least"), F.max(spot).alias("_most"), F.count("*").alias("_n")).where("_least != _most")
+    met = cut(join_by_key(placed, cut(again.select("h", "_n")), ["h"], "left_semi").distinct())
     per_row = met.groupBy("_row").agg(F.collect_list(F.struct("start", "n", "h")).alias("_met"))
     texts = docs.select("_row", "doc_id", F.split("_text", "\n").alias("_lines")).join(per_row, "_row")
     read = texts.select("_row", "doc_id", F.explode(F.transform("_met", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["h"].alias("h"), _body(F.col("_lines"), c["start"], c["n"]).alias("body")))).alias("c"))
     read = read.select("_row", "doc_id", "c.*")
     worded = F.lit(True) if line_words is not None else F.size(F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) >= least
-    alike = cut(read.groupBy("h", "body").agg(F.min(place).alias("_first"), F.first(worded).alias("_worded")).groupBy("h").agg(F.count("*").alias("_bodies"), F.first("_first").alias("_first"), F.first("_worded").alias("_worded")))
-    sure = met.join(alike.where("_bodies = 1 and _worded").select("h", "_first"), "h").where(apart).select("_row", "start", "n")
+    bodies = read.groupBy("h", "body").agg(F.min(place).alias("_first"), F.first(worded).alias("_worded"), F.count("*").alias("_n"))
+    alike = cut(bodies.groupBy("h").agg(F.count("*").alias("_bodies"), F.first("_first").alias("_first"), F.first("_worded").alias("_worded"), F.sum("_n").alias("_n")))
+    sure = join_by_key(met, alike.where("_bodies = 1 and _worded").select("h", "_first", "_n"), ["h"], "inner").where(apart).select("_row", "start", "n")
     mixed = read.where(worded).join(alike.where("_bodies > 1").select("h"), "h", "left_semi")
     firsts = mixed.groupBy("h", "body").agg(F.min(place).alias("_first"))
     rest = mixed.join(firsts, ["h", "body"]).where(apart).select("_row", "start", "n")
@@ -91,21 +91,22 @@ def repeated_chunks(docs: DataFrame, spread: int = 4, least: int = 2, line_words
 def dedup_lines(docs: DataFrame, spread: int = 4, least: int = 2, id_col: str = "doc_id", text_col: str = "text", line_words: int | None = None) -> DataFrame:
     """Every row of docs with its repeated chunks of lines removed (with line_words: its repeated runs), all its columns, and n_removed_lines.
 
-    Null texts stay null, empty ones empty. Rows alike in id and text are one place and are
-    treated alike. Ties in doc_id are ordered by a hash of the text. A text that loses all its
-    lines is empty. An empty table gives an empty result. Names that start with an underscore
-    are this function's own.
+    Null texts stay null, empty ones empty; texts of any length are read whole. Rows alike in id and
+    text are one place and are treated alike. Ties in doc_id are ordered by a hash of the text. A text
+    that loses all its lines is empty. An empty table gives an empty result. A column named
+    n_removed_lines is replaced; all others stay, whatever their names.
     """
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumn("_row", F.xxhash64(F.col(id_col), text))
-    bare = keyed.where(text.isNotNull()).select("_row", F.col(id_col).alias("doc_id"), text.alias("_text"))
-    gone = repeated_chunks(bare, spread, least, line_words).groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("_gone"))
-    joined = keyed.join(gone, "_row", "left")
-    places = F.flatten(F.transform("_gone", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
+    text, row, lost = F.col(text_col).cast("string"), unused(docs, "_row"), unused(docs, "_gone")
+    keyed = docs.withColumn(row, row_key(F.col(id_col), text))
+    bare = keyed.where(text.isNotNull()).select(F.col(row).alias("_row"), F.col(id_col).alias("doc_id"), text.alias("_text"))
+    gone = repeated_chunks(bare, spread, least, line_words).groupBy(F.col("_row").alias(row)).agg(F.collect_list(F.struct("start", "n")).alias(lost))
+    joined = keyed.join(gone, row, "left")
+    places = F.flatten(F.transform(lost, lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
     stays = bind(F.split(text, "\n"), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places), lambda i: F.get(lines, i)), "\n"))
-    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size(F.array_distinct(places))).cast("bigint")
-    out = joined.withColumn("n_removed_lines", removed).withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(stays))
-    return out.select(*docs.columns, "n_removed_lines")
+    removed = F.when(F.col(lost).isNull(), 0).otherwise(F.size(F.array_distinct(places))).cast("bigint")
+    kept = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(stays)
+    columns = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != "n_removed_lines"]
+    return joined.select(*columns, removed.alias("n_removed_lines"))
 
 
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,6 +360,33 @@ def test_decontamination(spark, docs, rows, empty):
     assert left.columns == docs.columns and left.count() == len(rows) + 3 - len({d for d, _ in want})
 
 
+def test_decontamination_of_short_items(spark, monkeypatch):
+    """Items of fewer words than a shingle, against the SQL; the salted join gives the same rows."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("ab cd ef gh ij kl mn".split()) for _ in range(rng.randint(0, 40)))) for i in range(60)] + [(7, "zz yy"), (60, None), (None, "zz yy")]
+    items = [(1, "ab cd ef"), (2, "zz yy"), (3, "kl"), (4, "ab AB cd cd ef gh ij"), (5, " \n"), (6, None), (None, "ab"), (7, rows[5][1]), (7, "gh gh gh")]
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    c.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]).astype({"item_id": "Int64"}))
+    want = sorted(c.sql(decontaminate.OP10_SQL).fetchall())
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    order = lambda df: sorted((r.doc_id, r.item_id, r.n_shared, r.n_item, r.containment) for r in df.collect())
+    assert order(decontaminate.contaminated(docs, bench)) == want and {i for _, i, *_ in want} >= {1, 2, 3}
+    monkeypatch.setattr(decontaminate, "SMALL", 0)
+    assert order(decontaminate.contaminated(docs, bench)) == want
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    line = "a line of a good many words that stands here and there and is as long as twenty words need to be at all"
+    df = spark.createDataFrame([(1, line, 1, b"x", "g", 5), (2, f"own\n{line}", 2, b"y", "h", 6), (2, f"own\n{line}", 3, b"y", "h", 6)], "doc_id long, text string, _text int, _row binary, _gone string, n_removed_lines int")
+    out = linechunks.dedup_lines(df, line_words=20)
+    assert out.columns == ["doc_id", "text", "_text", "_row", "_gone", "n_removed_lines"]
+    assert sorted((r.doc_id, r.text, r._text, r.n_removed_lines) for r in out.collect()) == [(1, line, 1, 0), (2, "own", 2, 1), (2, "own", 3, 1)]
+
+
 def test_surrogates(spark, empty):
     texts = [
         (1, "Mail jo.doe@mail.example.com or call +1 (988) 555-2485; Mr. John Keller lives here.", "x"),
