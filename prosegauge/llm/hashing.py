@@ -1,7 +1,8 @@
-"""Word hashes of many texts at once, in numpy."""
+"""Word hashes of many texts at once, in numpy, and hashes packed for the way."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,3 +114,34 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, mb: int = 4) -> Itera
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (mb << 20), "right")))
             yield batch.slice(at, stop - at)
             at = stop
+
+
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    """As np.unique, by sorting."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
+def pack_hashes(values: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte plane by byte plane: the middle planes are noise, the others nearly all alike."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    noise, rest = planes[1:5].tobytes(), planes[[0, 5, 6, 7]].tobytes()
+    return len(noise).to_bytes(8, "little") + noise + zlib.compress(rest, 1)
+
+
+def unpack_hashes(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.empty((8, n // 4), np.uint8)
+    planes[1:5] = np.frombuffer(data, np.uint8, n, 8).reshape(4, -1)
+    planes[[0, 5, 6, 7]] = np.frombuffer(zlib.decompress(data[8 + n :]), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
+def range_cuts(values: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, first, last) of the ranges of hash space that sorted values fall into; empty ranges cost nothing."""
+    if not len(values):
+        return []
+    which = ((values >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    edges = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(values)]
+    return [(int(which[a]), a, b) for a, b in zip(edges, edges[1:], strict=False)]

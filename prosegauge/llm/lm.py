@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces_of, table
-from .hashing import END, PRIME, mix, slices, word_hash_arrays
+from .hashing import END, PRIME, mix, pack_hashes, range_cuts, slices, unpack_hashes, word_hash_arrays
 
 K = 32.0
 BEGIN = mix(np.array([0xB0F], np.uint64))[0]
@@ -38,22 +38,6 @@ _KEPT = ~np.uint64(0xFF)
 # ---- packing: texts and counts on their way --------------------------------------------------------
 
 
-def pack_hashes(values: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte plane by byte plane: the middle planes are noise, the others nearly all alike."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    noise, rest = planes[1:5].tobytes(), planes[[0, 5, 6, 7]].tobytes()
-    return len(noise).to_bytes(8, "little") + noise + zlib.compress(rest, 1)
-
-
-def unpack_hashes(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.empty((8, n // 4), np.uint8)
-    planes[1:5] = np.frombuffer(data, np.uint8, n, 8).reshape(4, -1)
-    planes[[0, 5, 6, 7]] = np.frombuffer(zlib.decompress(data[8 + n :]), np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
-
-
 def _pack_counts(counts: np.ndarray) -> bytes:
     """Counts below 255 as one byte each, the others after them."""
     small = np.minimum(counts, 255).astype(np.uint8)
@@ -68,15 +52,6 @@ def _unpack_counts(data: bytes) -> np.ndarray:
     return counts
 
 
-def range_cuts(values: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
-    """(range, first, last) of the ranges of hash space that sorted values fall into; empty ranges cost nothing."""
-    if not len(values):
-        return []
-    which = ((values >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    edges = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(values)]
-    return [(int(which[a]), a, b) for a, b in zip(edges, edges[1:], strict=False)]
-
-
 def _chunked(batches: Iterator[pa.RecordBatch], chunks: int) -> Iterator[pa.RecordBatch]:
     """doc_id, text, held_out, chunk -> a row for each chunk with its rows of the batch, the texts compressed."""
     for batch in batches:

@@ -8,11 +8,17 @@ into shards, each shard's Burrows-Wheeler transform is built, and the transforms
 their interleave: a stable sort of the interleave by the symbols before each suffix sorts it two
 symbols deeper, without comparing suffixes again. Where a boundary first shows gives the common
 prefix of the neighbours; neighbours that share `length` bytes or more form the repeated intervals.
+
+A minimizer that very many different segments share (a passage that stands between other words in each
+of a great many documents) would make one range large. Its windows are dealt out one by one, each
+by a hash of its own, so equal ones still meet and no range holds more than its share.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces_of, table
+from .hashing import distinct_sorted, pack_hashes, range_cuts, unpack_hashes
 
 LENGTH = 50
 _PRIME = 0x9E3779B97F4A7C15
@@ -46,7 +53,7 @@ def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
             n = h.shape[-1] - 1
             h = h[..., :n] * np.uint64(_PRIME) + _BYTE[b[..., size : size + n]]
             size += 1
-    return _mix(h)
+    return h
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -61,35 +68,67 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return h
 
 
+def gram_size(length: int) -> int:
+    return max(1, length // 2 - 1)
+
+
 def minimizers(b: np.ndarray, length: int) -> np.ndarray:
-    """The smallest k-gram hash of each window of `length` bytes, mixed once more: minima alone crowd near zero and would be dealt unevenly."""
-    k = length // 2 + 1
+    """The smallest k-gram hash of each window of `length` bytes, mixed: minima alone crowd near zero and would be dealt unevenly."""
+    k = gram_size(length)
     return _mix(sliding_min(gram_hashes(b, k), length - k + 1) + np.uint64(_PRIME))
 
 
-_BLOCK = 1 << 19
+_BLOCK = 1 << 17
+_NONE = np.zeros(0, np.int64)
 
 
-def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first window, windows) of the text's segments: neighbours alike in minimizer, a bounded number of them."""
-    most = length - length // 2
-    values, starts, sizes = [], [], []
-    for at in range(0, max(0, len(text) - length + 1), _BLOCK):  # a long text in pieces that overlap by less than a window
-        b = np.frombuffer(text, np.uint8, min(_BLOCK + length - 1, len(text) - at), at)
-        m = minimizers(b, length)
-        cut = np.concatenate(([0], np.flatnonzero(m[1:] != m[:-1]) + 1))
-        n = np.diff(np.concatenate((cut, [len(m)])))
+def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+    """(pieces, their rows, where they start in their texts), about a block at a time; long texts in pieces that overlap by less than a window."""
+    held: tuple[list[bytes], list[int], list[int]] = ([], [], [])
+    size = 0
+    for row, text in enumerate(texts):
+        for at in range(0, max(0, len(text) - length + 1), _BLOCK):
+            piece = text[at : at + _BLOCK + length - 1]
+            for part, x in zip(held, (piece, row, at), strict=True):
+                part.append(x)
+            size += len(piece)
+            if size >= _BLOCK:
+                yield held
+                held, size = ([], [], []), 0
+    if size:
+        yield held
+
+
+def runs(texts: list[bytes], length: int) -> list[np.ndarray]:
+    """[row, minimizer, identity, first window, windows] of the texts' segments: neighbours alike in minimizer, a bounded number of them.
+
+    Segments that are equal have the same identity; others hardly ever.
+    """
+    k = gram_size(length)
+    most = length - k + 1
+    out: list[list[np.ndarray]] = [[_NONE, _NONE.astype(np.uint64), _NONE.astype(np.uint64), _NONE, _NONE]]
+    for parts, rows, froms in _pieces(texts, length):
+        b = np.frombuffer(b"".join(parts), np.uint8)
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        begin = np.cumsum(size) - size
+        stop = begin + size - length + 1
+        grams = gram_hashes(b, k)
+        m = sliding_min(grams, most)
+        new = np.empty(len(m), bool)
+        new[0] = True
+        np.not_equal(m[1:], m[:-1], out=new[1:])
+        new[begin] = True
+        cut = np.flatnonzero(new)
+        which = np.searchsorted(begin, cut, "right") - 1
+        n = np.minimum(np.append(cut[1:], len(m)), stop[which]) - cut  # windows that reach into the next piece are none
+        cut, which, n = cut[n > 0], which[n > 0], n[n > 0]
         if n.max() > most:
             pieces = -(-n // most)
             nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            cut, left = np.repeat(cut, pieces) + nth * most, np.repeat(n, pieces) - nth * most
-            n = np.minimum(left, most)
-        values.append(m[cut])
-        starts.append(cut + at)
-        sizes.append(n)
-    if not values:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(values), np.concatenate(starts).astype(np.int64), np.concatenate(sizes).astype(np.int64)
+            cut, n, which = np.repeat(cut, pieces) + nth * most, np.minimum(np.repeat(n, pieces) - nth * most, most), np.repeat(which, pieces)
+        mark = (grams[cut] * np.uint64(_PRIME) + grams[cut + n + length - 1 - k]) * np.uint64(_PRIME) + n.astype(np.uint64)
+        out.append([np.array(rows, np.int64)[which], _mix(m[cut] + np.uint64(_PRIME)), mark, cut - begin[which] + np.array(froms, np.int64)[which], n])
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
 # ---- Burrows-Wheeler transforms ----------------------------------------------------------------
@@ -102,7 +141,6 @@ class Shard:
     def __init__(self, strings: list[bytes]):
         order = sorted(range(len(strings)), key=strings.__getitem__)
         sizes = np.array([len(strings[i]) + 1 for i in order], np.int64)
-        suffixes = [s[k:] for s in map(strings.__getitem__, order) for k in range(len(s) + 1)]
         # UTF-8 has no byte 255, so one more than each byte fits a byte and leaves 0 to the end mark
         symbols = (np.frombuffer(b"\xff".join([*map(strings.__getitem__, order), b""]), np.uint8) + np.uint8(1)).astype(np.uint16)
         start = np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -110,11 +148,30 @@ class Shard:
         place = np.arange(len(symbols)) - start
         before = symbols[start + (place - 2) % ring] * np.uint16(256) + symbols[start + (place - 1) % ring]
         # the strings stand in order, so a stable sort puts equal suffixes in the order of their strings
-        ranked = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), np.int64)
+        ranked = np.argsort(_suffix_ranks(symbols, ring - place), kind="stable")
         self.before, self.place = before[ranked], place[ranked]
         self.which = np.repeat(np.array(order, np.int64), sizes)[ranked]
 
 
+def _suffix_ranks(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes, equal ones alike, by doubling their compared part; left: symbols up to the end mark, that one too."""
+    n = len(symbols)
+    rank = np.zeros(n, np.int64)
+    for k in range(4):
+        rank <<= 8
+        rank[: n - k] |= np.where(left[: n - k] > k, symbols[k:], 0)
+    _, rank = np.unique(rank, return_inverse=True)
+    size, known = 4, int(rank.max()) + 1
+    while size < int(left.max()):
+        pair = (rank + 1) * (n + 1)
+        pair[: n - size] += np.where(left[: n - size] > size, rank[size:] + 1, 0)
+        _, rank = np.unique(pair, return_inverse=True)
+        if int(rank.max()) + 1 == known:
+            break
+        size, known = size * 2, int(rank.max()) + 1
+    return rank
+
+
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(rank in the merged order of each suffix, shard by shard; common prefix of each place with the one before).
 
@@ -139,7 +196,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(owner, kind="stable"), prefix
 
 
-def shared_least(strings: list[bytes], own: np.ndarray, length: int, shard_bytes: int = 1 << 16) -> list[np.ndarray]:
+def shared_least(strings: list[bytes], own: np.ndarray, length: int, shard_bytes: int = 1 << 17) -> list[np.ndarray]:
     """For each window of each string (all different), the least `own` value of the strings that hold it."""
     shards, ids, held, size = [], [], [], 0
     for i, s in enumerate(strings):
@@ -166,33 +223,26 @@ def shared_least(strings: list[bytes], own: np.ndarray, length: int, shard_bytes
 # ---- dealing out ---------------------------------------------------------------------------------
 
 
-def _zip(x: np.ndarray | bytes) -> bytes:
-    return zlib.compress(x if isinstance(x, bytes) else x.tobytes(), 1)
-
-
-def _pack(values: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte plane by byte plane."""
-    return _zip(np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T))
+#: Different segments of one minimizer from which on its windows are dealt out one by one.
+CROWD = 20_000
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64), dtype=np.uint64)
+def _zip(x: np.ndarray | bytes) -> bytes:
+    return zlib.compress(x if isinstance(x, bytes) else x.tobytes(), 1)
 
 
-def _ranges(values: np.ndarray, buckets: int) -> list[int]:
-    return [*np.searchsorted(values, np.arange(buckets, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // buckets)).tolist(), len(values)]
+def _bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
 class _Chunk:
     """The segments of a chunk's texts, row by row. Rows without an id take no part."""
 
     def __init__(self, docs: pa.Table, length: int):
+        self.length = length
         self.texts = [t or b"" for t in docs.column("text").to_pylist()]
         self.ids = docs.column("doc_id").to_pylist()
-        found = [runs(t, length) if i is not None else runs(b"", length) for t, i in zip(self.texts, self.ids, strict=True)]
-        self.row = np.repeat(np.arange(len(found)), [len(v) for v, _, _ in found])
-        self.value, self.start, self.windows = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        self.row, self.value, self.mark, self.start, self.windows = runs([t if i is not None else b"" for t, i in zip(self.texts, self.ids, strict=True)], length)
         self.distinct, self.inverse = np.unique(self.value, return_inverse=True)
         self.id = np.array([0 if i is None else i for i in self.ids], np.int64)
 
@@ -204,70 +254,88 @@ class _Chunk:
         np.maximum.at(high, self.inverse, own)
         return low != high
 
-    def candidates(self, flags: pa.Table, buckets: int, length: int) -> tuple[np.ndarray, list[bytes], np.ndarray, list[int]]:
-        """(place of its segment for each candidate run, or -1; the distinct segments by minimizer; their least ids; range cuts)."""
-        hit = np.zeros(len(self.distinct), bool)
-        cuts = _ranges(self.distinct, buckets)
-        for k, data in zip(flags.column("bucket").to_pylist(), flags.column("data").to_pylist(), strict=True):
-            n = cuts[k + 1] - cuts[k]
-            hit[cuts[k] : cuts[k + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+    def kinds(self) -> np.ndarray:
+        """Of each distinct minimizer: how many different segments it has here."""
+        each = distinct_sorted(self.inverse.astype(np.uint64) << np.uint64(32) | _mix(self.mark) >> np.uint64(32))
+        return np.bincount((each >> np.uint64(32)).astype(np.int64), minlength=len(self.distinct))
+
+    def candidates(self, flags: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray, list[tuple[int, int, int]]]:
+        """(row, first window, windows, segment) of each run that may repeat; the distinct segments in the order of their keys; their least ids; cuts by range."""
+        hit, crowded = np.zeros(len(self.distinct), bool), np.zeros(len(self.distinct), bool)
+        at_range = {k: (a, b) for k, a, b in range_cuts(self.distinct, buckets)}
+        for k, data, more in zip(*(flags.column(n).to_pylist() for n in ("bucket", "data", "crowded")), strict=True):
+            a, b = at_range[k]
+            hit[a:b] = _bits(data, b - a)
+            crowded[a:b] = _bits(more, b - a)
         chosen = np.flatnonzero(hit[self.inverse])
-        chosen = chosen[np.argsort(self.value[chosen], kind="stable")]
+        alone = crowded[self.inverse[chosen]]
+        # runs of crowded minimizers window by window
+        one = chosen[alone]
+        n = self.windows[one]
+        nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        rest = chosen[~alone]
+        row = np.concatenate((self.row[rest], np.repeat(self.row[one], n)))
+        start = np.concatenate((self.start[rest], np.repeat(self.start[one], n) + nth))
+        windows = np.concatenate((self.windows[rest], np.ones(len(nth), np.int64)))
+        length, texts = self.length, self.texts
+        own = [int.from_bytes(blake2b(texts[r][a : a + length], digest_size=8).digest(), "little") for r, a in zip(row[len(rest) :].tolist(), start[len(rest) :].tolist(), strict=True)]
+        key = np.concatenate((self.value[rest], np.array(own, np.uint64)))
+        order = np.argsort(key, kind="stable")
+        row, start, windows, key = row[order], start[order], windows[order], key[order]
         at: dict[bytes, int] = {}
         segments: list[bytes] = []
-        place = np.full(len(self.value), -1, np.int64)
-        spots = []
-        for first in range(0, len(chosen), 20_000):
-            some = chosen[first : first + 20_000]
-            for r, row, a, n in zip(some.tolist(), self.row[some].tolist(), self.start[some].tolist(), self.windows[some].tolist(), strict=True):
-                s = self.texts[row][a : a + n + length - 1]
-                if (k := at.get(s)) is None:
-                    k = at[s] = len(segments)
+        place, spots = np.empty(len(row), np.int64), []
+        for first in range(0, len(row), 20_000):
+            part = slice(first, first + 20_000)
+            for k, (r, a, m) in enumerate(zip(row[part].tolist(), start[part].tolist(), windows[part].tolist(), strict=True), first):
+                s = texts[r][a : a + m + length - 1]
+                if (seen := at.get(s)) is None:
+                    seen = at[s] = len(segments)
                     segments.append(s)
-                    spots.append(r)
-                place[r] = k
+                    spots.append(k)
+                place[k] = seen
         least = np.full(len(segments), _FAR)
-        np.minimum.at(least, place[chosen], self.id[self.row[chosen]])
-        return place, segments, least, _ranges(self.value[np.array(spots, np.int64)] if spots else np.zeros(0, np.uint64), buckets)
+        np.minimum.at(least, place, self.id[row])
+        return row, start, windows, place, segments, least, range_cuts(key[np.array(spots, np.int64)], buckets)
 
 
-_ASK = "bucket long, chunk long, data binary, marks binary"
+_ASK = "bucket long, chunk long, data binary, marks binary, kinds binary"
+_TOLD = "bucket long, chunk long, data binary, crowded binary"
 _REPLY = "bucket long, chunk long, data binary"
+_SEGMENTS = "bucket long, chunk long, sizes binary, data binary, least binary"
 
 
-def _rows(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
-    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(schema.items())})
-
-
-_ASK_ARROW = {"bucket": pa.int64(), "chunk": pa.int64(), "data": pa.binary(), "marks": pa.binary()}
-_REPLY_ARROW = {"bucket": pa.int64(), "chunk": pa.int64(), "data": pa.binary()}
-_SEGMENTS = "bucket long, chunk long, sizes binary, data binary, least binary"
-_SEGMENTS_ARROW = {"bucket": pa.int64(), "chunk": pa.int64(), "sizes": pa.binary(), "data": pa.binary(), "least": pa.binary()}
+def _rows(schema: str, rows: list[tuple]) -> pa.Table:
+    fields = [(name, pa.int64() if kind == "long" else pa.binary()) for name, kind in (f.split() for f in schema.split(", "))]
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(fields)})
 
 
 def _ask(docs: pa.Table, buckets: int, length: int) -> pa.Table:
     chunk = _Chunk(docs, length)
-    spread, cuts, number = chunk.spread(), _ranges(chunk.distinct, buckets), docs.column("chunk")[0].as_py()
-    return _rows(_ASK_ARROW, [(k, number, _pack(chunk.distinct[a:b]), np.packbits(spread[a:b]).tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b])
+    spread, kinds, number = chunk.spread(), np.minimum(chunk.kinds(), 65535).astype(np.uint16), docs.column("chunk")[0].as_py()
+    return _rows(_ASK, [(k, number, pack_hashes(chunk.distinct[a:b]), np.packbits(spread[a:b]).tobytes(), _zip(kinds[a:b])) for k, a, b in range_cuts(chunk.distinct, buckets)])
 
 
-def _answer(asked: pa.Table) -> pa.Table:
-    """Which minimizers of a range stand in more than one document: two chunks, or one that says so."""
-    values = [_unpack(x) for x in asked.column("data").to_pylist()]
+def _answer(asked: pa.Table, crowd: int) -> pa.Table:
+    """Which minimizers of a range stand in more than one document (two chunks, or one that says so), and which have very many segments."""
+    values = [unpack_hashes(x) for x in asked.column("data").to_pylist()]
     marks = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(v)) for m, v in zip(asked.column("marks").to_pylist(), values, strict=True)]
+    kinds = [np.frombuffer(zlib.decompress(x), np.uint16) for x in asked.column("kinds").to_pylist()]
     distinct, inverse = np.unique(np.concatenate(values), return_inverse=True)
     weight = np.bincount(inverse, 1 + np.concatenate(marks), len(distinct))
-    told = np.split((weight > 1)[inverse], np.cumsum([len(v) for v in values])[:-1])
-    return _rows(_REPLY_ARROW, list(zip(asked.column("bucket").to_pylist(), asked.column("chunk").to_pylist(), [np.packbits(t).tobytes() for t in told], strict=True)))
+    crowded = np.bincount(inverse, np.concatenate(kinds), len(distinct)) > crowd
+    edges = np.cumsum([len(v) for v in values])[:-1]
+    told = zip(np.split((weight > 1)[inverse], edges), np.split(crowded[inverse], edges), strict=True)
+    return _rows(_TOLD, [(k, c, np.packbits(t).tobytes(), np.packbits(m).tobytes()) for k, c, (t, m) in zip(asked.column("bucket").to_pylist(), asked.column("chunk").to_pylist(), told, strict=True)])
 
 
 def _send(docs: pa.Table, flags: pa.Table, buckets: int, length: int) -> pa.Table:
     if not docs.num_rows:
-        return _rows(_SEGMENTS_ARROW, [])
-    chunk, number = _Chunk(docs, length), docs.column("chunk")[0].as_py()
-    _, segments, least, cuts = chunk.candidates(flags, buckets, length)
+        return _rows(_SEGMENTS, [])
+    *_, segments, least, cuts = _Chunk(docs, length).candidates(flags, buckets)
+    number = docs.column("chunk")[0].as_py()
     sizes = np.fromiter(map(len, segments), np.uint32, len(segments))
-    return _rows(_SEGMENTS_ARROW, [(k, number, _zip(sizes[a:b]), _zip(b"".join(segments[a:b])), _zip(least[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b])
+    return _rows(_SEGMENTS, [(k, number, _zip(sizes[a:b]), _zip(b"".join(segments[a:b])), _zip(least[a:b])) for k, a, b in cuts])
 
 
 def _match(asked: pa.Table, length: int, at_once: int = 1 << 20) -> pa.Table:
@@ -310,7 +378,7 @@ def _match(asked: pa.Table, length: int, at_once: int = 1 << 20) -> pa.Table:
                 out[offsets[k] : offsets[k + 1]] = low
 
     for a, b in zip(cuts, cuts[1:], strict=False):
-        if b - a > 1:
+        if b - a > 1 and windows[order[a:b]].max() > 1:  # single windows, all different, share nothing
             group += order[a:b].tolist()
             size += sum(len(strings[k]) for k in order[a:b])
             if size >= at_once:
@@ -322,7 +390,7 @@ def _match(asked: pa.Table, length: int, at_once: int = 1 << 20) -> pa.Table:
         n = windows[own]
         index = np.repeat(offsets[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
         rows.append((bucket, chunk, _zip(out[index])))
-    return _rows(_REPLY_ARROW, rows)
+    return _rows(_REPLY, rows)
 
 
 _COVERED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -332,23 +400,22 @@ def _cover(docs: pa.Table, told: pa.Table, buckets: int, length: int) -> pa.Tabl
     """Bytes covered by windows that a smaller id holds too, row by row."""
     chunk = _Chunk(docs, length)
     kind, at = told.column("kind").to_numpy(), told.column("bucket").to_numpy()
-    flags = told.take(np.flatnonzero(kind == 0))
-    place, segments, _, _ = chunk.candidates(flags, buckets, length)
+    rows, starts, windows, place, segments, _, _ = chunk.candidates(told.take(np.flatnonzero(kind == 0)), buckets)
     lows = told.take(np.flatnonzero(kind == 1)[np.argsort(at[kind == 1], kind="stable")]).column("data").to_pylist()
     low = np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in lows]) if lows else np.zeros(0, np.int64)
     offsets = np.concatenate(([0], np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)) - length + 1)))
     del segments, told, lows
     hits: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int32), np.zeros(0, np.int64))]
-    chosen = np.flatnonzero(place >= 0)
-    for first in range(0, len(chosen), 50_000):
-        some = chosen[first : first + 50_000]
-        n = chunk.windows[some]
+    by_row = np.argsort(rows, kind="stable")
+    for first in range(0, len(by_row), 50_000):
+        some = by_row[first : first + 50_000]
+        n = windows[some]
         nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        row = np.repeat(chunk.row[some], n)
+        row = np.repeat(rows[some], n)
         gone = low[np.repeat(offsets[place[some]], n) + nth] < chunk.id[row]
-        hits.append((row[gone].astype(np.int32), (np.repeat(chunk.start[some], n) + nth)[gone]))
+        hits.append((row[gone].astype(np.int32), (np.repeat(starts[some], n) + nth)[gone]))
     row, window = np.concatenate([r for r, _ in hits]), np.concatenate([w for _, w in hits])
-    del hits, low, place, chosen
+    del hits, low, place
     cuts = np.searchsorted(row, np.arange(len(chunk.texts) + 1))
     removed, spans, kept = [], [], []
     for k, text in enumerate(chunk.texts):
@@ -373,23 +440,26 @@ def _cover(docs: pa.Table, told: pa.Table, buckets: int, length: int) -> pa.Tabl
     )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 7) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chunk_mb: int = 7, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row.
 
     Texts are UTF-8 bytes, null counts as empty. A byte goes if a string of `length` bytes over it
     also starts in a document with a smaller doc_id, as the input stands; within one document, and
     between rows that share a doc_id, nothing goes. Rows with a null doc_id neither lose bytes
-    nor make others lose any. Texts shorter than `length` stay whole; an empty table gives an
-    empty result; other columns are ignored.
+    nor make others lose any. Texts shorter than `length` stay whole, longer ones are read whole, however
+    long; repeated rows are treated alike; an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     chunks = pieces_of(rows, "text", chunk_mb)
     buckets = 2 * chunks
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
 
     def ask(texts: pa.Table) -> pa.Table:
         return _ask(texts, buckets, length)
 
+    def answer(asked: pa.Table) -> pa.Table:
+        return _answer(asked, crowd)
+
     def send(texts: pa.Table, flags: pa.Table) -> pa.Table:
         return _send(texts, flags, buckets, length)
 
@@ -399,10 +469,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def cover(texts: pa.Table, told: pa.Table) -> pa.Table:
         return _cover(texts, told, buckets, length)
 
-    flags = rows.groupBy("chunk").applyInArrow(ask, _ASK).groupBy("bucket").applyInArrow(_answer, _REPLY)
+    flags = rows.groupBy("chunk").applyInArrow(ask, _ASK).groupBy("bucket").applyInArrow(answer, _TOLD)
     sent = rows.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(send, _SEGMENTS)
     lows = sent.groupBy("bucket").applyInArrow(match, _REPLY)
-    told = flags.withColumn("kind", F.lit(0)).union(lows.withColumn("kind", F.lit(1)))
+    told = flags.withColumn("kind", F.lit(0)).union(lows.withColumn("crowded", F.lit(None).cast("binary")).withColumn("kind", F.lit(1)))
     return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(cover, _COVERED)
 
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from prosegauge.llm import components, decontaminate, htmltext, linechunks, lm, pieces, pii, quality, simhash, suffix, toxicity
+from prosegauge.llm import components, decontaminate, hashing, htmltext, linechunks, lm, pieces, pii, quality, simhash, suffix, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,8 +55,9 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_suffix_brute_force(docs, rows, empty):
-    got = {r.doc_id: r for r in suffix.remove_repeats(docs).collect()}
+@pytest.mark.parametrize("crowd", [2, suffix.CROWD])
+def test_suffix_brute_force(docs, rows, empty, crowd):
+    got = {r.doc_id: r for r in suffix.remove_repeats(docs, crowd=crowd).collect()}
     seen = {}
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
         b = (t or "").encode()
@@ -167,8 +168,8 @@ def test_lm_automaton(rows):
     assert np.allclose(whole, auto.read(grams.places[0], grams.starts, grams.ends, 3)) and np.allclose(whole, auto.read(grams.places[0], grams.starts, grams.ends, 2))
     assert np.array_equal(lm._unpack_counts(lm._pack_counts(np.array([0, 254, 255, 256, 10**12]))), [0, 254, 255, 256, 10**12])
     hashed = np.sort(np.random.default_rng(2).integers(0, 1 << 63, 999, np.uint64) * np.uint64(2))
-    assert np.array_equal(lm.unpack_hashes(lm.pack_hashes(hashed)), hashed)
-    cuts = lm.range_cuts(hashed, 7)
+    assert np.array_equal(hashing.unpack_hashes(hashing.pack_hashes(hashed)), hashed)
+    cuts = hashing.range_cuts(hashed, 7)
     assert sum(b - a for _, a, b in cuts) == 999 and [k for k, _, _ in cuts] == list(range(7))
 
 
