@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import median
-from .pages import Page, find_posts
-
-SHAPES = "rank int, items int, total_chars int, top_share double, depth int"
-
+from .pages import described, find_posts, list_candidates, list_items, node_table, ranked_lists, scopes
 
 def tier_counts(pages: DataFrame, samples: int = 5) -> DataFrame:
     """For each discovery tier: pages, posts, posts without body or author, and a few sample ids."""
@@ -29,22 +23,11 @@ def tier_counts(pages: DataFrame, samples: int = 5) -> DataFrame:
 
 
 def shapes(pages: DataFrame, most: int = 6) -> DataFrame:
-    """page_id and the best list candidates of each page, `most` of them, ranked."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    rows = pages.select("page_id", F.col("html").cast("string").alias("html"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, out = [], []
-            for i, html in enumerate(batch.column("html").to_pylist()):
-                page = Page(html or "")
-                for rank, c in enumerate(page.ranked_lists(page.root())[:most]):
-                    at.append(i)
-                    out.append((rank + 1, len(c["items"]), c["total"], c["share"], c["depth"]))
-            columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(at, pa.int32())), *columns], ["page_id", "rank", "items", "total_chars", "top_share", "depth"])
-
-    return rows.mapInArrow(read, f"page_id {kind}, {SHAPES}")
+    """page_id, rank, items, total_chars, top_share, depth: the best list candidates of each page, `most` of them."""
+    nodes = node_table(pages)
+    e = described(nodes)
+    ranked = ranked_lists(list_candidates(list_items(e, scopes(e)), e)).where(F.col("rank") <= most)
+    return ranked.join(nodes.where("node = 0").select("_page", "page_id"), "_page").select("page_id", "rank", "items", "total_chars", "top_share", "depth")
 
 
 def health(pages: DataFrame) -> DataFrame:

@@ -1,20 +1,28 @@
-"""Posts from web pages: a page becomes a table of nodes in document order, with the interval of
-nodes and of text below each, and every question about structure is a question about intervals."""
+"""Posts from web pages as Spark jobs over a table of nodes.
+
+A small reader turns each page into rows: its elements and texts in document order, each with the
+interval of nodes below it. Whatever is asked of the structure is then a question about intervals
+within a page: what lies inside or above a node is a window over the nodes in order, counts and
+rankings are groups by parent, and the outermost or innermost of some nodes are windows too.
+"""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from ..functions.text import SPACES
+from ..plans.lineage import cut
 
 # ---- Fixed values: names that mark feeds, posts, bodies, authors -------------------------------------
 
@@ -36,7 +44,7 @@ BODY_RULES = (
 )
 BODY_TEST_ID = "main-feed-activity-card__commentary"
 AUTHOR_TEST_ID = "actor-name"
-MEDIA_CLASSES = tuple(f"update-components-{k}" for k in ("image", "video", "document", "poll", "article", "linkedin-video"))
+MEDIA_CLASSES = ("update-components-image", "update-components-video", "update-components-document", "update-components-poll", "update-components-article", "update-components-linkedin-video")
 RESHARE_CLASS = "update-components-mini-update-v2"
 MORE_CLASSES = ("feed-shared-inline-show-more-text__see-more-less-toggle", "inline-show-more-text__button")
 OWN_HOST = re.compile(r"^https://(?:www\.)?linkedin\.com/")
@@ -49,41 +57,40 @@ MORE_TAIL = re.compile(r"(?:…|\.\.\.)\s*(?:see\s*)?more\s*\Z", re.I)
 LEAST, MOST_ITEM, MOST_POST, MOST_HEADING, MOST_NAME = 80, 8000, 6000, 40, 80
 LEAST_GAIN = 40
 
+
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SELF_CLOSING = {"p": BLOCK_TAGS, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+#: Attributes that the operators ask for; others are not kept.
+ATTRIBUTES = ("class", "id", "role", "href", "style", "hidden", "alt", "data-urn", "data-id", "data-activity-urn", "data-test-id", CONTAINER_ATTRIBUTE, "aria-label", "aria-hidden", "aria-expanded")
+SHORT = 160
 
 
-@dataclass
-class Node:
-    tag: str
-    attrs: dict[str, str]
-    parent: int
-    end: int = 0  # one past the last node below
-    text: int = 0  # where its text begins and ends in the page's text
-    text_end: int = 0
-    children: list[int] = field(default_factory=list)
-
-    @property
-    def classes(self) -> str:
-        return self.attrs.get("class", "")
+class _Reader(HTMLParser):
+    """Rows of one page: (node, parent, depth, place, tag, attrs, text), with ends and lengths filled in as elements close."""
 
-
-class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes = [Node("#page", {}, -1)]
+        self.rows: list[list] = [[0, -1, 0, 0, "#page", {}, None]]
+        self.ends, self.spans, self.children = [0], [[0, 0]], [0]
         self.open = [0]
         self.pieces: list[str] = []
         self.size = 0
-        self.runs: list[tuple[int, str]] = []  # node above, text
+
+    def _add(self, tag: str, attrs: dict, text: str | None) -> int:
+        k, parent = len(self.rows), self.open[-1]
+        self.rows.append([k, parent, len(self.open), self.children[parent], tag, attrs, text])
+        self.ends.append(k + 1)
+        self.spans.append([self.size, self.size + len(text or "")])
+        self.children.append(0)
+        if text is None:
+            self.children[parent] += 1
+        return k
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        while len(self.open) > 1 and tag in _SELF_CLOSING.get(self.nodes[self.open[-1]].tag, ()):
+        while len(self.open) > 1 and tag in _SELF_CLOSING.get(self.rows[self.open[-1]][4], ()):
             self._close()
-        k = len(self.nodes)
-        self.nodes.append(Node(tag, {n: v or "" for n, v in attrs}, self.open[-1], text=self.size))
-        self.nodes[self.open[-1]].children.append(k)
-        self.open.append(k)
+        kept = {n: v or "" for n, v in attrs if n in ATTRIBUTES}
+        self.open.append(self._add(tag, kept, None))
         if tag in _VOID:
             self._close()
 
@@ -91,363 +98,324 @@ class _Builder(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        depth = next((d for d in range(len(self.open) - 1, 0, -1) if self.nodes[self.open[d]].tag == tag), 0)
+        depth = next((d for d in range(len(self.open) - 1, 0, -1) if self.rows[self.open[d]][4] == tag), 0)
         while depth and len(self.open) > depth:
             self._close()
 
     def handle_data(self, data: str) -> None:
-        self.runs.append((self.open[-1], data))
-        self.nodes[self.open[-1]].children.append(-len(self.runs))
+        self._add("#text", {}, data)
         self.pieces.append(data)
         self.size += len(data)
 
     def _close(self) -> None:
-        node = self.nodes[self.open.pop()]
-        node.end, node.text_end = len(self.nodes), self.size
-
-    def done(self) -> None:
-        self.close()
+        k = self.open.pop()
+        self.ends[k], self.spans[k][1] = len(self.rows), self.size
+
+    def read(self, html: str) -> list[list]:
+        """Rows with end, length (of the trimmed text below) and, where it is short, that text."""
+        try:
+            self.feed(html)
+            self.close()
+        except (ValueError, AssertionError, RecursionError):  # markup that the parser gives up on: what was read so far
+            pass
         while self.open:
             self._close()
+        text = "".join(self.pieces)
+        solid = [i for i, c in enumerate(text) if c not in SPACES]
+        for row, end, (a, b) in zip(self.rows, self.ends, self.spans, strict=True):
+            x, y = bisect_left(solid, a), bisect_left(solid, b)
+            a, b = (solid[x], solid[y - 1] + 1) if x < y else (a, a)
+            row += [end, b - a, text[a:b] if b - a <= SHORT else None]
+        return self.rows
+
+
+_NODE = {"node": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "place": pa.int32(), "tag": pa.string(), "attrs": pa.map_(pa.string(), pa.string()), "text": pa.string(), "end": pa.int32(), "length": pa.int32(), "short": pa.string()}
+NODES = "node int, parent int, depth int, place int, tag string, attrs map<string,string>, text string, end int, length int, short string"
+
+
+def node_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The nodes of all pages: _page (a number for each row of pages), NODES; the first node of a page carries page_id and url."""
+    kind = pages.schema[id_col].dataType.simpleString()
+    rows = pages.select(F.monotonically_increasing_id().alias("_page"), F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [_Reader().read(h or "") for h in part.column("html").to_pylist()]
+                sizes = [len(x) for x in found]
+                index = pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int32())
+                first = pa.array([i if k == 0 else None for i, n in enumerate(sizes) for k in range(n)], pa.int32())
+                every = [row for x in found for row in x]
+                columns = [pa.array([list(r[k].items()) if n == "attrs" else r[k] for r in every], t) for k, (n, t) in enumerate(_NODE.items())]
+                yield pa.RecordBatch.from_arrays([part.column("_page").take(index), part.column("page_id").take(first), part.column("url").take(first), *columns], ["_page", "page_id", "url", *_NODE])
+
+    return cut(rows.mapInArrow(read, f"_page long, page_id {kind}, url string, {NODES}"))
+
+
+# ---- what a node is, from itself ---------------------------------------------------------------------
+
+
+def attr(name: str) -> Column:
+    return F.try_element_at("attrs", F.lit(name))
+
+
+def has(name: str) -> Column:
+    return attr(name).isNotNull()
+
+
+def classes() -> Column:
+    return F.coalesce(attr("class"), F.lit(""))
+
+
+def has_class(*names: str) -> Column:
+    return F.arrays_overlap(F.split(F.btrim(classes()), r"\s+"), F.array(*map(F.lit, names)))
+
+
+def _any(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for t in tests:
+        out = out | F.coalesce(t, F.lit(False))
+    return out
+
+
+def is_container() -> Column:
+    urns = [F.lower(attr(a)).startswith(f"urn:li:{t}") for a in URN_ATTRIBUTES for t in POST_URN_TYPES]
+    return _any([(F.col("tag") == "div") & (has_class(*CONTAINER_CLASSES) | has(CONTAINER_ATTRIBUTE)), *urns])
+
+
+def may_be_post() -> Column:
+    div = (F.col("tag") == "div") & (has_class(*CONTAINER_CLASSES) | has("data-id") | F.coalesce(attr("role") == "article", F.lit(False)))
+    return _any([F.col("tag") == "article", has("data-urn"), attr("data-id").startswith("urn:li:"), div])
+
+
+def is_named_foreign() -> Column:
+    return _any([classes().contains(c) for c in FOREIGN_CLASSES] + [attr(a).contains("urn:li:comment") for a in ("data-id", "data-urn")])
+
+
+def has_post_urn() -> Column:
+    return _any([F.lower(F.regexp_extract(attr(a), "urn:li:([a-zA-Z]+)", 1)).isin(*POST_URN_TYPES) for a in URN_ATTRIBUTES])
+
 
+def links_to(*parts: str) -> Column:
+    return (F.col("tag") == "a") & _any([attr("href").contains(p) for p in parts])
 
-class Page:
-    """The node table of a page."""
-
-    def __init__(self, html: str):
-        b = _Builder()
-        b.feed(html)
-        b.done()
-        self.nodes, self.runs, self.all_text = b.nodes, b.runs, "".join(b.pieces)
-        hrefs = [n.attrs.get("href", "") if n.tag == "a" else "" for n in self.nodes]
-        self.author_links = [k for k, h in enumerate(hrefs) if "/in/" in h or "/company/" in h]
-        self.actor_links = [k for k, h in enumerate(hrefs) if "/in/" in h or "/company/" in h or "/school/" in h]
-        self.containers = [k for k in range(1, len(self.nodes)) if self.is_container(k)]
-        self.foreign = [self._named_foreign(n) for n in self.nodes]
-        self._lengths: dict[int, int] = {}
-        self._bars: dict[int, int | None] = {}
-
-    def text(self, k: int) -> str:
-        return self.all_text[self.nodes[k].text : self.nodes[k].text_end]
-
-    def length(self, k: int) -> int:
-        if k not in self._lengths:
-            self._lengths[k] = len(self.text(k).strip(SPACES))
-        return self._lengths[k]
-
-    def authors(self, k: int) -> int:
-        """Author links below a node: those whose number falls into its interval."""
-        return bisect_left(self.author_links, self.nodes[k].end) - bisect_left(self.author_links, k + 1)
-
-    def above(self, k: int) -> Iterator[int]:
-        k = self.nodes[k].parent
-        while k > 0:
-            yield k
-            k = self.nodes[k].parent
-
-    def holds(self, a: int, b: int) -> bool:
-        return a <= b < self.nodes[a].end
-
-    def elements(self, k: int) -> list[int]:
-        return [c for c in self.nodes[k].children if c > 0]
-
-    @staticmethod
-    def _named_foreign(n: Node) -> bool:
-        return any(c in n.classes for c in FOREIGN_CLASSES) or any("urn:li:comment" in n.attrs.get(a, "") for a in ("data-id", "data-urn"))
-
-    def is_container(self, k: int) -> bool:
-        n = self.nodes[k]
-        names = n.classes.split()
-        if n.tag == "div" and (any(c in names for c in CONTAINER_CLASSES) or CONTAINER_ATTRIBUTE in n.attrs):
-            return True
-        return any(n.attrs.get(a, "").lower().startswith(f"urn:li:{t}") for a in URN_ATTRIBUTES for t in POST_URN_TYPES)
-
-    def may_be_post(self, k: int) -> bool:
-        n = self.nodes[k]
-        names = n.classes.split()
-        return (
-            n.tag == "article"
-            or "data-urn" in n.attrs
-            or n.attrs.get("data-id", "").startswith("urn:li:")
-            or n.tag == "div" and (any(c in names for c in CONTAINER_CLASSES) or "data-id" in n.attrs or n.attrs.get("role") == "article")
-        )
-
-    def action_bar(self, k: int) -> int | None:
-        """The child of k (or k itself) that holds a button to like, comment, repost, send or share."""
-        if k not in self._bars:
-            self._bars[k] = None
-            for c in self.elements(k):
-                hit = next((b for b in range(c, self.nodes[c].end) if self.nodes[b].tag == "button" and ACTION.fullmatch(self.text(b).strip(SPACES))), None)
-                if hit is not None:
-                    self._bars[k] = k if hit == c else c
-                    break
-        return self._bars[k]
-
-    def is_foreign(self, k: int, root: int | None = None) -> bool:
-        """Comments and reactions: so named, on itself or above; or placed after an action bar at some level below root."""
-        if self.foreign[k] or any(self.foreign[a] for a in self.above(k)):
-            return True
-        while k > 0 and k != root and self.nodes[k].parent > 0:
-            parent = self.nodes[k].parent
-            bar = self.action_bar(parent)
-            if bar is not None and bar < k:  # after it in document order, inside it included
-                return True
-            k = parent
-        return False
-
-    # -- discovery ---------------------------------------------------------------------------------
-
-    def outermost(self, found: list[int]) -> list[int]:
-        """Of a sorted list of nodes, those not inside another: one sweep over their intervals."""
-        out, end = [], 0
-        for k in sorted(set(found)):
-            if k >= end:
-                out.append(k)
-                end = self.nodes[k].end
-        return out
-
-    def innermost(self, found: list[int]) -> list[int]:
-        ordered = sorted(set(found))
-        return [k for i, k in enumerate(ordered) if i + 1 == len(ordered) or ordered[i + 1] >= self.nodes[k].end]
-
-    def qualifies(self, k: int) -> bool:
-        return LEAST <= self.length(k) <= MOST_ITEM and self.authors(k) > 0
-
-    def lists(self, scope: int) -> list[dict]:
-        """Groups of neighbours that look like items of a list: parent, items, total, top share, depth."""
-        groups: dict[int, list[int]] = {}
-        good = {k for k in range(scope + 1, self.nodes[scope].end) if self.qualifies(k)}
-        for k in sorted(good):
-            groups.setdefault(self.nodes[k].parent, []).append(k)
-        out = []
-        for parent, items in groups.items():
-            leaves = [k for k in items if sum(c in good for c in self.elements(k)) < 2]
-            if len(items) < 2 or len(leaves) < 2:
-                continue
-            sizes = [self.length(k) for k in leaves]
-            depth = sum(1 for a in self.above(parent) if a > scope and self.holds(scope, a))
-            out.append({"parent": parent, "items": leaves, "total": sum(sizes), "share": max(sizes) / sum(sizes), "depth": depth})
-        return out
-
-    def ranked_lists(self, scope: int) -> list[dict]:
-        return sorted((c for c in self.lists(scope) if c["share"] <= 0.95), key=lambda c: (-c["total"], c["depth"]))
-
-    def headed(self, scope: int) -> list[int]:
-        """Cards that open with a short second-level heading."""
-        cards = []
-        for k in range(scope + 1, self.nodes[scope].end):
-            p = self.nodes[k].parent
-            if self.nodes[k].tag == "h2" and p > 0 and self.elements(p)[0] == k and self.length(k) <= MOST_HEADING and self.length(p) >= LEAST and self.authors(p):
-                cards.append(p)
-        return self.outermost(cards)
-
-    def by_author_links(self, scope: int) -> list[int]:
-        """From each author link up to the largest node that has no more authors than the first sizeable one."""
-        held = set(self.containers)
-        found: list[int] = []
-        for link in self.author_links:
-            if not scope < link < self.nodes[scope].end or self.is_foreign(link) or link in held or any(a in held for a in self.above(link)):
-                continue
-            best, budget = 0, -1
-            for k in [link, *self.above(link)][:12]:
-                if self.nodes[k].tag == "body" or (n := self.length(k)) > MOST_POST:
-                    break
-                if n >= LEAST:
-                    authors = self.authors(k)
-                    budget = max(1, authors) if budget < 0 else budget
-                    if authors > budget:
-                        break
-                    best = k
-            if best and best not in found:
-                found.append(best)
-        keep = set(self.innermost(found))
-        return [k for k in found if k in keep]
-
-    def has_post_urn(self, k: int) -> bool:
-        kinds = (re.search(r"urn:li:([a-zA-Z]+)", self.nodes[k].attrs.get(a, "")) for a in URN_ATTRIBUTES)
-        return any(m and m[1].lower() in POST_URN_TYPES for m in kinds)
-
-    def looks_like_post(self, k: int) -> bool:
-        if self.length(k) > MOST_POST or self.is_foreign(k):
-            return False
-        if k not in self.containers and any(a in self.containers for a in self.above(k)):
-            return False
-        return self.has_post_urn(k) or self.length(k) >= LEAST and 1 <= self.authors(k) <= 3
-
-    def root(self) -> int:
-        """The feed: a labelled main, a main, a scroll container, the main content, or the body."""
-        tests = (
-            lambda n: n.tag == "main" and "aria-label" in n.attrs,
-            lambda n: n.tag == "main",
-            lambda n: n.tag == "div" and "scaffold-finite-scroll__content" in n.classes.split(),
-            lambda n: n.attrs.get("id") == "main-content",
-            lambda n: n.tag == "body",
-        )
-        for test in tests:
-            if (k := next((k for k in range(1, len(self.nodes)) if test(self.nodes[k])), None)) is not None:
-                return k
-        return 0
-
-    def posts(self) -> tuple[str, list[int]]:
-        """(tier, posts): the first of named cards, headed cards, the best list, marked elements, author links that gives any."""
-        body = next((k for k in range(1, len(self.nodes)) if self.nodes[k].tag == "body"), 0)
-        scope = self.root()
-        marked = lambda s: [k for k in range(s + 1, self.nodes[s].end) if self.may_be_post(k)]
-        if scope != body and not marked(scope):
-            scope = body
-        inside = [k for k in self.containers if self.holds(scope, k)]
-        if cards := self.outermost(inside):
-            return "cards", cards
-        if cards := self.headed(scope):
-            return "headings", cards
-        if lists := self.ranked_lists(scope):
-            return "structure", lists[0]["items"]
-        candidates = ([scope] if scope and self.may_be_post(scope) else []) + marked(scope)
-        good = [k for k in candidates if self.looks_like_post(k)]
-        nearest = lambda k: next((a for a in self.above(k) if self.may_be_post(a)), None)
-        kept = [k for k in good if nearest(k) not in good]
-        return "heuristics", kept or self.by_author_links(scope)
-
-    # -- reading -------------------------------------------------------------------------------------
-
-    def hidden(self, k: int) -> bool:
-        n = self.nodes[k]
-        style = re.search(r"display\s*:\s*none", n.attrs.get("style", ""))
-        return n.tag in SKIPPED_TAGS or self.foreign[k] or "hidden" in n.attrs or bool(HIDDEN_CLASS.search(n.classes)) or style is not None
-
-    def block_text(self, k: int) -> str:
-        """The text below k with line ends around blocks and for breaks, without hidden and foreign parts."""
-        out: list[str] = []
-        todo: list[int | str] = list(reversed(self.nodes[k].children))
-        while todo:
-            c = todo.pop()
-            if isinstance(c, str):
-                out.append(c)
-            elif c < 0:
-                out.append(self.runs[-c - 1][1])
-            elif not self.hidden(c):
-                n = self.nodes[c]
-                if n.tag == "br":
-                    out.append("\n")
-                elif n.tag in BLOCK_TAGS:
-                    out.append("\n")
-                    todo += ["\n", *reversed(n.children)]
-                else:
-                    todo += reversed(n.children)
-        return "".join(out)
-
-    def body(self, post: int) -> int | None:
-        below = range(post + 1, self.nodes[post].end)
-        for tag, name, whole in BODY_RULES:
-            fits = lambda n: (not tag or n.tag == tag) and (name in n.classes.split() if whole else name in n.classes)  # noqa: B023, E731
-            k = next((k for k in below if fits(self.nodes[k])), None)
-            if k is not None and self.length(k):
-                return k
-        k = next((k for k in below if BODY_TEST_ID in self.nodes[k].attrs.get("data-test-id", "")), None)
-        return k if k is not None and self.length(k) else self.body_by_content(post)
-
-    def body_by_content(self, post: int) -> int | None:
-        """The first block, in document order, whose text is its own rather than one child's; without author links if there is one."""
-        spare = None
-        for k in range(post + 1, self.nodes[post].end):
-            n = self.length(k)
-            if self.nodes[k].tag not in ("div", "span", "p") or not LEAST <= n <= MOST_POST:
-                continue
-            if max((self.length(c) for c in self.elements(k)), default=0) > 0.9 * n:
-                continue
-            if not self.authors(k):
-                return k
-            spare = k if spare is None else spare
-        return spare
-
-    def urn(self, post: int) -> str | None:
-        own = [self.nodes[post].attrs.get(a, "") for a in URN_ATTRIBUTES]
-        below = (self.nodes[k].attrs.get("data-urn", "") for k in range(post + 1, self.nodes[post].end))
-        return next((u for u in own if "urn:li:" in u), None) or next((u for u in below if "urn:li:" in u), None)
-
-    def any_class(self, post: int, names: tuple[str, ...]) -> bool:
-        return any(c in names for k in range(post + 1, self.nodes[post].end) for c in self.nodes[k].classes.split())
-
-    def see_more(self, post: int) -> bool:
-        for k in range(post + 1, self.nodes[post].end):
-            n = self.nodes[k]
-            if n.tag == "button" and (any(c in n.classes.split() for c in MORE_CLASSES) or "see more" in n.attrs.get("aria-label", "").lower()):
-                return n.attrs.get("aria-expanded") != "true"
-        return False
-
-    def links(self, body: int, url: str) -> list[str]:
-        """Distinct outbound links below a body, absolute, in order."""
-        found = (urljoin(url, self.nodes[k].attrs["href"].strip()) for k in range(body + 1, self.nodes[body].end) if self.nodes[k].tag == "a" and "href" in self.nodes[k].attrs)
-        return list(dict.fromkeys(h for h in found if h.startswith("http") and not OWN_HOST.match(h)))
-
-    # -- authors ---------------------------------------------------------------------------------------
-
-    def foreign_link(self, k: int, post: int) -> bool:
-        if self.is_foreign(k, post):
-            return True
-        for a in list(self.above(k))[:4]:
-            if a == post:
-                return False
-            t = self.text(a)
-            if len(t) <= 160 and SOCIAL_CONTEXT.search(t):
-                return True
-        return False
-
-    def actor_link(self, post: int, body: int | None) -> int | None:
-        mine = [k for k in self.actor_links if post < k < self.nodes[post].end and not self.foreign_link(k, post)]
-        before = [k for k in mine if body is None or k < body]
-        named = [k for k in before if "actor" in self.nodes[k].classes or any("actor" in self.nodes[a].classes for a in self.above(k))]
-        return named[0] if named else before[-1] if before else None
-
-    def author_candidates(self, post: int, body: int | None) -> Iterator[tuple[str, str, str | None]]:
-        """(source, raw, name) in order of trust."""
-        below = range(post + 1, self.nodes[post].end)
-        has = lambda k, c: c in self.nodes[k].classes.split()
-        title, meta = "update-components-actor__title", "update-components-actor__meta"
-        inside = lambda k, test: any(test(a) for a in self.above(k) if a > post or a == post)
-        shown = lambda k: self.nodes[k].tag == "span" and self.nodes[k].attrs.get("aria-hidden") == "true"
-        rules = (
-            ("shown part of the actor's title (span)", lambda k: shown(k) and inside(k, lambda a: self.nodes[a].tag == "span" and has(a, title))),
-            ("shown part of the actor's title", lambda k: shown(k) and inside(k, lambda a: has(a, title))),
-            ("actor's title (span)", lambda k: self.nodes[k].tag == "span" and has(k, title)),
-            ("actor's title", lambda k: has(k, title)),
-            ("actor's name (span)", lambda k: self.nodes[k].tag == "span" and has(k, "feed-shared-actor__name")),
-            ("link in the actor's meta", lambda k: self.nodes[k].tag == "span" and inside(k, lambda a: self.nodes[a].tag == "a" and any(has(b, meta) for b in self.above(a)))),
-            ("class names a title", lambda k: "actor__title" in self.nodes[k].classes),
-            ("class names a name", lambda k: "actor__name" in self.nodes[k].classes),
-            ("test id", lambda k: AUTHOR_TEST_ID in self.nodes[k].attrs.get("data-test-id", "")),
-        )
-        for source, test in rules:
-            for k in below:
-                if test(k) and not self.foreign_link(k, post) and (body is None or k < body):
-                    raw = self.block_text(k).strip(SPACES)
-                    yield source, raw, clean_author_name(raw)
-                    break
-        link = self.actor_link(post, body)
-        if link is not None:
-            yield from self._of_link("actor", link)
-            alt = next((self.nodes[k].attrs["alt"] for k in range(link + 1, self.nodes[link].end) if self.nodes[k].tag == "img" and "alt" in self.nodes[k].attrs), "")
-            yield "avatar", alt, clean_author_name(alt)
-            yield self._of_url("actor", link)
-            return
-        for a in list(self.above(post))[:4]:
-            mine = [k for k in self.actor_links if a < k < self.nodes[a].end and not self.foreign_link(k, a)]
-            if mine:
-                if len(mine) == 1:
-                    yield from self._of_link("ancestor", mine[0])
-                    yield self._of_url("ancestor", mine[0])
-                return
-
-    def _of_link(self, who: str, k: int) -> Iterator[tuple[str, str, str | None]]:
-        for source, raw in (("text", self.block_text(k).strip(SPACES)), ("label", self.nodes[k].attrs.get("aria-label", ""))):
-            yield f"{who} link {source}", raw, clean_author_name(raw)
-
-    def _of_url(self, who: str, k: int) -> tuple[str, str, str | None]:
-        raw = self.nodes[k].attrs.get("href", "")
-        return f"{who} link address", raw, name_from_url(raw)
-
-    def author(self, post: int, body: int | None) -> str | None:
-        return next((name for _, _, name in self.author_candidates(post, body) if name), None)
+
+def is_hidden() -> Column:
+    return F.col("tag").isin(*SKIPPED_TAGS) | is_named_foreign() | has("hidden") | classes().rlike(f"(?i){HIDDEN_CLASS.pattern}") | F.coalesce(attr("style").rlike(r"display\s*:\s*none"), F.lit(False))
+
+
+def in_order(*keys: str) -> WindowSpec:
+    """The nodes of a page (or of each post in it) in document order."""
+    return Window.partitionBy("_page", *keys).orderBy("node")
+
+
+def inside(test: Column, *keys: str) -> Column:
+    """Whether a node lies below one that passes the test: the furthest end of those before it is beyond it."""
+    return F.coalesce(F.max(F.when(test, F.col("end"))).over(in_order(*keys).rowsBetween(Window.unboundedPreceding, -1)) > F.col("node"), F.lit(False))
+
+
+def described(nodes: DataFrame) -> DataFrame:
+    """Elements with authors (author links below), container, marked, foreign, after_bar, actor and others of their traits."""
+    e = nodes.where("tag != '#text'").withColumns(
+        {
+            "container": is_container() & (F.col("node") > 0), "marked": may_be_post(), "named_foreign": is_named_foreign(), "author_link": links_to("/in/", "/company/"),
+            "actor_link": links_to("/in/", "/company/", "/school/"), "button": (F.col("tag") == "button") & F.col("short").rlike(f"(?i)^{ACTION.pattern}$"),
+            "social": F.coalesce(F.col("short").rlike(f"(?i){SOCIAL_CONTEXT.pattern}"), F.lit(False)),
+        }
+    )
+    ahead = in_order().rowsBetween(1, Window.unboundedFollowing)
+    e = e.withColumns(
+        {
+            # author links up to each node: those below it are the difference between two places
+            "_links": F.sum(F.col("author_link").cast("int")).over(in_order()),
+            # the first action button below a node, if its place is before the node's end
+            "_button": F.min(F.when(F.col("button"), F.struct("node", "parent"))).over(ahead),
+            "in_container": inside(F.col("container")), "in_foreign": inside(F.col("named_foreign")),
+            "in_actor": inside(classes().contains("actor")), "in_meta": inside(has_class("update-components-actor__meta")),
+        }
+    )
+    seen = nodes.select("_page", F.col("node").alias("_k"), F.sum(links_to("/in/", "/company/").cast("int")).over(in_order()).alias("_upto"))
+    e = e.withColumn("_k", F.col("end") - 1).join(seen, ["_page", "_k"]).withColumn("authors", F.col("_upto") - F.col("_links"))
+    above = e.select("_page", F.col("node").alias("parent"), F.when(F.col("_button.node") < F.col("end"), F.col("_button")).alias("_bar"))
+    e = e.join(above, ["_page", "parent"], "left")
+    after_bar = (F.col("parent") > 0) & F.col("_bar").isNotNull() & ((F.col("_bar.parent") == F.col("parent")) | (F.col("node") > F.col("_bar.node")))
+    e = e.withColumn("after_bar", F.coalesce(after_bar, F.lit(False)))
+    foreign = F.col("named_foreign") | F.col("in_foreign") | F.col("after_bar") | inside(F.col("after_bar"))
+    return cut(e.withColumn("foreign", foreign).drop("_links", "_button", "_upto", "_k", "_bar", "text"))
+
+
+# ---- discovery -----------------------------------------------------------------------------------------
+
+
+def outermost(found: DataFrame) -> DataFrame:
+    """Of nodes (_page, node, end), those not inside another."""
+    furthest = F.max("end").over(in_order().rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("_far", furthest).where(F.col("_far").isNull() | (F.col("_far") <= F.col("node"))).drop("_far")
+
+
+def innermost(found: DataFrame) -> DataFrame:
+    """Of nodes (_page, node, end), those that hold no other."""
+    following = F.lead("node").over(in_order())
+    return found.withColumn("_next", following).where(F.col("_next").isNull() | (F.col("_next") >= F.col("end"))).drop("_next")
+
+
+def scopes(e: DataFrame) -> DataFrame:
+    """_page, scope, scope_end, scope_depth: the feed of each page - a labelled main, a main, a scroll container, the main content, or the body - or the body if nothing in it may be a post."""
+    real = F.col("node") > 0
+    tests = [(F.col("tag") == "main") & has("aria-label"), F.col("tag") == "main", (F.col("tag") == "div") & has_class("scaffold-finite-scroll__content"), F.coalesce(attr("id") == "main-content", F.lit(False)), F.col("tag") == "body"]
+    place = F.struct("node", "end", "depth")
+    first = [F.min(F.when(real & t, place)) for t in tests]
+    whole = F.min(F.when(F.col("node") == 0, place))
+    page = e.groupBy("_page").agg(F.coalesce(*first, whole).alias("s"), F.coalesce(first[-1], whole).alias("b"))
+    held = e.where("marked").join(page, "_page").where((F.col("node") > F.col("s.node")) & (F.col("node") < F.col("s.end"))).select("_page", F.lit(True).alias("_held")).distinct()
+    chosen = F.when(F.col("_held"), F.col("s")).otherwise(F.col("b"))
+    return page.join(held, "_page", "left").select("_page", chosen.alias("c")).select("_page", F.col("c.node").alias("scope"), F.col("c.end").alias("scope_end"), F.col("c.depth").alias("scope_depth"))
+
+
+def in_scope(e: DataFrame, scope: DataFrame) -> DataFrame:
+    return e.join(scope, "_page").where((F.col("node") > F.col("scope")) & (F.col("node") < F.col("scope_end")))
+
+
+def named_cards(e: DataFrame, scope: DataFrame) -> DataFrame:
+    held = e.where("container").join(scope, "_page").where((F.col("node") >= F.col("scope")) & (F.col("node") < F.col("scope_end")))
+    return outermost(held.select("_page", "node", "end")).withColumn("at", F.col("node"))
+
+
+def headed_cards(e: DataFrame, scope: DataFrame) -> DataFrame:
+    """Cards that open with a short second-level heading."""
+    heads = in_scope(e, scope).where((F.col("tag") == "h2") & (F.col("place") == 0) & (F.col("length") <= MOST_HEADING) & (F.col("parent") > 0)).select("_page", F.col("parent").alias("node"))
+    cards = e.where((F.col("length") >= LEAST) & (F.col("authors") > 0)).join(heads.distinct(), ["_page", "node"])
+    return outermost(cards.select("_page", "node", "end")).withColumn("at", F.col("node"))
+
+
+def list_items(e: DataFrame, scope: DataFrame) -> DataFrame:
+    """Neighbours that look like items of a list: _page, parent, node, end, length; nodes that are lists themselves left out."""
+    good = in_scope(e, scope).where(F.col("length").between(LEAST, MOST_ITEM) & (F.col("authors") > 0))
+    inner = good.groupBy("_page", F.col("parent").alias("node")).agg(F.count("*").alias("_inner"))
+    return good.join(inner, ["_page", "node"], "left").select("_page", "parent", "node", "end", "length", "scope", "scope_depth", (F.coalesce("_inner", F.lit(0)) < 2).alias("leaf"))
+
+
+def list_candidates(items: DataFrame, e: DataFrame) -> DataFrame:
+    """_page, parent, items, total_chars, top_share, depth, first: groups of two items or more, however uneven."""
+    groups = items.groupBy("_page", "parent").agg(
+        F.count("*").alias("_all"), F.count_if("leaf").alias("items"), F.sum(F.when(F.col("leaf"), F.col("length"))).alias("total_chars"), F.max(F.when(F.col("leaf"), F.col("length"))).alias("_top"),
+        F.min("node").alias("first"), F.first("scope").alias("scope"), F.first("scope_depth").alias("scope_depth"),
+    )
+    groups = groups.where("_all > 1 and items > 1").join(e.select("_page", F.col("node").alias("parent"), F.col("depth").alias("_depth")), ["_page", "parent"])
+    depth = F.when(F.col("parent") == F.col("scope"), 0).otherwise(F.col("_depth") - F.col("scope_depth") - 1)
+    return groups.select("_page", "parent", "items", "total_chars", (F.col("_top") / F.col("total_chars")).alias("top_share"), depth.alias("depth"), "first")
+
+
+def ranked_lists(candidates: DataFrame) -> DataFrame:
+    """Candidates without a dominant item, with their rank: most text first, then the least depth, then page order."""
+    order = Window.partitionBy("_page").orderBy(F.desc("total_chars"), "depth", "first")
+    return candidates.where("top_share <= 0.95").withColumn("rank", F.row_number().over(order))
+
+
+def looking_like_posts(e: DataFrame, scope: DataFrame) -> DataFrame:
+    """Marked elements that pass for a single post, none of whose nearest marked element above passes too."""
+    held = e.where("marked").join(scope, "_page").where((F.col("node") >= F.col("scope")) & (F.col("node") < F.col("scope_end")) & (F.col("node") > 0))
+    fits = (F.col("length") <= MOST_POST) & ~F.col("foreign") & (F.col("container") | ~F.col("in_container")) & (has_post_urn() | ((F.col("length") >= LEAST) & F.col("authors").between(1, 3)))
+    judged = held.select("_page", "node", "end", fits.alias("good"))
+    over = e.where("marked and node > 0").select("_page", F.col("node").alias("_over"), F.col("end").alias("_over_end"))
+    nearest = judged.where("good").join(over, "_page").where((F.col("_over") < F.col("node")) & (F.col("node") < F.col("_over_end"))).groupBy("_page", "node").agg(F.max("_over").alias("_over"))
+    good = judged.where("good").select("_page", F.col("node").alias("_over"), F.lit(True).alias("_good"))
+    kept = judged.where("good").join(nearest, ["_page", "node"], "left").join(good, ["_page", "_over"], "left")
+    return kept.where(F.col("_good").isNull()).select("_page", "node", "end", F.col("node").alias("at"))
+
+
+def author_blocks(e: DataFrame, scope: DataFrame) -> DataFrame:
+    """From each author link up, through twelve elements at most, to the largest with no more authors than the first sizeable one."""
+    links = in_scope(e, scope).where(F.col("author_link") & ~F.col("foreign") & ~F.col("container") & ~F.col("in_container")).select("_page", F.col("node").alias("link"), F.col("depth").alias("_depth"))
+    over = e.where("node > 0").select("_page", "node", "end", "depth", "tag", "length", "authors")
+    steps = links.join(over, "_page").where((F.col("node") <= F.col("link")) & (F.col("link") < F.col("end")) & (F.col("_depth") - F.col("depth") < 12))
+    own = Window.partitionBy("_page", "link")
+    steps = steps.withColumn("_stop", F.max(F.when((F.col("tag") == "body") | (F.col("length") > MOST_POST), F.col("depth"))).over(own))
+    steps = steps.where((F.col("_stop").isNull() | (F.col("depth") > F.col("_stop"))) & (F.col("length") >= LEAST))
+    steps = steps.withColumn("_budget", F.greatest(F.lit(1), F.min("authors").over(own))).where("authors <= _budget")
+    best = steps.groupBy("_page", "link").agg(F.min(F.struct("node", "end")).alias("b")).groupBy("_page", "b.node", "b.end").agg(F.min("link").alias("at"))
+    return innermost(best)
+
+
+TIERS = ("cards", "headings", "structure", "heuristics", "links")
+
+
+def discovered(e: DataFrame) -> DataFrame:
+    """_page, node, end, tier, post_index: the posts of the first tier that has any, in order."""
+    scope = cut(scopes(e))
+    items = list_items(e, scope)
+    best = ranked_lists(list_candidates(items, e)).where("rank = 1").select("_page", "parent")
+    listed = items.where("leaf").join(best, ["_page", "parent"]).select("_page", "node", "end", F.col("node").alias("at"))
+    found = None
+    for k, tier in enumerate((named_cards(e, scope), headed_cards(e, scope), listed, looking_like_posts(e, scope), author_blocks(e, scope))):
+        rows = tier.select("_page", "node", "end", "at", F.lit(k).alias("tier"))
+        found = rows if found is None else found.union(rows)
+    found = cut(found)
+    first = found.groupBy("_page").agg(F.min("tier").alias("tier"))
+    order = Window.partitionBy("_page").orderBy("at", "node")
+    name = F.get(F.array(*(F.lit("heuristics" if t == "links" else t) for t in TIERS)), F.col("tier"))
+    return cut(found.join(first, ["_page", "tier"]).withColumn("post_index", F.row_number().over(order) - 1).select("_page", "node", "end", name.alias("tier"), "post_index"))
+
+
+# ---- reading -------------------------------------------------------------------------------------------
+
+
+def block_texts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """_page, target, text of each target node: the text below it with line ends around blocks and for breaks, without hidden and foreign parts."""
+    ends = nodes.select("_page", F.col("node").alias("target"), F.col("end").alias("_until"))
+    asked = targets.select("_page", "target").distinct().join(ends, ["_page", "target"])
+    below = nodes.select("_page", "node", "end", "tag", "text", is_hidden().alias("_hide")).join(asked, "_page").where((F.col("node") > F.col("target")) & (F.col("node") < F.col("_until")))
+    below = below.where("tag = '#text' or _hide or tag = 'br'" + "".join(f" or tag = '{t}'" for t in sorted(BLOCK_TAGS)))
+    shown = below.withColumn("_in", inside(F.col("_hide"), "target")).where("not _hide and not _in")
+    piece = lambda at, kind, tie, text: F.struct(at.alias("at"), F.lit(kind).alias("kind"), tie.alias("tie"), text.alias("text"))
+    start = piece(F.col("node"), 1, F.lit(0), F.when(F.col("tag") == "#text", F.col("text")).otherwise("\n"))
+    stop = piece(F.col("end"), 0, -F.col("node"), F.lit("\n"))
+    pieces = shown.select("_page", "target", F.explode(F.when(F.col("tag").isin(*BLOCK_TAGS), F.array(start, stop)).otherwise(F.array(start))).alias("p"))
+    joined = pieces.groupBy("_page", "target").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), "").alias("text"))
+    return asked.select("_page", "target").join(joined, ["_page", "target"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+@pandas_udf(StringType())
+def absolute(href: pd.Series, base: pd.Series) -> pd.Series:
+    """An address in the light of its page's; null where there is none to be made of it."""
+
+    def one(h: str | None, b: str | None) -> str | None:
+        try:
+            return None if h is None else urljoin(b or "", h.strip())
+        except ValueError:
+            return None
+
+    return pd.Series([one(h, b) for h, b in zip(href, base, strict=True)], dtype=object)
+
+
+def outbound(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """_page, target, links: distinct outbound addresses below each target, absolute, in order; addresses that can't be read are left out."""
+    ends = nodes.select("_page", F.col("node").alias("target"), F.col("end").alias("_until"))
+    urls = nodes.where("node = 0").select("_page", "url")
+    asked = targets.select("_page", "target").distinct().join(ends, ["_page", "target"]).join(urls, "_page")
+    below = nodes.where((F.col("tag") == "a") & has("href")).select("_page", "node", attr("href").alias("href")).join(asked, "_page").where((F.col("node") > F.col("target")) & (F.col("node") < F.col("_until")))
+    read = below.withColumn("href", absolute("href", "url")).where(F.col("href").startswith("http") & ~F.col("href").rlike(OWN_HOST.pattern))
+    return read.groupBy("_page", "target").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("node", "href"))), lambda x: x["href"])).alias("links"))
+
+
+def bodies(e: DataFrame, held: DataFrame, posts: DataFrame) -> DataFrame:
+    """_page, post, body, landmark: by names in order of trust, else by content - the first block whose text is its own, without author links if there is one."""
+    top = e.where("node > 0").groupBy("_page", F.col("parent").alias("node")).agg(F.max("length").alias("_top"))
+    rows = held.join(top, ["_page", "node"], "left")
+    named = [F.min(F.when((F.lit(True) if not tag else F.col("tag") == tag) & (has_class(name) if whole else classes().contains(name)), F.struct("node", "length"))) for tag, name, whole in BODY_RULES]
+    named.append(F.min(F.when(F.coalesce(attr("data-test-id").contains(BODY_TEST_ID), F.lit(False)), F.struct("node", "length"))))
+    own = F.col("tag").isin("div", "span", "p") & F.col("length").between(LEAST, MOST_POST) & (F.coalesce("_top", F.lit(0)) <= 0.9 * F.col("length"))
+    found = rows.groupBy("_page", "post").agg(
+        *(n.alias(f"_n{i}") for i, n in enumerate(named)), F.min(F.when(own & (F.col("authors") == 0), F.col("node"))).alias("_c0"), F.min(F.when(own, F.col("node"))).alias("_c1")
+    )
+    content = F.coalesce("_c0", "_c1")
+    body = F.coalesce(*(F.when(F.col(f"_n{i}.length") > 0, F.col(f"_n{i}.node")) for i in range(len(named))), content)
+    out = found.select("_page", "post", body.alias("body"), F.coalesce(content, body).alias("landmark"))
+    return posts.select("_page", F.col("node").alias("post")).join(out, ["_page", "post"], "left")
+
+
+# ---- authors --------------------------------------------------------------------------------------------
 
 
 def undouble(text: str) -> str:
@@ -498,71 +466,112 @@ def hidden_char_count(rendered: str, markup: str) -> int:
     return len(squash(markup)) - len(squash(rendered))
 
 
-POSTS = "post_index int, tier string, urn string, author string, raw_text string, links array<string>, has_media boolean, is_reshare boolean, can_expand boolean, text_length int, author_links int"
-
+@pandas_udf(StringType())
+def clean_names(raw: pd.Series) -> pd.Series:
+    return pd.Series([clean_author_name(x) for x in raw], dtype=object)
+
+
+@pandas_udf(StringType())
+def names_from_urls(href: pd.Series) -> pd.Series:
+    return pd.Series([name_from_url(x) for x in href], dtype=object)
+
+
+def _within(rows: DataFrame, tops: DataFrame) -> DataFrame:
+    """rows (_page, node, ...) below each of tops (_page, top, top_end)."""
+    return rows.join(tops, "_page").where((F.col("node") > F.col("top")) & (F.col("node") < F.col("top_end")))
+
+
+def _deepest(rows: DataFrame, over: DataFrame, name: str, levels: int | None = None) -> DataFrame:
+    """rows (_page, node, depth) with the deepest of `over` above each, at most so many levels up."""
+    tops = over.select("_page", F.col("node").alias("_o"), F.col("end").alias("_oe"), F.col("depth").alias("_od"))
+    near = rows.select("_page", "node", "depth").distinct().join(tops, "_page").where((F.col("_o") <= F.col("node")) & (F.col("node") < F.col("_oe")))
+    near = near if levels is None else near.where((F.col("_o") < F.col("node")) & (F.col("depth") - F.col("_od") <= levels))
+    return rows.join(near.groupBy("_page", "node").agg(F.max("_o").alias(name)), ["_page", "node"], "left")
+
+
+def authors(nodes: DataFrame, e: DataFrame, held: DataFrame, posts: DataFrame, body: DataFrame) -> DataFrame:
+    """_page, post, author: the first candidate, in order of trust, that is a name."""
+    title, meta = "update-components-actor__title", "update-components-actor__meta"
+    span, shown = F.col("tag") == "span", (F.col("tag") == "span") & F.coalesce(attr("aria-hidden") == "true", F.lit(False))
+    traits = {"t_span": span & has_class(title), "t_any": has_class(title), "t_meta": (F.col("tag") == "a") & F.col("in_meta")}
+    own = e.join(posts.select("_page", "node"), ["_page", "node"]).select("_page", F.col("node").alias("post"), *(t.alias(f"own_{k}") for k, t in traits.items()))
+    rows = held.join(own, ["_page", "post"]).join(body, ["_page", "post"])
+    rows = rows.withColumns({k: inside(t, "post") | F.col(f"own_{k}") for k, t in traits.items()} | {"_bar": F.col("after_bar") | inside(F.col("after_bar"), "post")})
+    rules = [
+        shown & F.col("t_span"), shown & F.col("t_any"), span & has_class(title), has_class(title), span & has_class("feed-shared-actor__name"), span & F.col("t_meta"),
+        classes().contains("actor__title"), classes().contains("actor__name"), F.coalesce(attr("data-test-id").contains(AUTHOR_TEST_ID), F.lit(False)),
+    ]
+    before = F.col("landmark").isNull() | (F.col("node") < F.col("landmark"))
+    named = rows.where((_any(rules) | F.col("actor_link")) & before & ~F.col("named_foreign") & ~F.col("in_foreign") & ~F.col("_bar"))
+    named = cut(_deepest(named, e.where("social"), "_social", 4).where(F.col("_social").isNull() | (F.col("_social") <= F.col("post"))))
+    actor = F.coalesce(F.min(F.when(F.col("actor_link") & (classes().contains("actor") | F.col("in_actor")), F.col("node"))), F.max(F.when(F.col("actor_link"), F.col("node"))))
+    chosen = cut(named.groupBy("_page", "post").agg(*(F.min(F.when(r, F.col("node"))).alias(f"r{i}") for i, r in enumerate(rules)), actor.alias("link")))
+    # posts whose own links say nothing: the nearest of four elements above that has links, if it has one alone
+    silent = posts.select("_page", F.col("node").alias("post"), F.col("node"), "end").join(e.select("_page", "node", "depth"), ["_page", "node"]).join(chosen.where("link is not null").select("_page", "post"), ["_page", "post"], "left_anti")
+    over = e.where("node > 0").select("_page", F.col("node").alias("top"), F.col("end").alias("top_end"), F.col("depth").alias("_td"))
+    over = silent.join(over, "_page").where((F.col("top") < F.col("node")) & (F.col("node") < F.col("top_end")) & (F.col("depth") - F.col("_td") <= 4)).select("_page", "post", "top", "top_end")
+    free = e.where("actor_link and not named_foreign and not in_foreign").select("_page", "node", "depth")
+    free = _deepest(_deepest(free, e.where("after_bar"), "_after"), e.where("social"), "_social", 4)
+    free = _within(free, over).where((F.col("_after").isNull() | (F.col("_after") <= F.col("top"))) & (F.col("_social").isNull() | (F.col("_social") <= F.col("top"))))
+    lone = free.groupBy("_page", "post", "top").agg(F.count("*").alias("n"), F.min("node").alias("link")).groupBy("_page", "post").agg(F.max_by(F.struct("n", "link"), "top").alias("x"))
+    lone = lone.where("x.n = 1").select("_page", "post", F.col("x.link").alias("link"))
+    marks = chosen.select("_page", "post", F.explode(F.array(*(F.struct(F.lit(i).alias("rank"), F.col(f"r{i}").alias("target")) for i in range(len(rules))))).alias("c")).select("_page", "post", "c.rank", "c.target").where("target is not null")
+    links = cut(chosen.where("link is not null").select("_page", "post", "link", F.lit(True).alias("actor")).union(lone.select("_page", "post", "link", F.lit(False))))
+    texts = marks.union(links.select("_page", "post", F.lit(10), F.col("link")))
+    raw = texts.join(block_texts(nodes, texts), ["_page", "target"]).select("_page", "post", "rank", F.btrim("text", F.lit(SPACES)).alias("raw"))
+    of_link = links.join(e.select("_page", F.col("node").alias("link"), "end", "attrs"), ["_page", "link"])
+    label = of_link.select("_page", "post", F.lit(11).alias("rank"), F.coalesce(attr("aria-label"), F.lit("")).alias("raw"))
+    images = e.where((F.col("tag") == "img") & has("alt")).select("_page", "node", attr("alt").alias("alt"))
+    alt = _within(images, of_link.where("actor").select("_page", "post", F.col("link").alias("top"), F.col("end").alias("top_end"))).groupBy("_page", "post").agg(F.min_by("alt", "node").alias("raw"))
+    spoken = raw.union(label).union(alt.select("_page", "post", F.lit(12), "raw")).select("_page", "post", "rank", clean_names("raw").alias("name"))
+    spoken = spoken.union(of_link.select("_page", "post", F.lit(13), names_from_urls(attr("href"))))
+    return spoken.where("name is not null").groupBy("_page", "post").agg(F.min_by("name", "rank").alias("author"))
+
+
+# ---- what users call ------------------------------------------------------------------------------------
 
-def _posts_of(html: str, url: str) -> list[dict]:
-    page = Page(html)
-    tier, found = page.posts()
-    out = []
-    for i, k in enumerate(found):
-        body = page.body(k)
-        landmark = page.body_by_content(k)
-        out.append(
-            {
-                "post_index": i, "tier": tier, "urn": page.urn(k), "author": page.author(k, landmark if landmark is not None else body),
-                "raw_text": None if body is None else page.block_text(body), "links": [] if body is None else page.links(body, url),
-                "has_media": page.any_class(k, MEDIA_CLASSES), "is_reshare": page.any_class(k, (RESHARE_CLASS,)), "can_expand": page.see_more(k),
-                "text_length": page.length(k), "author_links": page.authors(k),
-            }
-        )
-    return out
+POSTS = "post_index int, tier string, urn string, author string, raw_text string, links array<string>, has_media boolean, is_reshare boolean, can_expand boolean, text_length int, author_links int"
 
 
 def find_posts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for each post of each page: page_id, url, and the columns of POSTS.
 
-    Pages without posts give no row; null pages count as empty; a page that can't be read gives no
-    row either (one page never fails the job). Other columns are ignored.
+    Pages without posts give no row; null pages count as empty; of a page that the parser gives up on, what it
+    has read so far counts, and an address that can't be read is left out (one page never fails the job). Every
+    row of pages is a page of its own. Other columns are ignored.
     """
-    kind = pages.schema[id_col].dataType.simpleString()
-    schema = f"page_id {kind}, url string, {POSTS}"
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    names = [p.strip().split()[0] for p in POSTS.split(",")]
-    types = {"post_index": pa.int32(), "links": pa.list_(pa.string()), "has_media": pa.bool_(), "is_reshare": pa.bool_(), "can_expand": pa.bool_(), "text_length": pa.int32(), "author_links": pa.int32()}
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index, posts = [], []
-            for i, (url, html) in enumerate(zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)):
-                try:
-                    own = _posts_of(html or "", url or "")
-                except (ValueError, RecursionError, AssertionError):  # markup that the parser gives up on
-                    own = []
-                posts += own
-                index += [i] * len(own)
-            at = pa.array(index, pa.int32())
-            columns = [batch.column("page_id").take(at), batch.column("url").take(at)]
-            columns += [pa.array([p[n] for p in posts], types.get(n, pa.string())) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", *names])
-
-    return rows.mapInArrow(read, schema)
+    nodes = node_table(pages, id_col, url_col, html_col)
+    e = described(nodes)
+    posts = discovered(e)
+    tops = posts.select("_page", F.col("node").alias("post"), F.col("node").alias("top"), F.col("end").alias("top_end"))
+    held = cut(_within(e, tops).drop("top", "top_end"))
+    body = cut(bodies(e, held, posts))
+    targets = body.where("body is not null").select("_page", F.col("body").alias("target"))
+    texts = block_texts(nodes, targets).withColumnsRenamed({"target": "body", "text": "raw_text"})
+    links = outbound(nodes, targets).withColumnRenamed("target", "body")
+    more = (F.col("tag") == "button") & (has_class(*MORE_CLASSES) | F.coalesce(F.lower(attr("aria-label")).contains("see more"), F.lit(False)))
+    inner = held.groupBy("_page", "post").agg(
+        F.min_by(F.when(attr("data-urn").contains("urn:li:"), attr("data-urn")), F.when(attr("data-urn").contains("urn:li:"), F.col("node"))).alias("_urn"),
+        F.max(has_class(*MEDIA_CLASSES)).alias("has_media"), F.max(has_class(RESHARE_CLASS)).alias("is_reshare"),
+        F.min_by(F.coalesce(attr("aria-expanded") != "true", F.lit(True)), F.when(more, F.col("node"))).alias("can_expand"),
+    )
+    own = [F.when(attr(a).contains("urn:li:"), attr(a)) for a in URN_ATTRIBUTES]
+    out = posts.join(e.select("_page", "node", F.coalesce(*own).alias("_own"), "length", "authors"), ["_page", "node"]).withColumnRenamed("node", "post")
+    out = out.join(inner, ["_page", "post"], "left").join(body, ["_page", "post"], "left").join(texts, ["_page", "body"], "left").join(links, ["_page", "body"], "left")
+    out = out.join(authors(nodes, e, held, posts, body), ["_page", "post"], "left").join(nodes.where("node = 0").select("_page", "page_id", "url"), "_page")
+    off = F.lit(False)
+    return out.select(
+        "page_id", "url", "post_index", "tier", F.coalesce("_own", "_urn").alias("urn"), "author", "raw_text", F.coalesce("links", F.array().cast("array<string>")).alias("links"),
+        F.coalesce("has_media", off).alias("has_media"), F.coalesce("is_reshare", off).alias("is_reshare"), F.coalesce("can_expand", off).alias("can_expand"),
+        F.col("length").alias("text_length"), F.col("authors").cast("int").alias("author_links"),
+    )
 
 
 def read_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, text (block text of the whole body), links (outbound), tier of each page; null pages are empty."""
-    kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, links, tiers = [], [], []
-            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                page = Page(html or "")
-                body = next((k for k in range(1, len(page.nodes)) if page.nodes[k].tag == "body"), 0)
-                texts.append(page.block_text(body))
-                links.append(page.links(body, url or ""))
-                tiers.append(page.posts()[0])
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(texts, pa.string()), pa.array(links, pa.list_(pa.string())), pa.array(tiers, pa.string())], ["page_id", "text", "links", "tier"])
-
-    return rows.mapInArrow(read, f"page_id {kind}, text string, links array<string>, tier string")
+    """page_id, text (block text of the whole body), links (outbound), tier of each row of pages; null pages are empty."""
+    nodes = node_table(pages, id_col, url_col, html_col)
+    e = described(nodes)
+    tier = discovered(e).groupBy("_page").agg(F.first("tier").alias("tier"))
+    body = cut(nodes.groupBy("_page").agg(F.coalesce(F.min(F.when((F.col("tag") == "body") & (F.col("node") > 0), F.col("node"))), F.lit(0)).alias("target")))
+    out = nodes.where("node = 0").select("_page", "page_id").join(body, "_page").join(block_texts(nodes, body), ["_page", "target"], "left").join(outbound(nodes, body), ["_page", "target"], "left").join(tier, "_page", "left")
+    return out.select("page_id", "text", F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.coalesce("tier", F.lit("heuristics")).alias("tier"))

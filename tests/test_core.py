@@ -180,39 +180,89 @@ def card(urn, author, text=BODY, more=""):
     return f'<div data-urn="{urn}"><a href="/in/{author.lower().replace(" ", "-")}">{author}</a><div><p>{text}</p></div><div><button>Like</button></div>{more}</div>'
 
 
-def test_posts_from_cards():
-    comments = '<div class="comments"><a href="/in/cara-doe">Cara Doe</a><p>A comment that is not a post of its own, however long it may be here.</p></div>'
-    html = "<body><main>" + card("urn:li:activity:1", "Ann Lee", more=comments) + card("urn:li:activity:2", "Bob Ray", BODY + ' <a href="https://example.org/x">link</a>') + "</main></body>"
-    got = pages._posts_of(html, "https://www.linkedin.com/feed/")
-    assert [(p["tier"], p["urn"], p["author"]) for p in got] == [("cards", "urn:li:activity:1", "Ann Lee"), ("cards", "urn:li:activity:2", "Bob Ray")]
-    assert BODY in got[0]["raw_text"] and "comment" not in got[0]["raw_text"]
-    assert got[1]["links"] == ["https://example.org/x"]
+def posts_of(spark, *htmls):
+    """Posts of each page, by page."""
+    df = spark.createDataFrame([(i, "https://www.linkedin.com/feed/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    out = [[] for _ in htmls]
+    for r in pages.find_posts(df).orderBy("page_id", "post_index").collect():
+        out[r.page_id].append(r)
+    return out
 
 
-def test_posts_from_headings_and_lists():
+def test_posts_of_each_tier(spark):
+    comments = '<div class="comments"><a href="/in/cara-doe">Cara Doe</a><p>A comment that is not a post of its own, however long it may be here.</p></div>'
+    cards = "<body><main>" + card("urn:li:activity:1", "Ann Lee", more=comments) + card("urn:li:activity:2", "Bob Ray", BODY + ' <a href="https://example.org/x">link</a>') + "</main></body>"
     item = lambda who, h="": f'<div>{h}<a href="/in/{who}">{who}</a><p>{BODY}</p></div>'
     headed = "<body><main>" + "".join(item(w, "<h2>Feed post</h2>") for w in ("ann", "bob", "cy")) + "</main></body>"
-    assert [(p["tier"], p["author_links"]) for p in pages._posts_of(headed, "")] == [("headings", 1)] * 3
     plain = "<body><main><div>" + "".join(item(w) for w in ("ann", "bob", "cy", "di")) + "</div></main></body>"
-    assert [p["tier"] for p in pages._posts_of(plain, "")] == ["structure"] * 4
-    assert pages._posts_of("<p>nothing here", "") == [] and pages._posts_of("", "") == []
-
-
-def test_nested_reshare_is_one_post():
-    inner = card("urn:li:activity:9", "Old Author")
-    got = pages._posts_of("<body>" + card("urn:li:activity:1", "Ann Lee", more=inner) + "</body>", "")
-    assert [p["urn"] for p in got] == ["urn:li:activity:1"]
-
-
-def test_find_posts_frame(spark):
-    df = spark.createDataFrame([(1, "https://x.test/", "<body>" + card("urn:li:share:5", "Ann Lee") + "</body>", "z"), (2, None, None, "z")], "page_id long, url string, html string, tier string")
-    rows = pages.find_posts(df).collect()
-    assert [(r.page_id, r.urn, r.author) for r in rows] == [(1, "urn:li:share:5", "Ann Lee")]
-
-
-def test_block_text():
-    page = pages.Page("<body><p>one</p>two<br>three<span class='x visually-hidden'>no</span><div hidden>no</div><button>no</button><ul><li>a<li>b</ul></body>")
-    assert page.block_text(0).split() == ["one", "two", "three", "a", "b"]
+    nested = "<body>" + card("urn:li:activity:1", "Ann Lee", more=card("urn:li:activity:9", "Old Author")) + "</body>"
+    broken = "<body>" + card("urn:li:activity:4", "Eve Fox", BODY + ' <a href="http://[bad">x</a><a href="https://example.org/y">y</a>') + "</body>"
+    got = posts_of(spark, cards, headed, plain, nested, broken, "<p>nothing here", "", None)
+    assert [(p.tier, p.urn, p.author) for p in got[0]] == [("cards", "urn:li:activity:1", "Ann Lee"), ("cards", "urn:li:activity:2", "Bob Ray")]
+    assert BODY in got[0][0].raw_text and "comment" not in got[0][0].raw_text and got[0][1].links == ["https://example.org/x"]
+    assert [(p.tier, p.author_links) for p in got[1]] == [("headings", 1)] * 3
+    assert [p.tier for p in got[2]] == ["structure"] * 4
+    assert [p.urn for p in got[3]] == ["urn:li:activity:1"]
+    assert [p.links for p in got[4]] == [["https://example.org/y"]]  # an address that can't be read ends nothing
+    assert not any(got[5:])
+
+
+def made_page(rng):
+    """A page of random structure out of the parts that discovery looks at."""
+    names = ["feed-shared-update-v2", "comments", "update-components-text", "update-components-actor__title", "update-components-actor__meta", "actor__name x", "break-words", "update-components-image", "update-components-mini-update-v2", "visually-hidden", "plain", "feed-shared-actor__name", "social-counts"]
+    people = ["ann-lee", "bob-ray-4b2", "cy"]
+    words = lambda n: " ".join(rng.choice("alpha beta gamma delta of the and".split()) for _ in range(n))
+
+    def part(depth):
+        kind = rng.random()
+        if depth > 5 or kind < 0.25:
+            return words(rng.choice((1, 3, 12, 30)))
+        if kind < 0.4:
+            who = rng.choice(people)
+            return f'<a href="/in/{who}"{rng.choice(["", " class=actor", " aria-label=\"View Dan Poe’s profile\""])}>{rng.choice([who.title(), "", "<img alt=\"Fay Orr\">", "<span aria-hidden=true>Gil Ash</span>"])}</a>'
+        if kind < 0.46:
+            return f'<a href="{rng.choice(["https://example.org/a", "/rel", "mailto:x", "https://www.linkedin.com/x"])}">{words(1)}</a>'
+        if kind < 0.52:
+            return f"<button {rng.choice(['', 'aria-label=\"See more\"', 'aria-expanded=true class=inline-show-more-text__button'])}>{rng.choice(['Like', ' comment ', 'More'])}</button>"
+        if kind < 0.56:
+            return f"<h2>{words(2)}</h2>"
+        if kind < 0.6:
+            return f"<div>{rng.choice(['Ann', 'Bob'])} likes this</div>"
+        tag = rng.choice(["div", "div", "div", "span", "p", "article", "main", "li", "section"])
+        own = rng.choice(["", "", f' class="{rng.choice(names)}"', f' class="{rng.choice(names)}"', f' data-urn="urn:li:{rng.choice(["activity", "comment", "member"])}:{rng.randrange(99)}"', ' data-id="urn:li:share:7"', " role=article", " hidden"])
+        return f"<{tag}{own}>" + "".join(part(depth + 1) for _ in range(rng.randint(1, 5))) + (f"</{tag}>" if rng.random() < 0.95 else "")
+
+    if rng.random() < 0.2:  # cards that open with a heading
+        return "<html><body><main>" + "".join(f'<div><h2>{words(2)}</h2><a href="/in/{rng.choice(people)}">{words(1)}</a><p>{words(30)}</p>{rng.choice(["", words(9), "<button>Send</button>"])}</div>' for _ in range(rng.randint(1, 4))) + "</main></body></html>"
+    return f"<html><body>{''.join(part(0) for _ in range(rng.randint(1, 6)))}</body></html>"
+
+
+def test_posts_equal_a_plain_model(spark):
+    """All columns of find_posts and read_pages on random pages, against a model that reads a page at a time."""
+    import random
+
+    import pages_model
+
+    rng = random.Random(8)
+    htmls = [made_page(rng) for _ in range(250)]
+    got = posts_of(spark, *htmls)
+    tiers = set()
+    for html, found in zip(htmls, got, strict=True):
+        want = pages_model.posts_of(html, "https://www.linkedin.com/feed/")
+        assert [{k: r[k] for k in want[0]} for r in found] == want if want else not found, html
+        tiers |= {p["tier"] for p in want}
+    assert tiers == {"cards", "headings", "structure", "heuristics"}
+    df = spark.createDataFrame([(i, "https://www.linkedin.com/feed/", h) for i, h in enumerate(htmls[:60])], "page_id long, url string, html string")
+    for r in pages.read_pages(df).collect():
+        page = pages_model.Page(htmls[r.page_id])
+        body = next(k for k in range(1, len(page.nodes)) if page.nodes[k].tag == "body")
+        assert (r.text, r.links, r.tier) == (page.block_text(body), page.links(body, "https://www.linkedin.com/feed/"), page.posts()[0])
+
+
+def test_block_text(spark):
+    html = "<body><p>one</p>two<br>three<span class='x visually-hidden'>no</span><div hidden>no</div><button>no</button><ul><li>a<li>b</ul></body>"
+    got = pages.read_pages(spark.createDataFrame([(1, None, html), (2, None, None)], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text.split() for r in got} == {1: ["one", "two", "three", "a", "b"], 2: []}
 
 
 SCENES = {
