@@ -66,6 +66,15 @@ def row_key(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat(*(x for p in marked for x in (p, F.lit(b"\x1f"))))))
 
 
+#: Bytes up to which a table of ids is broadcast.
+SMALL = 32 << 20
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among ids (one long a row): ids are broadcast while they are small, else shuffled with the rows."""
+    return rows.join(F.broadcast(ids) if ids.count() * 16 <= SMALL else ids, key, "left_semi")
+
+
 def join_by_key(rows: DataFrame, narrow: DataFrame, keys: list[str], how: str, rows_a_key: str = "_n") -> DataFrame:
     """rows joined with a table of one narrow row a key, of which rows_a_key says how many of rows carry it.
 
