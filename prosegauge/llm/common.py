@@ -71,8 +71,16 @@ SMALL = 32 << 20
 
 
 def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows whose key is among ids (one long a row): ids are broadcast while they are small, else shuffled with the rows."""
-    return rows.join(F.broadcast(ids) if ids.count() * 16 <= SMALL else ids, key, "left_semi")
+    """The rows whose key is among ids (16 bytes a row or less): ids are broadcast while they are small, else shuffled with the rows."""
+    return rows.join(F.broadcast(ids) if ids.count() * 32 <= SMALL else ids, key, "left_semi")
+
+
+def join_few(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """rows left joined with a table that has some of their keys (16 bytes each): while those keys are small enough to broadcast, only the rows that have one are shuffled."""
+    ids = cut(few.select(key))
+    if ids.count() * 32 > SMALL:
+        return rows.join(few, key, "left")
+    return rows.join(F.broadcast(ids), key, "left_semi").join(few, key).unionByName(rows.join(F.broadcast(ids), key, "left_anti"), allowMissingColumns=True)
 
 
 def join_by_key(rows: DataFrame, narrow: DataFrame, keys: list[str], how: str, rows_a_key: str = "_n") -> DataFrame:

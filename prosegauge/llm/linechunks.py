@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, cut, join_by_key, row_key, table, unused
+from .common import bind, cut, join_by_key, join_few, only, row_key, table, unused
 
 #: A line of so many words is a passage by itself.
 LINE_WORDS = 20
@@ -75,7 +75,8 @@ def repeated_chunks(docs: DataFrame, spread: int = 4, least: int = 2, line_words
     again = placed.groupBy("h").agg(F.min(spot).alias("_least"), F.max(spot).alias("_most"), F.count("*").alias("_n")).where("_least != _most")
     met = cut(join_by_key(placed, cut(again.select("h", "_n")), ["h"], "left_semi").distinct())
     per_row = met.groupBy("_row").agg(F.collect_list(F.struct("start", "n", "h")).alias("_met"))
-    texts = docs.select("_row", "doc_id", F.split("_text", "\n").alias("_lines")).join(per_row, "_row")
+    held = only(docs.select("_row", "doc_id", "_text"), cut(met.select("_row").distinct()), "_row")
+    texts = held.select("_row", "doc_id", F.split("_text", "\n").alias("_lines")).join(per_row, "_row")
     read = texts.select("_row", "doc_id", F.explode(F.transform("_met", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["h"].alias("h"), _body(F.col("_lines"), c["start"], c["n"]).alias("body")))).alias("c"))
     read = read.select("_row", "doc_id", "c.*")
     worded = F.lit(True) if line_words is not None else F.size(F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))) >= least
@@ -99,8 +100,8 @@ def dedup_lines(docs: DataFrame, spread: int = 4, least: int = 2, id_col: str =
     text, row, lost = F.col(text_col).cast("string"), unused(docs, "_row"), unused(docs, "_gone")
     keyed = docs.withColumn(row, row_key(F.col(id_col), text))
     bare = keyed.where(text.isNotNull()).select(F.col(row).alias("_row"), F.col(id_col).alias("doc_id"), text.alias("_text"))
-    gone = repeated_chunks(bare, spread, least, line_words).groupBy(F.col("_row").alias(row)).agg(F.collect_list(F.struct("start", "n")).alias(lost))
-    joined = keyed.join(gone, row, "left")
+    gone = cut(repeated_chunks(bare, spread, least, line_words).groupBy(F.col("_row").alias(row)).agg(F.collect_list(F.struct("start", "n")).alias(lost)))
+    joined = join_few(keyed, gone, row)
     places = F.flatten(F.transform(lost, lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))
     stays = bind(F.split(text, "\n"), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places), lambda i: F.get(lines, i)), "\n"))
     removed = F.when(F.col(lost).isNull(), 0).otherwise(F.size(F.array_distinct(places))).cast("bigint")
