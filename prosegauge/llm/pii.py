@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, cut, join_by_key, row_key, table
+from .common import bind, cut, join_by_key, join_few, row_key, table
 
 # Given names by gender and script, and parts of surnames by script.
 GIVEN = {
@@ -276,7 +276,7 @@ def with_surrogates(docs: DataFrame, key: str = "surrogates", id_col: str = "doc
     pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_sub", "_new"))), lambda x: x["_new"]), "")
     each = both.groupBy("_key", "_at").agg(pieces.alias("_new"), F.collect_set(F.when(F.col("kind") != "title", F.col("kind"))).alias("_kinds"))
     whole = each.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_new"))).alias("_new"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_kinds")))).alias("kinds"))
-    joined = rows.join(whole, "_key", "left")
+    joined = join_few(rows, cut(whole), "_key")
     gaps = by_entity(text, lambda p: F.split(text, p, -1))
     filled = bind(F.col("_new"), lambda new: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i)["_new"], F.lit("")))), ""))
     n = F.greatest(F.coalesce(F.size("_new"), F.lit(0)), F.lit(0)).cast("bigint")
