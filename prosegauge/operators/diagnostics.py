@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import median
+from .extraction import best_text
 from .pages import described, find_posts, list_candidates, list_items, node_table, ranked_lists, scopes
 
 def tier_counts(pages: DataFrame, samples: int = 5) -> DataFrame:
@@ -43,3 +44,16 @@ def health(pages: DataFrame) -> DataFrame:
         .otherwise("working")
     )
     return seen.join(F.broadcast(found), "_k").drop("_k").withColumn("verdict", said)  # one row each
+
+
+def truncation(posts: DataFrame, rendered_col: str = "rendered", markup_col: str = "markup") -> DataFrame:
+    """One row on how posts are cut short: posts, those whose text ends in "see more", those whose markup holds the tail, the median of hidden characters."""
+    read = best_text(posts, rendered_col, markup_col)
+    cut = F.coalesce(F.col(rendered_col).rlike(r"(?i)(?:…|\.\.\.)\s*(?:see\s*)?more\s*\z"), F.lit(False))
+    return read.agg(F.count("*").alias("posts"), F.count_if(cut).alias("cut_short"), F.count_if("recovered").alias("recovered"), F.count_if(cut & ~F.col("recovered")).alias("needs_expanding"), median("hidden_chars").alias("median_hidden"))
+
+
+def self_check(pages: DataFrame) -> DataFrame:
+    """page_id, tier, posts, healthy: whether discovery found posts by cards, headings or a list rather than by guesses."""
+    found = find_posts(pages).groupBy("page_id").agg(F.first("tier").alias("tier"), F.count("*").alias("posts"))
+    return pages.select("page_id").distinct().join(found, "page_id", "left").select("page_id", "tier", F.coalesce("posts", F.lit(0)).alias("posts"), F.coalesce(F.col("tier").isin("cards", "headings", "structure"), F.lit(False)).alias("healthy"))

@@ -106,13 +106,19 @@ def summary() -> Column:
     )
 
 
-def classify(scored_features: DataFrame, spec: ScoringSpec = RULES) -> DataFrame:
-    """A table with the 27 features and word_count, with score, verdict, confidence, uncertain, signals, source."""
+def classify(scored_features: DataFrame, spec: ScoringSpec = RULES, reasons: bool = True) -> DataFrame:
+    """A table with the 27 features and word_count, with score, verdict, confidence, uncertain, signals, source.
+
+    reasons=False leaves signals out: they are most of the work beyond the features, and stand in one
+    expression with the verdict, where a reader who doesn't want them can't prune them.
+    """
+
     def judge(row: Column) -> Column:
         of = lambda k: row[k]
 
         def told(total: Column) -> Column:
-            return bind(verdict(total, spec), lambda v: F.struct(total.alias("score"), v.alias("verdict"), confidence(total, spec).alias("confidence"), uncertain(total, spec).alias("uncertain"), signals(of, v, spec).alias("signals")))
+            why = lambda v: [signals(of, v, spec).alias("signals")] if reasons else []
+            return bind(verdict(total, spec), lambda v: F.struct(total.alias("score"), v.alias("verdict"), confidence(total, spec).alias("confidence"), uncertain(total, spec).alias("uncertain"), *why(v)))
 
         return bind(damped(bind(weighted_sum(spec, of), lambda t: logistic(t, spec)), spec, of), told)
 
@@ -121,6 +127,6 @@ def classify(scored_features: DataFrame, spec: ScoringSpec = RULES) -> DataFrame
     return scored_features.withColumn("_judged", bind(F.struct(*L.KEYS, "word_count"), judge)).select(*own, "_judged.*", F.lit("rules").alias("source"))
 
 
-def score(df: DataFrame, text_col: str = "text", links_col: str | None = None, spec: ScoringSpec = RULES) -> DataFrame:
-    """df with features, score and reasons. Null and empty texts have no words and score the damped base; see features()."""
-    return classify(features(df, text_col, links_col), spec)
+def score(df: DataFrame, text_col: str = "text", links_col: str | None = None, spec: ScoringSpec = RULES, reasons: bool = True) -> DataFrame:
+    """df with features, score and (unless reasons=False) signals. Null and empty texts have no words and score the damped base; see features()."""
+    return classify(features(df, text_col, links_col), spec, reasons)

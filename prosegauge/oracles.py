@@ -22,6 +22,11 @@ def _sat(x: str, scale: float) -> str:
     return f"(CASE WHEN {x} <= 0 THEN 0.0 ELSE 1 - exp(-({x}) / {float(scale)}) END)"
 
 
+def _units(x: str) -> str:
+    """Length in UTF-16 units: signs beyond the basic plane count twice."""
+    return f"(length({x}) + len(regexp_extract_all({x}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+
+
 def _n(pattern: str, of: str = "t") -> str:
     return f"len(regexp_extract_all({of}, {pattern}))"
 
@@ -34,18 +39,18 @@ _SHOUT = r"(?:^|[^\p{L}])(?:\p{Lu}{5,}|" + "|".join(L.SHOUTED_WORDS) + r")(?:[^\
 _TRIM = "trim({}, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(160))"
 
 
-def feature_ctes(source: str) -> str:
-    """WITH clause whose last table f has id, the 27 features and word_count. source: a query of id and t."""
+def feature_ctes(source: str, links: str = "0") -> str:
+    """WITH clause whose last table f has id, the 27 features and word_count. source: a query of id and t (and the number of links, by that name)."""
     shouted = r"(length(regexp_replace({0}, '[^\p{{L}}]', '', 'g')) >= 4 AND regexp_replace({0}, '[^\p{{L}}]', '', 'g') = upper(regexp_replace({0}, '[^\p{{L}}]', '', 'g')))"
     per = lambda x, scale: _sat(f"(100.0 * ({x}) / greatest(word_count, 1))", scale)
     tail = "list_aggregate(ls[greatest(len(ls) - 1, 1):], 'string_agg', ' ')"
     values = {
         "bulletLineRatio": "coalesce(bullet / nullif(n_lines, 0), 0.0)",
-        "emojiDensity": _sat(f"(100.0 * {_n(_EMOJI)} / greatest(length(t), 1))", 1.5),
+        "emojiDensity": _sat(f"(100.0 * {_n(_EMOJI)} / greatest({_units('t')}, 1))", 1.5),
         "oneSentencePerLineRatio": "coalesce(single / nullif(n_lines, 0), 0.0)",
         "shortLineRatio": "coalesce(short / nullif(n_lines, 0), 0.0)",
         "hookPattern": f"""CASE WHEN len(ls) >= 2 AND hook_at < len(raw) AND {_TRIM.format('raw[hook_at + 1]')} = ''
-            THEN least(1.0, 0.5 + CASE WHEN length(ls[1]) <= 60 THEN 0.2 ELSE 0 END + CASE WHEN length(ls[1]) <= 30 THEN 0.2 ELSE 0 END
+            THEN least(1.0, 0.5 + CASE WHEN {_units('ls[1]')} <= 60 THEN 0.2 ELSE 0 END + CASE WHEN {_units('ls[1]')} <= 30 THEN 0.2 ELSE 0 END
               + CASE WHEN regexp_matches(ls[1], '[?:.]$') OR {_n(_EMOJI, 'ls[1]')} > 0 THEN 0.1 ELSE 0 END) ELSE 0.0 END""",
         "lineUniformity": f"CASE WHEN n_lines >= 3 THEN least(1.0, greatest(0.0, 1 - {_sat('line_spread', 30)})) ELSE 0.0 END",
         "shoutingRatio": "coalesce(shouts / nullif(n_lines, 0), 0.0)",
@@ -59,7 +64,7 @@ def feature_ctes(source: str) -> str:
         "sentenceUniformity": f"CASE WHEN coalesce(n_sentences, 0) >= 3 THEN least(1.0, greatest(0.0, 1 - {_sat('sentence_spread', 6)})) ELSE 0.0 END",
         "numberDensity": per("coalesce(numbers, 0)", 2.5),
         "entityDensity": per("coalesce(entities, 0)", 4),
-        "citationDensity": "0.0",
+        "citationDensity": _sat(links, 1),
         "vagueness": _sat(_phrases(L.VAGUE_QUANTIFIERS), 2),
         "firstPersonRatio": "first_person / greatest(first_person + second_person, 1)",
         "prescriptiveness": per(" + ".join(_n(_re(p)) for p in L.PRESCRIPTIVE), 2),
@@ -75,7 +80,7 @@ def feature_ctes(source: str) -> str:
     columns = ",\n  ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in values.items())
     return rf"""
 source AS ({source}), base AS (
-  SELECT id, coalesce(t, '') AS t, lower(coalesce(t, '')) AS low, string_split(coalesce(t, ''), chr(10)) AS raw FROM source
+  SELECT id, coalesce(t, '') AS t, lower(coalesce(t, '')) AS low, string_split(coalesce(t, ''), chr(10)) AS raw{', ' + links if links != '0' else ''} FROM source
 ), bare AS (
   SELECT *, list_filter(list_transform(raw, lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS ls,
     list_filter(list_transform(string_split_regex(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), '[\x01\n]+'), lambda x: {_TRIM.format('x')}), lambda x: x <> '') AS ss,
@@ -84,7 +89,7 @@ source AS ({source}), base AS (
   SELECT id, unnest(ls) AS l FROM bare
 ), line_facts AS (
   SELECT id, count(*) AS n_lines, count(*) FILTER (regexp_matches(l, {_text(_BULLET)})) AS bullet,
-    count(*) FILTER ({_n("'[.!?]'", 'l')} <= 1) AS single, count(*) FILTER (length(l) < 40) AS short, stddev_pop(length(l)) AS line_spread,
+    count(*) FILTER ({_n("'[.!?]'", 'l')} <= 1) AS single, count(*) FILTER ({_units('l')} < 40) AS short, stddev_pop({_units('l')}) AS line_spread,
     count(*) FILTER (regexp_matches(l, '[!?]{{2}}[^\p{{L}}\p{{N}}]*$') OR {shouted.format('l')} OR (regexp_matches(l, '\p{{Ll}}') AND regexp_matches(l, {_text(_SHOUT)}))) AS shouts
   FROM line GROUP BY id
 ), sentence AS (
@@ -118,7 +123,7 @@ source AS ({source}), base AS (
 DOCUMENTS = "SELECT doc_id AS id, text AS t FROM documents"
 
 
-def score_ctes(source: str = DOCUMENTS) -> str:
+def score_ctes(source: str = DOCUMENTS, links: str = "0") -> str:
     """feature_ctes and tables `scored` (f with total, score, verdict, confidence, uncertain) and `reasons` (ranked signals)."""
     total = " + ".join(f"{k} * {RULES.weights[k]}" for k in L.KEYS if RULES.weights[k])
     logistic = lambda x: f"(1 / (1 + exp(-{RULES.steepness} * (({x}) - {RULES.bias}))))"
@@ -127,7 +132,7 @@ def score_ctes(source: str = DOCUMENTS) -> str:
         for i, (k, _, _, label, _, _) in enumerate(L.FEATURES)
         if RULES.weights[k]
     )
-    return f"""{feature_ctes(source)}, summed AS (
+    return f"""{feature_ctes(source, links)}, summed AS (
   SELECT *, {total} AS total FROM f
 ), rated AS (
   SELECT *, CASE WHEN word_count < {RULES.least_words} AND NOT (ctaPhrases > 0.5 AND closingHook > 0.5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from .functions import lexicons as L
 from .functions import text as T
-from .operators import content, evaluation, pages, scoring
+from .operators import content, evaluation, extraction, pages, scoring
 from .operators.features import features, matched_phrases
-from .sources import stores
+from .plans.lineage import checkpoint_folder
+from .sources import samples, stores
 from .streaming import feed
-from .oracles import DOCUMENTS, _TRIM, feature_ctes, rounded, score_ctes
+from .oracles import DOCUMENTS, _TRIM, _units, feature_ctes, rounded, score_ctes
 
 Query = Callable[[SparkSession, str], DataFrame]
 GROUPS = {g: [f[0] for f in L.FEATURES if f[1] == g] for g in ("structural", "linguistic", "informational", "engagementBait")}
@@ -44,8 +46,8 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TEXT_STATS_SQL = f"""WITH {feature_ctes(DOCUMENTS)}
-SELECT id AS doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ss) AS BIGINT) AS n_sentences, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(t) AS BIGINT) AS n_units,
-  round(coalesce(list_avg(list_transform(ls, lambda x: length(x))), 0), 6) AS mean_line_length,
+SELECT id AS doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ss) AS BIGINT) AS n_sentences, CAST(len(ws) AS BIGINT) AS n_words, CAST({_units("t")} AS BIGINT) AS n_units,
+  round(coalesce(list_avg(list_transform(ls, lambda x: {_units("x")})), 0), 6) AS mean_line_length,
   round(coalesce(list_avg(list_transform(ss, lambda x: len(regexp_extract_all(x, '[\\p{{L}}\\p{{N}}]+')))), 0), 6) AS mean_sentence_words FROM bare"""
 
 
@@ -74,12 +76,12 @@ def _matched_sql() -> str:
 # ---- scores --------------------------------------------------------------------------------------------
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(documents(spark, sf_dir))
+def scored(spark: SparkSession, sf_dir: str, reasons: bool = True) -> DataFrame:
+    return scoring.score(documents(spark, sf_dir), reasons=reasons)
 
 
 def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("doc_id", "word_count", r6("score"), "verdict", r6("confidence"), "uncertain")
+    return scored(spark, sf_dir, False).select("doc_id", "word_count", r6("score"), "verdict", r6("confidence"), "uncertain")
 
 
 SCORE_SQL = f"WITH {score_ctes()} SELECT id AS doc_id, word_count, {rounded(['score'])}, verdict, {rounded(['confidence'])}, uncertain FROM scored"
@@ -118,18 +120,18 @@ FROM scored s LEFT JOIN top ON top.id = s.id LEFT JOIN substance ON substance.id
 
 
 def verdict_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.verdict_counts(scored(spark, sf_dir), "lang").select("lang", "verdict", "n", r6("mean_score"))
+    return evaluation.verdict_counts(scored(spark, sf_dir, False), "lang").select("lang", "verdict", "n", r6("mean_score"))
 
 
 BY_LANG_SQL = f"WITH {score_ctes()} SELECT lang, verdict, count(*) AS n, round(avg(score), 6) AS mean_score FROM scored JOIN documents ON doc_id = id GROUP BY lang, verdict"
 
 
 def score_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(read(spark, sf_dir, "benchmark").select("item_id", "text")).select("item_id", r6("score"), "verdict")
+    return scoring.score(read(spark, sf_dir, "benchmark").select("item_id", "text"), reasons=False).select("item_id", r6("score"), "verdict")
 
 
 def score_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scoring.score(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    out = scoring.score(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), reasons=False)
     return out.groupBy("role", "verdict").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
@@ -202,7 +204,7 @@ _JUDGED_CTE = f"{score_ctes()}, rated_labels AS ({_RATING_SQL}), judged AS (SELE
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _labels(spark, sf_dir)
     rows = documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
-    return scoring.score(rows).withColumn("label", evaluation.rating_to_verdict(F.col("rating")))
+    return scoring.score(rows, reasons=False).withColumn("label", evaluation.rating_to_verdict(F.col("rating")))
 
 
 def label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,10 +310,11 @@ def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cached_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents scored with half the verdicts already known."""
+    """Documents scored with half the verdicts already stored."""
     posts = content.post_id(documents(spark, sf_dir).select("text")).groupBy("post_id").agg(F.min("text").alias("text"))
-    known = scoring.score(posts.where(F.crc32("post_id") % 2 == 0))
-    return stores.score_with_cache(posts, known.select(stores.VERDICT_COLUMNS[1:])).select("post_id", r6("score"), "verdict")
+    folder = shared_folder(spark, "cache")
+    stores.write_cache(scoring.score(posts.where(F.crc32("post_id") % 2 == 0)), folder)
+    return stores.score_with_cache(posts, stores.read_cache(spark, folder)).select("post_id", r6("score"), "verdict")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,12 +328,44 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder, or in a temporary one where none is named (local runs)."""
-    import tempfile
-    import uuid
+    """A new folder in the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="prosegauge-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw posts whose urn, where there is one, is their number: normalised, filtered, identified."""
+    raw = documents(spark, sf_dir).select("doc_id", F.col("text").alias("raw_text"), F.col("source").alias("author"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("urn:li:activity:"), "doc_id")).alias("urn"))
+    return extraction.posts_from_raw(raw).select("doc_id", "post_id", "id_is_stable", "truncated", F.sha2("text", 256).alias("text_sha256"))
+
+
+EXTRACTED_SQL = rf"""WITH {NORMAL_CTE}, kept AS (SELECT cut.doc_id, cut.text, cut.x, source FROM cut JOIN documents USING (doc_id) WHERE length(cut.text) BETWEEN 12 AND 6000 AND NOT ({_not_a_post().replace("(text, '", "(cut.text, '")})
+  AND NOT (NOT contains(cut.text, chr(10)) AND len(string_split(cut.text, '|')) >= 3 AND NOT regexp_matches(cut.text, '[.!?]\s')
+  AND len(list_filter(string_split(cut.text, '|'), lambda p: len(string_split_regex(trim(p), '\s+')) > 8)) = 0)),
+input AS (SELECT doc_id, text, x AS whole, coalesce(source, '') || chr(0) || substr(text, 1, 200) AS k FROM kept),
+hashed AS (SELECT doc_id, text, whole, list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, u: (xor(h, u) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) AS h FROM input),
+digits AS (SELECT *, list_reverse(list_transform(range(7), lambda k: substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST((h // CAST(pow(36, k) AS BIGINT)) % 36 AS INTEGER) + 1, 1))) AS d FROM hashed)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'urn:li:activity:' || doc_id ELSE 'hash:' || coalesce(nullif(ltrim(array_to_string(d, ''), '0'), ''), '0') END AS post_id,
+  doc_id % 3 = 0 AS id_is_stable, length(text) <> length(whole) AS truncated, sha256(text) AS text_sha256 FROM digits"""
+
+
+def sample_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the sample posts, links included."""
+    return features(samples.posts(spark), "text", "links").select("post_id", *map(r6, L.KEYS))
+
+
+def sample_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scoring.score(samples.posts(spark), "text", "links")
+    return out.select("post_id", "kind", r6("score"), "verdict", F.array_join(F.transform("signals", lambda s: s["key"]), "|").alias("reasons"))
+
+
+def _samples_source() -> str:
+    rows = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (i, kind, text)) + f", {n})" for i, kind, text, n in samples.SAMPLES)
+    return f"SELECT post_id AS id, text AS t, kind, n_links FROM (VALUES {rows}) AS v(post_id, kind, text, n_links)"
+
+
+SAMPLE_FEATURES_SQL = f"WITH {feature_ctes(_samples_source(), 'n_links')} SELECT id AS post_id, {rounded(L.KEYS)} FROM f"
+SAMPLE_VERDICTS_SQL = f"""WITH {score_ctes(_samples_source(), 'n_links')}, why AS (SELECT id, string_agg(key, '|' ORDER BY position) AS reasons FROM reasons WHERE position <= 6 GROUP BY id)
+SELECT s.id AS post_id, src.kind, {rounded(['score'])}, verdict, coalesce(reasons, '') AS reasons FROM scored s JOIN source src ON src.id = s.id LEFT JOIN why ON why.id = s.id"""
 
 
 QUERIES: dict[str, Query] = {
@@ -366,6 +401,9 @@ QUERIES: dict[str, Query] = {
     "label_lines": label_lines,
     "cached_scores": cached_scores,
     "stream_dedup": stream_dedup,
+    "extracted_posts": extracted,
+    "sample_features": sample_features,
+    "sample_verdicts": sample_verdicts,
 }
 
 ORACLES: dict[str, str] = {
@@ -397,5 +435,8 @@ ORACLES: dict[str, str] = {
     "label_upsert": f"SELECT CAST(doc_id AS VARCHAR) AS postId, CASE WHEN rating IN (3, 5) THEN 5 ELSE rating END AS rating, CASE WHEN rating IN (3, 5) THEN '2026-01-02T00:00:00Z' ELSE '2026-01-01T00:00:00Z' END AS at FROM ({_RATING_SQL})",
     "label_lines": f"""SELECT '{{"postId":"' || doc_id || '","rating":' || coalesce(CAST(rating AS VARCHAR), 'null') || ',"note":null}}' AS line FROM ({_RATING_SQL})""",
     "cached_scores": f"WITH {_id_cte(chr(39) * 2)}, ids AS (SELECT 'hash:' || coalesce(nullif(ltrim(array_to_string(d, ''), '0'), ''), '0') AS post_id, min(text) AS text FROM digits JOIN documents USING (doc_id) GROUP BY 1), {score_ctes('SELECT post_id AS id, text AS t FROM ids')} SELECT id AS post_id, {rounded(['score'])}, verdict FROM scored",
+    "extracted_posts": EXTRACTED_SQL,
+    "sample_features": SAMPLE_FEATURES_SQL,
+    "sample_verdicts": SAMPLE_VERDICTS_SQL,
     "stream_dedup": f"WITH {_id_cte(chr(39) * 2)} SELECT DISTINCT 'hash:' || coalesce(nullif(ltrim(array_to_string(d, ''), '0'), ''), '0') AS post_id FROM digits",
 }

@@ -1,11 +1,14 @@
 """Label store (JSON lines), verdict cache, exports.
 
-A store is a folder of numbered versions; a write makes the next version and readers take the
-last complete one, so a lost job leaves the former state.
+The label store is a folder of numbered versions; a write makes the next version and readers take the
+last complete one, so a lost job leaves the former state. The cache is a folder of batches under
+each scorer version, and only ever added to; readers take the last verdict of a post.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,31 +98,64 @@ def labelled(scored: DataFrame, ratings: DataFrame) -> DataFrame:
 # ---- verdict cache ---------------------------------------------------------------------------------------
 
 
-def read_cache(spark: SparkSession, path: str, version: str | None = L.SCORER_VERSION) -> DataFrame:
-    """Cached verdicts of one scorer version (None: all)."""
-    versions = _versions(spark, path)
-    out = spark.read.schema(VERDICT).parquet(f"{path}/v{versions[-1]}") if versions else spark.createDataFrame([], VERDICT)
-    return out if version is None else out.where(F.col("scorer_version") == version)
+def _path(spark: SparkSession, path: str):
+    """(path, its file system) in Hadoop's terms."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _batches(spark: SparkSession, path: str, version: str) -> list[str]:
+    where, fs = _path(spark, f"{path}/scorer_version={version}")
+    return [str(s.getPath().getName()) for s in fs.listStatus(where) if str(s.getPath().getName()).startswith("batch=")] if fs.exists(where) else []
+
+
+def read_cache(spark: SparkSession, path: str, version: str = L.SCORER_VERSION) -> DataFrame:
+    """Cached verdicts of one scorer version: of each post the one written last."""
+    found = [f"{path}/scorer_version={version}/{b}" for b in _batches(spark, path, version)]
+    if not found:
+        return spark.createDataFrame([], VERDICT)
+    rows = spark.read.schema(f"{VERDICT.split(', ', 1)[1]}, written timestamp").parquet(*found)
+    rest = VERDICT_COLUMNS[2:]
+    last = rows.groupBy("post_id").agg(F.max_by(F.struct(*rest), F.struct("written", F.xxhash64("verdict", "score"))).alias("_v"))
+    return last.select(F.lit(version).alias("scorer_version"), "post_id", "_v.*").select(VERDICT_COLUMNS)
 
 
-def write_cache(scored: DataFrame, path: str, version: str = L.SCORER_VERSION) -> None:
-    """Add verdicts of posts with stable ids (id_is_stable; absent: all); a post's newer verdict replaces the older."""
+def write_cache(scored: DataFrame, path: str, version: str = L.SCORER_VERSION, batch: str | None = None) -> None:
+    """Add verdicts of posts with stable ids (id_is_stable; absent: all) as one more batch; nothing that is there is read or rewritten.
+
+    Writers don't meet: each batch has a folder of its own, and one that is written again by its name
+    (a micro-batch after a failure) replaces itself.
+    """
     stable = scored.where("id_is_stable") if "id_is_stable" in scored.columns else scored
-    new = stable.select(F.lit(version).alias("scorer_version"), *VERDICT_COLUMNS[1:]).dropDuplicates(["post_id"])
-    old = read_cache(scored.sparkSession, path, None)
-    _write(old.join(new, ["scorer_version", "post_id"], "left_anti").select(VERDICT_COLUMNS).union(new.select(VERDICT_COLUMNS)), path, "parquet")
+    new = stable.select(VERDICT_COLUMNS[1:]).dropDuplicates(["post_id"]).withColumn("written", F.current_timestamp())
+    new.write.mode("overwrite").parquet(f"{path}/scorer_version={version}/batch={batch or uuid.uuid4().hex}")
+
+
+def compact_cache(spark: SparkSession, path: str, version: str = L.SCORER_VERSION) -> None:
+    """One batch in place of many, the last verdict of each post; for times when nobody writes."""
+    old = _batches(spark, path, version)
+    if len(old) > 1:
+        write_cache(read_cache(spark, path, version), path, version)
+        for name in old:
+            where, fs = _path(spark, f"{path}/scorer_version={version}/{name}")
+            fs.delete(where, True)
+
+
+def cache_size(spark: SparkSession, path: str, version: str = L.SCORER_VERSION) -> int:
+    return read_cache(spark, path, version).count()
 
 
 def clear_cache(spark: SparkSession, path: str, version: str = L.SCORER_VERSION) -> None:
     """Drop one version's verdicts; other versions stay."""
-    _write(read_cache(spark, path, None).where(F.col("scorer_version") != version), path, "parquet")
+    where, fs = _path(spark, f"{path}/scorer_version={version}")
+    fs.delete(where, True)
 
 
 def score_with_cache(posts: DataFrame, cached: DataFrame) -> DataFrame:
-    """post_id, verdict, score, confidence, signals, uncertain: from the cache where it has the post, else scored now."""
+    """post_id, verdict, score, confidence, signals, uncertain, cached: from the cache where it has the post, else scored now."""
     from ..operators.scoring import score
 
     columns = VERDICT_COLUMNS[1:]
-    known = posts.select("post_id").join(cached, "post_id").select(columns)
-    fresh = score(posts.join(cached.select("post_id"), "post_id", "left_anti")).select(columns)
+    known = posts.select("post_id").join(cached, "post_id").select(*columns, F.lit(True).alias("cached"))
+    fresh = score(posts.join(cached.select("post_id"), "post_id", "left_anti"), links_col="links" if "links" in posts.columns else None).select(*columns, F.lit(False).alias("cached"))
     return known.union(fresh)

@@ -10,8 +10,9 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Tries for one element, and the paths that have a feed.
@@ -102,6 +103,58 @@ def tally(scored: DataFrame) -> DataFrame:
     return scored.groupBy("verdict").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
 
 
+def handle_batch(batch: DataFrame, epoch: int, cache: str, target: str) -> None:
+    """One micro-batch of posts (post_id, id_is_stable, text, links): known verdicts from the cache, others scored and added to it, all to the target.
+
+    A micro-batch that is run again after a failure writes the same folders again.
+    """
+    from ..sources import stores
+
+    spark = batch.sparkSession
+    posts = batch.dropDuplicates(["post_id"]).persist()  # read by several jobs, counted once
+    try:
+        known = stores.read_cache(spark, cache).join(posts.where("id_is_stable").select("post_id"), "post_id", "left_semi")
+        told = stores.score_with_cache(posts, known).join(posts.select("post_id", "id_is_stable"), "post_id")
+        told.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+    finally:
+        posts.unpersist()
+    done = spark.read.schema(told.schema).parquet(f"{target}/epoch={epoch}")
+    stores.write_cache(done.where("not cached"), cache, batch=f"epoch-{epoch}")
+
+
+def score_posts(posts: DataFrame, cache: str, target: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Score a stream of posts through the cache; every: how often to look for new ones (None: once, over all there is).
+
+    The counters `feed` (seen, unstable, without_text) are observed on the way in; see counters().
+    """
+    seen = posts.observe("feed", F.count(F.lit(1)).alias("seen"), F.count_if(~F.col("id_is_stable")).alias("unstable"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("without_text"))
+    writer = seen.writeStream.foreachBatch(lambda batch, epoch: handle_batch(batch, epoch, cache, target)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def counters(query: StreamingQuery) -> dict[str, int]:
+    """The sums of a query's observed counters over its recent progress."""
+    out: dict[str, int] = {}
+    for step in query.recentProgress:
+        for row in step.observedMetrics.values():
+            for name, n in row.asDict().items():
+                out[name] = out.get(name, 0) + n
+    return out
+
+
+def panel(scored: DataFrame, order_col: str, session_col: str = "session_id") -> DataFrame:
+    """The list that a reader of the feed sees: of each session's posts the first reading, the newest first, with the tally so far by verdict.
+
+    scored: session, post_id, verdict, order_col. Returns session, post_id, verdict, place (1: newest), listed, green, yellow, red.
+    """
+    rest = [c for c in scored.columns if c not in (session_col, "post_id")]
+    first = scored.groupBy(session_col, "post_id").agg(F.min_by(F.struct(*rest), order_col).alias("_r")).select(session_col, "post_id", "_r.*")
+    ahead = Window.partitionBy(session_col).orderBy(order_col, "post_id").rowsBetween(Window.unboundedPreceding, 0)
+    tallied = [F.count_if(F.col("verdict") == v).over(ahead).alias(v) for v in ("green", "yellow", "red")]
+    newest = Window.partitionBy(session_col).orderBy(F.desc(order_col), F.desc("post_id"))
+    return first.select(session_col, "post_id", "verdict", F.row_number().over(newest).alias("place"), F.count("*").over(ahead).alias("listed"), *tallied)
+
+
 def score_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> None:
     """Score all posts (post_id, text) of a folder as a stream, each post once."""
     from ..operators.scoring import score

@@ -166,13 +166,6 @@ def test_author_names():
     assert pages.name_from_url("https://x.test/jobs/1") is None
 
 
-def test_hidden_tail():
-    whole = "The start of a text that goes on and on, far past the fold, to its very end."
-    assert pages.recovers_hidden_tail("The start of a text …see more", whole)
-    assert not pages.recovers_hidden_tail(whole, whole) and not pages.recovers_hidden_tail("Another start", whole)
-    assert pages.recovers_hidden_tail("", "x") and not pages.recovers_hidden_tail("", "")
-
-
 BODY = "A post that says something at some length, so that it passes for the body of a post in the feed."
 
 
