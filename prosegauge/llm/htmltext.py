@@ -24,7 +24,7 @@ from .common import table, unused
 # Fixed values of HTML: elements that start a block, that hold no text to read, that have no end tag,
 # and that end when one of the named elements starts.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-SILENT = frozenset("script style noscript template svg head title textarea select iframe object canvas math audio video".split())
+SILENT = frozenset("script style noscript template svg head title textarea select iframe object canvas audio video".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -118,7 +118,7 @@ def read_blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append(Block(text, np.clip(stack.path, -PATH_MOST, PATH_MOST).astype(np.int8), linked, stack.open[-1][3] if stack.open else ""))
             parts.clear()
@@ -127,6 +127,7 @@ def read_blocks(page: str) -> list[Block]:
     def text(piece: str) -> None:
         nonlocal linked
         if piece and not stack.silent():
+            piece = html.unescape(piece)  # a reference ends where its text does: none reaches over a tag
             parts.append(piece)
             if stack.count.get("a"):
                 linked += len(piece)

@@ -19,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+
+from .common import table, unused
+from .hashing import slices
 
 MARK = "▁"
 #: Numbers from here on stand for signs that are no piece.
@@ -148,7 +151,7 @@ class Pieces:
                     y += 1
                 else:
                     break
-            if len(self.pairs) < 400_000:
+            if len(self.pairs) < 200_000:
                 self.pairs[key] = got
         return got
 
@@ -222,28 +225,27 @@ def _pieces(held: object) -> Pieces:
     return _LOADED[key]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], held: object, decoded: bool = False, at_once: int = 2000, memo_most: int = 150_000) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], held: object, text: str, decoded: bool = False, mb: int = 2, memo_most: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """Rows with their ids. Words are settled in batches of `mb` MB of text (or one text); the most frequent ones, which come early, are kept."""
     vocabulary = _pieces(held)
     memo: dict[str, bytes] = {}
-    for whole in batches:
-        for at in range(0, whole.num_rows, at_once):
-            batch = whole.slice(at, at_once)
-            marked = [vocabulary.marked(t.as_py()) if t.is_valid else [] for t in batch.column("_text")]
-            distinct = {w for words in marked for w in words}
-            fresh = vocabulary.encode_words([w for w in distinct if w not in memo])
-            if len(memo) < memo_most:
-                memo |= fresh
-                now = memo
-            else:  # a full memo stays as it is; it has the most frequent words, which come early
-                now = {w: fresh[w] if w in fresh else memo[w] for w in distinct}
-            data = [b"".join(map(now.__getitem__, words)) for words in marked]
-            ends = np.cumsum([0, *(len(x) // 4 for x in data)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), np.int32)))
-            columns, names = [batch.column(n) for n in batch.schema.names if n != "_text"], [n for n in batch.schema.names if n != "_text"]
-            if decoded:
-                columns.append(pa.array([vocabulary.decode(np.frombuffer(x, np.int32).tolist()) for x in data], pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays([*columns, lists], [*names, "ids"])
+    for batch in slices(batches, text, mb):
+        marked = [vocabulary.marked(t.as_py()) if t.is_valid else [] for t in batch.column(text)]
+        distinct = {w for words in marked for w in words}
+        fresh = vocabulary.encode_words([w for w in distinct if w not in memo])
+        now = {w: fresh[w] if w in fresh else memo[w] for w in distinct}
+        if len(memo) < memo_most:
+            memo |= fresh
+        data = [b"".join(map(now.__getitem__, words)) for words in marked]
+        del marked, distinct, fresh, now
+        ends = np.cumsum([0, *(len(x) // 4 for x in data)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), np.int32)))
+        names = [n for n in batch.schema.names if n != text]
+        columns = [batch.column(n) for n in names]
+        if decoded:
+            columns.append(pa.array([vocabulary.decode(np.frombuffer(x, np.int32).tolist()) for x in data], pa.string()))
+            names.append("decoded")
+        yield pa.RecordBatch.from_arrays([*columns, lists], [*names, "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], held: object) -> Iterator[pa.RecordBatch]:
@@ -253,8 +255,12 @@ def _decode(batches: Iterator[pa.RecordBatch], held: object) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+def _with(df: DataFrame, *more: tuple[str, object]) -> StructType:
+    """The schema of df and further columns; names of any signs."""
+    out = StructType(list(df.schema))
+    for name, kind in more:
+        out = out.add(name, kind)
+    return out
 
 
 def load_vocabulary(df: DataFrame, path: str = TOKENIZER) -> object:
@@ -268,20 +274,25 @@ def load_vocabulary(df: DataFrame, path: str = TOKENIZER) -> object:
 def encode_pieces(docs: DataFrame, path: str = TOKENIZER, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """docs with a column ids (array of int): the whole text's pieces; null and empty texts have none.
 
-    With decoded, also a column decoded: the text that the ids give again. Repeated rows are
-    encoded alike; an empty table gives an empty result; columns of docs named ids (or decoded)
-    are replaced.
+    With decoded, also a column decoded: the text that the ids give again. Texts of any length are
+    encoded whole; a text of many MB is a batch of its own. Repeated rows are encoded alike; an empty
+    table gives an empty result; columns of docs named ids (or decoded) are replaced, all others
+    stay, whatever their names.
     """
     rows = docs.drop("ids", "decoded") if decoded else docs.drop("ids")
-    held = load_vocabulary(docs, path)
-    schema = f"{_schema(rows)}, {'decoded string, ' if decoded else ''}ids array<int>"
-    return rows.withColumn("_text", F.col(text_col).cast("string")).mapInArrow(partial(_encode, held=held, decoded=decoded), schema)
+    held, text = load_vocabulary(docs, path), unused(rows, "_text")
+    schema = _with(rows, *[("decoded", StringType())] * decoded, ("ids", ArrayType(IntegerType())))
+    return rows.withColumn(text, F.col(text_col).cast("string")).mapInArrow(partial(_encode, held=held, text=text, decoded=decoded), schema)
 
 
 def decode_pieces(df: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """df (with a column ids) and a column decoded: the text of the ids; null ids give null."""
-    held = load_vocabulary(df, path)
-    return df.mapInArrow(partial(_decode, held=held), f"{_schema(df)}, decoded string")
+    """df (with a column ids) and a column decoded: the text of the ids; null ids give null.
+
+    A column of df named decoded is replaced, all others stay. Ids of any number are decoded whole; repeated
+    rows alike; an empty table gives an empty result.
+    """
+    held, rows = load_vocabulary(df, path), df.drop("decoded")
+    return rows.mapInArrow(partial(_decode, held=held), _with(rows, ("decoded", StringType())))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,8 +18,8 @@ from .common import bind, cut, join_by_key, join_few, row_key, table
 
 # Given names by gender and script, and parts of surnames by script.
 GIVEN = {
-    ("f", "latin"): "Alice Anna Barbara Carla Claudia Elena Emily Eva Helen Ingrid Jane Julia Karen Laura Linda Lucia Maria Marie Mary Nadia Nina Olivia Paula Rosa Sara Sofia Susan Teresa Ursula Vera".split(),
-    ("m", "latin"): "Adam Albert Andreas Bruno Carlos Daniel David Edward Felix Francisco George Hans Henry Hugo Ivan James John Jorge Karl Luis Marco Martin Michael Oscar Paul Peter Robert Stefan Thomas William".split(),
+    ("f", "latin"): "Alice Ana Anna Barbara Carla Chloé Claudia Elena Emily Eva Helen Ingrid Jane Julia Karen Laura Linda Lucia Maria Marie Mary Nadia Nina Olivia Paula Rosa Sara Sofia Susan Teresa Ursula Vera Zoë".split(),
+    ("m", "latin"): "Adam Albert André Andreas Bruno Carlos Daniel David Edward Felix Francisco George Hans Henry Hugo Ivan James John Jorge José Jürgen Karl Luis Marco Martin Michael Oscar Paul Peter René Robert Stefan Thomas William".split(),
     ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Ирина Лидия Мария Нина Ольга Софья Татьяна".split(),
     ("m", "cyrillic"): "Алексей Борис Виктор Григорий Дмитрий Иван Константин Михаил Николай Олег Павел Сергей".split(),
 }
@@ -27,6 +27,8 @@ SURNAME = {
     "latin": ("Al Bar Bel Cor Dan Del Far Gar Hal Har Kel Lan Lor Mar Mil Nor Pel Ros Sal Ster Tor Val Ver Wes".split(), "ba da le li ma na ne ra ri ro ta ve vi wa".split(), "berg burn dale feld ford lin man mer mont nell rick ser son stein ton well".split()),
     "cyrillic": ("Бар Вол Гор Дан Зим Кар Лав Мар Нов Орл Пет Сав".split(), "а е и о у".split(), "вин ков лев нин ров сов тин хин".split()),
 }
+#: Small words inside surnames; they stay.
+PARTICLES = "van von de der den da di du la le del dos".split()
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Sr Sra Señor Señora M Mme".split()
 #: Letters of other scripts in runs without gaps: (first, last), lower and upper case apart.
 LETTERS = [
@@ -37,21 +39,31 @@ SIGNS = list("!#$%&*+-=?@^_~")
 #: Country codes of telephone numbers by their first digits: one digit, two, else three.
 COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _TITLE = "(?:" + "|".join(TITLES) + ")"
-_CAP = r"\p{Lu}\p{Ll}++(?:-\p{Lu}\p{Ll}++)?"
+_SMALL = "(?:(?:" + "|".join(PARTICLES) + ") )"
+_CAP = rf"{_SMALL}{{0,2}}(?:[OD]['’]|Mc|Mac)?\p{{Lu}}\p{{Ll}}++(?:-\p{{Lu}}\p{{Ll}}++)?"
 _NAMES = [n for names in GIVEN.values() for n in names]
 _GIVEN = "(?:" + "|".join(_NAMES) + ")"
+_LOUD = "(?:" + "|".join(n.upper() for n in _NAMES) + ")"
+#: A sign of an address: letters and digits of any script.
+_ADDRESS = r"[\p{L}\p{N}_.%+\-]"
+_LABEL = r"[\p{L}\p{N}\-]++"
+_SECRET = r"(?i:password|passwd|secret|api_key|token)"
 
 #: Entity types with their patterns, in order of precedence. No pattern can match nothing; runs are possessive.
 #: Each begins with what is quickest to fail.
 PATTERNS = {
-    "email": r"(?<![\w.%+\-])[\w.%+\-]++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+",
-    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<=[=:])(?<=(?:password|passwd|secret|api_key|token)[=:])[^\s\"']++|(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
-    "card": r"(?=\d)(?<![\w.])\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{3,4}(?![\w\-])",
+    "email": rf"(?<!{_ADDRESS}){_ADDRESS}++@{_LABEL}(?:\.{_LABEL})+",
+    "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?<![0-9A-Za-z])gh[pousr]_[0-9A-Za-z]{16,255}(?![0-9A-Za-z])"
+    rf"|(?<=[=:])(?<={_SECRET} ?[=:])[^\s\"']++|(?<= )(?<={_SECRET} ?= )[^\s\"']++|(?<= )(?<={_SECRET} ?: )(?=[^\s\"']*[0-9!@#$%&*+/_\-])[^\s\"']++"
+    r"|(?<=:)(?<=://[^\s/@:]{1,64}:)[^\s/@]++(?=@)|(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "card": r"(?=\d)(?<![\w.])(?:\d{4}[ \-]?\d{4}[ \-]?\d{4}[ \-]?\d{3,4}|\d{4}[ \-]?\d{6}[ \-]?\d{5})(?![\w\-])",
     "ssn": r"(?=\d)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "phone": r"(?=[+(\d])(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w\-])|(?=\+)(?<![\w+])\+\d{8,15}(?!\w)",
-    "ip": r"(?=\d)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])",
+    "phone": r"(?=[+(\d])(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w\-])|(?=\+)(?<![\w+])\+\d{8,15}(?!\w)"
+    r"|(?=0)(?<![\w.,+\-])0[1-9]\d{7,10}(?![\w\-]|[.,]\d)|(?=[2-9])(?<![\w.,+\-/])[2-9]\d{2}-\d{4}(?![\w\-/]|[.,]\d)",
+    "ip": r"(?=\d)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])|(?=[0-9a-fA-F]{1,4}:)(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}(?![\w:])",
     "iban": r"(?=[A-Z])(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "name": rf"(?=\p{{Lu}})(?<!\w)(?:(?:{_TITLE}\.? )?{_GIVEN} {_CAP}(?!\w)|{_TITLE}\.? {_CAP}(?!\w))",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}_])(?:(?:{_TITLE}\.? )?{_GIVEN} {_CAP}(?![\p{{L}}\p{{N}}_])|{_TITLE}\.? {_CAP}(?![\p{{L}}\p{{N}}_])|{_LOUD} \p{{Lu}}{{2,40}}+(?![\p{{L}}\p{{N}}_])"
+    rf"|(?<= )(?<=[Mm]y name is ){_CAP}(?: {_CAP})?(?![\p{{L}}\p{{N}}_]))",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _NO_EMAIL = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email")
@@ -166,9 +178,9 @@ def _given(value: Column, digest_of_list: str) -> Column:
     for (gender, script), names in GIVEN.items():
         array = F.array(*map(F.lit, names))
         step = F.pmod(F.xxhash64(F.lit(digest_of_list), F.lit(gender + script)), F.lit(len(names) - 1)) + 1
-        at = F.array_position(array, value)
+        at = F.array_position(array, F.initcap(value))
         out = F.when(at > 0, F.get(array, ((at - 1 + step) % len(names)).cast("int"))).otherwise(out)
-    return out
+    return F.when((value == F.upper(value)) & (value != F.lower(value)), F.upper(out)).otherwise(out)
 
 
 def canonical(kind: Column, value: Column) -> Column:
@@ -188,7 +200,7 @@ def spelt(kind: Column, value: Column, drawn: Column) -> Column:
     nth = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), r"[^0-9A-Za-z]", ""))
     laid = F.array_join(F.transform(F.split(value, ""), lambda ch, i: F.when(ch.rlike("[0-9A-Za-z]"), F.substr(plain, nth(i), F.lit(1))).otherwise(ch)), "")
     laid = F.concat(laid, F.substr(plain, F.length(F.regexp_replace(value, r"[^0-9A-Za-z]", "")) + 1))
-    loud = kind.isin("email", "ip") & (value == F.upper(value)) & (value != F.lower(value))
+    loud = kind.isin("email", "ip", "surname") & (value == F.upper(value)) & (value != F.lower(value))
     return F.when(kind.isin("phone", "card", "ssn", "iban"), laid).when(loud, F.upper(drawn)).otherwise(drawn)
 
 
@@ -207,6 +219,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         .when(kind == "surname", _surname(value, digest, attempt))
         .when((kind == "secret") & value.rlike(r"\A[0-9a-f]{32,128}\z"), _hexlike(value, digest))
         .when((kind == "secret") & value.rlike(r"\AAKIA[0-9A-Z]{16}\z"), F.concat(F.lit("AKIA"), F.substring(_alike(value, digest), 5, 16)))
+        .when((kind == "secret") & value.rlike(r"\Agh[pousr]_[0-9A-Za-z]+\z"), F.concat(F.substring(value, 1, 4), F.substr(_alike(value, digest), F.lit(5))))
         .when(kind == "iban", _iban(value, digest))
         .otherwise(_alike(value, digest))
     )
@@ -246,7 +259,7 @@ def surrogate_table(entities: DataFrame, key: str, rounds: int = 40) -> DataFram
 
 def _parts(entity: Column) -> Column:
     """An entity as the pieces that get surrogates of their own: a name is title, given name and surname, others are whole."""
-    word = lambda w: F.when(F.btrim(w, F.lit(". ")).isin(TITLES), "title").when(F.btrim(w).isin(_NAMES), "given").otherwise("surname")
+    word = lambda w: F.when(F.btrim(w, F.lit(". ")).isin(TITLES + PARTICLES), "title").when(F.initcap(F.btrim(w)).isin(_NAMES), "given").otherwise("surname")
     names = F.transform(F.split(entity, "(?<= )"), lambda w: F.struct(word(w).alias("kind"), w.alias("value")))
     return bind(entity_type(entity), lambda kind: F.when(kind == "name", names).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("value")))))
 
@@ -257,7 +270,8 @@ def with_surrogates(docs: DataFrame, key: str = "surrogates", id_col: str = "doc
     Returns the id, text (null stays null), n_entities and kinds (sorted types found, of a name its
     parts). Equal values get equal surrogates wherever they stand, different ones different
     surrogates; spellings of one value count as equal. Given names rotate within their list: they
-    need no draw and no check. Empty texts stay empty; texts of any length are read whole; rows that are alike in id and
+    need no draw and no check. Where two entities overlap, the one that begins first is taken, then the first kind in
+    PATTERNS. No match begins or ends inside a word. Empty texts stay empty; texts of any length are read whole; rows that are alike in id and
     text are replaced alike; an empty table gives an empty result; other columns are ignored,
     whatever their names.
     """

@@ -5,8 +5,8 @@ starts with it. If a conversation owns a depth it owns all deeper ones, so each
 found by binary search: in each round every conversation asks the table of least owners by prefix
 digest about one depth, all in one join. What a conversation owns is a chain of nodes, and a chain
 hangs on the node before its first one. These chains form a tree with one row a conversation; its
-sums go up by doubled jumps, so the rounds grow with the logarithm of how deep chains nest. Within a
-chain, a running sum from its end upwards gives the numbers of each node.
+sums go up from chain to chain, one level a round, and a round reads only chains that were handed
+something. Within a chain, a running sum from its end upwards gives the numbers of each node.
 
 Turns meet by 128-bit digests; texts are read once, for their digest and length, and never shuffled.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_key, partitions, table
+from .common import cut, partitions, table
 
 #: Conversations of one hundred ids start with turns of the first of them.
 GROUP = 100
@@ -73,11 +73,17 @@ def first_owned(prefix: DataFrame, owners: DataFrame) -> DataFrame:
     # depths from low to high are open; the one after the last counts as owned
     state = convs.select("conv_id", F.lit(0).cast("long").alias("low"), (F.col("size") + 1).alias("high"))
 
+    longest, n = convs.agg(F.max("size"), F.count("*")).first()
+    longest = longest or 0
+    # prefixes of so many conversations that one would be a large task: at most eight for each depth and partition
+    crowd = max(8, n // (8 * partitions(prefix.sparkSession)))
+    hot, cold = F.broadcast(cut(owners.where(F.col("_n") > crowd).select("a", "b", "owner"))), owners.where(F.col("_n") <= crowd).select("a", "b", "owner")
+
     def asked(depths: DataFrame) -> DataFrame:
-        probes = convs.join(depths, "conv_id").select("conv_id", F.get("marks", F.col("depth").cast("int")).alias("m"))
-        return join_by_key(probes.select("conv_id", "m.a", "m.b"), owners, ["a", "b"], "inner").select("conv_id", "owner")
+        probes = convs.join(depths, "conv_id").select("conv_id", F.get("marks", F.col("depth").cast("int")).alias("m")).select("conv_id", "m.a", "m.b")
+        rare = probes.join(hot, ["a", "b"], "left_anti").join(cold, ["a", "b"])
+        return probes.join(hot, ["a", "b"]).select("conv_id", "owner").union(rare.select("conv_id", "owner"))
 
-    longest = convs.agg(F.max("size")).first()[0] or 0
     middle = F.floor((F.col("low") + F.col("high")) / 2)
     for _ in range(int(longest + 1).bit_length()):
         found = asked(state.where("low < high").select("conv_id", middle.alias("depth")))
@@ -96,20 +102,17 @@ def first_owned(prefix: DataFrame, owners: DataFrame) -> DataFrame:
 def summed_up(chains: DataFrame, names: list[str]) -> DataFrame:
     """conv_id and the named columns of chains (conv_id, up), summed over each chain and all that hang on it, however deep.
 
-    up is the chain that a chain hangs on, null for the root. In round k a chain has the sums of those
-    within 2**k steps below it, and hands them to the chain 2**k steps above.
+    up is the chain that a chain hangs on, null for the root. A round hands what chains were handed in the
+    one before to the chains above, so there are as many rounds as chains nest, and at most as
+    many as the longest conversation has turns.
     """
-    state = chains.select("conv_id", "up", *names)
-    while True:
-        below = cut(state.where("up is not null").groupBy("up").agg(*(F.sum(n).alias(f"{n}_") for n in names), F.count("*").alias("_n")))
-        if not below.limit(1).count():
-            return state.select("conv_id", *names)
-        jumps = cut(below.select(F.col("up").alias("conv_id"), "_n").join(state.select("conv_id", F.col("up").alias("next")), "conv_id"))
-        hung = state.where("up is not null").withColumnRenamed("up", "_up")
-        hung = join_by_key(hung, jumps.select(F.col("conv_id").alias("_up"), "next", "_n"), ["_up"], "inner").select("conv_id", F.col("next").alias("up"), *names)
-        tops = state.where("up is null").select("conv_id", F.lit(None).cast("long").alias("up"), *names)
-        moved = hung.unionByName(tops).join(below.drop("_n").withColumnRenamed("up", "conv_id"), "conv_id", "left")
-        state = cut(moved.select("conv_id", "up", *((F.col(n) + F.coalesce(F.col(f"{n}_"), F.lit(0))).cast("long").alias(n) for n in names)))
+    ups = chains.where("up is not null").select("conv_id", "up")
+    handed = lambda rows: cut(rows.groupBy(F.col("up").alias("conv_id")).agg(*(F.sum(n).cast("long").alias(n) for n in names)))
+    total, wave = chains.select("conv_id", *names), handed(chains.where("up is not null"))
+    while wave.limit(1).count():
+        total = total.unionByName(wave)
+        wave = handed(wave.join(ups, "conv_id"))
+    return total.groupBy("conv_id").agg(*(F.sum(n).cast("long").alias(n) for n in names))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
@@ -189,7 +192,7 @@ def prefix_trie(conversations: DataFrame, heads: Column | None = None, group: in
     nodes = prefix.join(owned, "conv_id").where("depth >= first").select("conv_id", "depth", "chars", "first", "size", "up")
     nodes = cut(nodes.join(ends.withColumnRenamed("owner", "conv_id"), ["conv_id", "depth"], "left").withColumn("n_ends", F.coalesce("n_ends", F.lit(0))))
     # members: ends of a chain and of all chains below it
-    members = summed_up(nodes.groupBy("conv_id").agg(F.first("up").alias("up"), F.sum("n_ends").alias("members")), ["members"])
+    members = summed_up(cut(nodes.groupBy("conv_id").agg(F.first("up").alias("up"), F.sum("n_ends").alias("members"))), ["members"])
     hung = owned.join(members, "conv_id").where("up is not null").groupBy(F.col("up").alias("conv_id"), (F.col("first") - 1).alias("depth"))
     hung = hung.agg(F.sum("members").alias("_members"), F.count("*").alias("_chains"))
     upward = Window.partitionBy("conv_id").orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -197,7 +200,7 @@ def prefix_trie(conversations: DataFrame, heads: Column | None = None, group: in
     told = nodes.join(hung, ["conv_id", "depth"], "left").withColumn("n_convs", F.sum(F.col("n_ends") + zero("_members")).over(upward))
     told = cut(told.select("*", (zero("_chains") + (F.col("depth") < F.col("size")).cast("long")).alias("n_children"), ((F.col("n_convs") - 1) * F.col("chars")).alias("own")).drop("_members", "_chains"))
     leaf = (F.col("n_children") == 0).cast("long")
-    totals = summed_up(told.groupBy("conv_id").agg(F.first("up").alias("up"), F.sum(leaf).alias("leaves"), F.sum("own").alias("saved")), ["leaves", "saved"])
+    totals = summed_up(cut(told.groupBy("conv_id").agg(F.first("up").alias("up"), F.sum(leaf).alias("leaves"), F.sum("own").alias("saved"))), ["leaves", "saved"])
     below = owned.join(totals, "conv_id").where("up is not null").groupBy(F.col("up").alias("conv_id"), (F.col("first") - 1).alias("depth"))
     below = below.agg(F.sum("leaves").alias("_leaves"), F.sum("saved").alias("_saved"))
     every = told.join(below, ["conv_id", "depth"], "left")
