@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The six bytes that part words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -40,6 +41,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def map_rows(df: DataFrame, function: Callable, *more: StructField) -> DataFrame:
+    """df.mapInArrow(function) for columns of any name: all columns of df but the last, which is handed in alone, and `more` come out.
+
+    Names go by number on the way (c0, c1, ...), as the call itself can't take some signs.
+    """
+    given = [StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(df.schema)]
+    out = df.toDF(*(f.name for f in given)).mapInArrow(function, StructType([*given[:-1], *more]))
+    return out.toDF(*df.columns[:-1], *(f.name for f in more))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, in the shared checkpoint folder."""
     ensure_checkpoints(df.sparkSession)

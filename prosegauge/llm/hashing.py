@@ -105,10 +105,11 @@ def word_hash_arrays(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, mb: int = 4) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, mb: int = 4) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about `mb` MB of that column (or one row)."""
     for batch in batches:
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        held = batch.column(column % batch.num_columns if isinstance(column, int) else column)
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(held), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
         at = 0
         while at < batch.num_rows:
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (mb << 20), "right")))

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
-from .common import table, unused
+from .common import map_rows, table, unused
 from .hashing import slices
 
 MARK = "▁"
@@ -225,12 +225,12 @@ def _pieces(held: object) -> Pieces:
     return _LOADED[key]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], held: object, text: str, decoded: bool = False, mb: int = 2, memo_most: int = 60_000) -> Iterator[pa.RecordBatch]:
-    """Rows with their ids. Words are settled in batches of `mb` MB of text (or one text); the most frequent ones, which come early, are kept."""
+def _encode(batches: Iterator[pa.RecordBatch], held: object, decoded: bool = False, mb: int = 2, memo_most: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """Rows, of which the last column is the text, with their ids. Words are settled in batches of `mb` MB of text (or one text); the most frequent ones, which come early, are kept."""
     vocabulary = _pieces(held)
     memo: dict[str, bytes] = {}
-    for batch in slices(batches, text, mb):
-        marked = [vocabulary.marked(t.as_py()) if t.is_valid else [] for t in batch.column(text)]
+    for batch in slices(batches, -1, mb):
+        marked = [vocabulary.marked(t.as_py()) if t.is_valid else [] for t in batch.column(batch.num_columns - 1)]
         distinct = {w for words in marked for w in words}
         fresh = vocabulary.encode_words([w for w in distinct if w not in memo])
         now = {w: fresh[w] if w in fresh else memo[w] for w in distinct}
@@ -240,27 +240,19 @@ def _encode(batches: Iterator[pa.RecordBatch], held: object, text: str, decoded:
         del marked, distinct, fresh, now
         ends = np.cumsum([0, *(len(x) // 4 for x in data)], dtype=np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), np.int32)))
-        names = [n for n in batch.schema.names if n != text]
-        columns = [batch.column(n) for n in names]
+        names, columns = batch.schema.names[:-1], batch.columns[:-1]
         if decoded:
             columns.append(pa.array([vocabulary.decode(np.frombuffer(x, np.int32).tolist()) for x in data], pa.string()))
-            names.append("decoded")
+            names = [*names, "decoded"]
         yield pa.RecordBatch.from_arrays([*columns, lists], [*names, "ids"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], held: object) -> Iterator[pa.RecordBatch]:
+    """Rows, of which the last column is the ids, with their text."""
     vocabulary = _pieces(held)
     for batch in batches:
-        texts = [None if ids is None else vocabulary.decode(ids) for ids in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
-
-
-def _with(df: DataFrame, *more: tuple[str, object]) -> StructType:
-    """The schema of df and further columns; names of any signs."""
-    out = StructType(list(df.schema))
-    for name, kind in more:
-        out = out.add(name, kind)
-    return out
+        texts = [None if ids is None else vocabulary.decode(ids) for ids in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*batch.schema.names[:-1], "decoded"])
 
 
 def load_vocabulary(df: DataFrame, path: str = TOKENIZER) -> object:
@@ -281,8 +273,8 @@ def encode_pieces(docs: DataFrame, path: str = TOKENIZER, text_col: str = "text"
     """
     rows = docs.drop("ids", "decoded") if decoded else docs.drop("ids")
     held, text = load_vocabulary(docs, path), unused(rows, "_text")
-    schema = _with(rows, *[("decoded", StringType())] * decoded, ("ids", ArrayType(IntegerType())))
-    return rows.withColumn(text, F.col(text_col).cast("string")).mapInArrow(partial(_encode, held=held, text=text, decoded=decoded), schema)
+    more = [*[StructField("decoded", StringType())] * decoded, StructField("ids", ArrayType(IntegerType()))]
+    return map_rows(rows.withColumn(text, F.col(text_col).cast("string")), partial(_encode, held=held, decoded=decoded), *more)
 
 
 def decode_pieces(df: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -292,7 +284,8 @@ def decode_pieces(df: DataFrame, path: str = TOKENIZER) -> DataFrame:
     rows alike; an empty table gives an empty result.
     """
     held, rows = load_vocabulary(df, path), df.drop("decoded")
-    return rows.mapInArrow(partial(_decode, held=held), _with(rows, ("decoded", StringType())))
+    ids = unused(rows, "_ids")
+    return map_rows(rows.withColumn(ids, F.col("ids")), partial(_decode, held=held), StructField("decoded", StringType()))
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ PATTERNS = {
     "ssn": r"(?=\d)(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": r"(?=[+(\d])(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .\-]\d{3,4}[ .\-]\d{3,4}(?![\w\-])|(?=\+)(?<![\w+])\+\d{8,15}(?!\w)"
     r"|(?=0)(?<![\w.,+\-])0[1-9]\d{7,10}(?![\w\-]|[.,]\d)|(?=[2-9])(?<![\w.,+\-/])[2-9]\d{2}-\d{4}(?![\w\-/]|[.,]\d)",
-    "ip": r"(?=\d)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])|(?=[0-9a-fA-F]{1,4}:)(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}(?![\w:])",
+    "ip": r"(?=\d)(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])|(?=[0-9a-fA-F:]{0,40}\d)(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}(?![\w:])",
     "iban": r"(?=[A-Z])(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}_])(?:(?:{_TITLE}\.? )?{_GIVEN} {_CAP}(?![\p{{L}}\p{{N}}_])|{_TITLE}\.? {_CAP}(?![\p{{L}}\p{{N}}_])|{_LOUD} \p{{Lu}}{{2,40}}+(?![\p{{L}}\p{{N}}_])"
     rf"|(?<= )(?<=[Mm]y name is ){_CAP}(?: {_CAP})?(?![\p{{L}}\p{{N}}_]))",
