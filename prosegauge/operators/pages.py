@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import unquote, urljoin
+from functools import partial
+from html import unescape
+from urllib.parse import urljoin
 
 import pandas as pd
 import pyarrow as pa
@@ -51,8 +53,12 @@ OWN_HOST = re.compile(r"^https://(?:www\.)?linkedin\.com/")
 HIDDEN_CLASS = re.compile(r"(?:^|\s|-)(?:visually-hidden|sr-only|a11y-text|screen-reader)", re.I)
 ACTION = re.compile(r"(?:like|comment|repost|send|share)", re.I)
 SOCIAL_CONTEXT = re.compile(r"\b(?:commented on|replied to|likes|liked|loves|celebrates|supports|finds|reposted|shared)\b[^.]{0,40}\bthis\b", re.I)
-NOT_A_NAME = re.compile(r"(?:follow(?:ing)?|connect|promoted|sponsored|\+\s*follow|see more|view profile|•|·)", re.I)
-DEGREE = re.compile(r"\s*[•·]?\s*\b(?:1st|2nd|3rd)\+?\s*\Z", re.I)
+#: Names: what stands before and after them, what follows a name on its line, degrees of contact, what is no name, profile addresses.
+AROUND_NAMES = (r"(?i)\Aview\s+", r"(?i)['’]s\s+(?:profile(?:\s+photo)?|page).*\z", r"(?i)\s*[-–]\s*profile\s+photo\s*\z")
+AFTER_NAME = r"\s*[·•|]\s.*\z"
+DEGREE = r"(?i)\s*[•·]?\s*\b(?:1st|2nd|3rd)\+?\s*\z"
+NOT_A_NAME = r"(?i)\A(?:follow(?:ing)?|connect|promoted|sponsored|\+\s*follow|see more|view profile|•|·)\z"
+PROFILE = r"/(?:in|company|school)/([^/?#]+)"
 LEAST, MOST_ITEM, MOST_POST, MOST_HEADING, MOST_NAME = 80, 8000, 6000, 40, 80
 LEAST_GAIN = 40
 
@@ -64,14 +70,25 @@ ATTRIBUTES = ("class", "id", "role", "href", "style", "hidden", "alt", "data-urn
 SHORT = 160
 
 
-class _Reader(HTMLParser):
-    """Rows of one page: (node, parent, depth, place, tag, attrs, text), with ends and lengths filled in as elements close."""
+#: One step inside a tag: its end, or an attribute with what follows its equals sign (an opening quote, or a bare value).
+_STEP = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:([\"'])|([^\s>\"'][^\s>]*)|(?=>)))?)")
+_OPENING, _CLOSING = re.compile(r"<([a-zA-Z][^\s/>]*)"), re.compile(r"</([a-zA-Z][^\s/>]*)")
+#: Elements whose content is text up to their own closing tag.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style")}
+
+
+class _Reader:
+    """Rows of one page: (node, parent, depth, place, tag, attrs, text), with ends and lengths filled in as elements close.
+
+    One pass from left to right: every search either moves on or ends the page, and an element is closed
+    once, so time is in proportion to the page however broken it is. A tag, quote or comment that
+    never ends takes the rest of the page with it, as in browsers.
+    """
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.rows: list[list] = [[0, -1, 0, 0, "#page", {}, None]]
         self.ends, self.spans, self.children = [0], [[0, 0]], [0]
-        self.open = [0]
+        self.open, self.tags = [0], Counter()
         self.pieces: list[str] = []
         self.size = 0
 
@@ -85,38 +102,83 @@ class _Reader(HTMLParser):
             self.children[parent] += 1
         return k
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def _begin(self, tag: str, attrs: dict) -> None:
         while len(self.open) > 1 and tag in _SELF_CLOSING.get(self.rows[self.open[-1]][4], ()):
             self._close()
-        kept = {n: v or "" for n, v in attrs if n in ATTRIBUTES}
-        self.open.append(self._add(tag, kept, None))
+        self.open.append(self._add(tag, attrs, None))
+        self.tags[tag] += 1
         if tag in _VOID:
             self._close()
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        depth = next((d for d in range(len(self.open) - 1, 0, -1) if self.rows[self.open[d]][4] == tag), 0)
-        while depth and len(self.open) > depth:
+    def _finish(self, tag: str) -> None:
+        if self.tags[tag]:  # else no such element is open, and the stack need not be searched
+            while self.rows[self.open[-1]][4] != tag:
+                self._close()
             self._close()
 
-    def handle_data(self, data: str) -> None:
-        self._add("#text", {}, data)
-        self.pieces.append(data)
-        self.size += len(data)
+    def _data(self, data: str) -> None:
+        if data:
+            self._add("#text", {}, data)
+            self.pieces.append(data)
+            self.size += len(data)
 
     def _close(self) -> None:
         k = self.open.pop()
+        self.tags[self.rows[k][4]] -= 1
         self.ends[k], self.spans[k][1] = len(self.rows), self.size
 
+    def _attributes(self, html: str, at: int) -> tuple[dict, int]:
+        """(the attributes that are kept, place after the tag's end; past the page if it has none)."""
+        kept: dict[str, str] = {}
+        while (m := _STEP.match(html, at)) is not None and m.end() > at:
+            at = m.end()
+            if m[1]:
+                return kept, at
+            value = m[4] or ""
+            if m[3]:
+                if (close := html.find(m[3], at)) < 0:
+                    break
+                value, at = html[at:close], close + 1
+            if (name := m[2].lower()) in ATTRIBUTES:
+                kept[name] = unescape(value)
+        return kept, len(html) + 1
+
+    def _scan(self, html: str) -> None:
+        at, start, end = 0, 0, len(html)  # text from start on is not given out yet
+        while (at := html.find("<", at)) >= 0:
+            if (m := _OPENING.match(html, at)) is not None:
+                self._data(unescape(html[start:at]))
+                tag = m[1].lower()
+                attrs, at = self._attributes(html, m.end())
+                if at > end:
+                    return
+                self._begin(tag, attrs)
+                if tag in _RAW:
+                    close = _RAW[tag].search(html, at)
+                    self._data(html[at : close.start() if close else end])
+                    at = close.start() if close else end
+            elif (m := _CLOSING.match(html, at)) is not None:
+                self._data(unescape(html[start:at]))
+                at = self._attributes(html, m.end())[1]
+                if at > end:
+                    return
+                self._finish(m[1].lower())
+            elif html.startswith(("<!", "<?", "</"), at):
+                self._data(unescape(html[start:at]))
+                mark = "-->" if html.startswith("<!--", at) else ">"
+                at = html.find(mark, at + 2)
+                if at < 0:
+                    return
+                at += len(mark)
+            else:
+                at += 1  # a sign of the text
+                continue
+            start = at
+        self._data(unescape(html[start:]))
+
     def read(self, html: str) -> list[list]:
         """Rows with end, length (of the trimmed text below) and, where it is short, that text."""
-        try:
-            self.feed(html)
-            self.close()
-        except (ValueError, AssertionError, RecursionError):  # markup that the parser gives up on: what was read so far
-            pass
+        self._scan(html)
         while self.open:
             self._close()
         text = "".join(self.pieces)
@@ -223,7 +285,8 @@ def described(nodes: DataFrame) -> DataFrame:
             "social": F.coalesce(F.col("short").rlike(f"(?i){SOCIAL_CONTEXT.pattern}"), F.lit(False)),
         }
     )
-    ahead = in_order().rowsBetween(1, Window.unboundedFollowing)
+    # what follows, read from the end: a frame that only grows costs the same for each row, one that shrinks is computed anew
+    ahead = Window.partitionBy("_page").orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumns(
         {
             # author links up to each node: those below it are the difference between two places
@@ -244,6 +307,45 @@ def described(nodes: DataFrame) -> DataFrame:
     return cut(e.withColumn("foreign", foreign).drop("_links", "_button", "_upto", "_k", "_bar", "text"))
 
 
+def _stacked(batches: Iterator[pa.RecordBatch], levels: int | None, most: int | None, own: bool) -> Iterator[pa.RecordBatch]:
+    """Tops (until: their end) and points (until: null) of pages in document order -> _page, node, top. Held are the open tops of one page."""
+    page, above = None, []
+    for batch in batches:
+        pages, nodes, tops = [], [], []
+        for p, node, depth, until in zip(*(batch.column(c).to_pylist() for c in ("_page", "node", "depth", "until")), strict=True):
+            if p != page:
+                page, above = p, []
+            while above and above[-1][1] <= node:
+                above.pop()
+            if until is not None:
+                above.append((node, until, depth))
+                continue
+            given = 0
+            for top, _, level in reversed(above):
+                if given == most or levels is not None and depth - level > levels:
+                    break
+                if own or top != node:
+                    pages.append(p)
+                    nodes.append(node)
+                    tops.append(top)
+                    given += 1
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(nodes, pa.int32()), pa.array(tops, pa.int32())], ["_page", "node", "top"])
+
+
+def containments(points: DataFrame, tops: DataFrame, levels: int | None = None, most: int | None = None, own: bool = False) -> DataFrame:
+    """_page, node, top: which of tops (_page, node, end) stand above each of points (_page, node), innermost first.
+
+    levels: at most so many levels up (both need depth); most: at most so many tops a point; own: a
+    node that is a top and a point stands above itself. Nodes of a page are sorted by place once and
+    read with a stack of the open tops, so the work is that of the answer, never of all pairs in a page.
+    """
+    depth = lambda df: F.col("depth") if levels is not None else F.lit(0).alias("depth")
+    marks = tops.select("_page", "node", depth(tops), F.col("end").alias("until")).union(points.select("_page", "node", depth(points), F.lit(None).cast("int").alias("until"))).distinct()
+    # of one place the top comes first, as the point may lie in it
+    ordered = marks.repartition("_page").sortWithinPartitions("_page", "node", F.col("until").desc_nulls_last())
+    return ordered.mapInArrow(partial(_stacked, levels=levels, most=most, own=own), "_page long, node int, top int")
+
+
 # ---- discovery -----------------------------------------------------------------------------------------
 
 
@@ -317,8 +419,7 @@ def looking_like_posts(e: DataFrame, scope: DataFrame) -> DataFrame:
     held = e.where("marked").join(scope, "_page").where((F.col("node") >= F.col("scope")) & (F.col("node") < F.col("scope_end")) & (F.col("node") > 0))
     fits = (F.col("length") <= MOST_POST) & ~F.col("foreign") & (F.col("container") | ~F.col("in_container")) & (has_post_urn() | ((F.col("length") >= LEAST) & F.col("authors").between(1, 3)))
     judged = held.select("_page", "node", "end", fits.alias("good"))
-    over = e.where("marked and node > 0").select("_page", F.col("node").alias("_over"), F.col("end").alias("_over_end"))
-    nearest = judged.where("good").join(over, "_page").where((F.col("_over") < F.col("node")) & (F.col("node") < F.col("_over_end"))).groupBy("_page", "node").agg(F.max("_over").alias("_over"))
+    nearest = containments(judged.where("good"), e.where("marked and node > 0"), most=1).withColumnRenamed("top", "_over")
     good = judged.where("good").select("_page", F.col("node").alias("_over"), F.lit(True).alias("_good"))
     kept = judged.where("good").join(nearest, ["_page", "node"], "left").join(good, ["_page", "_over"], "left")
     return kept.where(F.col("_good").isNull()).select("_page", "node", "end", F.col("node").alias("at"))
@@ -327,8 +428,9 @@ def looking_like_posts(e: DataFrame, scope: DataFrame) -> DataFrame:
 def author_blocks(e: DataFrame, scope: DataFrame) -> DataFrame:
     """From each author link up, through twelve elements at most, to the largest with no more authors than the first sizeable one."""
     links = in_scope(e, scope).where(F.col("author_link") & ~F.col("foreign") & ~F.col("container") & ~F.col("in_container")).select("_page", F.col("node").alias("link"), F.col("depth").alias("_depth"))
-    over = e.where("node > 0").select("_page", "node", "end", "depth", "tag", "length", "authors")
-    steps = links.join(over, "_page").where((F.col("node") <= F.col("link")) & (F.col("link") < F.col("end")) & (F.col("_depth") - F.col("depth") < 12))
+    over = e.where("node > 0").select("_page", F.col("node").alias("top"), "end", "depth", "tag", "length", "authors")
+    steps = containments(links.select("_page", F.col("link").alias("node"), F.col("_depth").alias("depth")), e.where("node > 0"), levels=11, own=True)
+    steps = steps.withColumnRenamed("node", "link").join(over, ["_page", "top"]).withColumnRenamed("top", "node")
     own = Window.partitionBy("_page", "link")
     steps = steps.withColumn("_stop", F.max(F.when((F.col("tag") == "body") | (F.col("length") > MOST_POST), F.col("depth"))).over(own))
     steps = steps.where((F.col("_stop").isNull() | (F.col("depth") > F.col("_stop"))) & (F.col("length") >= LEAST))
@@ -364,8 +466,9 @@ def block_texts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """_page, target, text of each target node: the text below it with line ends around blocks and for breaks, without hidden and foreign parts."""
     ends = nodes.select("_page", F.col("node").alias("target"), F.col("end").alias("_until"))
     asked = targets.select("_page", "target").distinct().join(ends, ["_page", "target"])
-    below = nodes.select("_page", "node", "end", "tag", "text", is_hidden().alias("_hide")).join(asked, "_page").where((F.col("node") > F.col("target")) & (F.col("node") < F.col("_until")))
-    below = below.where("tag = '#text' or _hide or tag = 'br'" + "".join(f" or tag = '{t}'" for t in sorted(BLOCK_TAGS)))
+    parts = nodes.select("_page", "node", "end", "tag", "text", is_hidden().alias("_hide")).where("tag = '#text' or _hide or tag = 'br'" + "".join(f" or tag = '{t}'" for t in sorted(BLOCK_TAGS)))
+    over = containments(parts, asked.select("_page", F.col("target").alias("node"), F.col("_until").alias("end"))).withColumnRenamed("top", "target")
+    below = parts.join(over, ["_page", "node"])
     shown = below.withColumn("_in", inside(F.col("_hide"), "target")).where("not _hide and not _in")
     piece = lambda at, kind, tie, text: F.struct(at.alias("at"), F.lit(kind).alias("kind"), tie.alias("tie"), text.alias("text"))
     start = piece(F.col("node"), 1, F.lit(0), F.when(F.col("tag") == "#text", F.col("text")).otherwise("\n"))
@@ -393,7 +496,9 @@ def outbound(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     ends = nodes.select("_page", F.col("node").alias("target"), F.col("end").alias("_until"))
     urls = nodes.where("node = 0").select("_page", "url")
     asked = targets.select("_page", "target").distinct().join(ends, ["_page", "target"]).join(urls, "_page")
-    below = nodes.where((F.col("tag") == "a") & has("href")).select("_page", "node", attr("href").alias("href")).join(asked, "_page").where((F.col("node") > F.col("target")) & (F.col("node") < F.col("_until")))
+    anchors = nodes.where((F.col("tag") == "a") & has("href")).select("_page", "node", attr("href").alias("href"))
+    over = containments(anchors, asked.select("_page", F.col("target").alias("node"), F.col("_until").alias("end"))).withColumnRenamed("top", "target")
+    below = anchors.join(over, ["_page", "node"]).join(asked.select("_page", "url").distinct(), "_page")
     read = below.withColumn("href", absolute("href", "url")).where(F.col("href").startswith("http") & ~F.col("href").rlike(OWN_HOST.pattern))
     return read.groupBy("_page", "target").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("node", "href"))), lambda x: x["href"])).alias("links"))
 
@@ -417,59 +522,47 @@ def bodies(e: DataFrame, held: DataFrame, posts: DataFrame) -> DataFrame:
 # ---- authors --------------------------------------------------------------------------------------------
 
 
-def undouble(text: str) -> str:
+def said_once(name: Column) -> Column:
     """A name that stands twice, joined or spaced, once; a run of one sign stays."""
-    if len(set(text)) == 1:
-        return text
-    half = len(text) // 2
-    if len(text) % 2 == 0 and text[:half] == text[half:]:
-        return text[:half]
-    m = re.fullmatch(r"(.+?)\s+\1", text)
-    return m[1] if m else text
-
-
-def clean_author_name(raw: str | None) -> str | None:
-    """A person's or company's name from what a page shows; None if there is none."""
-    name = next((x for x in ((line.strip(SPACES)) for line in (raw or "").split("\n")) if x), "")
-    name = " ".join(name.split())
-    for tail in (r"\Aview\s+", r"['’]s\s+(?:profile(?:\s+photo)?|page).*\Z", r"\s*[-–]\s*profile\s+photo\s*\Z"):
-        name = re.sub(tail, "", name, count=1, flags=re.I)
-    name = undouble(re.sub(r"\s*[·•|]\s.*\Z", "", name, count=1, flags=re.S).strip())
-    name = undouble(DEGREE.sub("", name, count=1).strip()).strip()
-    usable = name and len(name) <= MOST_NAME and not NOT_A_NAME.fullmatch(name) and any(c.isalpha() for c in name)
-    return name if usable else None
-
-
-def name_from_url(href: str | None) -> str | None:
-    """The name in a profile's address; a last part with a digit is an id."""
-    m = re.search(r"/(?:in|company|school)/([^/?#]+)", href or "")
-    parts = [p for p in unquote(m[1]).split("-") if p] if m else []
-    if parts and re.search(r"[0-9]", parts[-1]):
-        parts.pop()
-    return clean_author_name(" ".join(p[:1].upper() + p[1:] for p in parts)) if parts else None
-
-
-@pandas_udf(StringType())
-def clean_names(raw: pd.Series) -> pd.Series:
-    return pd.Series([clean_author_name(x) for x in raw], dtype=object)
-
-
-@pandas_udf(StringType())
-def names_from_urls(href: pd.Series) -> pd.Series:
-    return pd.Series([name_from_url(x) for x in href], dtype=object)
+    half = F.floor(F.length(name) / 2).cast("int")
+    left, right = F.substr(name, F.lit(1), half), F.substr(name, half + 1)
+    spaced = F.regexp_extract(name, r"\A(.+?)\s+\1\z", 1)
+    return F.when(name.rlike(r"\A(.)\1*\z"), name).when((F.length(name) % 2 == 0) & (left == right), left).when(spaced != "", spaced).otherwise(name)
+
+
+def display_name(shown: Column) -> Column:
+    """A person's or company's name from what a page shows: its first line without what is set around names; null if none is left."""
+    lines = F.transform(F.split(F.coalesce(shown, F.lit("")), "\n"), lambda x: F.btrim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    name = F.coalesce(F.get(F.filter(lines, lambda x: x != ""), 0), F.lit(""))
+    for pattern in AROUND_NAMES:
+        name = F.regexp_replace(name, pattern, "")
+    # each step reads the name several times: it is held in an array so that it is computed once
+    then = lambda value, step: F.get(F.transform(F.array(value), step), 0)
+    name = then(F.btrim(F.regexp_replace(name, AFTER_NAME, "")), said_once)
+    name = then(F.btrim(F.regexp_replace(name, DEGREE, "")), lambda x: F.btrim(said_once(x)))
+    usable = lambda x: (F.length(x).between(1, MOST_NAME)) & ~x.rlike(NOT_A_NAME) & x.rlike(r"\p{L}")
+    return then(name, lambda x: F.when(usable(x), x))
+
+
+def address_name(href: Column) -> Column:
+    """The name in a profile's address, its words capitalised; a last part with a digit in it is a number, not a name."""
+    slug = F.regexp_extract(F.coalesce(href, F.lit("")), PROFILE, 1)
+    plain = F.coalesce(F.try_url_decode(F.replace(slug, F.lit("+"), F.lit("%2B"))), slug)
+    parts = F.filter(F.split(plain, "-"), lambda p: p != "")
+    named = F.filter(parts, lambda p, k: (k + 1 < F.size(parts)) | ~p.rlike("[0-9]"))
+    return display_name(F.array_join(F.transform(named, lambda p: F.concat(F.upper(F.substr(p, F.lit(1), F.lit(1))), F.substr(p, F.lit(2)))), " "))
 
 
 def _within(rows: DataFrame, tops: DataFrame) -> DataFrame:
-    """rows (_page, node, ...) below each of tops (_page, top, top_end)."""
-    return rows.join(tops, "_page").where((F.col("node") > F.col("top")) & (F.col("node") < F.col("top_end")))
+    """rows (_page, node, ...) below each of tops (_page, top, top_end, ...)."""
+    over = containments(rows, tops.select("_page", F.col("top").alias("node"), F.col("top_end").alias("end")))
+    return rows.join(over, ["_page", "node"]).join(tops, ["_page", "top"])
 
 
 def _deepest(rows: DataFrame, over: DataFrame, name: str, levels: int | None = None) -> DataFrame:
-    """rows (_page, node, depth) with the deepest of `over` above each, at most so many levels up."""
-    tops = over.select("_page", F.col("node").alias("_o"), F.col("end").alias("_oe"), F.col("depth").alias("_od"))
-    near = rows.select("_page", "node", "depth").distinct().join(tops, "_page").where((F.col("_o") <= F.col("node")) & (F.col("node") < F.col("_oe")))
-    near = near if levels is None else near.where((F.col("_o") < F.col("node")) & (F.col("depth") - F.col("_od") <= levels))
-    return rows.join(near.groupBy("_page", "node").agg(F.max("_o").alias(name)), ["_page", "node"], "left")
+    """rows (_page, node, depth) with the deepest of `over` above each, itself included, or above it by so many levels at most."""
+    near = containments(rows, over, levels, most=1, own=levels is None)
+    return rows.join(near.withColumnRenamed("top", name), ["_page", "node"], "left")
 
 
 def authors(nodes: DataFrame, e: DataFrame, held: DataFrame, posts: DataFrame, body: DataFrame) -> DataFrame:
@@ -491,8 +584,8 @@ def authors(nodes: DataFrame, e: DataFrame, held: DataFrame, posts: DataFrame, b
     chosen = cut(named.groupBy("_page", "post").agg(*(F.min(F.when(r, F.col("node"))).alias(f"r{i}") for i, r in enumerate(rules)), actor.alias("link")))
     # posts whose own links say nothing: the nearest of four elements above that has links, if it has one alone
     silent = posts.select("_page", F.col("node").alias("post"), F.col("node"), "end").join(e.select("_page", "node", "depth"), ["_page", "node"]).join(chosen.where("link is not null").select("_page", "post"), ["_page", "post"], "left_anti")
-    over = e.where("node > 0").select("_page", F.col("node").alias("top"), F.col("end").alias("top_end"), F.col("depth").alias("_td"))
-    over = silent.join(over, "_page").where((F.col("top") < F.col("node")) & (F.col("node") < F.col("top_end")) & (F.col("depth") - F.col("_td") <= 4)).select("_page", "post", "top", "top_end")
+    over = containments(silent, e.where("node > 0"), levels=4).join(silent.select("_page", "node", "post"), ["_page", "node"])
+    over = over.select("_page", "post", "top").join(e.select("_page", F.col("node").alias("top"), F.col("end").alias("top_end")), ["_page", "top"])
     free = e.where("actor_link and not named_foreign and not in_foreign").select("_page", "node", "depth")
     free = _deepest(_deepest(free, e.where("after_bar"), "_after"), e.where("social"), "_social", 4)
     free = _within(free, over).where((F.col("_after").isNull() | (F.col("_after") <= F.col("top"))) & (F.col("_social").isNull() | (F.col("_social") <= F.col("top"))))
@@ -506,8 +599,8 @@ def authors(nodes: DataFrame, e: DataFrame, held: DataFrame, posts: DataFrame, b
     label = of_link.select("_page", "post", F.lit(11).alias("rank"), F.coalesce(attr("aria-label"), F.lit("")).alias("raw"))
     images = e.where((F.col("tag") == "img") & has("alt")).select("_page", "node", attr("alt").alias("alt"))
     alt = _within(images, of_link.where("actor").select("_page", "post", F.col("link").alias("top"), F.col("end").alias("top_end"))).groupBy("_page", "post").agg(F.min_by("alt", "node").alias("raw"))
-    spoken = raw.union(label).union(alt.select("_page", "post", F.lit(12), "raw")).select("_page", "post", "rank", clean_names("raw").alias("name"))
-    spoken = spoken.union(of_link.select("_page", "post", F.lit(13), names_from_urls(attr("href"))))
+    spoken = raw.union(label).union(alt.select("_page", "post", F.lit(12), "raw")).select("_page", "post", "rank", display_name(F.col("raw")).alias("name"))
+    spoken = spoken.union(of_link.select("_page", "post", F.lit(13), address_name(attr("href"))))
     return spoken.where("name is not null").groupBy("_page", "post").agg(F.min_by("name", "rank").alias("author"))
 
 
@@ -521,7 +614,8 @@ def find_posts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Pages without posts give no row; null pages count as empty; of a page that the parser gives up on, what it
     has read so far counts, and an address that can't be read is left out (one page never fails the job). Every
-    row of pages is a page of its own. Other columns are ignored.
+    row of pages is a page of its own. Other columns are ignored. Time grows in proportion to a page's length and
+    nodes, however deep or broken it is.
     """
     nodes = node_table(pages, id_col, url_col, html_col)
     e = described(nodes)

@@ -7,12 +7,37 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import unquote, urljoin
 
 from prosegauge.functions.text import SPACES
 
 from prosegauge.operators.pages import *  # noqa: F403  the fixed values
-from prosegauge.operators.pages import clean_author_name, name_from_url
+
+
+def _once(name):
+    for k in range(1, len(name)):
+        one, two = name[:k], name[k:]
+        if (one == two or one == two.strip() != two) and len(set(name)) > 1:
+            return one
+    return name
+
+
+def plain_name(shown):
+    """What display_name() says, a line at a time."""
+    name = next((x for x in (" ".join(line.split()) for line in (shown or "").split("\n")) if x), "")
+    for pattern in AROUND_NAMES:  # noqa: F405
+        name = re.sub(pattern.replace(r"\z", r"\Z"), "", name)
+    for pattern in (AFTER_NAME, DEGREE):  # noqa: F405
+        name = _once(re.sub(pattern.replace(r"\z", r"\Z"), "", name).strip()).strip()
+    good = 0 < len(name) <= MOST_NAME and any(map(str.isalpha, name)) and not re.search(NOT_A_NAME.replace(r"\z", r"\Z"), name)  # noqa: F405
+    return name if good else None
+
+
+def address_name(href):
+    found = re.search(PROFILE, href or "")  # noqa: F405
+    parts = [x for x in unquote(found[1]).split("-") if x] if found else []
+    parts = [x for k, x in enumerate(parts) if k < len(parts) - 1 or not re.search("[0-9]", x)]
+    return plain_name(" ".join(x[0].upper() + x[1:] for x in parts))
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SELF_CLOSING = {"p": BLOCK_TAGS, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -386,13 +411,13 @@ class Page:
             for k in below:
                 if test(k) and not self.foreign_link(k, post) and (body is None or k < body):
                     raw = self.block_text(k).strip(SPACES)
-                    yield source, raw, clean_author_name(raw)
+                    yield source, raw, plain_name(raw)
                     break
         link = self.actor_link(post, body)
         if link is not None:
             yield from self._of_link("actor", link)
             alt = next((self.nodes[k].attrs["alt"] for k in range(link + 1, self.nodes[link].end) if self.nodes[k].tag == "img" and "alt" in self.nodes[k].attrs), "")
-            yield "avatar", alt, clean_author_name(alt)
+            yield "avatar", alt, plain_name(alt)
             yield self._of_url("actor", link)
             return
         for a in list(self.above(post))[:4]:
@@ -405,11 +430,11 @@ class Page:
 
     def _of_link(self, who: str, k: int) -> Iterator[tuple[str, str, str | None]]:
         for source, raw in (("text", self.block_text(k).strip(SPACES)), ("label", self.nodes[k].attrs.get("aria-label", ""))):
-            yield f"{who} link {source}", raw, clean_author_name(raw)
+            yield f"{who} link {source}", raw, plain_name(raw)
 
     def _of_url(self, who: str, k: int) -> tuple[str, str, str | None]:
         raw = self.nodes[k].attrs.get("href", "")
-        return f"{who} link address", raw, name_from_url(raw)
+        return f"{who} link address", raw, address_name(raw)
 
     def author(self, post: int, body: int | None) -> str | None:
         return next((name for _, _, name in self.author_candidates(post, body) if name), None)
