@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from .functions import lexicons as L
 from .functions import text as T
-from .operators import content, evaluation, extraction, pages, scoring
+from .operators import content, evaluation, extraction, pages, scoring, selectors, similar
 from .operators.features import features, matched_phrases
 from .plans.lineage import checkpoint_folder
-from .sources import samples, stores
-from .streaming import feed
+from .sources import stores
+from .streaming import feed, sessions
 from .oracles import DOCUMENTS, _TRIM, _units, feature_ctes, rounded, score_ctes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -348,24 +348,144 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'urn:li:activity:' || doc_id ELSE '
   doc_id % 3 = 0 AS id_is_stable, length(text) <> length(whole) AS truncated, sha256(text) AS text_sha256 FROM digits"""
 
 
-def sample_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features of the sample posts, links included."""
-    return features(samples.posts(spark), "text", "links").select("post_id", *map(r6, L.KEYS))
+def linked_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as posts with the addresses of the page of the same number, made absolute."""
+    hrefs = F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))
+    links = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.array_distinct(F.transform(hrefs, lambda h: F.concat(F.lit("https://example.org/"), h))).alias("links"))
+    return documents(spark, sf_dir).join(links, "doc_id", "left").withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
 
 
-def sample_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scoring.score(samples.posts(spark), "text", "links")
-    return out.select("post_id", "kind", r6("score"), "verdict", F.array_join(F.transform("signals", lambda s: s["key"]), "|").alias("reasons"))
+def linked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The informational features and the verdict of posts that carry links."""
+    out = scoring.score(linked_posts(spark, sf_dir), "text", "links", reasons=False)
+    return features(linked_posts(spark, sf_dir), "text", "links").select("doc_id", *map(r6, GROUPS["informational"])).join(out.select("doc_id", r6("score"), "verdict"), "doc_id")
 
 
-def _samples_source() -> str:
-    rows = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (i, kind, text)) + f", {n})" for i, kind, text, n in samples.SAMPLES)
-    return f"SELECT post_id AS id, text AS t, kind, n_links FROM (VALUES {rows}) AS v(post_id, kind, text, n_links)"
+_LINKED = """SELECT d.doc_id AS id, d.text AS t, coalesce(len(list_distinct(regexp_extract_all(p.html, 'href="/([^"]*)"', 1))), 0) AS n_links FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id"""
+LINKED_SQL = f"WITH {score_ctes(_LINKED, 'n_links')} SELECT a.*, round(scored.score, 6) AS score, scored.verdict FROM (SELECT id AS doc_id, {rounded(GROUPS['informational'])} FROM f) a JOIN scored ON scored.id = a.doc_id"
 
 
-SAMPLE_FEATURES_SQL = f"WITH {feature_ctes(_samples_source(), 'n_links')} SELECT id AS post_id, {rounded(L.KEYS)} FROM f"
-SAMPLE_VERDICTS_SQL = f"""WITH {score_ctes(_samples_source(), 'n_links')}, why AS (SELECT id, string_agg(key, '|' ORDER BY position) AS reasons FROM reasons WHERE position <= 6 GROUP BY id)
-SELECT s.id AS post_id, src.kind, {rounded(['score'])}, verdict, coalesce(reasons, '') AS reasons FROM scored s JOIN source src ON src.id = s.id LEFT JOIN why ON why.id = s.id"""
+# ---- selectors, sessions, label log, embeddings -----------------------------------------------------------
+
+PROBED = ["a[href^='/']", "p", "nav a", "nav > ul > li > a", "div.ad", "article p", "footer *, h1", "main"]
+
+
+def selector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What some selectors find in the pages."""
+    return selectors.probe(read(spark, sf_dir, "pages"), PROBED).select("selector", "n_pages", "n_nodes")
+
+
+def _selector_sql() -> str:
+    bare = r"regexp_replace(coalesce(html, ''), '<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'gs')"
+    inside = lambda tag: f"regexp_extract(h, '<{tag}[ >].*?</{tag}>', 0, 's')"
+    count = lambda text, pattern: f"len(regexp_extract_all({text}, '{pattern}'))"
+    parts = {
+        "a[href^='/']": count("h", '<a [^>]*href="/'), "p": count("h", "<p[ >]"), "nav a": count(inside("nav"), "<a[ >]"), "nav > ul > li > a": count(inside("nav"), "<a[ >]"), "div.ad": count("h", '<div class="ad"'),
+        "article p": count(inside("article"), "<p[ >]"), "footer *, h1": f"{count(inside('footer'), '<[a-z]')} - {count('h', '<footer[ >]')} + {count('h', '<h1[ >]')}", "main": count("h", "<main[ >]"),
+    }
+    rows = " UNION ALL ".join(f"""SELECT '{s.replace("'", "''")}' AS selector, {n} AS n FROM bare""" for s, n in parts.items())
+    return f"WITH bare AS (SELECT {bare} AS h FROM pages), found AS ({rows}) SELECT selector, count(*) FILTER (WHERE n > 0) AS n_pages, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_nodes FROM found GROUP BY selector"
+
+
+def feed_events(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events as readings of a feed: a user's session, seven elements, failures where an event is an error, a reset where it is a signup of high value."""
+    e = read(spark, sf_dir, "events") if events is None else events
+    fails = (F.col("event_type") == "error") | (F.col("value") < 20)
+    return e.select(
+        F.col("user_id").cast("string").alias("session_id"), (F.col("event_id") % 7).cast("string").alias("element_id"), F.col("event_id").cast("long").alias("tick"),
+        F.when(F.col("event_type") == "view", F.concat(F.lit("urn:"), F.floor(F.col("value") / 40).cast("string"))).alias("urn"),
+        F.when(~fails, F.concat(F.lit("post:"), F.floor(F.col("value") / 40).cast("string"))).alias("post_id"), (F.col("event_type") != "click").alias("id_is_stable"),
+        F.lit(None).cast("string").alias("text"), F.when((F.col("event_type") == "signup") & (F.col("value") > 150), "reset").alias("kind"),
+    )
+
+
+def feed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of every event, read as a stream with state by session."""
+    folder = shared_folder(spark, "sessions")
+    stream = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    feed.run_to_end(sessions.outcomes(feed_events(spark, sf_dir, stream)), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(sessions.OUT).parquet(f"{folder}/out").select("session_id", "element_id", "tick", "outcome", "post_id")
+
+
+def feed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many readings had each outcome, by session."""
+    return sessions.counted(feed_replay(spark, sf_dir), "session_id")
+
+
+#: The element's rules as a recursion over its readings: f failures, fu the failed urn, l the last id.
+FEED_SQL = """WITH RECURSIVE event AS (
+  SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(event_id % 7 AS VARCHAR) AS element_id, event_id AS tick,
+    CASE WHEN event_type = 'view' THEN 'urn:' || CAST(floor(value / 40) AS BIGINT) END AS urn,
+    CASE WHEN NOT (event_type = 'error' OR value < 20) THEN 'post:' || CAST(floor(value / 40) AS BIGINT) END AS post_id,
+    event_type <> 'click' AS stable, event_type = 'signup' AND value > 150 AS reset FROM events
+), reading AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id, era, element_id ORDER BY tick) AS pos
+  FROM (SELECT *, count(*) FILTER (WHERE reset) OVER (PARTITION BY session_id ORDER BY tick) AS era FROM event) WHERE NOT reset
+), step AS (
+  SELECT session_id, era, element_id, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS tick, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS post_id, 0 AS f, CAST(NULL AS VARCHAR) AS fu, CAST(NULL AS VARCHAR) AS l
+  FROM reading WHERE pos = 1
+  UNION ALL
+  SELECT session_id, era, element_id, pos, tick,
+    CASE WHEN same THEN CASE WHEN f0 >= 6 THEN 'given_up' ELSE 'duplicate' END WHEN spent THEN 'given_up' WHEN post_id IS NULL THEN CASE WHEN f1 + 1 = 6 THEN 'skipped' ELSE 'retrying' END
+      WHEN again THEN 'duplicate' ELSE 'post' END,
+    post_id, CASE WHEN same OR spent THEN f0 WHEN post_id IS NULL THEN f1 + 1 ELSE 0 END,
+    CASE WHEN same OR spent THEN fu0 WHEN post_id IS NULL THEN coalesce(urn, fu1) END,
+    CASE WHEN same OR spent OR post_id IS NULL OR again THEN l0 ELSE post_id END
+  FROM (
+    SELECT r.session_id, r.era, r.element_id, r.pos, r.tick, r.post_id, r.urn, s.f AS f0, s.fu AS fu0, s.l AS l0,
+      coalesce(r.urn = s.l, false) AS same, s.f >= 6 AND (r.urn IS NULL OR coalesce(r.urn = s.fu, false)) AS spent,
+      CASE WHEN s.f >= 6 THEN 0 ELSE s.f END AS f1, CASE WHEN s.f >= 6 THEN NULL ELSE s.fu END AS fu1, coalesce(r.post_id = s.l, false) OR (s.l IS NOT NULL AND NOT r.stable) AS again
+    FROM step s JOIN reading r ON r.session_id = s.session_id AND r.era = s.era AND r.element_id = s.element_id AND r.pos = s.pos + 1)
+), told AS (
+  SELECT session_id, element_id, tick, outcome, post_id FROM step WHERE pos > 0
+  UNION ALL SELECT session_id, element_id, tick, 'reset', NULL FROM event WHERE reset
+)"""
+FEED_COUNTERS_SQL = FEED_SQL + " SELECT session_id, count(*) AS seen, " + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in sessions.OUTCOMES) + " FROM told GROUP BY session_id"
+
+
+def label_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels written, some taken back, some of these rated again, the log compacted, others rated at an earlier time."""
+    path = shared_folder(spark, "labels")
+    one = _labels(spark, sf_dir).where("rating is not null").select(F.col("doc_id").cast("string").alias("postId"), "rating", F.lit("2026-01-02T00:00:00Z").alias("at"))
+    number = F.col("postId").cast("long")
+    stores.save_labels(one, path)
+    stores.remove_labels(spark, path, one.where(number % 3 == 0).select("postId"))
+    stores.save_labels(one.where(number % 6 == 0).withColumn("rating", F.lit(2)), path)
+    stores.compact_labels(spark, path)
+    stores.save_labels(one.where(number % 5 == 0).withColumns({"rating": F.lit(4), "at": F.lit("2026-01-01T00:00:00Z")}), path)
+    return stores.read_labels(spark, path).select("postId", "rating", "at")
+
+
+LABEL_LOG_SQL = f"""WITH one AS (SELECT doc_id, rating FROM ({_RATING_SQL}) WHERE rating IS NOT NULL)
+SELECT CAST(doc_id AS VARCHAR) AS postId, CASE WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 4 ELSE rating END AS rating,
+  CASE WHEN doc_id % 3 = 0 AND doc_id % 6 <> 0 THEN '2026-01-01T00:00:00Z' ELSE '2026-01-02T00:00:00Z' END AS at
+FROM one WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0 OR doc_id % 5 = 0"""
+
+
+def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector whose id is divisible by 50: rows of cosine 0.9 or more, and the nearest, against all rows."""
+    vectors = read(spark, sf_dir, "embeddings")
+    out = similar.neighbours(vectors.where("vec_id % 50 = 0"), vectors)
+    return out.select("query_id", "n_near", "nearest_id", F.round("nearest", 4).alias("nearest"))
+
+
+_COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+NEIGHBOURS_SQL = f"""SELECT a.vec_id AS query_id, count(*) FILTER (WHERE {_COSINE} >= 0.9) AS n_near, arg_max(b.vec_id, {_COSINE}) AS nearest_id, round(max({_COSINE}), 4) AS nearest
+FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id"""
+
+
+def embedding_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.embedding_classes(read(spark, sf_dir, "embeddings"))
+
+
+CLASSES_SQL = f"""WITH RECURSIVE link AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND {_COSINE} >= 0.9),
+reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings UNION SELECT reach.u, link.v FROM reach JOIN link ON link.u = reach.v)
+SELECT r.u AS vec_id, min(r.v) AS component_id, any_value(n.n) AS n_copies FROM reach r JOIN embeddings e ON e.vec_id = r.u JOIN (SELECT embedding, count(*) AS n FROM embeddings GROUP BY 1) n ON n.embedding = e.embedding GROUP BY r.u"""
+
+
+def embedding_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cell index finds of the links of the vectors whose id is divisible by 50, against all rows."""
+    return similar.measured_recall(read(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Query] = {
@@ -402,8 +522,14 @@ QUERIES: dict[str, Query] = {
     "cached_scores": cached_scores,
     "stream_dedup": stream_dedup,
     "extracted_posts": extracted,
-    "sample_features": sample_features,
-    "sample_verdicts": sample_verdicts,
+    "linked_features": linked_features,
+    "selector_counts": selector_counts,
+    "feed_replay": feed_replay,
+    "feed_counters": feed_counters,
+    "label_log": label_log,
+    "embedding_neighbours": embedding_neighbours,
+    "embedding_classes": embedding_classes,
+    "embedding_recall": embedding_recall,
 }
 
 ORACLES: dict[str, str] = {
@@ -436,7 +562,12 @@ ORACLES: dict[str, str] = {
     "label_lines": f"""SELECT '{{"postId":"' || doc_id || '","rating":' || coalesce(CAST(rating AS VARCHAR), 'null') || ',"note":null}}' AS line FROM ({_RATING_SQL})""",
     "cached_scores": f"WITH {_id_cte(chr(39) * 2)}, ids AS (SELECT 'hash:' || coalesce(nullif(ltrim(array_to_string(d, ''), '0'), ''), '0') AS post_id, min(text) AS text FROM digits JOIN documents USING (doc_id) GROUP BY 1), {score_ctes('SELECT post_id AS id, text AS t FROM ids')} SELECT id AS post_id, {rounded(['score'])}, verdict FROM scored",
     "extracted_posts": EXTRACTED_SQL,
-    "sample_features": SAMPLE_FEATURES_SQL,
-    "sample_verdicts": SAMPLE_VERDICTS_SQL,
+    "linked_features": LINKED_SQL,
+    "selector_counts": _selector_sql(),
+    "feed_replay": FEED_SQL + " SELECT * FROM told",
+    "feed_counters": FEED_COUNTERS_SQL,
+    "label_log": LABEL_LOG_SQL,
+    "embedding_neighbours": NEIGHBOURS_SQL,
+    "embedding_classes": CLASSES_SQL,
     "stream_dedup": f"WITH {_id_cte(chr(39) * 2)} SELECT DISTINCT 'hash:' || coalesce(nullif(ltrim(array_to_string(d, ''), '0'), ''), '0') AS post_id FROM digits",
 }

@@ -113,7 +113,7 @@ def handle_batch(batch: DataFrame, epoch: int, cache: str, target: str) -> None:
     spark = batch.sparkSession
     posts = batch.dropDuplicates(["post_id"]).persist()  # read by several jobs, counted once
     try:
-        known = stores.read_cache(spark, cache).join(posts.where("id_is_stable").select("post_id"), "post_id", "left_semi")
+        known = stores.read_cache(spark, cache, ids=posts.where("id_is_stable"))
         told = stores.score_with_cache(posts, known).join(posts.select("post_id", "id_is_stable"), "post_id")
         told.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
     finally:

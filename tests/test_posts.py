@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from prosegauge import queries
 from prosegauge.functions import lexicons as L
+from prosegauge.operators.features import features
+from prosegauge.oracles import feature_ctes, rounded, score_ctes
+from prosegauge.functions import lexicons as L
 from prosegauge.operators import diagnostics, evaluation, extraction, scoring
 from prosegauge.sources import samples, stores
 from prosegauge.streaming import feed
@@ -28,13 +31,26 @@ def test_every_feature_speaks(scored):
     assert told.inversions == 0 and told.least_red > told.most_green
 
 
-@pytest.mark.parametrize("name", ["sample_features", "sample_verdicts"])
-def test_samples_against_sql(spark, name):
-    got = queries.QUERIES[name](spark, "")
-    want = duckdb.connect().sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+def _source():
+    rows = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (i, kind, text)) + f", {n})" for i, kind, text, n in samples.SAMPLES)
+    return f"SELECT post_id AS id, text AS t, kind, n_links FROM (VALUES {rows}) AS v(post_id, kind, text, n_links)"
+
+
+def test_sample_features_against_sql(spark):
+    """All features of our own posts, links included: each of them fires somewhere."""
+    got = features(samples.posts(spark), "text", "links").select("post_id", *map(queries.r6, L.KEYS))
+    want = duckdb.connect().sql(f"SELECT {', '.join(got.columns)} FROM (WITH {feature_ctes(_source(), 'n_links')} SELECT id AS post_id, {rounded(L.KEYS)} FROM f)").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_sample_verdicts_against_sql(spark):
+    out = scoring.score(samples.posts(spark), "text", "links")
+    got = out.select("post_id", "kind", queries.r6("score"), "verdict", F.array_join(F.transform("signals", lambda s: s["key"]), "|").alias("reasons"))
+    why = f"""WITH {score_ctes(_source(), 'n_links')}, why AS (SELECT id, string_agg(key, '|' ORDER BY position) AS reasons FROM reasons WHERE position <= 6 GROUP BY id)
+    SELECT s.id AS post_id, src.kind, {rounded(['score'])}, verdict, coalesce(reasons, '') AS reasons FROM scored s JOIN source src ON src.id = s.id LEFT JOIN why ON why.id = s.id"""
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.connect().sql(f"SELECT {', '.join(got.columns)} FROM ({why})").fetchall())
+
+
 def test_verdicts_without_reasons(spark, scored):
     bare = scoring.score(samples.posts(spark), "text", "links", reasons=False)
     assert "signals" not in bare.columns
