@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lexicons as L
 from .functions import text as T
-from .operators import content, evaluation, extraction, pages, scoring, selectors, similar
+from .operators import content, evaluation, extraction, fitting, pages, scoring, selectors, similar
 from .operators.features import features, matched_phrases
-from .plans.lineage import checkpoint_folder
+from .plans.lineage import checkpoint_folder, cut
 from .sources import stores
 from .streaming import feed, sessions
 from .oracles import DOCUMENTS, _TRIM, _units, feature_ctes, rounded, score_ctes
@@ -462,6 +463,31 @@ SELECT CAST(doc_id AS VARCHAR) AS postId, CASE WHEN doc_id % 6 = 0 THEN 2 WHEN d
 FROM one WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0 OR doc_id % 5 = 0"""
 
 
+FOLDS = 5
+
+
+def fold_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each fold's model, the gradient of its first step: by feature, over all labelled rows outside the fold."""
+    rows = fitting.fold_rows(_judged(spark, sf_dir), F.pmod(F.col("doc_id"), F.lit(FOLDS)))
+    sums = fitting.fold_sums(rows, np.zeros((FOLDS, len(L.KEYS) + 1)))
+    names = F.array(*map(F.lit, [*L.KEYS, "bias"]))
+    each = sums.select("model", F.col("n").cast("long").alias("n"), F.posexplode("gradient").alias("at", "gradient"))
+    return each.select("model", "n", F.get(names, F.col("at")).alias("feature"), F.round("gradient", 4).alias("gradient"))
+
+
+def _fold_sql() -> str:
+    one = " UNION ALL ".join(f"SELECT {k} AS model, '{f}' AS feature, count(*) AS n, sum((0.5 - CASE WHEN label = 'red' THEN 1 ELSE 0 END) * {f if f != 'bias' else '1.0'}) AS g FROM judged WHERE label IS NOT NULL AND id % {FOLDS} <> {k}" for k in range(FOLDS) for f in [*L.KEYS, "bias"])
+    return f"WITH {_JUDGED_CTE} SELECT model, n, feature, round(g, 4) AS gradient FROM ({one})"
+
+
+def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The odds of a low rating for every labelled document, by the model of the folds that it isn't in."""
+    judged = cut(_judged(spark, sf_dir).select("doc_id", "label", *L.KEYS))
+    fold = F.pmod(F.col("doc_id"), F.lit(FOLDS))
+    weights = fitting.fit_folds(cut(fitting.fold_rows(judged, fold)), FOLDS)
+    return fitting.out_of_fold(judged, weights, "doc_id", fold).select("doc_id", "fold", "label", r6("probability"))
+
+
 def embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every vector whose id is divisible by 50: rows of cosine 0.9 or more, and the nearest, against all rows."""
     vectors = read(spark, sf_dir, "embeddings")
@@ -530,6 +556,8 @@ QUERIES: dict[str, Query] = {
     "embedding_neighbours": embedding_neighbours,
     "embedding_classes": embedding_classes,
     "embedding_recall": embedding_recall,
+    "fold_gradients": fold_gradients,
+    "out_of_fold": out_of_fold,
 }
 
 ORACLES: dict[str, str] = {
@@ -569,5 +597,6 @@ ORACLES: dict[str, str] = {
     "label_log": LABEL_LOG_SQL,
     "embedding_neighbours": NEIGHBOURS_SQL,
     "embedding_classes": CLASSES_SQL,
+    "fold_gradients": _fold_sql(),
     "stream_dedup": f"WITH {_id_cte(chr(39) * 2)} SELECT DISTINCT 'hash:' || coalesce(nullif(ltrim(array_to_string(d, ''), '0'), ''), '0') AS post_id FROM digits",
 }

@@ -39,3 +39,28 @@ def test_fit(spark):
     assert fitting.may_adopt(judged, RULES)
     old = spark.createDataFrame([("i", "2024-01-01T00:00:00Z", "rules-2"), ("i", "2026-01-01T00:00:00Z", "rules-2"), ("i", "2026-01-02T00:00:00Z", "rules-2"), ("i", "2026-01-02T00:00:00Z", "rules-1")], "install string, at string, scorerVersion string")
     assert fitting.retained(old, "2026-06-01T00:00:00Z", most=1).count() == 1
+
+
+def test_folds_in_one_pass(spark):
+    """Newton's weights against MLlib's on the rows of each fold's complement, and the folds of the built-in cross-validation."""
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    value = lambda k, i: F.abs(F.sin(F.col("id") * (i + 1) * 0.7)) * (0.5 + 0.5 * F.lit(i % 3)) + F.when((F.col("id") % 3 == 0) & F.lit(i < 4), 0.3).otherwise(0.0)
+    label = F.when(F.col("id") % 3 == 0, "red").when(F.col("id") % 3 == 1, "green").when(F.col("id") % 9 != 8, "yellow")
+    judged = spark.range(400).select("id", label.alias("label"), *(value(k, i).alias(k) for i, k in enumerate(L.KEYS))).cache()
+    fold = fitting.fold_of("id", 3)
+    rows = fitting.fold_rows(judged, fold).cache()
+    weights = fitting.fit_folds(rows, 3)
+    for k in range(2):
+        train = rows.where(F.col("fold") != k).select(array_to_vector(F.slice("vector", 1, len(L.KEYS))).alias("v"), "target")
+        model = LogisticRegression(featuresCol="v", labelCol="target", regParam=0.05, elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=300).fit(train)
+        assert np.allclose(model.coefficients.toArray(), weights[k][:-1], atol=2e-3) and abs(model.intercept - weights[k][-1]) < 5e-3
+    out = fitting.out_of_fold(judged, weights, "id", fold).collect()
+    assert len(out) == judged.where("label is not null").count() and all(0 < r.probability < 1 for r in out)
+    assert np.mean([r.probability for r in out if r.label == "red"]) > np.mean([r.probability for r in out if r.label != "red"]) + 0.2
+    none = fitting.fit_folds(rows.limit(0), 3)
+    assert not none.any()
+    model, means = fitting.cross_validated(judged.where("id < 150"), grid=(0.01, 0.5), folds=2)
+    assert len(means) == 2 and all(0 <= m <= 1 for m in means) and model.numClasses == 3
