@@ -151,7 +151,7 @@ class Pieces:
                     y += 1
                 else:
                     break
-            if len(self.pairs) < 200_000:
+            if len(self.pairs) < 400_000:
                 self.pairs[key] = got
         return got
 
@@ -225,7 +225,7 @@ def _pieces(held: object) -> Pieces:
     return _LOADED[key]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], held: object, decoded: bool = False, mb: int = 2, memo_most: int = 60_000) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], held: object, decoded: bool = False, mb: int = 3, memo_most: int = 100_000) -> Iterator[pa.RecordBatch]:
     """Rows, of which the last column is the text, with their ids. Words are settled in batches of `mb` MB of text (or one text); the most frequent ones, which come early, are kept."""
     vocabulary = _pieces(held)
     memo: dict[str, bytes] = {}
