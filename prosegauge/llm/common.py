@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..plans.lineage import checkpoint_folder
+
 #: The six bytes that part words.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -24,13 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a folder of this machine only where Spark itself runs in one process."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="prosegauge-checkpoints-"))
+    """Use the shared folder that the cluster names."""
+    checkpoint_folder(spark)
 
 
 def unused(df: DataFrame, name: str) -> str:
