@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Tries for one element, and the paths that have a feed.
@@ -133,7 +133,7 @@ def score_posts(posts: DataFrame, cache: str, target: str, checkpoint: str, ever
 
 
 def counters(query: StreamingQuery) -> dict[str, int]:
-    """The sums of a query's observed counters over its recent progress."""
+    """The sums of a query's observed counters over its recent progress (Spark forgets all but the last hundred steps; Counters keeps the whole)."""
     out: dict[str, int] = {}
     for step in query.recentProgress:
         for row in step.observedMetrics.values():
@@ -142,6 +142,28 @@ def counters(query: StreamingQuery) -> dict[str, int]:
     return out
 
 
+class Counters(StreamingQueryListener):
+    """The sums of observed counters of every query since spark.streams.addListener(), by the query's id: they outlive recentProgress and restarts of the query."""
+
+    def __init__(self) -> None:
+        self.sums: dict[str, dict[str, int]] = {}
+
+    def onQueryStarted(self, event: object) -> None:  # noqa: N802
+        self.sums.setdefault(str(event.id), {})
+
+    def onQueryProgress(self, event: object) -> None:  # noqa: N802
+        own = self.sums.setdefault(str(event.progress.id), {})
+        for row in event.progress.observedMetrics.values():
+            for name, n in row.asDict().items():
+                own[name] = own.get(name, 0) + (n or 0)
+
+    def onQueryIdle(self, event: object) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event: object) -> None:  # noqa: N802
+        pass
+
+
 def panel(scored: DataFrame, order_col: str, session_col: str = "session_id") -> DataFrame:
     """The list that a reader of the feed sees: of each session's posts the first reading, the newest first, with the tally so far by verdict.
 

@@ -228,3 +228,36 @@ def test_containment_needs_no_pairs():
     batch = pa.RecordBatch.from_pydict({"_page": [1] * (2 * n), "node": list(range(2 * n)), "depth": [0] * (2 * n), "until": [2 * n] * n + [None] * n}, pa.schema([("_page", pa.int64()), ("node", pa.int32()), ("depth", pa.int32()), ("until", pa.int32())]))
     out = pa.Table.from_batches(pages._stacked(iter([batch]), None, 1, False))
     assert out.num_rows == n and set(out["top"].to_pylist()) == {n - 1}
+
+
+def test_counters_outlive_recent_progress(spark, tmp_path):
+    import time
+
+    listener = feed.Counters()
+    spark.streams.addListener(listener)
+    rows = [("p1", True, "a"), ("p2", False, ""), ("p3", True, None)]
+    for part in range(3):
+        spark.createDataFrame(rows[: part + 1], "post_id string, id_is_stable boolean, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("post_id string, id_is_stable boolean, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    seen = stream.observe("feed", F.count(F.lit(1)).alias("seen"), F.count_if(~F.col("id_is_stable")).alias("unstable"))
+    query = seen.writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    for _ in range(50):  # the listener is told a little later
+        if listener.sums.get(str(query.id), {}).get("seen") == 6:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    assert listener.sums[str(query.id)] == {"seen": 6, "unstable": 2}
+
+
+def test_medians_from_sketches_of_batches(spark):
+    """Batches are reduced to sketches and merged; the quantile's rank is within two in a hundred of the exact one."""
+    from prosegauge.operators import evaluation
+
+    rows = spark.range(20_000).select((F.col("id") % 7).alias("batch"), (F.col("id") % 2).alias("kind"), (F.pmod(F.xxhash64("id"), F.lit(100_000)) / 7).alias("ms"))
+    sketches = evaluation.sketched(rows, "ms", "batch", "kind")
+    assert sketches.count() == 14
+    for r in evaluation.merged_quantiles(sketches, (0.5, 0.9), "kind").collect():
+        assert r.n == 10_000
+        for q, value in ((0.5, r.q50), (0.9, r.q90)):
+            assert abs(rows.where((F.col("kind") == r.kind) & (F.col("ms") <= value)).count() / r.n - q) < 0.02
