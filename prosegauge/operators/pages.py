@@ -565,8 +565,15 @@ def _deepest(rows: DataFrame, over: DataFrame, name: str, levels: int | None = N
     return rows.join(near.withColumnRenamed("top", name), ["_page", "node"], "left")
 
 
-def authors(nodes: DataFrame, e: DataFrame, held: DataFrame, posts: DataFrame, body: DataFrame) -> DataFrame:
-    """_page, post, author: the first candidate, in order of trust, that is a name."""
+#: Where an author's name may come from, in order of trust.
+AUTHOR_SOURCES = (
+    "shown span in a titled span", "shown span in a title", "titled span", "title", "feed actor's name", "span in the actor's link", "class names a title", "class names a name", "test id",
+    "class names an actor", "text of the link", "label of the link", "image in the link", "address of the link",
+)
+
+
+def author_candidates(nodes: DataFrame, e: DataFrame, held: DataFrame, posts: DataFrame, body: DataFrame) -> DataFrame:
+    """_page, post, rank (place in AUTHOR_SOURCES), raw (what stands there), name (null: it is no name)."""
     title, meta = "update-components-actor__title", "update-components-actor__meta"
     span, shown = F.col("tag") == "span", (F.col("tag") == "span") & F.coalesce(attr("aria-hidden") == "true", F.lit(False))
     traits = {"t_span": span & has_class(title), "t_any": has_class(title), "t_meta": (F.col("tag") == "a") & F.col("in_meta")}
@@ -599,9 +606,14 @@ def authors(nodes: DataFrame, e: DataFrame, held: DataFrame, posts: DataFrame, b
     label = of_link.select("_page", "post", F.lit(11).alias("rank"), F.coalesce(attr("aria-label"), F.lit("")).alias("raw"))
     images = e.where((F.col("tag") == "img") & has("alt")).select("_page", "node", attr("alt").alias("alt"))
     alt = _within(images, of_link.where("actor").select("_page", "post", F.col("link").alias("top"), F.col("end").alias("top_end"))).groupBy("_page", "post").agg(F.min_by("alt", "node").alias("raw"))
-    spoken = raw.union(label).union(alt.select("_page", "post", F.lit(12), "raw")).select("_page", "post", "rank", display_name(F.col("raw")).alias("name"))
-    spoken = spoken.union(of_link.select("_page", "post", F.lit(13), address_name(attr("href"))))
-    return spoken.where("name is not null").groupBy("_page", "post").agg(F.min_by("name", "rank").alias("author"))
+    spoken = raw.union(label).union(alt.select("_page", "post", F.lit(12), "raw")).select("_page", "post", "rank", "raw", display_name(F.col("raw")).alias("name"))
+    return spoken.union(of_link.select("_page", "post", F.lit(13), attr("href"), address_name(attr("href"))))
+
+
+def authors(nodes: DataFrame, e: DataFrame, held: DataFrame, posts: DataFrame, body: DataFrame) -> DataFrame:
+    """_page, post, author: the first candidate, in order of trust, that is a name."""
+    found = author_candidates(nodes, e, held, posts, body).where("name is not null")
+    return found.groupBy("_page", "post").agg(F.min_by("name", "rank").alias("author"))
 
 
 # ---- what users call ------------------------------------------------------------------------------------
@@ -609,6 +621,30 @@ def authors(nodes: DataFrame, e: DataFrame, held: DataFrame, posts: DataFrame, b
 POSTS = "post_index int, tier string, urn string, author string, raw_text string, links array<string>, has_media boolean, is_reshare boolean, can_expand boolean, text_length int, author_links int"
 
 
+def _parts(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> tuple[DataFrame, ...]:
+    """(nodes, elements described, posts, elements below each post, bodies)."""
+    nodes = node_table(pages, id_col, url_col, html_col)
+    e = described(nodes)
+    posts = discovered(e)
+    tops = posts.select("_page", F.col("node").alias("post"), F.col("node").alias("top"), F.col("end").alias("top_end"))
+    held = cut(_within(e, tops).drop("top", "top_end"))
+    return nodes, e, posts, held, cut(bodies(e, held, posts))
+
+
+def author_report(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, post_index, source, raw, name, chosen: every place of every post that may name its author, what it says, and which one is taken.
+
+    Posts without any such place give no row. Pages are read as by find_posts().
+    """
+    nodes, e, posts, held, body = _parts(pages, id_col, url_col, html_col)
+    found = author_candidates(nodes, e, held, posts, body)
+    first = F.min(F.when(F.col("name").isNotNull(), F.col("rank"))).over(Window.partitionBy("_page", "post"))
+    source = F.get(F.array(*map(F.lit, AUTHOR_SOURCES)), F.col("rank"))
+    told = found.withColumns({"source": source, "chosen": F.coalesce(F.col("rank") == first, F.lit(False))})
+    placed = told.join(posts.select("_page", F.col("node").alias("post"), "post_index"), ["_page", "post"]).join(nodes.where("node = 0").select("_page", "page_id"), "_page")
+    return placed.select("page_id", "post_index", "source", "raw", "name", "chosen")
+
+
 def find_posts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for each post of each page: page_id, url, and the columns of POSTS.
 
@@ -617,12 +653,7 @@ def find_posts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     row of pages is a page of its own. Other columns are ignored. Time grows in proportion to a page's length and
     nodes, however deep or broken it is.
     """
-    nodes = node_table(pages, id_col, url_col, html_col)
-    e = described(nodes)
-    posts = discovered(e)
-    tops = posts.select("_page", F.col("node").alias("post"), F.col("node").alias("top"), F.col("end").alias("top_end"))
-    held = cut(_within(e, tops).drop("top", "top_end"))
-    body = cut(bodies(e, held, posts))
+    nodes, e, posts, held, body = _parts(pages, id_col, url_col, html_col)
     targets = body.where("body is not null").select("_page", F.col("body").alias("target"))
     texts = block_texts(nodes, targets).withColumnsRenamed({"target": "body", "text": "raw_text"})
     links = outbound(nodes, targets).withColumnRenamed("target", "body")

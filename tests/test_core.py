@@ -311,6 +311,16 @@ def test_posts_equal_a_plain_model(spark):
         assert (r.text, r.links, r.tier) == (page.block_text(body), page.links(body, "https://www.linkedin.com/feed/"), page.posts()[0])
 
 
+def test_author_report(spark):
+    title = '<span class="update-components-actor__title"><span aria-hidden="true">Follow</span></span>'
+    html = "<body>" + card("urn:li:activity:1", "Ann Lee").replace("<div><p>", title + "<div><p>", 1) + "</body>"
+    rows = pages.author_report(spark.createDataFrame([(7, "https://www.linkedin.com/feed/", html), (8, None, None)], "page_id long, url string, html string")).collect()
+    told = {r.source: (r.raw, r.name, r.chosen) for r in rows}
+    assert {r.page_id for r in rows} == {7} and set(told) <= set(pages.AUTHOR_SOURCES)
+    assert told["titled span"] == ("Follow", None, False)
+    assert told["text of the link"] == ("Ann Lee", "Ann Lee", True) and told["address of the link"][1:] == ("Ann Lee", False)
+
+
 def test_block_text(spark):
     html = "<body><p>one</p>two<br>three<span class='x visually-hidden'>no</span><div hidden>no</div><button>no</button><ul><li>a<li>b</ul></body>"
     got = pages.read_pages(spark.createDataFrame([(1, None, html), (2, None, None)], "page_id long, url string, html string")).collect()
