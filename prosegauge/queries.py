@@ -472,12 +472,12 @@ def fold_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = fitting.fold_sums(rows, np.zeros((FOLDS, len(L.KEYS) + 1)))
     names = F.array(*map(F.lit, [*L.KEYS, "bias"]))
     each = sums.select("model", F.col("n").cast("long").alias("n"), F.posexplode("gradient").alias("at", "gradient"))
-    return each.select("model", "n", F.get(names, F.col("at")).alias("feature"), F.round("gradient", 4).alias("gradient"))
+    return each.select("model", "n", F.get(names, F.col("at")).alias("feature"), (F.round("gradient", 4) + 0.0).alias("gradient"))
 
 
 def _fold_sql() -> str:
     one = " UNION ALL ".join(f"SELECT {k} AS model, '{f}' AS feature, count(*) AS n, sum((0.5 - CASE WHEN label = 'red' THEN 1 ELSE 0 END) * {f if f != 'bias' else '1.0'}) AS g FROM judged WHERE label IS NOT NULL AND id % {FOLDS} <> {k}" for k in range(FOLDS) for f in [*L.KEYS, "bias"])
-    return f"WITH {_JUDGED_CTE} SELECT model, n, feature, round(g, 4) AS gradient FROM ({one})"
+    return f"WITH {_JUDGED_CTE} SELECT model, n, feature, round(g, 4) + CAST(0 AS DOUBLE) AS gradient FROM ({one})"
 
 
 def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
