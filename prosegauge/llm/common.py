@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let go of what past rounds of a loop have left: plans on the driver, and the shuffle and checkpoint files of rows that nothing refers to any more.
+
+    Spark deletes such files when the driver's collector meets their owners, which in a job of many small
+    steps may be half an hour later (spark.cleaner.periodicGC.interval).
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_key, only, partitions, table
+from .common import cut, join_by_key, only, partitions, sweep, table
 from .hashing import PRIME, mix, slices
 from .setring import _bytes, _marks, _meetings, _rounds, _sets, shingle_sets
 
@@ -167,6 +167,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = texts.mapInArrow(partial(_sets, width=width, clashing=clashing), "node long, items array<long>")
     sets = cut(sets.join(able, "node", "left_semi").dropDuplicates(["node"]))
 
+    sweep(docs.sparkSession)
     entries = cut(list_entries(sets, percent))
     small = light_sizes(percent)[-1]
     scans = entries.where(F.col("n") <= small).groupBy("n").agg(F.count_distinct("node").alias("sets"), F.sum("_n").alias("scan")).collect()

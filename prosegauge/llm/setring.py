@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_by_key, only, partitions
+from .common import cut, join_by_key, only, partitions, sweep
 from .components import connected_components
 from .hashing import PRIME, distinct_sorted, mix, slices, word_hash_arrays
 
@@ -196,6 +196,7 @@ def _rounds(met: DataFrame, near: DataFrame, sets: DataFrame, share: float, firs
     pairs = cut(pairs.select(F.col("node").alias("u"), "v"))
     done, links, most, left = pairs, cut(verified(pairs, sets, share)), 8, None
     while True:
+        sweep(met.sparkSession)
         roots = cut(connected_components(links))
         if left is None:  # a key is gone through if each of its nodes is in its rep's component
             other = near.groupBy("rep").agg(F.count("*").alias("_n")).join(roots.select(F.col("node").alias("rep"), F.col("root").alias("_other")), "rep", "left")
