@@ -462,13 +462,20 @@ def discovered(e: DataFrame) -> DataFrame:
 # ---- reading -------------------------------------------------------------------------------------------
 
 
-def block_texts(nodes: DataFrame, targets: DataFrame) -> DataFrame:
-    """_page, target, text of each target node: the text below it with line ends around blocks and for breaks, without hidden and foreign parts."""
+def _below(rows: DataFrame, asked: DataFrame, alone: bool) -> DataFrame:
+    """rows (_page, node) below each target (_page, target, _until). alone: there is one target a page, so a join by page gives no row that isn't asked for or beside it."""
+    if alone:
+        return rows.join(asked, "_page").where((F.col("node") > F.col("target")) & (F.col("node") < F.col("_until")))
+    over = containments(rows, asked.select("_page", F.col("target").alias("node"), F.col("_until").alias("end"))).withColumnRenamed("top", "target")
+    return rows.join(over, ["_page", "node"])
+
+
+def block_texts(nodes: DataFrame, targets: DataFrame, alone: bool = False) -> DataFrame:
+    """_page, target, text of each target node: the text below it with line ends around blocks and for breaks, without hidden and foreign parts. alone: there is one target a page."""
     ends = nodes.select("_page", F.col("node").alias("target"), F.col("end").alias("_until"))
     asked = targets.select("_page", "target").distinct().join(ends, ["_page", "target"])
     parts = nodes.select("_page", "node", "end", "tag", "text", is_hidden().alias("_hide")).where("tag = '#text' or _hide or tag = 'br'" + "".join(f" or tag = '{t}'" for t in sorted(BLOCK_TAGS)))
-    over = containments(parts, asked.select("_page", F.col("target").alias("node"), F.col("_until").alias("end"))).withColumnRenamed("top", "target")
-    below = parts.join(over, ["_page", "node"])
+    below = _below(parts, asked, alone)
     shown = below.withColumn("_in", inside(F.col("_hide"), "target")).where("not _hide and not _in")
     piece = lambda at, kind, tie, text: F.struct(at.alias("at"), F.lit(kind).alias("kind"), tie.alias("tie"), text.alias("text"))
     start = piece(F.col("node"), 1, F.lit(0), F.when(F.col("tag") == "#text", F.col("text")).otherwise("\n"))
@@ -491,14 +498,13 @@ def absolute(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(h, b) for h, b in zip(href, base, strict=True)], dtype=object)
 
 
-def outbound(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+def outbound(nodes: DataFrame, targets: DataFrame, alone: bool = False) -> DataFrame:
     """_page, target, links: distinct outbound addresses below each target, absolute, in order; addresses that can't be read are left out."""
     ends = nodes.select("_page", F.col("node").alias("target"), F.col("end").alias("_until"))
     urls = nodes.where("node = 0").select("_page", "url")
     asked = targets.select("_page", "target").distinct().join(ends, ["_page", "target"]).join(urls, "_page")
     anchors = nodes.where((F.col("tag") == "a") & has("href")).select("_page", "node", attr("href").alias("href"))
-    over = containments(anchors, asked.select("_page", F.col("target").alias("node"), F.col("_until").alias("end"))).withColumnRenamed("top", "target")
-    below = anchors.join(over, ["_page", "node"]).join(asked.select("_page", "url").distinct(), "_page")
+    below = _below(anchors, asked.drop("url"), alone).join(asked.select("_page", "url").distinct(), "_page")
     read = below.withColumn("href", absolute("href", "url")).where(F.col("href").startswith("http") & ~F.col("href").rlike(OWN_HOST.pattern))
     return read.groupBy("_page", "target").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("node", "href"))), lambda x: x["href"])).alias("links"))
 
@@ -681,5 +687,5 @@ def read_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     e = described(nodes)
     tier = discovered(e).groupBy("_page").agg(F.first("tier").alias("tier"))
     body = cut(nodes.groupBy("_page").agg(F.coalesce(F.min(F.when((F.col("tag") == "body") & (F.col("node") > 0), F.col("node"))), F.lit(0)).alias("target")))
-    out = nodes.where("node = 0").select("_page", "page_id").join(body, "_page").join(block_texts(nodes, body), ["_page", "target"], "left").join(outbound(nodes, body), ["_page", "target"], "left").join(tier, "_page", "left")
+    out = nodes.where("node = 0").select("_page", "page_id").join(body, "_page").join(block_texts(nodes, body, True), ["_page", "target"], "left").join(outbound(nodes, body, True), ["_page", "target"], "left").join(tier, "_page", "left")
     return out.select("page_id", "text", F.coalesce("links", F.array().cast("array<string>")).alias("links"), F.coalesce("tier", F.lit("heuristics")).alias("tier"))
