@@ -34,6 +34,8 @@ PERCENT = 85
 SUBSETS = 20_000
 #: With how many of those it meets first a set is compared at once; whatever they don't settle follows in rounds.
 FIRST = 6
+#: With how many others of a list or subset it is compared in the first of these rounds.
+MOST = 64
 
 
 def need(n: int, t: int, percent: int = PERCENT) -> int:
@@ -180,7 +182,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = cut(met.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("_n")).where("_n > 1"))
     met = cut(join_by_key(met, reps, ["key"], "inner"))
     near = cut(met.where("node != rep").groupBy("node", "rep").agg(F.count("*").alias("w")))
-    roots = _rounds(met, near, sets, percent / 100, FIRST)
+    roots = _rounds(met, near, sets, percent / 100, FIRST, MOST)
     rooted = cut(firsts.join(roots, "node", "left").select("node", F.col("_n").alias("_rows"), "doc_id", F.coalesce("root", "node").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")))
     every = cut(join_by_key(rooted, least, ["root"], "inner").select("node", F.col("_rows").alias("_n"), "component_id"))

@@ -180,13 +180,13 @@ def verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return dealt.join(twos, ["v", "salt"]).join(ones, "u").where(both >= share * (F.size("_u") + F.size("_v") - both) - 1e-9).select("u", "v")
 
 
-def _rounds(met: DataFrame, near: DataFrame, sets: DataFrame, share: float, first: int = 1) -> DataFrame:
+def _rounds(met: DataFrame, near: DataFrame, sets: DataFrame, share: float, first: int = 1, most: int = 8) -> DataFrame:
     """node, root: components of all links between nodes that share a key.
 
     met: key, node, rep; near: node, rep, w (the keys they share). First each node is compared with the
     rep of most of its keys (or the `first` reps of most of them). After that only keys whose nodes lie in several components are of
-    interest: nodes are compared with more and more of the nodes of other components there, until
-    each such key has been gone through.
+    interest: nodes are compared with more and more of the nodes of other components there (at first with
+    `most` of a key), until each such key has been gone through.
     """
     if first == 1:
         pairs = near.groupBy("node").agg(F.max_by("rep", F.struct("w", "rep")).alias("v"))
@@ -194,7 +194,7 @@ def _rounds(met: DataFrame, near: DataFrame, sets: DataFrame, share: float, firs
         order = Window.partitionBy("node").orderBy(F.desc("w"), "rep")
         pairs = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= first).select("node", F.col("rep").alias("v"))
     pairs = cut(pairs.select(F.col("node").alias("u"), "v"))
-    done, links, most, left = pairs, cut(verified(pairs, sets, share)), 8, None
+    done, links, left = pairs, cut(verified(pairs, sets, share)), None
     while True:
         sweep(met.sparkSession)
         roots = cut(connected_components(links))
