@@ -236,10 +236,15 @@ def _bits(data: bytes, n: int) -> np.ndarray:
 
 
 class _Chunk:
-    """The segments of a chunk's texts, row by row. Rows without an id take no part."""
+    """The segments of a chunk's texts, row by row. Rows without an id take no part.
+
+    A chunk is read more than once, and a shuffle hands its rows out in any order: they are put in
+    order by id and text, as answers about different segments of one key go by the segments' order.
+    """
 
     def __init__(self, docs: pa.Table, length: int):
         self.length = length
+        docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.texts = [t or b"" for t in docs.column("text").to_pylist()]
         self.ids = docs.column("doc_id").to_pylist()
         self.row, self.value, self.mark, self.start, self.windows = runs([t if i is not None else b"" for t, i in zip(self.texts, self.ids, strict=True)], length)
@@ -434,7 +439,7 @@ def _cover(docs: pa.Table, told: pa.Table, buckets: int, length: int) -> pa.Tabl
         kept.append(np.frombuffer(text, np.uint8)[~covered].tobytes())
     return pa.table(
         {
-            "doc_id": docs.column("doc_id"), "n_bytes": pa.array(list(map(len, chunk.texts)), pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+            "doc_id": pa.array(chunk.ids, pa.int64()), "n_bytes": pa.array(list(map(len, chunk.texts)), pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary()),
         }
     )

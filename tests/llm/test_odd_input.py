@@ -2,7 +2,10 @@
 
 import re
 
-from prosegauge.llm import htmltext, pieces, pii, toxicity
+import numpy as np
+import pyarrow as pa
+
+from prosegauge.llm import htmltext, pieces, pii, suffix, toxicity
 
 PROBES = {
     "josé@exemple.fr": "write to josé@exemple.fr today",
@@ -85,3 +88,26 @@ def test_references_end_at_tags():
     text = lambda page: "\n".join(b.text for b in htmltext.read_blocks(page))
     assert text("<p>AT&<b>amp;</b>T &amp; co</p>") == "AT&amp;T & co"
     assert text("<p>x<math>a+b</math>y</p>") == "xa+by"
+
+
+def test_repeats_whatever_the_order_of_rows():
+    """A shuffle may hand a chunk's rows out in another order when they are read again."""
+    tail = "the same passage of more than fifty bytes that stands at the end of each"
+    rows = [(k, f"{'xyz'[k % 3] * (k * 7 + 1)} {tail[k % 5 :]}".encode()) for k in range(12)]
+
+    def chunk(at: list[int]) -> pa.Table:
+        ids, texts = zip(*(rows[k] for k in at), strict=True)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.binary()), "chunk": pa.array([0] * len(ids), pa.int64())})
+
+    def removed(again: list[int]) -> dict[int, bytes]:
+        one = chunk(list(range(12)))
+        by = lambda t: [t.take(np.flatnonzero(t.column("bucket").to_numpy() == k)) for k in np.unique(t.column("bucket").to_numpy())]
+        flags = pa.concat_tables([suffix._answer(g, suffix.CROWD) for g in by(suffix._ask(one, 2, 50))])
+        lows = pa.concat_tables([suffix._match(g, 50) for g in by(suffix._send(one, flags, 2, 50))])
+        kind = lambda t, k: t.append_column("kind", pa.array([k] * t.num_rows, pa.int32()))
+        told = pa.concat_tables([kind(flags, 0), kind(lows.append_column("crowded", pa.nulls(lows.num_rows, pa.binary())), 1)])
+        return {r["doc_id"]: r["kept"] for r in suffix._cover(chunk(again), told, 2, 50).to_pylist()}
+
+    straight = removed(list(range(12)))
+    assert straight[0] == rows[0][1] and any(straight[k] != t for k, t in rows)
+    assert removed([7, 2, 11, 0, 5, 9, 1, 10, 3, 8, 6, 4]) == straight
