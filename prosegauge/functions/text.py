@@ -30,7 +30,20 @@ def trim(x: Column) -> Column:
 
 
 def utf16_length(x: Column) -> Column:
-    return (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
+    units = (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
+    return F.when(F.octet_length(x) == F.length(x), F.length(x)).otherwise(units)
+
+
+def where_any(lower: Column, parts: list[str], value: Column, rest: object) -> Column:
+    """value where the lower-cased text contains one of these parts, without which a costlier search finds nothing; else rest."""
+    some = F.contains(lower, F.lit(parts[0]))
+    for p in parts[1:]:
+        some = some | F.contains(lower, F.lit(p))
+    return F.when(some, value).otherwise(rest)
+
+
+def beyond_ascii(x: Column) -> Column:
+    return F.octet_length(x) > F.length(x)
 
 
 def split_lines(text: Column) -> Column:
@@ -50,20 +63,27 @@ def plain_word_count(x: Column) -> Column:
 
 
 def count_phrases(lower: Column, phrases: list[str]) -> Column:
-    """How many different phrases the text contains."""
-    out = F.lit(0)
-    for p in phrases:
-        out = out + F.contains(lower, F.lit(p)).cast("int")
+    """How many different phrases the text contains. Those that have a part in common are looked for where it stands."""
+    out, rest = F.lit(0), list(phrases)
+    while rest:
+        own, part = max(((sum(part in p for p in rest), part) for part in sorted({p[k : k + 5] for p in rest for k in range(len(p) - 4)})), default=(0, ""), key=lambda x: x[0])
+        group = [p for p in rest if part in p] if own > 1 else rest
+        found = F.lit(0)
+        for p in group:
+            found = found + F.contains(lower, F.lit(p)).cast("int")
+        out = out + (F.when(F.contains(lower, F.lit(part)), found).otherwise(0) if own > 1 else found)
+        rest = [p for p in rest if p not in group]
     return out
 
 
 def matching_phrases(lower: Column, phrases: list[str]) -> Column:
-    """The phrases that the text contains, in the list's order."""
-    return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(lower, p))
+    """The phrases that the text contains, in the list's order. The list is only gone through where one is found."""
+    listed = F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(lower, p))
+    return F.when(count_phrases(lower, phrases) > 0, listed).otherwise(F.array().cast("array<string>"))
 
 
 def count_emoji(x: Column) -> Column:
-    return F.regexp_count(x, F.lit(L.EMOJI))
+    return F.when(beyond_ascii(x), F.regexp_count(x, F.lit(L.EMOJI))).otherwise(0)
 
 
 def starts_with_bullet(line: Column) -> Column:
@@ -85,7 +105,8 @@ def std_dev(values: Column) -> Column:
 
 
 def saturate(value: Column, scale: float) -> Column:
-    return F.when(value <= 0, 0.0).otherwise(1 - F.exp(-value / scale))
+    """0 for no value, near 1 for a large one. The value, which may be a search of the text, is computed once."""
+    return bind(value, lambda v: F.when(v <= 0, 0.0).otherwise(1 - F.exp(-v / scale)))
 
 
 def clamp01(value: Column) -> Column:
@@ -96,8 +117,9 @@ def ratio(n: Column, d: Column) -> Column:
     return F.when(d == 0, 0.0).otherwise(n / F.nullif(d, F.lit(0)))
 
 
-def is_shouted(letters: Column) -> Column:
-    return (utf16_length(letters) >= 4) & (letters == F.upper(letters))
+def is_shouted(x: Column) -> Column:
+    """Whether the letters of a text are four or more, none of them small. Most texts have an a to z, which tells at once."""
+    return F.when(x.rlike("[a-z]"), False).otherwise(bind(F.regexp_replace(x, r"[^\p{L}]", ""), lambda letters: (utf16_length(letters) >= 4) & (letters == F.upper(letters))))
 
 
 def analyze(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 
+#: What a text, lower-cased, contains at least if a pattern of the lists matches it.
+ANTITHESIS_PARTS = [["s not "], ["not just ", "not only "], ["stop "], ["don't ", "dont "], ["this isn"], [" isn"]]
+PRESCRIPTIVE_PARTS = [["you should", "you must", "you need to", "you have to", "you ought to"], ["never ", "always "], ["stop "], ["start "], ["here's how to", "here is how to"]]
+#: Places that can't start a name are passed over before the pattern looks behind them.
+CAPITALS = "(?=[A-Z])" + T.pattern(L.CAPITALS)
 SHOUTED = r"(?:^|[^\p{L}])(?:\p{Lu}{5,}|" + "|".join(L.SHOUTED_WORDS) + r")(?:[^\p{L}]|\z)"
 
 
 def _shouts(line: Column) -> Column:
-    letters = F.regexp_replace(line, r"[^\p{L}]", "")
     loud_end = line.rlike(r"[!?]{2}[^\p{L}\p{N}]*\z")
-    return loud_end | T.is_shouted(letters) | (line.rlike(r"\p{Ll}") & line.rlike(SHOUTED))
+    return loud_end | T.is_shouted(line) | (line.rlike(r"\p{Lu}{3}") & line.rlike(r"\p{Ll}") & line.rlike(SHOUTED))
 
 
 def _line_facts(lines: Column) -> Column:
@@ -31,10 +35,9 @@ def _line_facts(lines: Column) -> Column:
 
 def _entities(sentence: Column) -> Column:
     """Named things in a sentence; its opening word counts only if it is more than a capitalised word."""
-    letters = F.regexp_replace(sentence, r"[^\p{L}]", "")
-    runs = F.regexp_extract_all(sentence, F.lit(T.pattern(L.CAPITALS)), F.lit(0))
+    runs = F.regexp_extract_all(sentence, F.lit(CAPITALS), F.lit(0))
     named = F.filter(runs, lambda r: ~F.startswith(sentence, r) | T.trim(r).rlike(T.SPACE) | r.rlike(r"[A-Z]{2,}|\d"))
-    return F.when(T.is_shouted(letters), 0).otherwise(F.size(named))
+    return F.when(T.is_shouted(sentence), 0).otherwise(F.size(named))
 
 
 def _sentence_facts(sentences: Column) -> Column:
@@ -42,7 +45,7 @@ def _sentence_facts(sentences: Column) -> Column:
 
 
 def _numbers(raw: Column) -> Column:
-    bare = F.transform(raw, lambda x: F.regexp_replace(T.trim(x), rf"^{T.SPACE}*\d{{1,2}}[.)]{T.SPACE}+", ""))
+    bare = F.transform(F.filter(raw, lambda x: x.rlike(r"\d")), lambda x: F.regexp_replace(T.trim(x), rf"^{T.SPACE}*\d{{1,2}}[.)]{T.SPACE}+", ""))
     return F.aggregate(F.transform(bare, lambda x: F.regexp_count(x, F.lit(T.pattern(L.NUMBER)))), F.lit(0), lambda s, x: s + x)
 
 
@@ -68,12 +71,11 @@ def _hook(text: Column, raw: Column, lines: Column) -> Column:
 
 def _closing(lines: Column, lower: Column) -> Column:
     tail = F.array_join(F.slice(lines, F.greatest(F.size(lines) - 1, F.lit(1)), 2), " ")
-    low = F.lower(tail)
+    asks = lambda low: F.when(low.rlike(rf"[?]{T.SPACE}*\z"), 0.4).otherwise(0.0) + F.when(T.count_phrases(low, L.ENGAGEMENT_CTA) > 0, 0.5).otherwise(0.0)
     score = (
-        F.when(low.rlike(rf"[?]{T.SPACE}*\z"), 0.4).otherwise(0.0)
-        + F.when(T.count_phrases(low, L.ENGAGEMENT_CTA) > 0, 0.5).otherwise(0.0)
-        + F.when(T.count_emoji(tail) > 0, 0.1).otherwise(0.0)
-        + F.when(F.rtrim(lower, F.lit(T.SPACES)).rlike(rf"(?:#\w++{T.SPACE}*+){{3}}\z"), 0.2).otherwise(0.0)
+        T.bind(F.lower(tail), asks)
+        + T.bind(tail, lambda x: F.when(T.count_emoji(x) > 0, 0.1).otherwise(0.0))
+        + F.when(F.contains(lower, F.lit("#")) & lower.rlike(rf"(?:#\w++{T.SPACE}*+){{3}}\z"), 0.2).otherwise(0.0)
     )
     return F.when(F.size(lines) == 0, 0.0).otherwise(F.least(score, F.lit(1.0)))
 
@@ -100,8 +102,8 @@ def features(df: DataFrame, text_col: str = "text", links_col: str | None = None
     count = lambda p: F.regexp_count(text, F.lit(p))
     first = F.size(F.filter("_words", lambda x: x.isin("i", "my", "me", "mine")))
     second = F.size(F.filter("_words", lambda x: x.isin("you", "your", "yours")))
-    total = lambda patterns: sum((count(T.pattern(p)) for p in patterns[1:]), count(T.pattern(patterns[0])))
-    found = sum((text.rlike(T.pattern(p)).cast("int") for p in L.ANTITHESIS[1:]), text.rlike(T.pattern(L.ANTITHESIS[0])).cast("int"))
+    total = sum((T.where_any(lower, parts, count(T.pattern(p)), 0) for p, parts in zip(L.PRESCRIPTIVE, PRESCRIPTIVE_PARTS, strict=True)), F.lit(0))
+    found = sum((T.where_any(lower, parts, text.rlike(T.pattern(p)), False).cast("int") for p, parts in zip(L.ANTITHESIS, ANTITHESIS_PARTS, strict=True)), F.lit(0))
     links = F.coalesce(F.size(F.col(links_col)), F.lit(0)) if links_col else F.lit(0)
     values = {
         "bulletLineRatio": _share(F.col("_line"), "bullet"),
@@ -124,12 +126,12 @@ def features(df: DataFrame, text_col: str = "text", links_col: str | None = None
         "citationDensity": T.saturate(links, 1),
         "vagueness": phrases(L.VAGUE_QUANTIFIERS, 2),
         "firstPersonRatio": first / F.greatest(first + second, F.lit(1)),
-        "prescriptiveness": per(total(L.PRESCRIPTIVE), 2),
+        "prescriptiveness": per(total, 2),
         "ctaPhrases": phrases(L.ENGAGEMENT_CTA, 1.5),
         "authorityBait": phrases(L.AUTHORITY_BAIT, 1),
         "questionDensity": per(count(r"\?"), 3),
         "closingHook": _closing(lines, lower),
-        "pointerEmoji": T.saturate(count(L.POINTER), 1),
+        "pointerEmoji": T.saturate(F.when(T.beyond_ascii(text), count(L.POINTER)).otherwise(0), 1),
         "hashtagDensity": T.saturate(count(r"#[\p{L}\p{N}_]+"), 3),
     }
     own = [c for c in df.columns if c not in values and c != "word_count"]
@@ -145,4 +147,4 @@ def matched_phrases(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with matched_phrases: the phrases found, list by list (vague quantifiers are left out)."""
     low = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     lists = [L.HOOK_OPENERS, L.HYPERBOLE, L.CORPORATE_FILLER, L.LLM_TELLS, L.ENGAGEMENT_CTA, L.AUTHORITY_BAIT]
-    return df.withColumn("matched_phrases", F.concat(*(T.matching_phrases(low, p) for p in lists)))
+    return df.withColumn("matched_phrases", T.bind(low, lambda x: F.concat(*(T.matching_phrases(x, p) for p in lists))))

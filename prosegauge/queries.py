@@ -357,9 +357,9 @@ def linked_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The informational features and the verdict of posts that carry links."""
-    out = scoring.score(linked_posts(spark, sf_dir), "text", "links", reasons=False)
-    return features(linked_posts(spark, sf_dir), "text", "links").select("doc_id", *map(r6, GROUPS["informational"])).join(out.select("doc_id", r6("score"), "verdict"), "doc_id")
+    """The informational features and the verdict of posts that carry links, in one pass: features come with the score."""
+    out = scoring.score(linked_posts(spark, sf_dir).where("doc_id is not null"), "text", "links", reasons=False)
+    return out.select("doc_id", *map(r6, GROUPS["informational"]), r6("score"), "verdict")
 
 
 _LINKED = """SELECT d.doc_id AS id, d.text AS t, coalesce(len(list_distinct(regexp_extract_all(p.html, 'href="/([^"]*)"', 1))), 0) AS n_links FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id"""

@@ -64,3 +64,37 @@ def test_folds_in_one_pass(spark):
     assert not none.any()
     model, means = fitting.cross_validated(judged.where("id < 150"), grid=(0.01, 0.5), folds=2)
     assert len(means) == 2 and all(0 <= m <= 1 for m in means) and model.numClasses == 3
+
+
+def test_searches_of_the_text_are_made_once(spark):
+    """A saturated value, the lower-cased text and the linked posts stand in the plan once."""
+    from prosegauge.functions import lexicons as L
+    from prosegauge.operators.features import features, matched_phrases
+    from prosegauge.queries import linked_features
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.createDataFrame([("Many words.",)], "text string")
+    assert plan(features(docs).select("numberDensity")).count(L.POINTER) == 0
+    assert plan(features(docs).select("pointerEmoji")).count(L.POINTER) == 1
+    assert plan(matched_phrases(docs)).count("lower(") == 1
+    folder = "/root/testdata/sf0.001"
+    assert plan(linked_features(spark, folder)).count("n_chars") <= 1 and plan(linked_features(spark, folder)).count("Join") == 1
+
+
+def test_searches_are_only_left_out_where_nothing_is_found(spark):
+    from prosegauge.functions import text as T
+    from prosegauge.functions import lexicons as L
+    from prosegauge.operators.features import ANTITHESIS_PARTS, PRESCRIPTIVE_PARTS
+    from pyspark.sql import functions as F
+
+    texts = ["It's not about luck. It's work", "ITS NOT x!its", "not just a, but b", "Not only y. it's", "STOP it. Start", "Don't wait. Do", "dont wait! be", "This isn't it. This is", "your plan isn't bad. It's",
+             "You SHOULD, you must, you need to, you have to, you ought to", "never say, ALWAYS do", "stop doing", "Start saying", "Here's how to; here is how to", "", "İt's not a. it's", "plain"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for patterns, parts in ((L.ANTITHESIS, ANTITHESIS_PARTS), (L.PRESCRIPTIVE, PRESCRIPTIVE_PARTS)):
+        for p, some in zip(patterns, parts, strict=True):
+            found = F.regexp_count("t", F.lit(T.pattern(p)))
+            assert all(r.a == r.b for r in rows.select(found.alias("a"), T.where_any(F.lower("t"), some, found, 0).alias("b")).collect())
+    phrases = [*L.ENGAGEMENT_CTA, *L.CORPORATE_FILLER]
+    texts = spark.createDataFrame([(" ".join(phrases[a:b]),) for a in range(0, len(phrases), 7) for b in range(a, len(phrases) + 1, 5)], "t string")
+    plain = sum((F.contains("t", F.lit(p)).cast("int") for p in phrases), F.lit(0))
+    assert all(r.a == r.b == r.c for r in texts.select(plain.alias("a"), T.count_phrases(F.col("t"), phrases).alias("b"), F.size(T.matching_phrases(F.col("t"), phrases)).alias("c")).collect())
