@@ -5,10 +5,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.pandas.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from ..functions import lexicons as L
@@ -18,11 +19,18 @@ LEAST, MOST = 12, 6000
 _FLAT = "[" + T.SPACES.replace("\n", "").replace("\r", "") + "]"
 
 
-@pandas_udf(StringType())
-def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode composition, for which Spark has no function."""
-    for s in batches:
-        yield s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+@arrow_udf(StringType())
+def nfc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Unicode composition, for which Spark has no function. Texts become Python's some at a time, and only where one isn't ASCII."""
+    for texts in batches:
+        plain = pc.fill_null(pc.string_is_ascii(texts), True)
+        out = []
+        for at in range(0, len(texts), 256):
+            part = texts.slice(at, 256)
+            if not pc.all(plain.slice(at, 256)).as_py():
+                part = pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in part.to_pylist()], texts.type)
+            out.append(part)
+        yield pa.concat_arrays(out) if out else texts
 
 
 def normalized(composed: Column) -> Column:

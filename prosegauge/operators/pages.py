@@ -24,6 +24,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions.text import SPACES
+from ..llm.hashing import slices
 from ..plans.lineage import cut
 
 # ---- Fixed values: names that mark feeds, posts, bodies, authors -------------------------------------
@@ -200,16 +201,14 @@ def node_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.monotonically_increasing_id().alias("_page"), F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [_Reader().read(h or "") for h in part.column("html").to_pylist()]
-                sizes = [len(x) for x in found]
-                index = pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int32())
-                first = pa.array([i if k == 0 else None for i, n in enumerate(sizes) for k in range(n)], pa.int32())
-                every = [row for x in found for row in x]
-                columns = [pa.array([list(r[k].items()) if n == "attrs" else r[k] for r in every], t) for k, (n, t) in enumerate(_NODE.items())]
-                yield pa.RecordBatch.from_arrays([part.column("_page").take(index), part.column("page_id").take(first), part.column("url").take(first), *columns], ["_page", "page_id", "url", *_NODE])
+        for part in slices(batches, "html", 1):  # nodes take many times the room of their page
+            found = [_Reader().read(h or "") for h in part.column("html").to_pylist()]
+            sizes = [len(x) for x in found]
+            index = pa.array([i for i, n in enumerate(sizes) for _ in range(n)], pa.int32())
+            first = pa.array([i if k == 0 else None for i, n in enumerate(sizes) for k in range(n)], pa.int32())
+            every = [row for x in found for row in x]
+            columns = [pa.array([list(r[k].items()) if n == "attrs" else r[k] for r in every], t) for k, (n, t) in enumerate(_NODE.items())]
+            yield pa.RecordBatch.from_arrays([part.column("_page").take(index), part.column("page_id").take(first), part.column("url").take(first), *columns], ["_page", "page_id", "url", *_NODE])
 
     return cut(rows.mapInArrow(read, f"_page long, page_id {kind}, url string, {NODES}"))
 

@@ -68,8 +68,10 @@ def unit_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [unit(np.array([v], np.float64))[0].tobytes() for v in batch.column("v").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int32())], ["vec_id", "vec", "dim"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                packed = [unit(np.array([v], np.float64))[0].tobytes() for v in part.column("v").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int32())], ["vec_id", "vec", "dim"])
 
     return rows.mapInArrow(pack, "vec_id long, vec binary, dim int")
 
@@ -213,16 +215,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Record
 def _searched(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """A block of queries beside a block of rows -> query_id, n_near, nearest_id, nearest (cosine); a row is no neighbour of itself."""
     names = ["query_id", "n_near", "nearest_id", "nearest"]
-    for batch in batches:
-        for q_ids, q_vecs, ids, vecs in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_vecs", "ids", "vecs")), strict=True):
-            q_ids, ids = np.array(q_ids), np.array(ids)
+    for row in (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)):  # two blocks at a time
+        for q_ids, q_vecs, ids, vecs in zip(*(row.column(c).to_pylist() for c in ("q_ids", "q_vecs", "ids", "vecs")), strict=True):
+            q_ids, ids = np.array(q_ids, np.int64), np.array(ids, np.int64)
             one, two = (np.frombuffer(x, np.float32).reshape(len(n), -1).astype(np.float64) for x, n in ((q_vecs, q_ids), (vecs, ids)))
-            cosine = np.where(q_ids[:, None] == ids[None, :], -2.0, one @ two.T)
-            # of equals the smallest id
-            best = np.lexsort((np.broadcast_to(ids, cosine.shape), -cosine), axis=1)[:, 0] if len(ids) else np.zeros(len(q_ids), int)
-            top = cosine[np.arange(len(q_ids)), best]
-            keep = top > -2
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[keep]), pa.array((cosine >= threshold).sum(axis=1)[keep].astype(np.int64)), pa.array(ids[best][keep]), pa.array(top[keep])], names)
+            for at in range(0, len(q_ids), 256):
+                own = q_ids[at : at + 256]
+                cosine = np.where(own[:, None] == ids[None, :], -2.0, one[at : at + 256] @ two.T)
+                top = cosine.max(axis=1)
+                best = np.where(cosine == top[:, None], ids, np.iinfo(np.int64).max).min(axis=1)  # of equals the smallest id
+                keep = top > -2
+                yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array((cosine >= threshold).sum(axis=1)[keep].astype(np.int64)), pa.array(best[keep]), pa.array(top[keep])], names)
 
 
 def neighbours(queries: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

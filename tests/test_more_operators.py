@@ -261,3 +261,26 @@ def test_medians_from_sketches_of_batches(spark):
         assert r.n == 10_000
         for q, value in ((0.5, r.q50), (0.9, r.q90)):
             assert abs(rows.where((F.col("kind") == r.kind) & (F.col("ms") <= value)).count() / r.n - q) < 0.02
+
+
+def test_batches_of_arrow_are_bounded():
+    """What a Python worker makes at once is bounded by bytes or rows, not by the batch that Spark hands over."""
+    import numpy as np
+    import pyarrow as pa
+
+    from prosegauge.operators import content, similar
+
+    rng = np.random.default_rng(1)
+    vectors = similar.unit(rng.standard_normal((700, 8)))
+    vectors[650] = vectors[3]  # the smaller id is named where two are equally near
+    vectors[20] = vectors[3]
+    block = lambda rows: (np.array(rows).tolist(), vectors[rows].tobytes())
+    (q, qv), (i, v) = block(list(range(600))), block(list(range(700)))
+    batch = pa.RecordBatch.from_arrays([pa.array([q], pa.list_(pa.int64())), pa.array([qv], pa.binary()), pa.array([i], pa.list_(pa.int64())), pa.array([v], pa.binary())], ["q_ids", "q_vecs", "ids", "vecs"])
+    out = list(similar._searched(iter([batch]), 0.9))
+    assert max(b.num_rows for b in out) <= 256 and sum(b.num_rows for b in out) == 600
+    got = {r["query_id"]: r for b in out for r in b.to_pylist()}
+    assert got[3]["nearest_id"] == 20 and got[20]["nearest_id"] == 3
+    texts = ["a", None, "é", ""] * 300
+    composed = list(content.nfc.func(iter([pa.array(texts), pa.array(["plain"]), pa.array([], pa.string())])))
+    assert composed[0].to_pylist() == ["a", None, "é", ""] * 300 and composed[1].to_pylist() == ["plain"] and len(composed[2]) == 0
