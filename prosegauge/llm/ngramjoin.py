@@ -26,16 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, join_by_key, only, partitions, sweep, table
 from .hashing import PRIME, mix, slices
-from .setring import _bytes, _marks, _meetings, _rounds, _sets, shingle_sets
+from .setring import _bytes, _marks, _meetings, _roots, _sets, shingle_sets
 
 WIDTH = 4
 PERCENT = 85
 #: Sizes at which a set would have more subsets than this are heavy at any cost: it bounds a row's work.
 SUBSETS = 20_000
-#: With how many of those it meets first a set is compared at once; whatever they don't settle follows in rounds.
-FIRST = 6
-#: With how many others of a list or subset it is compared in the first of these rounds.
-MOST = 64
 
 
 def need(n: int, t: int, percent: int = PERCENT) -> int:
@@ -160,7 +156,8 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         clashing |= frozenset(r[0] for r in clash)
     keyed = rows.mapInArrow(partial(_screened, width=width, percent=percent, clashing=clashing), "key long, node long, need int")
     dealt = keyed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
-    seen = dealt.mapInArrow(_meetings, "key long, node long, need int").select("key", "node", "need").distinct()
+    # a row that comes twice, at the end of a batch, lets a set through at worst
+    seen = dealt.mapInArrow(_meetings, "key long, node long, need int")
     able = cut(seen.groupBy("node").agg(F.count("*").alias("met"), F.max("need").alias("need")).where("met >= need").select("node"))
     firsts = cut(named.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("_n")))
     # a set whose rows all lack an id is read from those rows
@@ -180,9 +177,8 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = cut(heavy.unionByName(light))
 
     reps = cut(met.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("_n")).where("_n > 1"))
-    met = cut(join_by_key(met, reps, ["key"], "inner"))
-    near = cut(met.where("node != rep").groupBy("node", "rep").agg(F.count("*").alias("w")))
-    roots = _rounds(met, near, sets, percent / 100, FIRST, MOST)
+    near = cut(join_by_key(met, reps, ["key"], "inner").where("node != rep").select("node", "rep").distinct())
+    roots = _roots(near, sets, percent / 100)
     rooted = cut(firsts.join(roots, "node", "left").select("node", F.col("_n").alias("_rows"), "doc_id", F.coalesce("root", "node").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")))
     every = cut(join_by_key(rooted, least, ["root"], "inner").select("node", F.col("_rows").alias("_n"), "component_id"))

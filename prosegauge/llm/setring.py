@@ -180,49 +180,84 @@ def verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return dealt.join(twos, ["v", "salt"]).join(ones, "u").where(both >= share * (F.size("_u") + F.size("_v") - both) - 1e-9).select("u", "v")
 
 
-def _rounds(met: DataFrame, near: DataFrame, sets: DataFrame, share: float, first: int = 1, most: int = 8) -> DataFrame:
-    """node, root: components of all links between nodes that share a key.
+#: A star of fewer sets is told apart by its rep's own set, a larger one by what more than half of so many of its sets hold. Which set it is changes no row.
+FEW, HELD = 8, 9
+#: Bounds are multiples of (1 - share) / (1 + share); sums of doubles stay this near to them.
+_EPS = 1e-6
 
-    met: key, node, rep; near: node, rep, w (the keys they share). First each node is compared with the
-    rep of most of its keys (or the `first` reps of most of them). After that only keys whose nodes lie in several components are of
-    interest: nodes are compared with more and more of the nodes of other components there (at first with
-    `most` of a key), until each such key has been gone through.
+
+def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, sets (at most HELD) -> rep, pivot: the items that more than half of the sets hold."""
+    for batch in batches:
+        for rep, sets in zip(batch.column("rep").to_pylist(), batch.column("sets"), strict=True):
+            items, n = np.unique(sets.values.flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([rep]), pa.array([items[2 * n > len(sets)]], pa.list_(pa.int64()))], ["rep", "pivot"])
+
+
+def _deltas(near: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """rep, node, n (size of the set), g, delta: in what each set of a star, the rep's own among them, differs from the star's pivot.
+
+    g is the size of delta less the set's part in what a linked pair may differ in.
     """
-    if first == 1:
-        pairs = near.groupBy("node").agg(F.max_by("rep", F.struct("w", "rep")).alias("v"))
-    else:
-        order = Window.partitionBy("node").orderBy(F.desc("w"), "rep")
-        pairs = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= first).select("node", F.col("rep").alias("v"))
-    pairs = cut(pairs.select(F.col("node").alias("u"), "v"))
-    done, links, left = pairs, cut(verified(pairs, sets, share)), None
-    while True:
-        sweep(met.sparkSession)
-        roots = cut(connected_components(links))
-        if left is None:  # a key is gone through if each of its nodes is in its rep's component
-            other = near.groupBy("rep").agg(F.count("*").alias("_n")).join(roots.select(F.col("node").alias("rep"), F.col("root").alias("_other")), "rep", "left")
-            told = join_by_key(near, cut(other.select("rep", "_n", F.coalesce("_other", "rep").alias("_other"))), ["rep"], "inner").join(roots, "node", "left")
-            open_pairs = cut(told.where(F.coalesce("root", "node") != F.col("_other")).select("node", "rep"))
-            if not open_pairs.limit(1).count():
-                return roots
-            keys = cut(met.join(open_pairs, ["node", "rep"], "left_semi").select("key").distinct())
-            left = cut(met.join(keys, "key", "left_semi").select("key", "node").distinct())
-        labelled = cut(left.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-        still = labelled.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n")).where("_a != _b")
-        still = cut(still.select("key", "_n", F.col("_n").alias("n")))
-        if not still.limit(1).count():
-            return roots
-        left = cut(join_by_key(labelled, still, ["key"], "inner"))
-        few = F.when(F.col("n") <= most, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node", F.lit(most)), F.lit(most)))
-        chosen = left.groupBy("key", few.alias("_few")).agg(F.min(F.struct("node", "root")).alias("r"), F.count("*").alias("_n"))
-        chosen = cut(chosen.groupBy("key").agg(F.collect_list("r").alias("reps"), F.sum("_n").alias("_n")))
-        wide = join_by_key(left, chosen, ["key"], "inner").select("node", "root", F.explode("reps").alias("r")).where("root != r.root")
-        fresh = wide.select(F.greatest("node", "r.node").alias("u"), F.least("node", "r.node").alias("v")).distinct()
-        pairs = cut(fresh.join(done.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), ["u", "v"], "left_anti"))
-        links = cut(links.union(verified(pairs, sets, share)))
-        done = done.union(pairs)
-        # keys of at most `most` nodes have had all their pairs compared
-        left = cut(left.where(F.col("n") > most).select("key", "node"))
-        most *= 8
+    members = cut(near.select("rep", "node").union(near.select("rep", F.col("rep").alias("node"))).distinct())
+    counts = cut(members.groupBy("rep").agg(F.count("*").alias("_n")))
+    members = cut(join_by_key(members, counts.withColumn("many", F.col("_n")), ["rep"], "inner"))
+    few = members.where((F.col("many") < FEW) & (F.col("node") == F.col("rep"))).select("rep", "node")
+    some = members.where(F.col("many") >= FEW).groupBy("rep", F.pmod(F.xxhash64("node"), F.lit(HELD)).alias("_k")).agg(F.min("node").alias("node")).select("rep", "node")
+    held = few.union(some).join(sets, "node").groupBy("rep").agg(F.collect_list("items").alias("sets"))
+    pivots = cut(held.mapInArrow(_pivots, "rep long, pivot array<long>"))
+    # a pivot that many sets ask for is read by several tasks
+    salts = F.ceil(F.col("_n") / 500).cast("int")
+    pivots = pivots.join(counts, "rep").select("rep", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "pivot")
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / 500)).cast("int"))
+    both = dealt.join(sets, "node").join(pivots, ["rep", "salt"])
+    out = both.select("rep", "node", F.size("items").alias("n"), F.concat(F.array_except("items", "pivot"), F.array_except("pivot", "items")).alias("delta"))
+    return cut(out.select("rep", "node", "n", (F.size("delta") - F.col("n") * ((1 - share) / (1 + share))).alias("g"), "delta"))
+
+
+def _roots(near: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """node, root: components of all links between nodes that share a key, hence a rep.
+
+    near: node, rep. Two sets u, v are linked if they differ in (1 - share) / (1 + share) of their sizes
+    together, which with their differences from any third set, the pivot of their star, reads
+    g(u) + g(v) <= 2 |delta(u) & delta(v)|. So all sets with g(u) + g(v) <= 0 for the one with the
+    least g, v, are linked to it, and need not be compared with each other; the others have links only where
+    their deltas meet, in a number of items that is known for each pair. These are looked up by the rarest
+    items of their deltas, as many as a partner can't all lack; what follows an item in that order
+    bounds what two sets have in common from it on. What a whole group holds is in no delta, so a group of
+    near copies costs what its members were changed in, not its pairs.
+    """
+    delta = _deltas(near, sets, share)
+    best = cut(delta.groupBy("rep").agg(F.min(F.struct("g", "node")).alias("b"), F.count("*").alias("_n")).select("rep", F.col("b.g").alias("g0"), F.col("b.node").alias("v0"), "_n"))
+    told = cut(join_by_key(delta.select("rep", "node", "n", "g", F.size("delta").alias("far")), best.withColumn("many", F.col("_n")), ["rep"], "inner"))
+    links = cut(told.where((F.col("g") + F.col("g0") <= _EPS) & (F.col("node") != F.col("v0"))).select(F.col("node").alias("u"), F.col("v0").alias("v")).distinct())
+    roots = cut(connected_components(links))
+    sweep(near.sparkSession)
+
+    told = cut(told.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # of two sets in a star all is known
+    unsettled = told.where("many > 2").groupBy("rep").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count("*").alias("_n"))
+    unsettled = cut(unsettled.where("_a != _b").select("rep", "_n"))
+    lone = F.col("g") + F.col("g0") > _EPS
+    # two that are both linked to v0 need no link; so a partner's g is -g0 at least, or g0 for a lone one's
+    common = F.greatest(F.lit(1), F.ceil((F.col("g") + F.when(lone, F.col("g0")).otherwise(-F.col("g0"))) / 2 - _EPS), F.ceil(F.col("far") - F.col("n") * ((1 - share) / share) - _EPS))
+    told = join_by_key(told, unsettled, ["rep"], "left_semi").select("rep", "node", "g", "root", lone.alias("lone"), common.alias("common"))
+    items = join_by_key(delta, unsettled, ["rep"], "left_semi").select("rep", "node", F.explode("delta").alias("item"))
+    shared = cut(items.groupBy("rep", "item").agg(F.count("*").alias("_n")).where("_n > 1"))
+    known = join_by_key(items, shared.withColumn("among", F.col("_n")), ["rep", "item"], "inner")
+    # from an item on, so many of a set's items are left that others of the star have too
+    order = Window.partitionBy("rep", "node").orderBy(F.desc("among"), F.desc("item"))
+    entries = cut(known.withColumn("left", F.row_number().over(order)).join(told, ["rep", "node"]).where("left >= common").drop("common"))
+
+    salts = F.ceil(F.col("among") / 500).cast("int")
+    ones = entries.where("lone").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    twos = entries.select("rep", "item", *(F.col(x).alias(f"{x}_") for x in ("node", "g", "root", "left")), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    enough = (F.col("root") != F.col("root_")) & (2 * F.least("left", "left_") >= F.col("g") + F.col("g_") - _EPS)
+    met = ones.join(twos, ["rep", "item", "salt"]).where(enough)
+    pairs = cut(met.select(F.greatest("node", "node_").alias("u"), F.least("node", "node_").alias("v")).distinct())
+    if not pairs.limit(1).count():
+        return roots
+    return connected_components(links.union(verified(pairs, sets, share)))
 
 
 def set_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, width: int = WIDTH) -> DataFrame:
@@ -247,15 +282,17 @@ def set_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = cut(dealt.mapInArrow(_meetings, "key long, node long, need int"))
     # a set that meets others in too few of its keys is linked to none of them
     able = cut(met.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("node"))
-    met = only(met, able, "node").select("key", "node").distinct()
+    met = cut(only(met, able, "node").select("key", "node").distinct())
     reps = cut(met.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("_n")).where("_n > 1"))
-    met = cut(join_by_key(met, reps, ["key"], "inner"))
-    near = cut(met.where("node != rep").groupBy("node", "rep").agg(F.count("*").alias("w")))
-    asked = near.select("node").union(near.select("rep")).distinct()
+    near = cut(join_by_key(met, reps, ["key"], "inner").where("node != rep").select("node", "rep").distinct())
+    asked = cut(near.select("node").union(near.select("rep")).distinct())
     firsts = cut(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_n")))
-    chosen = cut(firsts.join(asked, "node", "left_semi").select("doc_id").distinct())
-    sets = cut(only(rows, chosen, "doc_id").select("text").mapInArrow(partial(_sets, width=width, clashing=clashing), "node long, items array<long>"))
-    roots = _rounds(met, near, sets, share)
+    # a set whose rows all lack an id is read from those rows
+    chosen = cut(firsts.join(asked, "node", "left_semi").select(F.coalesce("doc_id", F.lit(-1)).alias("_id")).distinct())
+    texts = only(rows.withColumn("_id", F.coalesce("doc_id", F.lit(-1))), chosen, "_id").select("text")
+    sets = texts.mapInArrow(partial(_sets, width=width, clashing=clashing), "node long, items array<long>")
+    sets = cut(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    roots = _roots(near, sets, share)
     rooted = cut(firsts.join(roots, "node", "left").select("node", F.col("_n").alias("_rows"), "doc_id", F.coalesce("root", "node").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")))
     every = cut(join_by_key(rooted, least, ["root"], "inner").select("node", F.col("_rows").alias("_n"), "component_id"))

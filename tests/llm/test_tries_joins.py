@@ -227,6 +227,46 @@ def test_ngram_join_brute_force(spark, near_rows, edge):
         assert collections.Counter(found) == got
 
 
+@pytest.mark.parametrize("percent, width", [(85, 4), (80, 5)])
+def test_group_of_near_copies_is_not_compared_in_pairs(spark, monkeypatch, percent, width):
+    """Classes of a group of near copies, changed at random places by nothing to beyond any link, against brute force; few pairs are compared."""
+    from prosegauge.llm import setring
+
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.choice([1, 2, 3, 4, 4, 4, 5])):
+            w[at] = rng.choice(["some", f"new{rng.randrange(10**6)}"])
+        rows.append((i, " ".join(w[rng.randrange(3) :])))
+    compared, plain = [], setring.verified
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(setring, "verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if width == 4:
+        got = {r.doc_id: r.component_id for r in ngramjoin.ngram_classes(docs).collect()}
+    else:
+        got = {r.doc_id: r.component_id for r in setring.set_classes(docs).collect()}
+    assert got == {i: root for i, _, root in plain_classes(rows, percent, width)}
+    assert 20 < len(set(got.values())) < 200
+    assert sum(compared) < len(rows) ** 2 / 40  # of half as many times 20
+
+
+def test_null_id_rows_join_classes(spark):
+    """A set that only rows without an id hold links others, though it names nothing."""
+    from prosegauge.llm import setring
+
+    w = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(w)), (None, " ".join(w[10:] + [f"x{k}" for k in range(8)])), (2, " ".join(w[20:] + [f"x{k}" for k in range(16)]))]
+    got = {r.doc_id: r.component_id for r in setring.set_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, None: 1, 2: 1}
+
+
 def test_ngram_join_empty(spark):
     assert ngramjoin.ngram_classes(spark.createDataFrame([], DOCS)).count() == 0
 
