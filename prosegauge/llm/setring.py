@@ -6,9 +6,10 @@ the fingerprint is drawn from, the set of all shingles: its Hamming distance is
 difference, which Jaccard 0.8 holds within tau = (a + b) / 9. Shingles are dealt by hash to a ring of
 more than tau segments, so a linked pair has a segment without a difference, and meets there.
 Segments that are empty in both tell nothing; the ring is larger by some, and a set with too many
-empty ones uses further rings until it has one that holds without them. As each difference spoils one
-segment at most, a linked pair shares many: sets that meet others in fewer are pruned before
-any are compared. What is left is verified by exact Jaccard.
+empty ones uses further rings until it has one that holds without them. Where two sets meet, the chain
+along the ring is checked for the pair: the first k segments from a viable start differ in fewer than k
+items. A linked pair has as many viable starts as it has more segments than differences (the cycle lemma), so
+sets with fewer are pruned before any are compared. What is left is verified by exact Jaccard.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ from .hashing import PRIME, distinct_sorted, mix, slices, word_hash_arrays
 
 WIDTH = 5
 SHARE = 0.8
+#: An item turns over one of so many bits of its segment's sketch, so two sketches differ in no more bits than the segments in items.
+BITS = 16
+#: Keys of more sets are handed on without a check of their pairs; it bounds a key's work and changes no row.
+MOST = 256
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -70,13 +75,14 @@ class Rings:
         """The most that two linked sets of so many items together can differ in."""
         return int((1 - self.share) / (1 + self.share) * together + 1e-9)
 
-    def keys(self, items: np.ndarray) -> tuple[np.ndarray, int]:
-        """(the segments of a set that can meet: one key for each that is not empty, in the rings of its size; how many of them a linked set shares at least).
+    def keys(self, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(the segments of a set that can meet: one key for each that is not empty, in the rings of its size; the sketches of the two segments after each; from how many of them the chain to a linked set is viable at least).
 
-        Each differing item spoils one segment at most, so a linked pair shares all of a set's
-        segments but tau of them. The bound is the least over the sizes that a partner can have.
+        Of a set's segments, each with the empty ones after it, a linked pair has as many starts from which
+        any k differ in fewer than k items as there are segments more than differing items, which are
+        tau at most. The bound is the least over the sizes that a partner can have.
         """
-        out = [items[:0]]
+        out, chains = [items[:0]], [np.zeros(0, np.uint32)]
         n = len(items)
         own = self.size_class(n) if n else 0
         held_in, sure = [0, 0], True
@@ -92,12 +98,15 @@ class Rings:
                 np.add.at(total, where, mix(h))
                 held = np.flatnonzero(np.bincount(where, minlength=size))
                 out.append(mix(total[held] + held.astype(np.uint64) * PRIME + np.uint64(k * 1009 + turn)))
+                odd = np.bincount(where * BITS + (h % np.uint64(BITS)).astype(np.int64), minlength=size * BITS) & 1
+                sketch = np.packbits(odd.astype(bool)).view(np.uint16).astype(np.uint32)
+                chains.append(sketch[(held + 1) % size] << np.uint32(BITS) | sketch[(held + 2) % size])
                 if len(held) > tau:
                     break
                 sure = False
             held_in[k - own] = len(held)
         if not sure or not own:
-            return np.concatenate(out), 1
+            return np.concatenate(out), np.concatenate(chains), 1
         below, above = self.bound(own - 1), int(n / self.share + 1e-9)
         same = self.tau(n + self.bound(own))
         needs = [max(0, held_in[0] - same) + max(0, held_in[1] - same)]
@@ -105,7 +114,13 @@ class Rings:
             needs.append(held_in[1] - self.tau(n + above))
         if below >= self.share * n - 1e-9:
             needs.append(held_in[0] - self.tau(n + below))
-        return np.concatenate(out), max(1, min(needs))
+        return np.concatenate(out), np.concatenate(chains), max(1, min(needs))
+
+
+def viable(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether the chains of pairs that share a key can go on: one item at most differs in the next segment, and two in the next two."""
+    differ = one ^ two
+    return (np.bitwise_count(differ >> np.uint32(BITS)) <= 1) & (np.bitwise_count(differ) <= 2)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -128,7 +143,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], width: int, clashing: frozenset[in
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], width: int, share: float, clashing: frozenset[int]) -> Iterator[pa.RecordBatch]:
-    """key, node, need (how many keys a linked set shares at least) of each set that this task has not had before: copies add nothing."""
+    """key, node, need (from how many keys the chain to a linked set is viable at least), chain of each set that this task has not had before: copies add nothing."""
     rings, had = Rings(share), set()
     for batch in slices(batches, "text"):
         sets = shingle_sets(_bytes(batch.column("text")), width)
@@ -136,9 +151,40 @@ def _keyed(batches: Iterator[pa.RecordBatch], width: int, share: float, clashing
         fresh = [k for k, n in enumerate(node.tolist()) if n not in had and not had.add(n)]
         keys = [rings.keys(sets[k]) for k in fresh]
         if keys:
-            sizes = [len(k) for k, _ in keys]
-            owner, need = np.repeat(node[fresh], sizes), np.repeat(np.array([n for _, n in keys], np.int32), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _ in keys]).view(np.int64)), pa.array(owner), pa.array(need)], ["key", "node", "need"])
+            sizes = [len(k) for k, _, _ in keys]
+            owner, need = np.repeat(node[fresh], sizes), np.repeat(np.array([n for _, _, n in keys], np.int32), sizes)
+            key, chain = np.concatenate([k for k, _, _ in keys]).view(np.int64), np.concatenate([c for _, c, _ in keys]).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(need), pa.array(chain)], ["key", "node", "need", "chain"])
+
+
+def _viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, node, need, chain in order of key and node -> key, node, need of the sets that have a viable chain to another set of their key.
+
+    The first and last key of a batch, which may go on in another, are handed on as they are.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node, need, chain = (batch.column(n).to_numpy() for n in ("key", "node", "need", "chain"))
+        start = np.ones(len(key), bool)
+        start[1:] = key[1:] != key[:-1]
+        fresh = start.copy()
+        fresh[1:] |= node[1:] != node[:-1]
+        key, node, need, chain, start = key[fresh], node[fresh], need[fresh], chain[fresh].view(np.uint32), start[fresh]
+        first = np.flatnonzero(start)
+        sizes = np.diff(np.append(first, len(key)))
+        stays = np.repeat(sizes > MOST, sizes)
+        stays[: sizes[0]] = stays[first[-1] :] = True
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= MOST)]).tolist():
+            rows = first[sizes == size][:, None] + np.arange(size)
+            linked = viable(chain[rows][:, :, None], chain[rows][:, None, :])
+            linked[:, np.arange(size), np.arange(size)] = False
+            stays[rows] |= linked.any(axis=2)
+        yield pa.RecordBatch.from_arrays([pa.array(key[stays]), pa.array(node[stays]), pa.array(need[stays])], ["key", "node", "need"])
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _meetings(_viable(batches))
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +323,10 @@ def set_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not clash:
             break
         clashing |= frozenset(r[0] for r in clash)
-    keyed = rows.mapInArrow(partial(_keyed, width=width, share=share, clashing=clashing), "key long, node long, need int")
+    keyed = rows.mapInArrow(partial(_keyed, width=width, share=share, clashing=clashing), "key long, node long, need int, chain int")
     dealt = keyed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
-    met = cut(dealt.mapInArrow(_meetings, "key long, node long, need int"))
-    # a set that meets others in too few of its keys is linked to none of them
+    met = cut(dealt.mapInArrow(_chained, "key long, node long, need int"))
+    # a set with viable chains from too few of its keys is linked to none of those it meets
     able = cut(met.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("node"))
     met = cut(only(met, able, "node").select("key", "node").distinct())
     reps = cut(met.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("_n")).where("_n > 1"))
