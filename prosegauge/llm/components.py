@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sweep
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,5 +31,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        sweep(edges.sparkSession)
     roots = at.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(at.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

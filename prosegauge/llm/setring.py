@@ -252,6 +252,7 @@ def _deltas(near: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     some = members.where(F.col("many") >= FEW).groupBy("rep", F.pmod(F.xxhash64("node"), F.lit(HELD)).alias("_k")).agg(F.min("node").alias("node")).select("rep", "node")
     held = few.union(some).join(sets, "node").groupBy("rep").agg(F.collect_list("items").alias("sets"))
     pivots = cut(held.mapInArrow(_pivots, "rep long, pivot array<long>"))
+    sweep(near.sparkSession)
     # a pivot that many sets ask for is read by several tasks
     salts = F.ceil(F.col("_n") / 500).cast("int")
     pivots = pivots.join(counts, "rep").select("rep", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "pivot")
@@ -288,6 +289,7 @@ def _roots(near: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     # two that are both linked to v0 need no link; so a partner's g is -g0 at least, or g0 for a lone one's
     common = F.greatest(F.lit(1), F.ceil((F.col("g") + F.when(lone, F.col("g0")).otherwise(-F.col("g0"))) / 2 - _EPS), F.ceil(F.col("far") - F.col("n") * ((1 - share) / share) - _EPS))
     told = join_by_key(told, unsettled, ["rep"], "left_semi").select("rep", "node", "g", "root", lone.alias("lone"), common.alias("common"))
+    sweep(near.sparkSession)
     items = join_by_key(delta, unsettled, ["rep"], "left_semi").select("rep", "node", F.explode("delta").alias("item"))
     shared = cut(items.groupBy("rep", "item").agg(F.count("*").alias("_n")).where("_n > 1"))
     known = join_by_key(items, shared.withColumn("among", F.col("_n")), ["rep", "item"], "inner")
@@ -295,6 +297,7 @@ def _roots(near: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     order = Window.partitionBy("rep", "node").orderBy(F.desc("among"), F.desc("item"))
     entries = cut(known.withColumn("left", F.row_number().over(order)).join(told, ["rep", "node"]).where("left >= common").drop("common"))
 
+    sweep(near.sparkSession)
     salts = F.ceil(F.col("among") / 500).cast("int")
     ones = entries.where("lone").withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
     twos = entries.select("rep", "item", *(F.col(x).alias(f"{x}_") for x in ("node", "g", "root", "left")), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
@@ -326,11 +329,14 @@ def set_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = rows.mapInArrow(partial(_keyed, width=width, share=share, clashing=clashing), "key long, node long, need int, chain int")
     dealt = keyed.repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
     met = cut(dealt.mapInArrow(_chained, "key long, node long, need int"))
+    sweep(docs.sparkSession)
     # a set with viable chains from too few of its keys is linked to none of those it meets
     able = cut(met.groupBy("node").agg(F.count("*").alias("n"), F.max("need").alias("need")).where("n >= need").select("node"))
     met = cut(only(met, able, "node").select("key", "node").distinct())
     reps = cut(met.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("_n")).where("_n > 1"))
     near = cut(join_by_key(met, reps, ["key"], "inner").where("node != rep").select("node", "rep").distinct())
+    del met, able, reps
+    sweep(docs.sparkSession)
     asked = cut(near.select("node").union(near.select("rep")).distinct())
     firsts = cut(named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("_n")))
     # a set whose rows all lack an id is read from those rows
@@ -338,7 +344,11 @@ def set_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = only(rows.withColumn("_id", F.coalesce("doc_id", F.lit(-1))), chosen, "_id").select("text")
     sets = texts.mapInArrow(partial(_sets, width=width, clashing=clashing), "node long, items array<long>")
     sets = cut(sets.join(asked, "node", "left_semi").dropDuplicates(["node"]))
+    del asked, chosen, texts
+    sweep(docs.sparkSession)
     roots = _roots(near, sets, share)
+    del near, sets
+    sweep(docs.sparkSession)
     rooted = cut(firsts.join(roots, "node", "left").select("node", F.col("_n").alias("_rows"), "doc_id", F.coalesce("root", "node").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")))
     every = cut(join_by_key(rooted, least, ["root"], "inner").select("node", F.col("_rows").alias("_n"), "component_id"))
